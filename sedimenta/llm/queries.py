@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from sedimenta.llm.chat import format_chats
 from sedimenta.llm.decontaminate import find_contamination
+from sedimenta.llm.linededup import drop_lines, html_lines, url_host
+from sedimenta.llm.neardup import near_duplicates
 from sedimenta.llm.packing import pack_documents
+from sedimenta.llm.repeats import remove_repeats
 from sedimenta.llm.secrets import BASE_RULES, scan_secrets
 from sedimenta.llm.sharding import assign_shards
 
@@ -123,5 +126,39 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_minimax_shards, op4_slack_packing, op8_decontaminate, op10_secret_scan)}
-ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op8_decontaminate": OP8_SQL}
+def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=5, percent=85)
+
+
+def op7_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    lined = pages.select("page_id", url_host("url").alias("host"), html_lines("html").alias("text"))
+    done = drop_lines(lined, "host", "text", max_ratio=0.1, min_pages=5)
+    return done.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, lower(regexp_extract(url, '^[^:/?#]+://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    regexp_replace(html, '[ \t\r\n]*(?:<[^>]*>|\n)[ \t\r\n]*', chr(10), 'g') AS text FROM pages
+), l AS (
+  SELECT page_id, host, i, line, trim(line, ' ') AS word FROM (
+    SELECT page_id, host, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM (SELECT page_id, host, string_split(text, chr(10)) AS lines FROM p))
+), totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
+often AS (
+  SELECT host, word FROM l JOIN totals USING (host) WHERE word <> '' AND host <> ''
+  GROUP BY host, word, pages HAVING count(DISTINCT page_id) >= 5 AND count(DISTINCT page_id) > 0.1 * pages
+), marked AS (SELECT l.*, often.word IS NOT NULL AS gone FROM l LEFT JOIN often ON often.host = l.host AND often.word = l.word)
+SELECT page_id, host, count(*) FILTER (WHERE word <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY page_id, host
+"""
+
+QUERIES = {f.__name__: f for f in (op2_chat_format, op3_minimax_shards, op4_slack_packing, op5_circulant_minhash, op7_prefix_free_dedup, op8_decontaminate, op9_line_dedup, op10_secret_scan)}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}

@@ -58,15 +58,19 @@ def utf8(text: str | Column) -> Column:
 
 _MUL = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MUL, -1, 1 << 64)
-_SEGMENT = 1 << 20
+#: Places hashed at a time, so that the arrays stay in the processor's cache.
+SEGMENT = 1 << 16
 
 
 @functools.cache
-def _powers(base: int) -> np.ndarray:
-    """base**i for every offset in a segment and the longest token that may hang over its end."""
-    out = np.full(_SEGMENT * 2 + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's odd base and of its inverse, for every offset in a segment and beyond its end."""
+    out = []
+    for base in (_MUL, _INV):
+        x = np.full(2 * SEGMENT + 1, base, dtype=np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -93,11 +97,11 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     longer than a segment are digested apart.
     """
     out = np.empty(len(starts), dtype=np.uint64)
-    up, down = _powers(_MUL), _powers(_INV)
+    up, down = powers()
     at = 0
     while at < len(starts):
         base = starts[at]
-        stop = int(np.searchsorted(ends, base + _SEGMENT, side="right"))
+        stop = int(np.searchsorted(ends, base + SEGMENT, side="right"))
         if stop <= at:
             piece = buf[starts[at] : ends[at]].tobytes()
             import hashlib
