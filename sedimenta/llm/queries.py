@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta.llm.ann import nearest
 from sedimenta.llm.chat import format_chats
 from sedimenta.llm.decontaminate import find_contamination
 from sedimenta.llm.linededup import drop_lines, html_lines, url_host
@@ -25,6 +26,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
@@ -160,5 +165,5 @@ SELECT page_id, host, count(*) FILTER (WHERE word <> '') AS n_lines, count(*) FI
 FROM marked GROUP BY page_id, host
 """
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op3_minimax_shards, op4_slack_packing, op5_circulant_minhash, op7_prefix_free_dedup, op8_decontaminate, op9_line_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_ann, op2_chat_format, op3_minimax_shards, op4_slack_packing, op5_circulant_minhash, op7_prefix_free_dedup, op8_decontaminate, op9_line_dedup, op10_secret_scan)}
 ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
