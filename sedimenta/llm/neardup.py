@@ -16,6 +16,7 @@ neighbours on the circle, a signature is one gather and one minimum.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -145,7 +146,7 @@ def _next_pairs(buckets: DataFrame, first: int, hubs: int) -> tuple[DataFrame, D
     return pairs, still
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 85, bands: int = 32, rows: int = 6) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 85, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Documents are linked if 100 * common >= ``percent`` * all of their ``n``-word shingles; a component is what links reach, and
@@ -153,9 +154,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     no links. Rows that repeat a doc_id are versions of one document and share its component. A null doc_id takes no
     part: its component_id is null and it is kept. An empty table gives no rows.
 
-    A pair of similarity s is a candidate with probability 1 - (1 - s**rows)**bands; for the defaults a pair of similarity
-    0.85 is missed with probability 3e-7.
+    A pair of similarity s is a candidate with probability 1 - (1 - s**rows)**bands. By default there are so many bands that a
+    pair just at the threshold is missed with probability 3e-7.
     """
+    rows = rows or (6 if percent >= 85 else 5)
+    bands = bands or math.ceil(math.log(3e-7) / math.log1p(-((percent / 100) ** rows)))
     signed = materialize(sign_documents(docs, doc_id, text, n, bands, rows), "signatures")
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(real.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("head")), "classes")

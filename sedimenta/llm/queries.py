@@ -11,6 +11,7 @@ from sedimenta.llm.decontaminate import find_contamination
 from sedimenta.llm.linededup import drop_lines, html_lines, url_host
 from sedimenta.llm.neardup import near_duplicates
 from sedimenta.llm.packing import pack_documents
+from sedimenta.llm.quality import classify
 from sedimenta.llm.repeats import remove_repeats
 from sedimenta.llm.secrets import BASE_RULES, scan_secrets
 from sedimenta.llm.sharding import assign_shards
@@ -135,6 +136,11 @@ def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), n=5, percent=85)
 
 
+def op6_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_content", "p_page", "p_good", "keep")
+
+
 def op7_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50)
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
@@ -165,5 +171,5 @@ SELECT page_id, host, count(*) FILTER (WHERE word <> '') AS n_lines, count(*) FI
 FROM marked GROUP BY page_id, host
 """
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_ann, op2_chat_format, op3_minimax_shards, op4_slack_packing, op5_circulant_minhash, op7_prefix_free_dedup, op8_decontaminate, op9_line_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_hilbert_ann, op2_chat_format, op3_minimax_shards, op4_slack_packing, op5_circulant_minhash, op6_cotrained_quality, op7_prefix_free_dedup, op8_decontaminate, op9_line_dedup, op10_secret_scan)}
 ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
