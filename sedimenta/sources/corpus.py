@@ -37,7 +37,8 @@ def decode_documents(df: DataFrame, content: str = "content") -> DataFrame:
 def read_corpus(spark: SparkSession, root: str, extensions: Iterable[str] = ("txt", "md"), recursive: bool = False, limit: int | None = None) -> DataFrame:
     """path (relative), status, error, contents of the files below ``root``, those of hidden files and folders left out.
 
-    ``limit`` keeps the first so many documents, by path, that could be read; unreadable ones stay and don't count.
+    ``limit`` keeps the first so many documents, by path, that could be read; unreadable ones stay and don't count. Spark's
+    listing leaves out empty files and names that begin with an underscore.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     plain = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "/+$", "")
