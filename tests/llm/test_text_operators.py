@@ -113,6 +113,16 @@ def test_chunk_encoder_equals_tokenizer():
         assert got == want
 
 
+def test_quick_encoder_equals_tokenizer():
+    import random
+
+    enc, rng = packing.ChunkEncoder(queries.tokenizer_path()), random.Random(8)
+    assert enc.quick
+    parts = ["th", "er", "ing", "ß", "é", "ñ", "ciones", "'s", "'ll", "12", "3", "!!", "$$$", ",", ".", "日本", "İ", "x", "Q", "_", "\u0301", "😀"]
+    texts = [rng.choice([" ", "\n"]) + "".join(rng.choice(parts) for _ in range(rng.randrange(1, 7))) for _ in range(20000)]
+    assert [packing._little(enc.quick(t)) for t in texts] == enc.whole(texts)
+
+
 def test_fullest_is_best():
     import random
 
