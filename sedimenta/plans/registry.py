@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import scalars, vectors
 from sedimenta.operators import datasets, embed, evaluate, fit, lookup, runs, search, sft, tokenize
-from sedimenta.sources import corpus
+from sedimenta.sources import corpus, tables
+from sedimenta.sources.scratch import scratch
 from sedimenta.streaming import drain, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -519,6 +520,38 @@ def t3_cap_batches(spark, sf_dir):
     return datasets.cap_batches(b, 10).select("o_orderkey")
 
 
+# --------------------------------------------------------------------------- files
+# Tables are written to the shared folder in each format and read back.
+
+
+@query("SELECT vec_id::VARCHAR AS path, len(embedding)::INT AS dimension, round(list_sum(CAST(embedding AS DOUBLE[])), 4) + 0.0 AS total FROM embeddings")
+def s4_load_index(spark, sf_dir):
+    at = scratch(spark, "index")
+    tables.write_index(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), "embedding"), at, "json")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return tables.load_index(spark, at, "json").select("path", F.size("embedding").alias("dimension"), (F.round(total, 4) + 0.0).alias("total"))
+
+
+@query(f"SELECT {SPLIT} AS split, count(*) AS n, sum(length(p_name))::BIGINT AS chars FROM part GROUP BY 1")
+def s5_read_sft(spark, sf_dir):
+    at = scratch(spark, "sft")
+    tables.write_sft(table(spark, sf_dir, "part").select(F.col("p_name").alias("text"), F.expr(SPLIT).alias("split")), at)
+    back = [tables.read_sft(spark, at, name, "jsonl", folder=f"{at}/split={name}") for name in ("train", "valid", "test")]
+    whole = back[0].unionByName(back[1]).unionByName(back[2])
+    return whole.groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query(PROMPTS + "SELECT p_partkey::VARCHAR || '|' || text AS text FROM t")
+def s7_read_wikisql(spark, sf_dir):
+    asked, meta = questions(spark, sf_dir)
+    at = scratch(spark, "wikisql")
+    asked.select("table_id", F.concat_ws("|", F.col("p_partkey").cast("string"), "question").alias("question"), "sql").write.json(f"{at}/dev.jsonl")
+    meta.write.json(f"{at}/dev.tables.jsonl")
+    back = sft.wikisql_text(sft.join_wikisql(*tables.read_wikisql(spark, at, "dev")))
+    number = F.substring_index("question", "|", 1)
+    return back.select(F.concat(number, F.lit("|"), F.replace("text", F.concat(F.lit("Q: "), number, F.lit("|")), F.lit("Q: "))).alias("text"))
+
+
 # --------------------------------------------------------------------------- scalars
 
 

@@ -28,13 +28,14 @@ def load_index(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return index
 
 
-def read_sft(spark: SparkSession, folder: str, split: str, fmt: str = "jsonl", required: bool = True) -> DataFrame:
-    """text and split of one split, an example per line of its jsonl or txt file; an error if it must have some and has none."""
-    path = f"{folder}/{split}.{fmt}"
+def read_sft(spark: SparkSession, root: str, split: str, fmt: str = "jsonl", required: bool = True, folder: str | None = None) -> DataFrame:
+    """text and split of one split, an example per line of its jsonl or txt file (or of the files of ``folder``); an error if it must
+    have some and has none."""
+    path = folder or f"{root}/{split}.{fmt}"
     rows = spark.read.schema("text string").json(path) if fmt == "jsonl" else spark.read.text(path).withColumnRenamed("value", "text")
     rows = rows.where("text IS NOT NULL").withColumn("split", F.lit(split))
     if required and rows.isEmpty():
-        raise ValueError(f"the split {split} in {folder} has no examples")
+        raise ValueError(f"the split {split} in {root} has no examples")
     return rows
 
 

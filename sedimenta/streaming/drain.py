@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from sedimenta.sources.scratch import scratch
 from sedimenta.streaming.streams import search_batches
 
 
-def _scratch(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sedimenta-")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The files of a table as a stream."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
@@ -24,7 +17,7 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a streaming query until its source is used up and return what it has emitted: all rows in append mode, the last
     state of the result in complete mode."""
-    spark, at = stream.sparkSession, _scratch(stream.sparkSession)
+    spark, at = stream.sparkSession, scratch(stream.sparkSession, "stream")
     if mode == "append":
         writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{at}/out")
     else:
@@ -36,7 +29,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 def drain_search(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """Hits of all queries of a stream in a fixed index."""
-    spark, at = queries.sparkSession, _scratch(queries.sparkSession)
+    spark, at = queries.sparkSession, scratch(queries.sparkSession, "stream")
     sink = lambda hits, epoch: hits.write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")  # noqa: E731  a batch that is run again replaces itself
     run = queries.writeStream.foreachBatch(search_batches(index, k, sink)).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
