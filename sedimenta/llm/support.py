@@ -20,8 +20,8 @@ def scratch_dir(spark: SparkSession) -> str:
     none (local tests), a temporary folder of this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="sedimenta-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sedimenta-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
