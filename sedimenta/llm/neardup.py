@@ -6,11 +6,13 @@ neighbours on the circle, a signature is one gather and one minimum.
 
 1. One scan makes, per document, the size of its shingle set, a 128-bit key of its word sequence, and its band keys.
    Documents of one word sequence are a class and are represented by its smallest doc_id.
-2. Representatives that share a band key are candidates. In a bucket, members are compared with hubs, first with one,
-   then with two more, four more and so on, and only across components that are still separate: a bucket of copies is
-   settled by a few hubs, and a bucket of unlike documents ends with all its pairs compared. No bucket is capped.
+2. Representatives that share a band key are candidates. In a bucket, members are compared with one hub and then with two more,
+   and only across components that are still separate: that settles small buckets and buckets of copies.
 3. A pair is verified on the full shingle sets. Members stream past their hub's set; a hub of many members is dealt
    over several tasks.
+4. Buckets with separate components left hold similar documents that aren't near enough. Those that overlap are made one group, the
+   group is cut into blocks of bounded size, and each task intersects the sets of two blocks at once, as products of 0/1 matrices. No
+   pair is written out but those that join components, and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -136,14 +138,76 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
     return rows.mapInArrow(run, "hub long, member long")
 
 
-def _next_pairs(buckets: DataFrame, first: int, hubs: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the hubs of rank first .. first + hubs - 1 with later members in other components, and the buckets
-    (band, doc_id, size, component, rank) that may need a further turn."""
+def _hub_pairs(buckets: DataFrame, first: int, hubs: int, percent: int) -> DataFrame:
+    """(hub, member): hubs of rank first .. first + hubs - 1 with later members of their bucket that are in other components and
+    of a size that a link allows."""
     sides = buckets.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
     still = buckets.join(sides, "band", "left_semi")
     hub = still.where((F.col("rank") >= first) & (F.col("rank") < first + hubs)).select("band", F.col("doc_id").alias("hub"), F.col("rank").alias("hub_rank"), F.col("component").alias("hub_component"), F.col("n_shingles").alias("hub_size"))
-    pairs = still.join(hub, "band").where((F.col("rank") > F.col("hub_rank")) & (F.col("component") != F.col("hub_component")))
-    return pairs, still
+    near = F.least("n_shingles", "hub_size") * 100 >= F.greatest("n_shingles", "hub_size") * percent
+    apart = (F.col("rank") > F.col("hub_rank")) & (F.col("component") != F.col("hub_component"))
+    return still.join(hub, "band").where(apart & near).select("hub", F.col("doc_id").alias("member")).distinct()
+
+
+#: Shingles of a block, where a document counts as 200 at least.
+_BLOCK = 100_000
+
+
+def _crossed(table: pa.Table, n: int, percent: int) -> pa.Table:
+    """Links between the documents of two blocks (or within one) that join components still apart."""
+    docs, sides, parts = (table[c].to_pylist() for c in ("doc_id", "side", "component"))
+    sets = [g for _, texts in text_chunks(table["text"].combine_chunks()) for g, _ in shingle_sets(texts, n)]
+    size = np.array([len(s) for s in sets])
+    grams, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = count[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    common = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, [at, at + 2048])
+        tile = np.zeros((len(sets), 2048), dtype=np.float32)
+        tile[row[a:b], column[a:b] - at] = 1
+        common += tile @ tile.T
+    both = common.astype(np.int64)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    parts, side = np.array(parts), np.array(sides)
+    linked &= (parts[:, None] != parts[None, :]) & np.triu(np.ones(linked.shape, dtype=bool), 1)
+    if side.any():  # two blocks: each alone is another task's
+        linked &= side[:, None] != side[None, :]
+    boss: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while boss.get(x, x) != x:
+            x = boss[x]
+        return x
+
+    left, right = [], []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = root(int(parts[i])), root(int(parts[j]))
+        if a != b:
+            boss[max(a, b)] = min(a, b)
+            left.append(docs[i])
+            right.append(docs[j])
+    return pa.table({"hub": pa.array(left, pa.int64()), "member": pa.array(right, pa.int64())})
+
+
+def _block_links(open_buckets: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links among the documents of buckets that aren't settled, each overlapping set of buckets compared block by block."""
+    least = F.min("doc_id").over(W.partitionBy("band"))
+    groups = connected_components(open_buckets.select("doc_id", least.alias("least"))).withColumnRenamed("component", "group")
+    docs = open_buckets.select("doc_id", "component", "n_shingles").distinct().join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
+    before = W.partitionBy("group").orderBy("n_shingles", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    placed = materialize(docs.withColumn("block", F.floor(F.sum(F.greatest("n_shingles", F.lit(200))).over(before) / _BLOCK).cast("int")), "blocks")
+    # Sizes ascend, so that a block meets only those whose smallest document isn't too large for its largest.
+    ends = placed.groupBy("group", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    other = ends.select("group", F.col("block").alias("to"), F.col("low").alias("to_low"))
+    meets = ends.join(other, "group").where((F.col("to") >= F.col("block")) & (F.col("high") * 100 >= F.col("to_low") * percent)).select("group", "block", "to")
+    one = placed.join(meets, ["group", "block"]).select("group", "block", "to", F.lit(0).alias("side"), "doc_id", "component")
+    two = placed.withColumnRenamed("block", "to").join(meets.where("block < to"), ["group", "to"]).select("group", "block", "to", F.lit(1).alias("side"), "doc_id", "component")
+    rows = one.unionByName(two).join(texts, "doc_id")
+    return rows.groupBy("group", "block", "to").applyInArrow(lambda t: _crossed(t, n, percent), "hub long, member long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 85, bands: int | None = None, rows: int | None = None) -> DataFrame:
@@ -176,28 +240,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         wanted = buckets.select("doc_id").distinct()
         source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
         texts = materialize(source.join(wanted, "doc_id", "left_semi"), "candidate-texts")
-        links, checked, first, hubs = None, None, 0, 1
-        now = buckets.withColumn("component", F.col("doc_id"))
-        while first <= most:
-            pairs, _ = _next_pairs(now, first, hubs)
-            near = (F.least("n_shingles", "hub_size") * 100 >= F.greatest("n_shingles", "hub_size") * percent)
-            pairs = pairs.where(near).select("hub", F.col("doc_id").alias("member")).distinct()
-            if checked is not None:
-                pairs = pairs.join(checked, ["hub", "member"], "left_anti")
-            pairs = materialize(pairs, "pairs")
-            first, hubs = first + hubs, hubs * 2
-            if pairs.isEmpty():
-                if first > most or not _open(now, first):
-                    break
-                continue
-            checked = pairs if checked is None else checked.unionByName(pairs)
-            fresh = materialize(verify_pairs(pairs, texts, n, percent), "links")
+        links, now = None, buckets.withColumn("component", F.col("doc_id"))
+        for first, hubs in ((0, 1), (1, 2)):
+            if first > most:
+                break
+            fresh = materialize(verify_pairs(_hub_pairs(now, first, hubs, percent), texts, n, percent), "links")
             links = fresh if links is None else links.unionByName(fresh)
-            if first <= most:
-                found = connected_components(links)
-                now = materialize(buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "buckets-now")
-                if not _open(now, first):
-                    break
+            found = connected_components(links).withColumnRenamed("node", "doc_id")
+            now = materialize(buckets.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "buckets-now")
+        left = now.where(F.col("rank") >= 3)
+        ends = left.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
+        still = materialize(left.join(ends, "band", "left_semi"), "open-buckets") if most > 3 else None
+        if still is not None and not still.isEmpty():
+            links = links.unionByName(materialize(_block_links(still, texts, n, percent), "links"))
         if links is not None:
             same = same.unionByName(links.select(F.col("member").alias("a"), F.col("hub").alias("b")))
     found = connected_components(same).withColumnRenamed("node", "head")
@@ -206,12 +261,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _open(buckets: DataFrame, first: int) -> bool:
-    """Whether some bucket has members from rank ``first`` on that aren't all in one component."""
-    ends = buckets.where(F.col("rank") >= first).groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    return not ends.where("low <> high").limit(1).isEmpty()
-
-
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows and columns of ``docs`` without those that aren't their component's smallest doc_id."""
     gone = near_duplicates(docs, doc_id, text, **how).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
