@@ -261,16 +261,26 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     for_content = ([], np.zeros(0, dtype=bool))
     for_page = (np.zeros((0, len(NUMBERS))), np.zeros((0, len(CATEGORIES)), dtype=np.int64), np.zeros(0, dtype=bool))
     now = model(for_content, for_page)
+    total = slim.count()
+    limit = float(np.log(sure / (1 - sure)))
+
+    def kinds_of(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, ...]:
+        return one >= limit, one <= -limit, two >= limit, two <= -limit
+
     for turn in range(rounds):
+        # Picks are uniform, so that a bound on them leaves about three times the pseudo-labels that are wanted, from all documents;
+        # how many documents a view is sure of is read off the held-out labels.
+        shares = [max(float(x.mean()), 1 / len(test)) for x in kinds_of(*now.log_odds(seen)[:2])]
+        bounds = [int(min(1.0, 3 * pseudo / max(total * x, 1)) * float((1 << 63) - 1024)) for x in shares]
         shared = docs.sparkSession.sparkContext.broadcast(now)
 
-        def confident(batches, shared=shared, turn=turn):
+        def confident(batches, shared=shared, turn=turn, bounds=bounds):
             best: list[list[pa.RecordBatch]] = [[], [], [], []]
             for own, v in _looked(batches, names):
                 one, two, _ = shared.value.log_odds(v)
-                limit, picks, free = np.log(sure / (1 - sure)), _pick(own, seed + turn + 1), ~np.isin(own, sent.value)
-                for kind, which in enumerate((one >= limit, one <= -limit, two >= limit, two <= -limit)):
-                    chosen = np.flatnonzero(which & free)
+                picks, free = _pick(own, seed + turn + 1), ~np.isin(own, sent.value)
+                for kind, which in enumerate(kinds_of(one, two)):
+                    chosen = np.flatnonzero(which & free & (picks <= bounds[kind]))
                     chosen = chosen[np.argsort(picks[chosen], kind="stable")[:pseudo]]
                     if len(chosen):
                         table = pa.Table.from_batches([*best[kind], _rows(kind, v, own, picks, chosen)]).sort_by("pick").slice(0, pseudo)
