@@ -265,24 +265,47 @@ def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-def repeats_in_bucket(table: pa.Table, length: int) -> pa.Table:
-    """REPEAT places: starts of strings in a bucket's entries that a smaller document's entry holds too."""
+#: Bytes of entries that are ranked at once; entries of one trigger stay together.
+_RANKED = 1 << 19
+
+
+def repeats_in_bucket(table: pa.Table, length: int, width: int) -> pa.Table:
+    """REPEAT places: starts of strings in a bucket's entries that a smaller document's entry holds too. Equal strings share
+    their trigger, so that the bucket's triggers are taken some at a time."""
     names, rows, text = _join_blobs(table["blob"].to_pylist(), _CONTEXT, np.uint8)
     if len(text) < length:
         return _found_table([])
     size = rows["size"].astype(np.int64)
-    begin = np.concatenate([[0], np.cumsum(size)])
-    ranks = suffix_ranks(text, length)
-    fits = np.maximum(size - length + 1, 0)
-    owner = np.repeat(np.arange(len(rows)), fits)
-    inside = np.arange(len(owner)) - np.repeat(np.cumsum(fits) - fits, fits)
-    rank, doc = ranks[begin[owner] + inside], names[rows["row"][owner], 0]
-    least = np.full(int(rank.max()) + 1 if len(rank) else 0, _NONE, dtype=np.int64)
-    np.minimum.at(least, rank, doc)
-    gone = doc > least[rank]
-    owner, inside = owner[gone], inside[gone]
-    start = rows["at"][owner].astype(np.int64) - rows["left"][owner] + inside
-    return _found_table(_per_doc(names, rows["row"][owner], REPEAT, start.astype("<u4")))
+    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+    trigger = rolling_hash(text, width)[begin + rows["left"]]
+    order = np.argsort(trigger, kind="stable")
+    rows, size, begin, trigger = rows[order], size[order], begin[order], trigger[order]
+    ends = np.concatenate([np.flatnonzero(trigger[1:] != trigger[:-1]) + 1, [len(rows)]])
+    total = np.concatenate([[0], np.cumsum(size)])
+    found_rows, found_starts, at = [], [], 0
+    while at < len(rows):
+        i = max(int(np.searchsorted(total[ends], total[at] + _RANKED, side="right")) - 1, int(np.searchsorted(ends, at, side="right")))
+        stop = int(ends[i])
+        part, own = slice(at, stop), size[at:stop]
+        local = np.cumsum(own) - own
+        piece = text[np.repeat(begin[part] - local, own) + np.arange(int(own.sum()))]
+        at = stop
+        if len(piece) < length:
+            continue
+        ranks = suffix_ranks(piece, length)
+        fits = np.maximum(own - length + 1, 0)
+        owner = np.repeat(np.arange(len(own)), fits)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(fits) - fits, fits)
+        rank, doc = ranks[local[owner] + inside], names[rows["row"][part][owner], 0]
+        least = np.full(int(rank.max()) + 1 if len(rank) else 0, _NONE, dtype=np.int64)
+        np.minimum.at(least, rank, doc)
+        gone = doc > least[rank]
+        owner, inside = owner[gone], inside[gone]
+        found_rows.append(rows["row"][part][owner])
+        found_starts.append((rows["at"][part][owner].astype(np.int64) - rows["left"][part][owner] + inside).astype("<u4"))
+    if not found_rows:
+        return _found_table([])
+    return _found_table(_per_doc(names, np.concatenate(found_rows), REPEAT, np.concatenate(found_starts)))
 
 
 def _spans(size: int, blobs: list[dict], reach: int, length: int) -> list[tuple[int, int]]:
@@ -318,7 +341,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     opened = settled.where(F.col("kind") == OPEN).groupBy("doc", "print").agg(F.collect_list("places").alias("places"))
     contexts = homed.join(opened, ["doc", "print"]).select("doc", "print", "raw", "places").mapInArrow(lambda it: _context_rows(it, length, trigger, buckets), "bucket int, blob binary")
-    repeated = contexts.groupBy("bucket").applyInArrow(lambda t: repeats_in_bucket(t, length), _FOUND)
+    repeated = contexts.groupBy("bucket").applyInArrow(lambda t: repeats_in_bucket(t, length, trigger), _FOUND)
 
     found = settled.where(F.col("kind") == SETTLED).unionByName(repeated).groupBy("doc", "print").agg(F.collect_list(F.struct("kind", "places")).alias("found"))
 
