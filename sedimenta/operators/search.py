@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sedimenta.functions.vectors import dot, has_non_finite, normalize, sanitize
 
-#: Queries of one broadcast block: 8 MB of doubles at 1,000 components.
+#: Queries of one block: 8 MB of doubles at 1,000 components.
 QUERY_BLOCK = 1024
+#: Entries of the index that a task scores at once.
+SLICE = 2048
 
 
 def prepare_queries(queries: DataFrame, embedding: str = "embedding", normalized: bool = True, on_non_finite: str = "sanitize") -> DataFrame:
@@ -31,53 +33,55 @@ def score_pairs(index: DataFrame, queries: DataFrame, key: str = "path", query_i
     return pairs.select(query_id, key, F.when(has_non_finite("v"), F.lit(0.0)).otherwise(dot("v", "q")).alias("score"))
 
 
-def _blocks(queries: DataFrame, query_id: str, embedding: str, block: int) -> Iterator[pd.DataFrame]:
-    """Blocks of queries, so that neither the driver nor a task holds more than one."""
-    rows = []
-    for r in queries.select(query_id, embedding).toLocalIterator():
-        rows.append((r[0], np.asarray(r[1] if r[1] is not None else [], dtype=np.float64)))
-        if len(rows) == block:
-            yield pd.DataFrame(rows, columns=["id", "vector"])
-            rows = []
-    if rows:
-        yield pd.DataFrame(rows, columns=["id", "vector"])
+def _vectors(column: pa.ChunkedArray, rows: np.ndarray, length: int) -> np.ndarray:
+    """Vectors of ``rows``, all of one length, as a matrix; null components are NaN."""
+    flat = column.take(pa.array(rows)).combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), length)
 
 
 def topk_search(index: DataFrame, queries: DataFrame, k: int = 5, key: str = "path", query_id: str = "query_id", embedding: str = "embedding", normalized: bool = True, on_non_finite: str = "sanitize", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, key, score, rank from 1): each query's ``k`` best entries by dot product, ties to the smaller key.
 
-    Every task scores its Arrow batches against a block of queries with one matrix product and passes on the batch's best
-    ``k`` per query; one small window ranks those. ``k`` of 0 or less gives no rows. Entries of another dimension than the query's
-    don't count; entries with non-finite values score exactly 0.
+    Spark deals queries to blocks of about ``block`` and entries to slices of about ``SLICE``, and brings every block together with
+    every slice, so that neither the driver nor a task holds more than one of each. A task scores its slice by one matrix product
+    and passes on its best ``k`` per query; a small window ranks those. ``k`` of 0 or less gives no rows. Entries of another
+    dimension than the query's don't count; entries with non-finite values score exactly 0.
     """
     kind = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
-    spark, out = index.sparkSession, None
-    ready = prepare_queries(queries, embedding, normalized, on_non_finite)
-    for part in _blocks(ready, query_id, embedding, block) if k > 0 else ():
-        sent = spark.sparkContext.broadcast({n: (rows["id"].tolist(), np.stack(rows["vector"])) for n, rows in part.groupby(part["vector"].map(len))})
-
-        def best(batches, sent=sent):
-            for pdf in batches:
-                lengths = pdf["v"].map(lambda x: -1 if x is None else len(x)).to_numpy()
-                for n, (ids, q) in sent.value.items():
-                    rows = np.flatnonzero(lengths == n)
-                    if not len(rows):
-                        continue
-                    keys = pdf["k"].to_numpy()[rows]
-                    v = np.stack(pdf["v"].iloc[rows]).astype(np.float64) if n else np.zeros((len(rows), 0))
-                    fine = np.isfinite(v).all(axis=1)
-                    scores = np.where(fine[:, None], np.where(np.isfinite(v), v, 0) @ q.T, 0.0)
-                    order = np.argsort(keys, kind="stable")
-                    for j, who in enumerate(ids):
-                        s = scores[order, j]
-                        top = order[np.argsort(-s, kind="stable")[:k]]
-                        yield pd.DataFrame({query_id: who, key: keys[top], "score": scores[top, j]})
-
-        found = index.select(F.col(key).alias("k"), F.col(embedding).alias("v")).mapInPandas(best, kind)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    spark = index.sparkSession
+    if k <= 0:
         return spark.createDataFrame([], kind + ", rank int")
-    return rank_hits(out, k, key, query_id)
+    asked = prepare_queries(queries, embedding, normalized, on_non_finite).select(F.col(query_id).alias("k"), F.coalesce(embedding, F.array().cast("array<double>")).alias("v"))
+    entries = index.select(F.col(key).alias("k"), F.col(embedding).alias("v")).where(F.col("v").isNotNull())
+    blocks, slices = (max(1, -(-rows.count() // size)) for rows, size in ((asked, block), (entries, SLICE)))
+    names = [query_id, key, "score"]
+    types = [to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(index.schema[key].dataType), pa.float64()]
+
+    def best(own: pa.Table, held: pa.Table) -> pa.Table:
+        out: list[pa.Table] = []
+        if own.num_rows and held.num_rows:
+            held = held.take(pc.sort_indices(held["k"], null_placement="at_start"))
+            lengths, wanted = (pc.list_value_length(t["v"]).to_numpy() for t in (held, own))
+            for n in np.unique(wanted):
+                rows, who = np.flatnonzero(lengths == n), np.flatnonzero(wanted == n)
+                if not len(rows):
+                    continue
+                v, q = _vectors(held["v"], rows, int(n)), _vectors(own["v"], who, int(n))
+                fine = np.isfinite(v).all(axis=1)
+                scores = np.where(fine[:, None], np.where(np.isfinite(v), v, 0) @ q.T, 0.0)
+                top = np.argsort(-scores, axis=0, kind="stable")[:k]
+                asks = np.repeat(who, len(top))
+                cols = [own["k"].take(pa.array(asks)), held["k"].take(pa.array(rows[top.T.ravel()])), pa.array(np.take_along_axis(scores, top, axis=0).T.ravel())]
+                out.append(pa.table([c.cast(t) for c, t in zip(cols, types, strict=True)], names=names))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in types], names=names)
+
+    def dealt(rows: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
+        part = F.pmod(F.xxhash64("k", "v"), F.lit(parts)).cast("int").alias(own)
+        return rows.select("k", "v", part, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other)).select("block", "slice", "k", "v")
+
+    left, right = dealt(asked, "block", blocks, "slice", slices), dealt(entries, "slice", slices, "block", blocks)
+    found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(best, kind)
+    return rank_hits(found, k, key, query_id)
 
 
 def rank_hits(scores: DataFrame, k: int, key: str = "path", query_id: str = "query_id") -> DataFrame:

@@ -31,6 +31,24 @@ def test_search_equals_full_sort(spark, k):
     assert {r["query_id"] for r in skipped.collect()} == {1, 3, 4}
 
 
+def test_search_leaves_queries_to_spark(spark, monkeypatch):
+    """Several blocks and slices, and no query vector on the driver."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(200)]
+    big = spark.createDataFrame(rows, "path long, embedding array<double>").repartition(3)
+    queries = big.select(F.col("path").alias("query_id"), "embedding")
+    plain = hits(search.rank_hits(search.score_pairs(big, search.prepare_queries(queries)), 3))
+
+    def refuse(*_, **__):
+        raise AssertionError("queries on the driver")
+
+    monkeypatch.setattr(type(queries), "toLocalIterator", refuse)
+    monkeypatch.setattr(search, "SLICE", 60, raising=False)
+    fast = hits(search.topk_search(big, queries, 3, block=30))
+    assert len(fast) == 600 and [(r[0], r[3]) for r in fast] == [(r[0], r[3]) for r in plain]
+    assert max(abs(a[2] - b[2]) for a, b in zip(fast, plain, strict=True)) < 1e-12
+
+
 def test_problem_report(spark):
     items = [("x", f"p{i:02}") for i in range(6)] + [("y", "only")]
     got = {r["kind"]: (r["problems"], r["preview"]) for r in search.problem_report(spark.createDataFrame(items, "kind string, path string")).collect()}
