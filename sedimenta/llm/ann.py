@@ -156,18 +156,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
     if shares:
         keys = data.select(F.posexplode("keys").alias("curve", "key"))
         for r in keys.groupBy("curve").agg(F.percentile_approx("key", shares, 10000).alias("cuts")).collect():  # a row per curve
-            cuts[r["curve"]] = r["cuts"]
-    chunks = max(1, -(-(n // ranges) // CHUNK))
+            cuts[r["curve"]] = sorted(set(r["cuts"]))  # a key with many rows is a cut once, so that no range is empty between two
     table = F.array(*[F.array(*[F.lit(c).cast("long") for c in own]).cast("array<long>") for own in cuts])
 
     def ranged(rows: DataFrame) -> DataFrame:
         out = rows.select("key_a", "key_b", "vec_id", "vector", F.posexplode("keys").alias("curve", "key"))
         return out.withColumn("part", F.size(F.filter(F.get(table, F.col("curve")), lambda c: c <= F.col("key"))))
 
-    base = ranged(data).select("curve", "part", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(False).alias("query"), "key_a", "key_b", "vec_id", "vector")
-    window = F.sequence(F.greatest(F.col("part") - 1, F.lit(0)), F.least(F.col("part") + 1, F.lit(ranges - 1)))
+    rows = ranged(data)
+    chunks = [[1] * (len(own) + 1) for own in cuts]
+    for r in rows.groupBy("curve", "part").count().collect():  # a row per curve and range
+        chunks[r["curve"]][r["part"]] = -(-r["count"] // CHUNK)
+    held = F.array(*[F.array(*[F.lit(c) for c in own]) for own in chunks])
+    own_chunks = F.get(F.get(held, F.col("curve")), F.col("part"))
+    base = rows.select("curve", "part", F.pmod(F.xxhash64("vec_id"), own_chunks).cast("int").alias("chunk"), F.lit(False).alias("query"), "key_a", "key_b", "vec_id", "vector")
+    last = F.size(F.get(table, F.col("curve")))
+    window = F.sequence(F.greatest(F.col("part") - 1, F.lit(0)), F.least(F.col("part") + 1, last))
     sent = ranged(asks).select("curve", F.explode(window).alias("part"), "key_a", "key_b", "vec_id", "vector")
-    sent = sent.select("curve", "part", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(True).alias("query"), "key_a", "key_b", "vec_id", "vector")
+    sent = sent.select("curve", "part", F.explode(F.sequence(F.lit(0), own_chunks - 1)).alias("chunk"), F.lit(True).alias("query"), "key_a", "key_b", "vec_id", "vector")
     dealt = base.unionByName(sent).repartitionByRange(shuffle_partitions(spark), "curve", "part", "chunk")
     lists = dealt.groupBy("curve", "part", "chunk").applyInArrow(lambda t: _ranked(t, k + 1), "key_a long, key_b long, head long, score double")
 

@@ -62,3 +62,20 @@ def test_recall_of_the_query(spark):
         assert own["score"].is_monotonic_increasing and len(own) == 10
         hits += len(set(near) & set(own["vec_id"]))
     assert hits / len(got) >= 0.9
+
+
+def test_recall_beside_a_heavy_cluster(spark):
+    """A third of all rows differ by a millionth and share a key; the queries lie just outside. One curve, which has to meet them all."""
+    at = F.array(*[F.randn(seed=i) for i in range(8)])
+    kind = F.when(F.col("id") % 100 == 0, 0.02).when(F.col("id") % 3 == 0, 1e-6).otherwise(1.0)
+    df = spark.range(0, 14_000, 1, 4).select(F.col("id").alias("vec_id"), F.transform(at, lambda x: x * kind).alias("embedding"))
+    rows = df.toPandas()
+    x, ids = np.stack(rows["embedding"]), rows["vec_id"].to_numpy()
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 100 == 0, curves=1, axes=1, bits=10).collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    shares = []
+    for q in ids[ids % 100 == 0]:
+        best = np.sort(np.sqrt(((x[ids != q] - x[ids == q]) ** 2).sum(axis=1)))[:10]
+        shares.append(np.mean(np.array(sorted(got[q])) <= best[-1] + 1e-9))
+    assert np.mean(shares) >= 0.9
