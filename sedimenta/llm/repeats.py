@@ -15,6 +15,10 @@ dictionary whose suffixes are ranked by prefix doubling up to ``length`` bytes;
 smallest document of a rank (from the parse) tells which of its occurrences go. Suffix ranks within buckets and the
 order of triggers between buckets give the corpus order of all strings that occur more than once.
 
+Frequent triggers. A task settles what it can of its own text before the shuffle, so that an entry goes out once a task.
+A trigger with more than ``hot`` entries (or ``hot / 8`` in one task's text) isn't ranked in one place: the strings around
+it are dealt by their own hash, each from its task's smallest document only, and compared byte by byte.
+
 No task holds more than its bucket. A document's text moves twice, keyed by the document.
 """
 
@@ -35,6 +39,10 @@ TRIGGER = 20
 #: Text that one task parses before it hands its triggers on.
 _FLUSH = 24 << 20
 _NONE = np.iinfo(np.int64).max
+#: Entries of one trigger that meet in one task.
+HOT_ENTRIES = 4096
+#: Strings of frequent triggers that a task compares before it hands them on.
+_STRINGS = 1 << 18
 
 
 def rolling_hash(buf: np.ndarray, width: int) -> np.ndarray:
@@ -84,6 +92,7 @@ def triggers(joined: np.ndarray, first: np.ndarray, length: int, width: int) ->
 # id as a long, null as the largest) and print (a fingerprint of the text, which tells rows of one id apart).
 
 _ENTRY = np.dtype([("trigger", "<u4"), ("entry", "<u8"), ("row", "<u4"), ("at", "<u4")])
+_PLACE = np.dtype([("row", "<u4"), ("at", "<u4")])
 _CONTEXT = np.dtype([("row", "<u4"), ("at", "<u4"), ("left", "u1"), ("size", "u1")])
 
 
@@ -100,8 +109,50 @@ def _unpack(raw: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def _parse_rows(batches, length: int, width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, entries): every document's triggers, dealt by hash."""
+#: Kinds of places that are found, and of a bucket's blobs: found places that are passed on, and what is to be compared.
+SETTLED, OPEN, REPEAT, HOT, ENTRIES, MARKS, CONTEXTS, STRINGS = range(8)
+_BLOBS = "bucket int, kind int, blob binary"
+
+
+def _blob_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    bucket, kind, blob = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "kind", "blob"])
+
+
+def _deal(rows: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the rows of each bucket that has some."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(bucket.dtype))
+    return ((b, order[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b] < cut[b + 1])
+
+
+def _passed_on(names: np.ndarray, row: np.ndarray, at: np.ndarray, kind: int, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Found places, dealt by document."""
+    out = []
+    for b, own in _deal(row, row.astype(np.int64) % buckets, buckets):
+        used, back = np.unique(row[own], return_inverse=True)
+        places = np.empty(len(own), dtype=_PLACE)
+        places["row"], places["at"] = back, at[own]
+        out.append((b, kind, _pack(names[used].ravel(), places)))
+    return out
+
+
+def _settle_own(rows: np.ndarray, doc: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A task's triggers in another order, which of them are settled by a smaller document of the task, which of the
+    rest belong to triggers of more than ``hot`` entries, and those triggers' hashes."""
+    rows = rows[np.argsort(mix64(rows["hash"]) ^ rows["entry"], kind="stable")]
+    hashes, entry, doc = rows["hash"].copy(), rows["entry"].copy(), doc[rows["row"]]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (entry[1:] != entry[:-1])
+    begin = np.flatnonzero(new)
+    settled = doc > np.minimum.reduceat(doc, begin)[np.cumsum(new) - 1]
+    heads = np.sort(hashes[begin])
+    frequent = np.unique(heads[hot:][heads[hot:] == heads[: len(heads) - hot]]) if len(heads) > hot else heads[:0]
+    return rows, settled, ~settled & np.isin(hashes, frequent) if len(frequent) else np.zeros(len(rows), dtype=bool), frequent
+
+
+def _parse_rows(batches, length: int, width: int, buckets: int, hot: int = HOT_ENTRIES) -> Iterator[pa.RecordBatch]:
+    """(bucket, kind, blob): every document's triggers, dealt by hash, but those that are settled within the task."""
     kept: list[np.ndarray] = []
     docs: list[tuple[int, int]] = []
     size = 0
@@ -111,32 +162,33 @@ def _parse_rows(batches, length: int, width: int, buckets: int) -> Iterator[pa.R
             return
         rows = np.concatenate(kept)
         names = np.array(docs, dtype=np.int64).reshape(-1, 2)
-        bucket = rows["hash"] % np.uint64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        rows, bucket = rows[order], bucket[order]
-        cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        ids, blobs = [], []
-        for b in range(buckets):
-            own = rows[cut[b] : cut[b + 1]]
-            if len(own):
+        if len(rows):
+            rows, settled, heated, frequent = _settle_own(rows, names[:, 0], max(1, hot // 8))
+            out = []
+            for which, kind in ((settled, SETTLED), (heated, HOT)):
+                out += _passed_on(names, rows["row"][which], rows["at"][which], kind, buckets)
+            for b, own in _deal(frequent, frequent % np.uint64(buckets), buckets):
+                out.append((b, MARKS, (frequent[own] >> np.uint64(32)).astype("<u4").tobytes()))
+            rows = rows[~(settled | heated)]
+            for b, own in _deal(rows, rows["hash"] % np.uint64(buckets), buckets):
+                own = rows[own]
                 used, back = np.unique(own["row"], return_inverse=True)
                 entries = np.empty(len(own), dtype=_ENTRY)
                 entries["trigger"] = own["hash"] >> np.uint64(32)
                 entries["entry"], entries["row"], entries["at"] = own["entry"], back, own["at"]
-                ids.append(b)
-                blobs.append(_pack(names[used].ravel(), entries))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+                out.append((b, ENTRIES, _pack(names[used].ravel(), entries)))
+            yield _blob_batch(out)
         kept.clear()
         docs.clear()
 
-    kind = np.dtype([("hash", "<u8"), ("entry", "<u8"), ("row", "<u4"), ("at", "<u4")])
+    layout = np.dtype([("hash", "<u8"), ("entry", "<u8"), ("row", "<u4"), ("at", "<u4")])
     reach = length - width
     for batch in batches:
         for row, texts in text_chunks(batch.column(2), 1 << 18):
             joined = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
             first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
             at, hashes, which = triggers(joined, first, length, width)
-            rows = np.empty(len(at), dtype=kind)
+            rows = np.empty(len(at), dtype=layout)
             rows["hash"], rows["at"], rows["row"] = hashes, at - first[which], which + len(docs)
             rows["entry"] = _entry_prints(joined, at, first[which], first[which + 1] - 1, reach, length)
             kept.append(rows)
@@ -194,13 +246,26 @@ def _found_table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
     return pa.table({"doc": pa.array(doc, pa.int64()), "print": pa.array(prints, pa.int64()), "kind": pa.array(kind, pa.int32()), "places": pa.array(places, pa.binary())})
 
 
-SETTLED, OPEN, REPEAT = 0, 1, 2
-
-
-def settle_bucket(table: pa.Table) -> pa.Table:
-    """Triggers of a bucket: SETTLED places (their entry is a smaller document's too) and OPEN ones (first of an entry
-    whose trigger has other entries, in more than one document)."""
-    names, rows = _join_blobs(table["blob"].to_pylist(), _ENTRY)
+def _by_kind(table: pa.Table, passed: tuple[int, ...]) -> tuple[dict[int, list[bytes]], list[tuple[int, int, int, bytes]]]:
+    """A bucket's blobs by kind, and the found places that it passes on."""
+    blobs: dict[int, list[bytes]] = {}
+    for kind, blob in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True):
+        blobs.setdefault(kind, []).append(blob)
+    out = []
+    for kind in passed:
+        if kind in blobs:
+            names, rows = _join_blobs(blobs[kind], _PLACE)
+            out += _per_doc(names, rows["row"], kind, rows["at"])
+    return blobs, out
+
+
+def settle_bucket(table: pa.Table, hot: int = HOT_ENTRIES) -> pa.Table:
+    """Triggers of a bucket: SETTLED places (their entry is a smaller document's too), OPEN ones (first of an entry
+    whose trigger has other entries, in more than one document), and HOT ones (such places of a frequent trigger)."""
+    blobs, out = _by_kind(table, (SETTLED, HOT))
+    if ENTRIES not in blobs:
+        return _found_table(out)
+    names, rows = _join_blobs(blobs[ENTRIES], _ENTRY)
     doc = names[rows["row"], 0]
     order = np.lexsort((rows["at"], doc, rows["entry"], rows["trigger"]))
     rows, doc = rows[order], doc[order]
@@ -212,25 +277,85 @@ def settle_bucket(table: pa.Table) -> pa.Table:
     least = doc[np.flatnonzero(new_entry)]
     settled = doc > least[entry_of]
     begin = np.flatnonzero(new_trigger)
-    several = (np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)) & (np.add.reduceat(new_entry.astype(np.int64), begin) > 1)
-    opened = several[trigger_of] & ~settled  # all places of an entry's first document
-    out = _per_doc(names, rows["row"][settled], SETTLED, rows["at"][settled].astype("<u4"))
-    return _found_table(out + _per_doc(names, rows["row"][opened], OPEN, rows["at"][opened].astype("<u4")))
+    entries = np.add.reduceat(new_entry.astype(np.int64), begin)
+    several = (np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)) & (entries > 1)
+    marked = np.frombuffer(b"".join(blobs.get(MARKS, [])), dtype="<u4")
+    frequent = (several & (entries > hot)) | np.isin(rows["trigger"][begin], marked)
+    heated = frequent[trigger_of] & ~settled
+    opened = several[trigger_of] & ~settled & ~heated  # all places of an entry's first document
+    for which, kind in ((settled, SETTLED), (heated, HOT), (opened, OPEN)):
+        out += _per_doc(names, rows["row"][which], kind, rows["at"][which].astype("<u4"))
+    return _found_table(out)
+
+
+def _string_hash(strings: np.ndarray) -> np.ndarray:
+    words = np.zeros((len(strings), -(-strings.shape[1] // 8) * 8), dtype=np.uint8)
+    words[:, : strings.shape[1]] = strings
+    out = np.zeros(len(strings), dtype=np.uint64)
+    for word in words.view("<u8").T:
+        out = mix64((out ^ word) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return out
+
+
+def _repeated(strings: np.ndarray, hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which strings (rows of bytes) a smaller document has too. Equal hashes are verified on the bytes."""
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    alike = (strings[order][1:] == strings[order][:-1]).all(axis=1)
+    if (same & ~alike).any():  # different strings of one hash
+        group = np.unique(np.ascontiguousarray(strings), axis=0, return_inverse=True)[1].ravel()
+    else:
+        group = np.empty(len(order), dtype=np.int64)
+        group[order] = np.cumsum(np.concatenate([[0], ~same]))
+    least = np.full(int(group.max()) + 1, _NONE, dtype=np.int64)
+    np.minimum.at(least, group, doc)
+    return doc > least[group]
+
+
+def _string_blobs(parts: list[tuple[tuple[int, int], np.ndarray, np.ndarray]], buckets: int) -> list[tuple[int, int, bytes]]:
+    """Strings of frequent triggers, (document's name, starts, strings), dealt by hash; those that a smaller document of the
+    task has too are found already."""
+    names = np.array([p[0] for p in parts], dtype=np.int64).reshape(-1, 2)
+    row = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
+    at, strings = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    hashes = _string_hash(strings)
+    gone = _repeated(strings, hashes, names[row, 0])
+    out = _passed_on(names, row[gone], at[gone], REPEAT, buckets)
+    row, at, strings, hashes = row[~gone], at[~gone], strings[~gone], hashes[~gone]
+    for b, own in _deal(row, hashes % np.uint64(buckets), buckets):
+        used, back = np.unique(row[own], return_inverse=True)
+        places = np.empty(len(own), dtype=_PLACE)
+        places["row"], places["at"] = back, at[own]
+        out.append((b, STRINGS, _pack(names[used].ravel(), places, strings[own].ravel())))
+    return out
 
 
 def _context_rows(batches, length: int, width: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, contexts): the texts of open entries, dealt by their trigger again."""
-    reach = length - width
+    """(bucket, kind, blob): the texts of open entries, dealt by their trigger again, and the strings around frequent triggers."""
+    reach, parts, held = length - width, [], 0
     for batch in batches:
         out: dict[int, list] = {}
         names: dict[int, list] = {}
         for first, texts in text_chunks(batch.column(2), 4 << 20):
             for i, raw in enumerate(texts):
-                blobs = batch.column(3)[first + i].as_py()
-                if not blobs:
-                    continue
-                at = np.sort(np.concatenate([np.frombuffer(b, dtype="<u4") for b in blobs])).astype(np.int64)
+                blobs = batch.column(3)[first + i].as_py() or []
+                at, heated = (np.sort(np.concatenate([np.empty(0, dtype="<u4"), *(np.frombuffer(b["places"], dtype="<u4") for b in blobs if b["kind"] == k)])).astype(np.int64) for k in (OPEN, HOT))
                 text = np.frombuffer(raw, dtype=np.uint8)
+                if len(heated) and len(raw) >= length:
+                    wanted = np.zeros(len(raw) - length + 1, dtype=bool)
+                    for back in range(reach + 1):
+                        p = heated - back
+                        wanted[p[(p >= 0) & (p < len(wanted))]] = True
+                    starts, views = np.flatnonzero(wanted), np.lib.stride_tricks.sliding_window_view(text, length)
+                    for a in range(0, len(starts), _STRINGS):
+                        own = starts[a : a + _STRINGS]
+                        parts.append(((batch.column(0)[first + i].as_py(), batch.column(1)[first + i].as_py()), own, views[own]))
+                        held += len(own)
+                        if held >= _STRINGS:
+                            yield _blob_batch(_string_blobs(parts, buckets))
+                            parts, held = [], 0
+                if not len(at):
+                    continue
                 grams = np.lib.stride_tricks.sliding_window_view(text, width)[at]
                 bucket = (rolling_hash(np.ascontiguousarray(grams).ravel(), width)[::width]) % np.uint64(buckets)
                 for p, b in zip(at, bucket, strict=True):
@@ -240,13 +365,14 @@ def _context_rows(batches, length: int, width: int, buckets: int) -> Iterator[pa
                     if not own or own[-1] != name:
                         own.append(name)
                     out.setdefault(b, []).append((len(own) - 1, int(p), int(p) - a, z - a, raw[a:z]))
-        ids = sorted(out)
-        blobs = []
-        for b in ids:
+        packed = []
+        for b in sorted(out):
             rows = np.array([tuple(x[:4]) for x in out[b]], dtype=_CONTEXT)
             text = np.frombuffer(b"".join(x[4] for x in out[b]), dtype=np.uint8)
-            blobs.append(_pack(np.array(names[b], dtype=np.int64).ravel(), rows, text))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            packed.append((b, CONTEXTS, _pack(np.array(names[b], dtype=np.int64).ravel(), rows, text)))
+        yield _blob_batch(packed)
+    if parts:
+        yield _blob_batch(_string_blobs(parts, buckets))
 
 
 def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
@@ -272,9 +398,17 @@ _RANKED = 1 << 19
 def repeats_in_bucket(table: pa.Table, length: int, width: int) -> pa.Table:
     """REPEAT places: starts of strings in a bucket's entries that a smaller document's entry holds too. Equal strings share
     their trigger, so that the bucket's triggers are taken some at a time."""
-    names, rows, text = _join_blobs(table["blob"].to_pylist(), _CONTEXT, np.uint8)
+    blobs, out = _by_kind(table, (REPEAT,))
+    if STRINGS in blobs:
+        names, rows, text = _join_blobs(blobs[STRINGS], _PLACE, np.uint8)
+        strings = text.reshape(-1, length)
+        gone = _repeated(strings, _string_hash(strings), names[rows["row"], 0])
+        out += _per_doc(names, rows["row"][gone], REPEAT, rows["at"][gone])
+    if CONTEXTS not in blobs:
+        return _found_table(out)
+    names, rows, text = _join_blobs(blobs[CONTEXTS], _CONTEXT, np.uint8)
     if len(text) < length:
-        return _found_table([])
+        return _found_table(out)
     size = rows["size"].astype(np.int64)
     begin = np.concatenate([[0], np.cumsum(size)])[:-1]
     trigger = rolling_hash(text, width)[begin + rows["left"]]
@@ -304,8 +438,8 @@ def repeats_in_bucket(table: pa.Table, length: int, width: int) -> pa.Table:
         found_rows.append(rows["row"][part][owner])
         found_starts.append((rows["at"][part][owner].astype(np.int64) - rows["left"][part][owner] + inside).astype("<u4"))
     if not found_rows:
-        return _found_table([])
-    return _found_table(_per_doc(names, np.concatenate(found_rows), REPEAT, np.concatenate(found_starts)))
+        return _found_table(out)
+    return _found_table(out + _per_doc(names, np.concatenate(found_rows), REPEAT, np.concatenate(found_starts)))
 
 
 def _spans(size: int, blobs: list[dict], reach: int, length: int) -> list[tuple[int, int]]:
@@ -322,7 +456,7 @@ def _spans(size: int, blobs: list[dict], reach: int, length: int) -> list[tuple[
     return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, trigger: int = TRIGGER) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, trigger: int = TRIGGER, hot: int = HOT_ENTRIES) -> DataFrame:
     """doc_id, n_bytes, removed (array of start, end: maximal runs of bytes, end exclusive), kept (binary: the bytes that
     are left) for every row of ``docs``.
 
@@ -336,11 +470,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     raw = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64(utf8(text)).alias("print"), utf8(text).alias("raw"))
     homed = raw.repartition(parts, "doc", "print")
 
-    parsed = raw.mapInArrow(lambda it: _parse_rows(it, length, trigger, buckets), "bucket int, blob binary")
-    settled = materialize(parsed.groupBy("bucket").applyInArrow(settle_bucket, _FOUND), "settled")
+    parsed = raw.mapInArrow(lambda it: _parse_rows(it, length, trigger, buckets, hot), _BLOBS)
+    settled = materialize(parsed.groupBy("bucket").applyInArrow(lambda t: settle_bucket(t, hot), _FOUND), "settled")
 
-    opened = settled.where(F.col("kind") == OPEN).groupBy("doc", "print").agg(F.collect_list("places").alias("places"))
-    contexts = homed.join(opened, ["doc", "print"]).select("doc", "print", "raw", "places").mapInArrow(lambda it: _context_rows(it, length, trigger, buckets), "bucket int, blob binary")
+    opened = settled.where(F.col("kind").isin(OPEN, HOT)).groupBy("doc", "print").agg(F.collect_list(F.struct("kind", "places")).alias("places"))
+    contexts = homed.join(opened, ["doc", "print"]).select("doc", "print", "raw", "places").mapInArrow(lambda it: _context_rows(it, length, trigger, buckets), _BLOBS)
     repeated = contexts.groupBy("bucket").applyInArrow(lambda t: repeats_in_bucket(t, length, trigger), _FOUND)
 
     found = settled.where(F.col("kind") == SETTLED).unionByName(repeated).groupBy("doc", "print").agg(F.collect_list(F.struct("kind", "places")).alias("found"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sedimenta.llm import queries, repeats
@@ -53,6 +54,37 @@ def test_equals_brute_force(spark, seed):
     assert found(df) == brute([(d, (t or "").encode()) for d, t in docs])
 
 
+STOCK = "terms and conditions apply to every offer here"
+
+
+def noise(rng, n):
+    return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+
+def test_frequent_trigger_is_spread():
+    """A stock phrase in 3,000 different contexts doesn't send an entry for each to one bucket."""
+    rng = random.Random(3)
+    texts = [(noise(rng, 60) + STOCK + noise(rng, 60)).encode() for _ in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000), pa.int64()), pa.array(range(3000), pa.int64()), pa.array(texts, pa.binary())], names=["doc", "print", "raw"])
+    size = dict.fromkeys(range(50), 0)
+    for out in repeats._parse_rows([batch], 50, 20, 50):
+        for r in out.to_pylist():
+            size[r["bucket"]] += len(r["blob"])
+    assert max(size.values()) < 2 * np.median(list(size.values()))
+
+
+def test_frequent_triggers_equal_brute_force(spark):
+    rng = random.Random(4)
+    some = [noise(rng, 8) for _ in range(4)]
+    texts = [noise(rng, rng.randrange(60)) + rng.choice(some) + STOCK + rng.choice(some) + noise(rng, rng.randrange(60)) for _ in range(150)] + corpus(3, 40)
+    docs = [(i % 180 if i % 50 else None, t) for i, t in enumerate(texts)]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = brute([(d, t.encode()) for d, t in docs])
+    for hot in (1, 16, 100, 4096):
+        assert sorted(((r["doc_id"], r["n_bytes"], [(s["start"], s["end"]) for s in r["removed"]], bytes(r["kept"])) for r in repeats.remove_repeats(df, hot=hot).collect()), key=repr) == want
+
+
 def test_empty_table(spark):
     assert found(spark.createDataFrame([], "doc_id long, text string")) == []
 
