@@ -80,7 +80,7 @@ class ChunkEncoder:
     The byte-level pre-tokenizer always starts a piece at a white-space character that stands alone, and one at a run of
     punctuation that follows letters. So a text is encoded chunk by chunk, cut before each space and line feed, and a
     chunk's full stops and commas apart from its word. Chunks are looked up in a cache of two generations. A text with two
-    white-space characters in a row, or one at its start, is encoded whole. Chunks that aren't cached are merged by tiktoken on
+    white-space characters in a row, or one at its start, is encoded whole, and so is one that holds an added token's content. Chunks that aren't cached are merged by tiktoken on
     the tokenizer's own vocabulary where that gives the same ids.
     """
 
@@ -89,7 +89,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted((t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.quick = _quick(self.tokenizer)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -128,7 +129,7 @@ class ChunkEncoder:
         known, holes, new, get = {}, {}, set(), self.young.get
         for i, t in enumerate(texts):
             t = "\n" + t  # a line feed in front is a token of its own
-            if _TWO_SPACES.search(t):
+            if _TWO_SPACES.search(t) or (self.added and self.added.search(t)):
                 continue
             chunks = t.replace("\n", " \n").split(" ")
             known[i] = ids = list(map(get, chunks))

@@ -113,6 +113,17 @@ def test_chunk_encoder_equals_tokenizer():
         assert got == want
 
 
+def test_added_tokens_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    plain, enc = Tokenizer.from_file(path), packing.ChunkEncoder(path)
+    texts = ["a <|endoftext|> b", "x<|endoftext|>y, z", "<|endoftext|>", "<|endoftext| >", "no token here."]
+    got = [[int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b), 4)] for b in enc(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got[0] == [64, 220, 50256, 275]
+
+
 def test_quick_encoder_equals_tokenizer():
     import random
 
