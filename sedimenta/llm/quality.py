@@ -14,6 +14,7 @@ hash); scores, and the search for pseudo-labels, cover all documents. Nothing is
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -191,6 +192,15 @@ def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).cast("string").alias(c) for c in more))
 
 
+#: Largest pick.
+_ALL = (1 << 63) - 1
+
+
+def _bound(share: float) -> int:
+    """Picks up to this one are about ``share`` of all."""
+    return _ALL if share >= 1 else min(_ALL, int(share * _ALL))
+
+
 def _pick(ids: np.ndarray, seed: int) -> np.ndarray:
     return (mix64(ids.astype(np.uint64) + np.uint64(seed * 1_000_003)) >> np.uint64(1)).astype(np.int64)
 
@@ -269,17 +279,20 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     for turn in range(rounds):
         # Picks are uniform, so that a bound on them leaves about three times the pseudo-labels that are wanted, from all documents;
-        # how many documents a view is sure of is read off the held-out labels.
+        # how many documents a view is sure of is read off the held-out labels. A kind that falls short is searched again under a
+        # higher bound, so that the smallest picks of all documents are found whatever the labels promise.
         shares = [max(float(x.mean()), 1 / len(test)) for x in kinds_of(*now.log_odds(seen)[:2])]
-        bounds = [int(min(1.0, 3 * pseudo / max(total * x, 1)) * float((1 << 63) - 1024)) for x in shares]
+        bounds = [_bound(3 * pseudo / max(total * x, 1)) for x in shares]
         shared = docs.sparkSession.sparkContext.broadcast(now)
 
-        def confident(batches, shared=shared, turn=turn, bounds=bounds):
+        def confident(batches, bounds, shared=shared, turn=turn):
             best: list[list[pa.RecordBatch]] = [[], [], [], []]
             for own, v in _looked(batches, names):
                 one, two, _ = shared.value.log_odds(v)
                 picks, free = _pick(own, seed + turn + 1), ~np.isin(own, sent.value)
                 for kind, which in enumerate(kinds_of(one, two)):
+                    if kind not in bounds:
+                        continue
                     chosen = np.flatnonzero(which & free & (picks <= bounds[kind]))
                     chosen = chosen[np.argsort(picks[chosen], kind="stable")[:pseudo]]
                     if len(chosen):
@@ -289,7 +302,13 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
                 yield from kept
 
         order = W.partitionBy("kind").orderBy("pick", "doc_id")
-        found = slim.mapInArrow(confident, _ROW).withColumn("n", F.row_number().over(order)).where(F.col("n") <= pseudo).collect()
+        found, wanted = [], dict(enumerate(bounds))
+        while wanted:
+            rows = slim.mapInArrow(lambda it, wanted=wanted, run=confident: run(it, wanted), _ROW).withColumn("n", F.row_number().over(order)).where(F.col("n") <= pseudo).collect()
+            counts = Counter(r["kind"] for r in rows)
+            short = {k: b for k, b in wanted.items() if counts[k] < pseudo and b < _ALL}
+            found += [r for r in rows if r["kind"] not in short]
+            wanted = {k: _bound(3 * pseudo / max(counts[k], 1) * (b / _ALL)) for k, b in short.items()}
         kinds = [_sample(r for r in found if r["kind"] == k) for k in range(4)]
         flag = lambda a, b: np.concatenate([np.ones(len(kinds[a][3]), dtype=bool), np.zeros(len(kinds[b][3]), dtype=bool)])
         for_content = (for_content[0] + kinds[2][0] + kinds[3][0], np.concatenate([for_content[1], flag(2, 3)]))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -40,6 +41,18 @@ def test_held_out_accuracy(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.05
 
 
+def test_pseudo_labels_are_searched_until_found(spark, monkeypatch):
+    """Labels half bad, a corpus with few bad documents: the wanted pseudo-labels of every kind are found all the same."""
+    docs, labels = corpus(2400, 7)
+    bad, good = ([i for i, q, t in labels if q == kind and t == 0] for kind in (0, 1))
+    known, corpus_ids = {*bad[:100], *good[:100]}, {*bad[:160], *good}
+    seen, fit = [], quality.ContentView.fit
+    monkeypatch.setattr(quality.ContentView, "fit", lambda sets, kinds: seen.append((int(kinds.sum()), int((~kinds).sum()))) or fit(sets, kinds))
+    df = spark.createDataFrame([d for d in docs if d[0] in corpus_ids], DOC).repartition(4)
+    quality.train(df, spark.createDataFrame([x for x in labels if x[0] in known], "doc_id long, quality int, toxic int"), pseudo=30, sure=0.9)
+    assert np.diff(seen, axis=0).tolist() == [[30, 30], [30, 30]]
+
+
 @pytest.mark.parametrize("labels", [[], [(0, 1, 0), (1, 1, 0)], [(0, None, None), (99, 0, 0)]])
 def test_labels_that_teach_nothing(spark, labels):
     df = spark.createDataFrame([(0, "a b", "en", "s", 3), (1, None, None, None, None), (None, "", "en", "s", 0)], DOC)
