@@ -8,7 +8,18 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` (or the context's checkpoint folder) names. Where neither is set, a session on
+    one machine is given a temporary folder; on a cluster, whose executors would each write to a disk of their own, it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sedimenta-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """Below ``spark.checkpoint.dir``; a temporary folder of this machine only where no session names one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sedimenta-")
-    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new name below the shared folder."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
