@@ -7,7 +7,8 @@ neighbours on the circle, a signature is one gather and one minimum.
 1. One scan makes, per document, the size of its shingle set, a 128-bit key of its word sequence, and its band keys.
    Documents of one word sequence are a class and are represented by its smallest doc_id.
 2. Representatives that share a band key are candidates. In a bucket, members are compared with one hub and then with two more,
-   and only across components that are still separate: that settles small buckets and buckets of copies.
+   and only across components that are still separate: that settles small buckets and buckets of copies. Hubs come from partial
+   aggregation, so that no bucket is gathered.
 3. A pair is verified on the full shingle sets. Members stream past their hub's set; a hub of many members is dealt
    over several tasks.
 4. Buckets with separate components left hold similar documents that aren't near enough. Those that overlap are made one group, the
@@ -24,12 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedimenta.llm.components import connected_components
-from sedimenta.llm.support import NOT_SPACE, combine, materialize, mix64, shuffle_partitions, text_chunks, words_of
+from sedimenta.llm.support import NOT_SPACE, combine, free_name, materialize, mix64, running_total, shuffle_partitions, text_chunks, with_totals, words_of
 
 #: Places on the circle.
 _PLACES = 1 << 20
@@ -100,10 +100,10 @@ def sign_documents(docs: DataFrame, doc_id: str, text: str, n: int, bands: int,
 def verify_pairs(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (hub, member) of documents in ``texts`` (doc_id, text) for which 100 * common >= percent * all shingles."""
     spark = pairs.sparkSession
+    known = with_totals(pairs, "hub", "member", members=("sum", F.lit(1)))
     deals = F.greatest(F.ceil(F.col("members") / _DEAL), F.lit(1)).cast("int")
-    hubs = pairs.groupBy("hub").agg(F.count("*").alias("members")).select("hub", deals.alias("deals"))
-    member = pairs.join(hubs, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("deals")).cast("int").alias("deal"), F.col("member").alias("doc_id"), F.lit(1).alias("turn"))
-    own = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("hub").alias("doc_id"), F.lit(0).alias("turn"))
+    member = known.select("hub", F.pmod(F.xxhash64("member"), deals).cast("int").alias("deal"), F.col("member").alias("doc_id"), F.lit(1).alias("turn"))
+    own = member.select("hub", "deal").distinct().select("hub", "deal", F.col("hub").alias("doc_id"), F.lit(0).alias("turn"))
     rows = member.unionByName(own).join(texts, "doc_id").select("hub", "deal", "turn", "doc_id", "text")
     rows = rows.repartition(shuffle_partitions(spark), "hub", "deal").sortWithinPartitions("hub", "deal", "turn", "doc_id")
 
@@ -138,15 +138,31 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
     return rows.mapInArrow(run, "hub long, member long")
 
 
-def _hub_pairs(buckets: DataFrame, first: int, hubs: int, percent: int) -> DataFrame:
-    """(hub, member): hubs of rank first .. first + hubs - 1 with later members of their bucket that are in other components and
-    of a size that a link allows."""
-    sides = buckets.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-    still = buckets.join(sides, "band", "left_semi")
-    hub = still.where((F.col("rank") >= first) & (F.col("rank") < first + hubs)).select("band", F.col("doc_id").alias("hub"), F.col("rank").alias("hub_rank"), F.col("component").alias("hub_component"), F.col("n_shingles").alias("hub_size"))
-    near = F.least("n_shingles", "hub_size") * 100 >= F.greatest("n_shingles", "hub_size") * percent
-    apart = (F.col("rank") > F.col("hub_rank")) & (F.col("component") != F.col("hub_component"))
-    return still.join(hub, "band").where(apart & near).select("hub", F.col("doc_id").alias("member")).distinct()
+def _candidates(buckets: DataFrame, hubs: list[str], percent: int) -> DataFrame:
+    """(hub, member): the named hubs with the members of their bucket that are in other components and of a size that a link
+    allows."""
+    each = buckets.select("doc_id", "n_shingles", "component", F.explode(F.array(*[F.struct(F.col(h).alias("id"), F.col(f"{h}_size").alias("size"), F.col(f"{h}_component").alias("component")) for h in hubs])).alias("hub"))
+    near = F.least("n_shingles", "hub.size") * 100 >= F.greatest("n_shingles", "hub.size") * percent
+    apart = (F.col("doc_id") != F.col("hub.id")) & (F.col("component") != F.col("hub.component"))
+    return each.where(apart & near).select(F.col("hub.id").alias("hub"), F.col("doc_id").alias("member")).distinct()
+
+
+def _open(buckets: DataFrame) -> DataFrame:
+    """Rows of the buckets whose rows are of several components. The list of these buckets is written first, so that Spark
+    broadcasts it if it turns out small, and else splits frequent buckets while it joins."""
+    sides = buckets.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return buckets.join(materialize(sides.where("low <> high").select("band"), "open-bands"), "band", "left_semi")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after ``links`` (a, b) between nodes: only components that are still apart are linked, so
+    that later rounds work on few edges. Nodes without a label are their own component."""
+    at = F.coalesce("component", "node")
+    left = links.select(F.col("a").alias("node"), "b").join(labels, "node", "left").select(at.alias("a"), F.col("b").alias("node"))
+    ends = left.join(labels, "node", "left").select("a", at.alias("b"))
+    up = connected_components(ends.where("a <> b"))
+    moved = labels.join(up.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return materialize(moved.unionByName(up).distinct(), "labels")
 
 
 #: Shingles of a block, where a document counts as 200 at least.
@@ -195,11 +211,11 @@ def _crossed(table: pa.Table, n: int, percent: int) -> pa.Table:
 
 def _block_links(open_buckets: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Links among the documents of buckets that aren't settled, each overlapping set of buckets compared block by block."""
-    least = F.min("doc_id").over(W.partitionBy("band"))
-    groups = connected_components(open_buckets.select("doc_id", least.alias("least"))).withColumnRenamed("component", "group")
+    least = materialize(open_buckets.groupBy("band").agg(F.min("doc_id").alias("least")), "least")
+    groups = connected_components(open_buckets.join(least, "band").select("doc_id", "least")).withColumnRenamed("component", "group")
     docs = open_buckets.select("doc_id", "component", "n_shingles").distinct().join(groups.withColumnRenamed("node", "doc_id"), "doc_id")
-    before = W.partitionBy("group").orderBy("n_shingles", "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    placed = materialize(docs.withColumn("block", F.floor(F.sum(F.greatest("n_shingles", F.lit(200))).over(before) / _BLOCK).cast("int")), "blocks")
+    summed = running_total(docs, "group", ["n_shingles", "doc_id"], F.greatest("n_shingles", F.lit(200)), "total")
+    placed = materialize(summed.withColumn("block", F.floor(F.col("total") / _BLOCK).cast("int")).drop("total"), "blocks")
     # Sizes ascend, so that a block meets only those whose smallest document isn't too large for its largest.
     ends = placed.groupBy("group", "block").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     other = ends.select("group", F.col("block").alias("to"), F.col("low").alias("to_low"))
@@ -228,40 +244,47 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = materialize(real.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("head")), "classes")
     own = classes.withColumnRenamed("head", "doc_id")
     heads = real.join(own, ["key_a", "key_b", "doc_id"], "left_semi").select("doc_id", "n_shingles", "band_keys").dropDuplicates(["doc_id", "band_keys"])
-    keyed = heads.select("doc_id", "n_shingles", F.explode("band_keys").alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("members"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a <> b")
-    buckets = materialize(keyed.join(shared.select("band"), "band", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy("band").orderBy("doc_id")) - 1), "buckets")
-    most = buckets.agg(F.max("rank")).first()[0]
     # Copies hang on their class's head; only a doc_id of several texts ties heads together.
     headed = signed.join(classes, ["key_a", "key_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id")).alias("head"))
     same = headed.groupBy("doc_id").agg(F.max("head").alias("a"), F.min("head").alias("b")).where("a <> b")
     same = same.select("a", "b").unionByName(same.select(F.col("doc_id").alias("a"), "b"))
-    if most is not None:
-        wanted = buckets.select("doc_id").distinct()
-        source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        texts = materialize(source.join(wanted, "doc_id", "left_semi"), "candidate-texts")
-        links, now = None, buckets.withColumn("component", F.col("doc_id"))
-        for first, hubs in ((0, 1), (1, 2)):
-            if first > most:
+
+    keyed = heads.select("doc_id", "n_shingles", F.explode("band_keys").alias("band"))
+    # A bucket's hubs: its smallest and largest id, and one by hash. All come from partial aggregation.
+    mixed = F.xxhash64("doc_id", F.lit(3))
+    hubs = [c for name, pick in (("one", "doc_id"), ("two", -F.col("doc_id")), ("three", mixed)) for c in (F.min_by("doc_id", pick).alias(name), F.min_by("n_shingles", pick).alias(f"{name}_size"))]
+    shared = materialize(keyed.groupBy("band").agg(*hubs).where("one <> two"), "hubs")
+    buckets = materialize(keyed.join(shared, "band"), "buckets")
+    wanted = buckets.select("doc_id").distinct()
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = materialize(source.join(wanted, "doc_id", "left_semi"), "candidate-texts")
+
+    alone = buckets.withColumns({"component": F.col("doc_id"), "one_component": F.col("one")})
+    links = materialize(verify_pairs(_candidates(alone, ["one"], percent), texts, n, percent), "links")
+    ties = links.select(F.col("hub").alias("a"), F.col("member").alias("b")).unionByName(same)
+    labels = connected_components(ties)
+    for part in ("hubs", "rest"):
+        label = lambda c, to: labels.select(F.col("node").alias(c), F.col("component").alias(to))
+        now = materialize(buckets.join(label("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "buckets-now")
+        still = _open(now)
+        if part == "hubs":
+            for h in ("two", "three"):
+                still = still.join(label(h, f"{h}_component"), h, "left").withColumn(f"{h}_component", F.coalesce(f"{h}_component", h))
+            fresh = verify_pairs(_candidates(still, ["two", "three"], percent), texts, n, percent)
+        else:  # hubs have met everyone
+            left = materialize(_open(now.where("doc_id <> one AND doc_id <> two AND doc_id <> three")), "open-buckets")
+            if left.isEmpty():
                 break
-            fresh = materialize(verify_pairs(_hub_pairs(now, first, hubs, percent), texts, n, percent), "links")
-            links = fresh if links is None else links.unionByName(fresh)
-            found = connected_components(links).withColumnRenamed("node", "doc_id")
-            now = materialize(buckets.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "buckets-now")
-        left = now.where(F.col("rank") >= 3)
-        ends = left.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band")
-        still = materialize(left.join(ends, "band", "left_semi"), "open-buckets") if most > 3 else None
-        if still is not None and not still.isEmpty():
-            links = links.unionByName(materialize(_block_links(still, texts, n, percent), "links"))
-        if links is not None:
-            same = same.unionByName(links.select(F.col("member").alias("a"), F.col("hub").alias("b")))
-    found = connected_components(same).withColumnRenamed("node", "head")
+            fresh = _block_links(left, texts, n, percent)
+        labels = _relabelled(labels, materialize(fresh, "links").select(F.col("hub").alias("a"), F.col("member").alias("b")))
     component = F.coalesce("component", "head")
-    out = headed.join(found, "head", "left")
+    out = headed.join(labels.withColumnRenamed("node", "head"), "head", "left")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows and columns of ``docs`` without those that aren't their component's smallest doc_id."""
-    gone = near_duplicates(docs, doc_id, text, **how).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("gone_id"), "left_anti")
+    """The rows and columns of ``docs`` without those that aren't their component's smallest doc_id. Rows without an id, and rows
+    without words, stay; so do all rows of a kept id. An empty table gives no rows; no other column takes part, whatever its name."""
+    gone_id = free_name(docs, "gone_id")[0]
+    gone = near_duplicates(docs, doc_id, text, **how).where("NOT kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(doc_id).cast("long") == F.col(gone_id), "left_anti")

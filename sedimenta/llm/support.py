@@ -3,32 +3,23 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# --------------------------------------------------------------------------- scratch tables
-
+from sedimenta.sources.scratch import scratch
 
-def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: ``spark.checkpoint.dir``, or, where the session names
-    none (local tests), a temporary folder of this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sedimenta-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
+# --------------------------------------------------------------------------- scratch tables
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, so that later jobs neither
     recompute it nor depend on the executors that made it."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -49,6 +40,35 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def with_totals(df: DataFrame, key: str, over: str, **totals: tuple[str, Column]) -> DataFrame:
+    """Add to each row the totals of its key, name=(min, max or sum, column), without bringing a key's rows to one task.
+
+    Rows are dealt by key and a salt from the column ``over``; a salt's totals are combined per key, as many values as there are
+    salts at most, and joined back by key and salt.
+    """
+    salt = free_name(df, "salt", *totals)[0]
+    dealt = df.withColumn(salt, F.pmod(F.xxhash64(over, F.lit(7)), F.lit(shuffle_partitions(df.sparkSession))).cast("int"))
+    parts = dealt.groupBy(key, salt).agg(*(getattr(F, how)(c).alias(name) for name, (how, c) in totals.items()))
+    whole = parts.select(key, salt, *(getattr(F, how)(name).over(W.partitionBy(key)).alias(name) for name, (how, _) in totals.items()))
+    return dealt.join(whole, [key, salt]).drop(salt)
+
+
+def running_total(df: DataFrame, key: str, order: list[str], size: Column, out: str) -> DataFrame:
+    """Add the sum of ``size`` over a key's rows up to each, in the order, without bringing a key's rows to one task.
+
+    Rows are range-partitioned by key and order, summed within their partition, and moved up by the key's sums of the
+    partitions before. ``order`` and the key tell rows apart, so that a frequent key is cut.
+    """
+    spark, (part, amount, before) = df.sparkSession, free_name(df, "part", "amount", "before")
+    dealt = df.withColumn(amount, size).repartitionByRange(shuffle_partitions(spark), key, *order).withColumn(part, F.spark_partition_id())
+    dealt = materialize(dealt, "ranges")
+    ahead = W.partitionBy(key).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    moved = dealt.groupBy(key, part).agg(F.sum(amount).alias(before)).select(key, part, F.coalesce(F.sum(before).over(ahead), F.lit(0)).alias(before))
+    inside = W.partitionBy(key, part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    summed = dealt.withColumn(amount, F.sum(amount).over(inside))
+    return summed.join(moved, [key, part]).withColumn(out, F.col(amount) + F.col(before)).drop(part, amount, before)
+
+
 def utf8(text: str | Column) -> Column:
     """Text as bytes, null as empty."""
     return F.coalesce((F.col(text) if isinstance(text, str) else text).cast("binary"), F.lit(b""))
