@@ -1,30 +1,32 @@
-"""Removal of repeated byte strings by prefix-free parsing and suffix arrays.
-
-Parsing. A rolling hash over ``trigger`` bytes marks as triggers the local minima: the places whose hash is smallest
-among ``length - trigger + 1`` neighbouring places. Every string of ``length`` bytes holds a trigger, and equal strings
-hold it at the same place. Triggers cut the text into phrases; the phrase of a trigger, with the context that strings of
-``length`` bytes around it can reach, is its dictionary entry, and a document's triggers in order are its parse.
-
-Dictionary. Spark deals triggers to buckets by their hash, without text: a fingerprint of the trigger, one of the
-dictionary entry, and the place. Within a bucket every occurrence of an entry that a document of a smaller id has
-too is settled: all strings around it are repeats. An entry whose trigger occurs once, or with one entry only, has no
-further repeats. What is left are entries that share their trigger with other entries.
-
-Suffix arrays. Only for those the text is fetched, once per distinct entry and bucket. A bucket's entries make a
-dictionary whose suffixes are ranked by prefix doubling up to ``length`` bytes; equal ranks are equal strings, and the
-smallest document of a rank (from the parse) tells which of its occurrences go. Suffix ranks within buckets and the
-order of triggers between buckets give the corpus order of all strings that occur more than once.
-
-Frequent triggers. A task settles what it can of its own text before the shuffle, so that an entry goes out once a task.
-A trigger with more than ``hot`` entries (or ``hot / 8`` in one task's text) isn't ranked in one place: the strings around
-it are dealt by their own hash, each from its task's smallest document only, and compared byte by byte.
-
-No task holds more than its bucket. A document's text moves twice, keyed by the document.
+"""Removal of repeated byte strings by prefix-free parsing.
+
+Parsing. A rolling hash over ``trigger`` bytes marks triggers: the place whose hash is smallest (the first of equals) among the
+``length - trigger + 1`` places of a string of ``length`` bytes is the string's trigger, which depends on nothing but the string.
+Triggers cut a text into phrases, each from one trigger to the end of the next, so that neighbours overlap by a trigger and
+no phrase begins another one. A text is then its parse, the sequence of its phrases' names.
+
+Dictionary. The strings around a trigger, all that have it as theirs, are an entry: the run of phrases that covers them. Spark
+deals entries to buckets by their trigger, by name and without text. An entry that a document of a smaller id has too is
+settled: all its strings are repeats. An entry whose trigger occurs once, or with one entry only, has no further repeats.
+
+Suffix order. Only for what is left the text is fetched, clipped to the entry's strings. In a bucket, the phrases that end at a
+trigger are sorted by their bytes read backwards, which puts all suffixes of the dictionary that are equal to any depth side by
+side, and the parses that follow it are sorted by their bytes read on. A string that begins ``d`` bytes before its
+trigger is named by the place of its phrase suffix in the one order and of its parse in the other, each to the depth that the
+string reaches; common prefixes of neighbours tell where these places change. Together, trigger by trigger, this is the order of all
+strings of the corpus that occur more than once, and the smallest document at a place tells which occurrences go.
+
+Frequent triggers. A task settles what it can of its own text before the shuffle, so that an entry goes out once a task, and a
+run of one entry (a ruler line) is one row. A trigger with more than ``hot`` entries (or ``hot / 8`` in one task's text) isn't ordered in
+one place: the strings around it are dealt by their own hash, each from its task's smallest document only, and compared
+byte by byte.
+
+Entries are compared by 96 bits and the bucket's share of the trigger's hash; strings are compared by their bytes. The number
+of buckets follows the size of the texts, and no task holds more than its bucket. A document's text moves twice, keyed by the document.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.support import SEGMENT, materialize, mix64, powers, shuffle_partitions, text_chunks, utf8
+from sedimenta.llm.support import SEGMENT, hash_spans, materialize, mix64, powers, shuffle_partitions, text_chunks, utf8
 
 #: Bytes that a trigger's hash covers.
 TRIGGER = 20
 #: Text that one task parses before it hands its triggers on.
 _FLUSH = 24 << 20
+#: Text of one bucket.
+_BUCKET = 32 << 20
 _NONE = np.iinfo(np.int64).max
 #: Entries of one trigger that meet in one task.
 HOT_ENTRIES = 4096
@@ -57,43 +61,95 @@ def rolling_hash(buf: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _sliding(values: np.ndarray, window: int, pick) -> np.ndarray:
-    span = 1
+def first_minimum(values: np.ndarray, window: int) -> np.ndarray:
+    """Place of the smallest value (the first of equals) of every window of ``window`` neighbours."""
+    at, span = np.arange(len(values), dtype=np.int32), 1
+
+    def earlier(shift: int):
+        nonlocal values, at
+        later = values[shift:] < values[:-shift]
+        values = np.where(later, values[shift:], values[:-shift])
+        at = np.where(later, at[shift:], at[:-shift])
+
     while span * 2 <= window:
-        values = pick(values[:-span], values[span:])
+        earlier(span)
         span *= 2
-    return pick(values[: len(values) - (window - span)], values[window - span :]) if span < window else values
+    if span < window:
+        earlier(window - span)
+    return at
+
+
+# --------------------------------------------------------------------------- tables between the tasks
+#
+# A row carries one bucket's part of a task's entries as arrays in a binary column. Documents are named by doc (their
+# id as a long, null as the largest) and print (a fingerprint of the text, which tells rows of one id apart). A place stands for the
+# starts of strings at, at + 1, ..., n of them, whose trigger is off behind the first; count such places lie end to end.
 
+_SPOT = [("at", "<u4"), ("count", "<u2"), ("n", "u1"), ("off", "u1")]
+_FOUND_SPOT = np.dtype(_SPOT)
+_PLACE = np.dtype([("row", "<u4"), *_SPOT])
+_ENTRY = np.dtype([("trigger", "<u4"), ("entry", "<u8"), *_PLACE.descr])
+_PARSED = np.dtype([("hash", "<u8"), ("entry", "<u8"), *_PLACE.descr])
 
-def local_minima(values: np.ndarray, window: int, allowed: np.ndarray) -> np.ndarray:
-    """Places that hold the smallest value of one of the ``allowed`` windows (named by their first place)."""
-    if not allowed.any():
-        return np.empty(0, dtype=np.int64)
-    low = np.where(allowed, _sliding(values, window, np.minimum), np.uint64(0))
-    pad = np.zeros(window - 1, dtype=np.uint64)
-    return np.flatnonzero(values == _sliding(np.concatenate([pad, low, pad]), window, np.maximum))
+_BEGIN, _END, _MUL = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0x9E3779B97F4A7C15)
 
 
-def triggers(joined: np.ndarray, first: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the triggers of several joined texts (``first``: their starts, and one more), their hashes, their texts."""
+def parse(joined: np.ndarray, first: np.ndarray, length: int, width: int) -> np.ndarray:
+    """Entries of several joined texts (``first``: their starts, and one more), in order: trigger's hash, entry's name, text (row) and
+    place. Equal entries that lie end to end are one."""
     if len(joined) < length:
-        return (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
-    hashes = rolling_hash(joined, width)
+        return np.empty(0, dtype=_PARSED)
+    hashes, window = rolling_hash(joined, width), length - width + 1
     allowed = np.ones(len(joined) - length + 1, dtype=bool)
     for end in first[1:]:  # strings that run into the next text, or over its separator
         allowed[max(0, end - length) : end] = False
-    at = local_minima(hashes, length - width + 1, allowed)
-    return at, hashes[at], np.searchsorted(first, at, side="right") - 1
-
+    start = np.flatnonzero(allowed)
+    if not len(start):
+        return np.empty(0, dtype=_PARSED)
+    own = first_minimum(hashes, window)[: len(allowed)][start]
+    new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    at, begin = own[new].astype(np.int64), start[new]
+    n = np.diff(np.append(new, len(own)))
+    row = np.searchsorted(first, at, side="right") - 1
+
+    # Names of the phrases: one that ends at each trigger, and the one behind each text's last.
+    head = np.concatenate([[True], row[1:] != row[:-1]])
+    tail = np.append(head[1:], True)
+    phrase = np.arange(len(at)) + np.cumsum(head) - 1
+    last = phrase[tail] + 1
+    from_, to, name = (np.empty(len(at) + len(last), dtype=k) for k in (np.int64, np.int64, np.uint64))
+    from_[phrase], to[phrase] = np.where(head, first[row], np.concatenate([[0], at[:-1]])), at
+    from_[last], to[last] = at[tail], first[row[tail] + 1] - 1
+    spans = hash_spans(joined, from_, to)
+    name[phrase], name[last] = spans[phrase] * _MUL + hashes[at] + np.where(head, _BEGIN, np.uint64(0)), spans[last] * _MUL + _END
+    name = mix64(name)
+
+    # An entry is the run of phrases from the one that holds its first start to the one that holds its last byte.
+    low = np.minimum(np.searchsorted(at, begin, side="right"), np.arange(len(at)))
+    high = np.searchsorted(at, begin + n - 1 + length - width)
+    inside = (high < len(at)) & (row[np.minimum(high, len(at) - 1)] == row)
+    a, z = phrase[low], np.where(inside, phrase[np.minimum(high, len(at) - 1)], last[row_of(head)])
+    entry = mix64(name[a] + (n + 256 * (at - begin)).astype(np.uint64))
+    going, step = np.flatnonzero(a < z), 1
+    while len(going):
+        entry[going] = mix64(entry[going] * _MUL + name[a[going] + step])
+        step += 1
+        going = going[a[going] + step <= z[going]]
+
+    same = np.zeros(len(at), dtype=bool)
+    key = hashes[at]
+    same[1:] = (key[1:] == key[:-1]) & (entry[1:] == entry[:-1]) & (n[1:] == n[:-1]) & (begin[1:] == begin[:-1] + n[:-1]) & ~head[1:]
+    run = np.arange(len(at)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(at))))
+    lead = np.flatnonzero(run % 0xFFFF == 0)
+    out = np.empty(len(lead), dtype=_PARSED)
+    out["hash"], out["entry"], out["row"], out["at"] = key[lead], entry[lead], row[lead], (begin - first[row])[lead]
+    out["count"], out["n"], out["off"] = np.diff(np.append(lead, len(at))), n[lead], (at - begin)[lead]
+    return out
 
-# --------------------------------------------------------------------------- tables between the tasks
-#
-# A row carries one bucket's part of a task's triggers as arrays in a binary column. Documents are named by doc (their
-# id as a long, null as the largest) and print (a fingerprint of the text, which tells rows of one id apart).
 
-_ENTRY = np.dtype([("trigger", "<u4"), ("entry", "<u8"), ("row", "<u4"), ("at", "<u4")])
-_PLACE = np.dtype([("row", "<u4"), ("at", "<u4")])
-_CONTEXT = np.dtype([("row", "<u4"), ("at", "<u4"), ("left", "u1"), ("size", "u1")])
+def row_of(head: np.ndarray) -> np.ndarray:
+    """Number of the group of each row, where ``head`` marks the groups' first rows."""
+    return np.cumsum(head) - 1
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -119,78 +175,84 @@ def _blob_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "kind", "blob"])
 
 
-def _deal(rows: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of the rows of each bucket that has some."""
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """First and last (and one more) of each run of equal values."""
+    ends = np.append(np.flatnonzero(values[1:] != values[:-1]) + 1, len(values))
+    return list(zip([0, *ends[:-1]], ends, strict=True)) if len(values) else []
+
+
+def _deal(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each bucket that has some."""
     order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1).astype(bucket.dtype))
-    return ((b, order[cut[b] : cut[b + 1]]) for b in range(buckets) if cut[b] < cut[b + 1])
+    return ((int(bucket[order[a]]), order[a:b]) for a, b in _runs(bucket[order]))
+
+
+def _places(rows: np.ndarray, kind: np.dtype = _PLACE) -> np.ndarray:
+    out = np.zeros(len(rows), dtype=kind)
+    for c in kind.names:
+        if c in rows.dtype.names:
+            out[c] = rows[c]
+    return out
 
 
-def _passed_on(names: np.ndarray, row: np.ndarray, at: np.ndarray, kind: int, buckets: int) -> list[tuple[int, int, bytes]]:
-    """Found places, dealt by document."""
+def _dealt(names: np.ndarray, rows: np.ndarray, bucket: np.ndarray, kind: int, dtype: np.dtype = _PLACE, more=None) -> list[tuple[int, int, bytes]]:
+    """A blob for each bucket: the documents' names, the rows with their numbers among these, and what ``more`` adds for the rows."""
     out = []
-    for b, own in _deal(row, row.astype(np.int64) % buckets, buckets):
-        used, back = np.unique(row[own], return_inverse=True)
-        places = np.empty(len(own), dtype=_PLACE)
-        places["row"], places["at"] = back, at[own]
-        out.append((b, kind, _pack(names[used].ravel(), places)))
+    for b, own in _deal(bucket):
+        used, back = np.unique(rows["row"][own], return_inverse=True)
+        part = _places(rows[own], dtype)
+        part["row"] = back
+        out.append((b, kind, _pack(names[used].ravel(), part, *([more(own)] if more else []))))
     return out
 
 
+def _by_doc(names: np.ndarray, rows: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets for places that are found already: by document."""
+    return (mix64(names[rows["row"], 1].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
 def _settle_own(rows: np.ndarray, doc: np.ndarray, hot: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A task's triggers in another order, which of them are settled by a smaller document of the task, which of the
+    """A task's entries in another order, which of them are settled by a smaller document of the task, which of the
     rest belong to triggers of more than ``hot`` entries, and those triggers' hashes."""
     rows = rows[np.argsort(mix64(rows["hash"]) ^ rows["entry"], kind="stable")]
     hashes, entry, doc = rows["hash"].copy(), rows["entry"].copy(), doc[rows["row"]]
     new = np.ones(len(rows), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (entry[1:] != entry[:-1])
     begin = np.flatnonzero(new)
-    settled = doc > np.minimum.reduceat(doc, begin)[np.cumsum(new) - 1]
+    settled = doc > np.minimum.reduceat(doc, begin)[row_of(new)]
     heads = np.sort(hashes[begin])
     frequent = np.unique(heads[hot:][heads[hot:] == heads[: len(heads) - hot]]) if len(heads) > hot else heads[:0]
     return rows, settled, ~settled & np.isin(hashes, frequent) if len(frequent) else np.zeros(len(rows), dtype=bool), frequent
 
 
 def _parse_rows(batches, length: int, width: int, buckets: int, hot: int = HOT_ENTRIES) -> Iterator[pa.RecordBatch]:
-    """(bucket, kind, blob): every document's triggers, dealt by hash, but those that are settled within the task."""
+    """(bucket, kind, blob): every document's entries, dealt by trigger, but those that are settled within the task."""
     kept: list[np.ndarray] = []
     docs: list[tuple[int, int]] = []
     size = 0
 
     def flush():
-        if not kept:
-            return
-        rows = np.concatenate(kept)
+        rows = np.concatenate(kept) if kept else np.empty(0, dtype=_PARSED)
         names = np.array(docs, dtype=np.int64).reshape(-1, 2)
         if len(rows):
             rows, settled, heated, frequent = _settle_own(rows, names[:, 0], max(1, hot // 8))
             out = []
             for which, kind in ((settled, SETTLED), (heated, HOT)):
-                out += _passed_on(names, rows["row"][which], rows["at"][which], kind, buckets)
-            for b, own in _deal(frequent, frequent % np.uint64(buckets), buckets):
+                out += _dealt(names, rows[which], _by_doc(names, rows[which], buckets), kind)
+            for b, own in _deal((frequent % np.uint64(buckets)).astype(np.int64)):
                 out.append((b, MARKS, (frequent[own] >> np.uint64(32)).astype("<u4").tobytes()))
             rows = rows[~(settled | heated)]
-            for b, own in _deal(rows, rows["hash"] % np.uint64(buckets), buckets):
-                own = rows[own]
-                used, back = np.unique(own["row"], return_inverse=True)
-                entries = np.empty(len(own), dtype=_ENTRY)
-                entries["trigger"] = own["hash"] >> np.uint64(32)
-                entries["entry"], entries["row"], entries["at"] = own["entry"], back, own["at"]
-                out.append((b, ENTRIES, _pack(names[used].ravel(), entries)))
-            yield _blob_batch(out)
+            entries = _places(rows, _ENTRY)
+            entries["trigger"] = rows["hash"] >> np.uint64(32)
+            yield _blob_batch(out + _dealt(names, entries, (rows["hash"] % np.uint64(buckets)).astype(np.int64), ENTRIES, _ENTRY))
         kept.clear()
         docs.clear()
 
-    layout = np.dtype([("hash", "<u8"), ("entry", "<u8"), ("row", "<u4"), ("at", "<u4")])
-    reach = length - width
     for batch in batches:
         for row, texts in text_chunks(batch.column(2), 1 << 18):
             joined = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
-            first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-            at, hashes, which = triggers(joined, first, length, width)
-            rows = np.empty(len(at), dtype=layout)
-            rows["hash"], rows["at"], rows["row"] = hashes, at - first[which], which + len(docs)
-            rows["entry"] = _entry_prints(joined, at, first[which], first[which + 1] - 1, reach, length)
+            rows = parse(joined, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]), length, width)
+            rows["row"] += len(docs)
             kept.append(rows)
             docs.extend(zip(batch.column(0).slice(row, len(texts)).to_pylist(), batch.column(1).slice(row, len(texts)).to_pylist(), strict=True))
             size += len(joined)
@@ -200,20 +262,6 @@ def _parse_rows(batches, length: int, width: int, buckets: int, hot: int = HOT_E
     yield from flush()
 
 
-def _entry_prints(joined: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray, reach: int, length: int) -> np.ndarray:
-    """Fingerprint of each trigger's entry, the bytes from ``reach`` before it to ``length`` after its start, cut at its
-    text's ``begin`` and ``end``; the cuts count."""
-    full = rolling_hash(joined, reach + length)
-    out = np.empty(len(at), dtype=np.uint64)
-    inner = (at - reach >= begin) & (at + length <= end)
-    out[inner] = full[at[inner] - reach]
-    for i in np.flatnonzero(~inner):
-        p = int(at[i])
-        a, b = max(int(begin[i]), p - reach), min(int(end[i]), p + length)
-        out[i] = np.frombuffer(hashlib.blake2b(bytes([p - a, b - p]) + joined[a:b].tobytes(), digest_size=8).digest(), dtype="<u8")[0]
-    return out
-
-
 def _join_blobs(blobs, kind: np.dtype, *more) -> tuple[np.ndarray, ...]:
     """All rows of a bucket's blobs, with the documents' names; row numbers are made to fit."""
     names, rows, rest, seen = [], [], [], 0
@@ -228,14 +276,11 @@ def _join_blobs(blobs, kind: np.dtype, *more) -> tuple[np.ndarray, ...]:
     return (np.concatenate(names), np.concatenate(rows), *(np.concatenate(x) for x in zip(*rest, strict=True)))
 
 
-def _per_doc(names: np.ndarray, row: np.ndarray, kind: int, values: np.ndarray) -> list[tuple[int, int, int, bytes]]:
-    """(doc, print, kind, values) for each document; ``row`` names it."""
-    order = np.argsort(row, kind="stable")
-    row, values = row[order], values[order]
-    if not len(row):
-        return []
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(row.astype(np.int64))) + 1, [len(row)]])
-    return [(int(names[row[a], 0]), int(names[row[a], 1]), kind, values[a:b].tobytes()) for a, b in zip(cut, cut[1:], strict=False)]
+def _per_doc(names: np.ndarray, rows: np.ndarray, kind: int) -> list[tuple[int, int, int, bytes]]:
+    """(doc, print, kind, places) for each document; the rows' numbers name it."""
+    order = np.argsort(rows["row"], kind="stable")
+    row, spots = rows["row"][order], _places(rows[order], _FOUND_SPOT)
+    return [(int(names[row[a], 0]), int(names[row[a], 1]), kind, spots[a:b].tobytes()) for a, b in _runs(row)]
 
 
 _FOUND = "doc long, print long, kind int, places binary"
@@ -251,31 +296,23 @@ def _by_kind(table: pa.Table, passed: tuple[int, ...]) -> tuple[dict[int, list[b
     blobs: dict[int, list[bytes]] = {}
     for kind, blob in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True):
         blobs.setdefault(kind, []).append(blob)
-    out = []
-    for kind in passed:
-        if kind in blobs:
-            names, rows = _join_blobs(blobs[kind], _PLACE)
-            out += _per_doc(names, rows["row"], kind, rows["at"])
-    return blobs, out
+    return blobs, [x for kind in passed if kind in blobs for x in _per_doc(*_join_blobs(blobs[kind], _PLACE), kind)]
 
 
 def settle_bucket(table: pa.Table, hot: int = HOT_ENTRIES) -> pa.Table:
-    """Triggers of a bucket: SETTLED places (their entry is a smaller document's too), OPEN ones (first of an entry
+    """Entries of a bucket: SETTLED places (their entry is a smaller document's too), OPEN ones (first of an entry
     whose trigger has other entries, in more than one document), and HOT ones (such places of a frequent trigger)."""
     blobs, out = _by_kind(table, (SETTLED, HOT))
     if ENTRIES not in blobs:
         return _found_table(out)
     names, rows = _join_blobs(blobs[ENTRIES], _ENTRY)
     doc = names[rows["row"], 0]
-    order = np.lexsort((rows["at"], doc, rows["entry"], rows["trigger"]))
+    order = np.lexsort((doc, rows["entry"], rows["trigger"]))
     rows, doc = rows[order], doc[order]
-    new_trigger = np.ones(len(rows), dtype=bool)
-    new_trigger[1:] = rows["trigger"][1:] != rows["trigger"][:-1]
-    new_entry = new_trigger.copy()
-    new_entry[1:] |= rows["entry"][1:] != rows["entry"][:-1]
-    entry_of, trigger_of = np.cumsum(new_entry) - 1, np.cumsum(new_trigger) - 1
-    least = doc[np.flatnonzero(new_entry)]
-    settled = doc > least[entry_of]
+    new_trigger = np.concatenate([[True], rows["trigger"][1:] != rows["trigger"][:-1]])
+    new_entry = new_trigger | np.concatenate([[True], rows["entry"][1:] != rows["entry"][:-1]])
+    trigger_of = row_of(new_trigger)
+    settled = doc > doc[np.flatnonzero(new_entry)][row_of(new_entry)]
     begin = np.flatnonzero(new_trigger)
     entries = np.add.reduceat(new_entry.astype(np.int64), begin)
     several = (np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)) & (entries > 1)
@@ -284,7 +321,7 @@ def settle_bucket(table: pa.Table, hot: int = HOT_ENTRIES) -> pa.Table:
     heated = frequent[trigger_of] & ~settled
     opened = several[trigger_of] & ~settled & ~heated  # all places of an entry's first document
     for which, kind in ((settled, SETTLED), (heated, HOT), (opened, OPEN)):
-        out += _per_doc(names, rows["row"][which], kind, rows["at"][which].astype("<u4"))
+        out += _per_doc(names, rows[which], kind)
     return _found_table(out)
 
 
@@ -293,7 +330,7 @@ def _string_hash(strings: np.ndarray) -> np.ndarray:
     words[:, : strings.shape[1]] = strings
     out = np.zeros(len(strings), dtype=np.uint64)
     for word in words.view("<u8").T:
-        out = mix64((out ^ word) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+        out = mix64((out ^ word) * _MUL + np.uint64(1))
     return out
 
 
@@ -312,87 +349,114 @@ def _repeated(strings: np.ndarray, hashes: np.ndarray, doc: np.ndarray) -> np.nd
     return doc > least[group]
 
 
+def _copies(rows: np.ndarray, skip: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places of the ``n`` starts from ``skip`` on in each of a place's copies."""
+    whole = (skip == 0) & (n == rows["n"])
+    part = np.flatnonzero(~whole)
+    times = rows["count"][part].astype(np.int64)
+    back = np.repeat(part, times)
+    nth = np.arange(len(back)) - np.repeat(np.cumsum(times) - times, times)
+    out = _places(rows[back])
+    out["at"] = rows["at"][back] + skip[back] + nth * rows["n"][back]
+    out["count"], out["n"] = 1, n[back]
+    return np.concatenate([_places(rows[whole]), out])
+
+
 def _string_blobs(parts: list[tuple[tuple[int, int], np.ndarray, np.ndarray]], buckets: int) -> list[tuple[int, int, bytes]]:
-    """Strings of frequent triggers, (document's name, starts, strings), dealt by hash; those that a smaller document of the
-    task has too are found already."""
+    """Strings of frequent triggers, (document's name, places, strings), dealt by hash; those that a smaller document of the
+    task has too are found already. A string's place has its offset in ``off``."""
     names = np.array([p[0] for p in parts], dtype=np.int64).reshape(-1, 2)
-    row = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
-    at, strings = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    rows, strings = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    rows["row"] = np.repeat(np.arange(len(parts)), [len(p[1]) for p in parts])
     hashes = _string_hash(strings)
-    gone = _repeated(strings, hashes, names[row, 0])
-    out = _passed_on(names, row[gone], at[gone], REPEAT, buckets)
-    row, at, strings, hashes = row[~gone], at[~gone], strings[~gone], hashes[~gone]
-    for b, own in _deal(row, hashes % np.uint64(buckets), buckets):
-        used, back = np.unique(row[own], return_inverse=True)
-        places = np.empty(len(own), dtype=_PLACE)
-        places["row"], places["at"] = back, at[own]
-        out.append((b, STRINGS, _pack(names[used].ravel(), places, strings[own].ravel())))
-    return out
+    gone = _repeated(strings, hashes, names[rows["row"], 0])
+    found = _copies(rows[gone], rows["off"][gone].astype(np.int64), np.ones(int(gone.sum()), dtype=np.int64))
+    rows, strings, hashes = rows[~gone], strings[~gone], hashes[~gone]
+    dealt = _dealt(names, rows, (hashes % np.uint64(buckets)).astype(np.int64), STRINGS, more=lambda own: strings[own].ravel())
+    return _dealt(names, found, _by_doc(names, found, buckets), REPEAT) + dealt
+
+
+def _windows(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of several pieces of a text, one behind the other."""
+    ahead = np.cumsum(size) - size
+    return text[np.repeat(begin - ahead, size) + np.arange(int(size.sum()))]
 
 
 def _context_rows(batches, length: int, width: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """(bucket, kind, blob): the texts of open entries, dealt by their trigger again, and the strings around frequent triggers."""
-    reach, parts, held = length - width, [], 0
+    parts, held = [], 0
     for batch in batches:
-        out: dict[int, list] = {}
-        names: dict[int, list] = {}
         for first, texts in text_chunks(batch.column(2), 4 << 20):
-            for i, raw in enumerate(texts):
-                blobs = batch.column(3)[first + i].as_py() or []
-                at, heated = (np.sort(np.concatenate([np.empty(0, dtype="<u4"), *(np.frombuffer(b["places"], dtype="<u4") for b in blobs if b["kind"] == k)])).astype(np.int64) for k in (OPEN, HOT))
-                text = np.frombuffer(raw, dtype=np.uint8)
-                if len(heated) and len(raw) >= length:
-                    wanted = np.zeros(len(raw) - length + 1, dtype=bool)
-                    for back in range(reach + 1):
-                        p = heated - back
-                        wanted[p[(p >= 0) & (p < len(wanted))]] = True
-                    starts, views = np.flatnonzero(wanted), np.lib.stride_tricks.sliding_window_view(text, length)
-                    for a in range(0, len(starts), _STRINGS):
-                        own = starts[a : a + _STRINGS]
-                        parts.append(((batch.column(0)[first + i].as_py(), batch.column(1)[first + i].as_py()), own, views[own]))
+            ids = [x.slice(first, len(texts)).to_pylist() for x in batch.columns[:2]]
+            names, opened, base, at = np.array(ids, dtype=np.int64).T, [], [], 0
+            for i, (raw, blobs) in enumerate(zip(texts, batch.column(3).slice(first, len(texts)).to_pylist(), strict=True)):
+                for x in blobs or []:
+                    rows = _places(np.frombuffer(x["places"], dtype=_FOUND_SPOT))
+                    rows["row"] = i
+                    if x["kind"] == OPEN:
+                        opened.append(rows)
+                        base.append(np.full(len(rows), at))
+                        continue
+                    views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, dtype=np.uint8), length)
+                    n = rows["n"].astype(np.int64)
+                    each = np.repeat(np.arange(len(rows)), n)
+                    rows, skip = rows[each], np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                    rows["off"] = skip
+                    for a in range(0, len(rows), _STRINGS):
+                        own = rows[a : a + _STRINGS]
+                        parts.append((tuple(names[i]), own, views[own["at"].astype(np.int64) + skip[a : a + _STRINGS]]))
                         held += len(own)
                         if held >= _STRINGS:
                             yield _blob_batch(_string_blobs(parts, buckets))
                             parts, held = [], 0
-                if not len(at):
-                    continue
-                grams = np.lib.stride_tricks.sliding_window_view(text, width)[at]
-                bucket = (rolling_hash(np.ascontiguousarray(grams).ravel(), width)[::width]) % np.uint64(buckets)
-                for p, b in zip(at, bucket, strict=True):
-                    b, a, z = int(b), max(0, int(p) - reach), min(len(raw), int(p) + length)
-                    own = names.setdefault(b, [])
-                    name = (batch.column(0)[first + i].as_py(), batch.column(1)[first + i].as_py())
-                    if not own or own[-1] != name:
-                        own.append(name)
-                    out.setdefault(b, []).append((len(own) - 1, int(p), int(p) - a, z - a, raw[a:z]))
-        packed = []
-        for b in sorted(out):
-            rows = np.array([tuple(x[:4]) for x in out[b]], dtype=_CONTEXT)
-            text = np.frombuffer(b"".join(x[4] for x in out[b]), dtype=np.uint8)
-            packed.append((b, CONTEXTS, _pack(np.array(names[b], dtype=np.int64).ravel(), rows, text)))
-        yield _blob_batch(packed)
+                at += len(raw)
+            if opened:
+                rows, text = np.concatenate(opened), np.frombuffer(b"".join(texts), dtype=np.uint8)
+                begin, size = np.concatenate(base) + rows["at"], rows["n"].astype(np.int64) + length - 1
+                grams = _windows(text, begin + rows["off"], np.full(len(rows), width))
+                bucket = (rolling_hash(grams, width)[::width] % np.uint64(buckets)).astype(np.int64)
+                yield _blob_batch(_dealt(names, rows, bucket, CONTEXTS, more=lambda own, t=text, b=begin, s=size: _windows(t, b[own], s[own])))
     if parts:
         yield _blob_batch(_string_blobs(parts, buckets))
 
 
-def suffix_ranks(text: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the ``length`` bytes from each place on among all of them, equal strings equal: a suffix array by prefix
-    doubling, broken off at that depth."""
-    rank, depth = text.astype(np.uint64), 1
-    while depth < 8 and 2 * depth <= length:  # up to eight bytes are a number
-        rank = rank[:-depth] << np.uint64(8 * depth) | rank[depth:]
-        depth *= 2
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
-    while depth < length:
-        step = min(depth, length - depth)
-        pair = rank[: len(rank) - step] * np.uint64(len(text) + 256) + rank[step:]
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-        depth += step
-    return rank
+def _sorted(group: np.ndarray, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of byte strings (rows) within their groups, and how many bytes each shares with the one before; -1 where a group begins."""
+    wide = np.zeros((len(strings), -(-strings.shape[1] // 8) * 8), dtype=np.uint8)
+    wide[:, : strings.shape[1]] = strings
+    order = np.lexsort((*wide.view(">u8").astype(np.uint64).T[::-1], group))
+    unlike = strings[order][1:] != strings[order][:-1]
+    shared = np.where(unlike.any(axis=1), unlike.argmax(axis=1), strings.shape[1])
+    shared[group[order][1:] != group[order][:-1]] = -1
+    return order, np.concatenate([[-1], shared])
+
+
+def string_order(text: np.ndarray, begin: np.ndarray, n: np.ndarray, off: np.ndarray, group: np.ndarray, length: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The places, in the order of all strings, of the strings of entries: for each distance to the trigger the entries that have
+    such a string, its number among their starts, and its place; equal places are equal strings.
+
+    Entries are at ``begin`` in ``text``, with ``n`` starts and the trigger ``off`` behind; ``group`` tells triggers apart.
+    """
+    reach, trigger = length - width, begin + off
+    depth = np.arange(reach)
+    before = np.where(depth < off[:, None], text[np.maximum(trigger[:, None] - 1 - depth, 0)], 0)
+    room = (n + length - 1 - off - width)[:, None]
+    behind = np.where(depth < room, text[np.minimum(trigger[:, None] + width + depth, len(text) - 1)], 0)
+    suffixes, parses = _sorted(group, before), _sorted(group, behind)
+
+    def place(order: np.ndarray, shared: np.ndarray, reached: int) -> np.ndarray:
+        out = np.empty(len(order), dtype=np.int64)
+        out[order] = np.cumsum(shared < reached)
+        return out
+
+    for d in range(reach + 1):
+        own = np.flatnonzero((d <= off) & (d > off - n))
+        if len(own):
+            yield own, off[own] - d, place(*suffixes, d)[own] * (len(begin) + 1) + place(*parses, reach - d)[own]
 
 
-#: Bytes of entries that are ranked at once; entries of one trigger stay together.
-_RANKED = 1 << 19
+#: Entries that are ordered at once; those of one trigger stay together.
+_ORDERED = 1 << 15
 
 
 def repeats_in_bucket(table: pa.Table, length: int, width: int) -> pa.Table:
@@ -403,57 +467,59 @@ def repeats_in_bucket(table: pa.Table, length: int, width: int) -> pa.Table:
         names, rows, text = _join_blobs(blobs[STRINGS], _PLACE, np.uint8)
         strings = text.reshape(-1, length)
         gone = _repeated(strings, _string_hash(strings), names[rows["row"], 0])
-        out += _per_doc(names, rows["row"][gone], REPEAT, rows["at"][gone])
+        out += _per_doc(names, _copies(rows[gone], rows["off"][gone].astype(np.int64), np.ones(int(gone.sum()), dtype=np.int64)), REPEAT)
     if CONTEXTS not in blobs:
         return _found_table(out)
-    names, rows, text = _join_blobs(blobs[CONTEXTS], _CONTEXT, np.uint8)
-    if len(text) < length:
-        return _found_table(out)
-    size = rows["size"].astype(np.int64)
-    begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-    trigger = rolling_hash(text, width)[begin + rows["left"]]
-    order = np.argsort(trigger, kind="stable")
-    rows, size, begin, trigger = rows[order], size[order], begin[order], trigger[order]
-    ends = np.concatenate([np.flatnonzero(trigger[1:] != trigger[:-1]) + 1, [len(rows)]])
-    total = np.concatenate([[0], np.cumsum(size)])
-    found_rows, found_starts, at = [], [], 0
+    names, rows, text = _join_blobs(blobs[CONTEXTS], _PLACE, np.uint8)
+    n, off = rows["n"].astype(np.int64), rows["off"].astype(np.int64)
+    size = n + length - 1
+    begin = np.cumsum(size) - size
+    grams = _windows(text, begin + off, np.full(len(rows), width)).reshape(-1, width)
+    order = np.lexsort(_string_hash(grams)[None])
+    hashes = _string_hash(grams[order])
+    ends = np.append(np.flatnonzero(hashes[1:] != hashes[:-1]) + 1, len(rows))
+    at = 0
     while at < len(rows):
-        i = max(int(np.searchsorted(total[ends], total[at] + _RANKED, side="right")) - 1, int(np.searchsorted(ends, at, side="right")))
-        stop = int(ends[i])
-        part, own = slice(at, stop), size[at:stop]
-        local = np.cumsum(own) - own
-        piece = text[np.repeat(begin[part] - local, own) + np.arange(int(own.sum()))]
+        stop = int(ends[max(np.searchsorted(ends, at + _ORDERED, side="right") - 1, np.searchsorted(ends, at, side="right"))])
+        part, group = order[at:stop], np.unique(np.ascontiguousarray(grams[order[at:stop]]).view(f"V{width}").ravel(), return_inverse=True)[1]
+        doc = names[rows["row"][part], 0]
+        gone_entry, gone_start = [], []
+        for own, start, place in string_order(text, begin[part], n[part], off[part], group, length, width):
+            place = np.unique(place, return_inverse=True)[1]
+            least = np.full(int(place.max()) + 1, _NONE, dtype=np.int64)
+            np.minimum.at(least, place, doc[own])
+            gone = doc[own] > least[place]
+            gone_entry.append(own[gone])
+            gone_start.append(start[gone])
         at = stop
-        if len(piece) < length:
-            continue
-        ranks = suffix_ranks(piece, length)
-        fits = np.maximum(own - length + 1, 0)
-        owner = np.repeat(np.arange(len(own)), fits)
-        inside = np.arange(len(owner)) - np.repeat(np.cumsum(fits) - fits, fits)
-        rank, doc = ranks[local[owner] + inside], names[rows["row"][part][owner], 0]
-        least = np.full(int(rank.max()) + 1 if len(rank) else 0, _NONE, dtype=np.int64)
-        np.minimum.at(least, rank, doc)
-        gone = doc > least[rank]
-        owner, inside = owner[gone], inside[gone]
-        found_rows.append(rows["row"][part][owner])
-        found_starts.append((rows["at"][part][owner].astype(np.int64) - rows["left"][part][owner] + inside).astype("<u4"))
-    if not found_rows:
-        return _found_table(out)
-    return _found_table(out + _per_doc(names, np.concatenate(found_rows), REPEAT, np.concatenate(found_starts)))
+        entry, start = np.concatenate(gone_entry), np.concatenate(gone_start)
+        if len(entry):
+            by = np.lexsort((start, entry))
+            entry, start = entry[by], start[by]
+            lead = np.flatnonzero(np.concatenate([[True], (entry[1:] != entry[:-1]) | (start[1:] != start[:-1] + 1)]))
+            out += _per_doc(names, _copies(rows[part[entry[lead]]], start[lead], np.diff(np.append(lead, len(entry)))), REPEAT)
+    return _found_table(out)
 
 
-def _spans(size: int, blobs: list[dict], reach: int, length: int) -> list[tuple[int, int]]:
-    """Maximal removed runs of a document."""
-    edge = np.zeros(size + 1, dtype=np.int32)
-    for x in blobs:
-        at = np.frombuffer(x["places"], dtype="<u4").astype(np.int64)
-        a, b = (np.maximum(at - reach, 0), np.minimum(at + length, size)) if x["kind"] == SETTLED else (at, at + length)
-        long = b - a >= length
-        np.add.at(edge, a[long], 1)
-        np.add.at(edge, b[long], -1)
-    covered = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])
-    step = np.diff(covered)
-    return list(zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True))
+def _cut(texts: list[bytes], found: list[list[bytes] | None], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Texts (their numbers), starts and ends of the removed runs, and every text without them."""
+    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    spots = [np.frombuffer(x, dtype=_FOUND_SPOT) for own in found for x in own or []]
+    which = np.repeat(np.arange(len(texts)), [sum(len(x) for x in own or []) // _FOUND_SPOT.itemsize for own in found])
+    spots = np.concatenate([np.empty(0, dtype=_FOUND_SPOT), *spots])
+    begin = first[which] + spots["at"]
+    end = begin + spots["n"].astype(np.int64) * spots["count"] - 1 + length
+    edge = np.bincount(begin, minlength=first[-1] + 1) - np.bincount(end, minlength=first[-1] + 1)
+    step = np.diff(np.concatenate([[0], (np.cumsum(edge) > 0).astype(np.int8)]))
+    begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    which = np.searchsorted(first, begin, side="right") - 1
+    begin, end = begin - first[which], end - first[which]
+    kept = list(texts)
+    cut = np.searchsorted(which, np.arange(len(texts) + 1))
+    for i in np.unique(which):
+        own = slice(cut[i], cut[i + 1])
+        kept[i] = b"".join(texts[i][a:b] for a, b in zip([0, *end[own]], [*begin[own], len(texts[i])], strict=True))
+    return which, begin, end, kept
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 50, trigger: int = TRIGGER, hot: int = HOT_ENTRIES) -> DataFrame:
@@ -462,38 +528,30 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document of a smaller doc_id; strings are
     judged on the input and never cross documents. Null text is empty. Rows that repeat a doc_id don't count against each
-    other; a null doc_id counts as larger than any other. Other columns take no part. An empty table gives no rows.
+    other; a null doc_id counts as larger than any other. Texts of any length are parsed whole, one at a time. Other columns take
+    no part. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    buckets = parts = shuffle_partitions(spark)
-    reach = length - trigger
     raw = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64(utf8(text)).alias("print"), utf8(text).alias("raw"))
+    size = raw.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    buckets = parts = max(shuffle_partitions(docs.sparkSession), -(-size // _BUCKET))
     homed = raw.repartition(parts, "doc", "print")
 
-    parsed = raw.mapInArrow(lambda it: _parse_rows(it, length, trigger, buckets, hot), _BLOBS)
+    parsed = raw.mapInArrow(lambda it: _parse_rows(it, length, trigger, buckets, hot), _BLOBS).repartition(parts, "bucket")
     settled = materialize(parsed.groupBy("bucket").applyInArrow(lambda t: settle_bucket(t, hot), _FOUND), "settled")
 
     opened = settled.where(F.col("kind").isin(OPEN, HOT)).groupBy("doc", "print").agg(F.collect_list(F.struct("kind", "places")).alias("places"))
     contexts = homed.join(opened, ["doc", "print"]).select("doc", "print", "raw", "places").mapInArrow(lambda it: _context_rows(it, length, trigger, buckets), _BLOBS)
-    repeated = contexts.groupBy("bucket").applyInArrow(lambda t: repeats_in_bucket(t, length, trigger), _FOUND)
+    repeated = contexts.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: repeats_in_bucket(t, length, trigger), _FOUND)
 
-    found = settled.where(F.col("kind") == SETTLED).unionByName(repeated).groupBy("doc", "print").agg(F.collect_list(F.struct("kind", "places")).alias("found"))
+    found = settled.where(F.col("kind") == SETTLED).unionByName(repeated).groupBy("doc", "print").agg(F.collect_list("places").alias("found"))
 
     def finish(batches):
         for batch in batches:
             for first, texts in text_chunks(batch.column(1)):
-                n, spans, kept = [], [], []
-                for i, whole in enumerate(texts):
-                    runs = _spans(len(whole), batch.column(2)[first + i].as_py() or [], reach, length)
-                    pieces, at = [], 0
-                    for a, b in runs:
-                        pieces.append(whole[at:a])
-                        at = b
-                    n.append(len(whole))
-                    spans.append([{"start": a, "end": b} for a, b in runs])
-                    kept.append(b"".join([*pieces, whole[at:]]))
-                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
+                which, begin, end, kept = _cut(texts, batch.column(2).slice(first, len(texts)).to_pylist(), length)
+                spans = pa.StructArray.from_arrays([pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["start", "end"])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(which, np.arange(len(texts) + 1)), pa.int32()), spans)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(t) for t in texts], pa.int64()), lists, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "removed", "kept"])
 
     whole = homed.join(found, ["doc", "print"], "left").select(F.nullif("doc", F.lit(_NONE)).alias("doc_id"), "raw", "found")
     return whole.mapInArrow(finish, "doc_id long, n_bytes long, removed array<struct<start: long, end: long>>, kept binary")

@@ -89,14 +89,43 @@ def test_empty_table(spark):
     assert found(spark.createDataFrame([], "doc_id long, text string")) == []
 
 
-def test_suffix_ranks():
+def test_phrases_and_order_of_strings():
+    """Every string has one trigger, at the same place in all its copies; equal places in the order are equal strings."""
     rng = np.random.default_rng(1)
-    text = rng.integers(97, 99, 400).astype(np.uint8)
-    for length in (1, 3, 8, 50):
-        raw, rank = text.tobytes(), repeats.suffix_ranks(text, length)
-        grams = [raw[i : i + length] for i in range(len(raw) - length + 1)]
-        order = {g: i for i, g in enumerate(sorted(set(grams)))}
-        assert [order[g] for g in grams] == rank.tolist()
+    texts = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in (400, 0, 49, 50, 300)] + [b"=" * 200, b"-=" * 100, b"=" * 90]
+    texts += [texts[0][100:220], texts[4]]
+    joined = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    first = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    rows = repeats.parse(joined, first, 50, 20)
+    starts, trigger = {}, {}
+    for r in rows:
+        text = texts[r["row"]]
+        for c in range(r["count"]):
+            for j in range(r["n"]):
+                i = int(r["at"]) + c * int(r["n"]) + j
+                starts.setdefault(int(r["row"]), []).append(i)
+                assert trigger.setdefault(text[i : i + 50], int(r["off"]) - j) == int(r["off"]) - j
+    assert starts == {i: list(range(len(t) - 49)) for i, t in enumerate(texts) if len(t) >= 50}
+    assert sum(rows["row"] == 5) < 40 and sum(rows["row"] == 6) < 60  # a ruler is a few rows
+
+    whole = np.concatenate([np.frombuffer(texts[r["row"]][r["at"] : r["at"] + r["n"] + 49], dtype=np.uint8) for r in rows])
+    n, off = rows["n"].astype(np.int64), rows["off"].astype(np.int64)
+    begin = np.cumsum(n + 49) - n - 49
+    group = np.unique(rows["hash"], return_inverse=True)[1]
+    by_place = {}
+    for own, start, place in repeats.string_order(whole, begin, n, off, group, 50, 20):
+        for e, j, p in zip(own, start, place, strict=True):
+            by_place.setdefault((int(off[e] - j), int(p)), set()).add(whole[begin[e] + j : begin[e] + j + 50].tobytes())
+    assert all(len(x) == 1 for x in by_place.values()) and len(by_place) == len(trigger)
+
+
+def test_ruler_lines(spark):
+    rng = random.Random(8)
+    docs = [(i, noise(rng, 30) + rng.choice(["=", "-=", "#. "]) * rng.randrange(20, 700) + noise(rng, 40)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = brute([(d, t.encode()) for d, t in docs])
+    for hot in (2, 4096):
+        assert sorted(((r["doc_id"], r["n_bytes"], [(s["start"], s["end"]) for s in r["removed"]], bytes(r["kept"])) for r in repeats.remove_repeats(df, hot=hot).collect()), key=repr) == want
 
 
 def test_query(spark):
