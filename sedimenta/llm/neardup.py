@@ -6,7 +6,7 @@ neighbours on the circle, a signature is one gather and one minimum.
 
 1. One scan makes, per document, the size of its shingle set, a 128-bit key of its word sequence, and its band keys.
    Documents of one word sequence are a class and are represented by its smallest doc_id.
-2. Representatives that share a band key are candidates. In a bucket, members are compared with one hub and then with two more,
+2. Representatives that share a band key are candidates. In a bucket, members are compared with one hub and then with another,
    and only across components that are still separate: that settles small buckets and buckets of copies. Hubs come from partial
    aggregation, so that no bucket is gathered.
 3. A pair is verified on the full shingle sets. Members stream past their hub's set; a hub of many members is dealt
@@ -77,7 +77,7 @@ def sign_documents(docs: DataFrame, doc_id: str, text: str, n: int, bands: int,
     def run(batches):
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            for first, texts in text_chunks(batch.column(1)):
+            for first, texts in text_chunks(batch.column(1), 1 << 20):
                 sizes, a, b, keys = [], [], [], []
                 for grams, words in shingle_sets(texts, n):
                     sizes.append(len(grams))
@@ -100,7 +100,7 @@ def sign_documents(docs: DataFrame, doc_id: str, text: str, n: int, bands: int,
 def verify_pairs(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (hub, member) of documents in ``texts`` (doc_id, text) for which 100 * common >= percent * all shingles."""
     spark = pairs.sparkSession
-    known = with_totals(pairs, "hub", "member", members=("sum", F.lit(1)))
+    known = with_totals(pairs, "hub", members=F.count("*"))
     deals = F.greatest(F.ceil(F.col("members") / _DEAL), F.lit(1)).cast("int")
     member = known.select("hub", F.pmod(F.xxhash64("member"), deals).cast("int").alias("deal"), F.col("member").alias("doc_id"), F.lit(1).alias("turn"))
     own = member.select("hub", "deal").distinct().select("hub", "deal", F.col("hub").alias("doc_id"), F.lit(0).alias("turn"))
@@ -138,13 +138,13 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
     return rows.mapInArrow(run, "hub long, member long")
 
 
-def _candidates(buckets: DataFrame, hubs: list[str], percent: int) -> DataFrame:
-    """(hub, member): the named hubs with the members of their bucket that are in other components and of a size that a link
+def _candidates(buckets: DataFrame, hub: str, percent: int) -> DataFrame:
+    """(hub, member): the hubs of a column with the members of their bucket that are in other components and of a size that a link
     allows."""
-    each = buckets.select("doc_id", "n_shingles", "component", F.explode(F.array(*[F.struct(F.col(h).alias("id"), F.col(f"{h}_size").alias("size"), F.col(f"{h}_component").alias("component")) for h in hubs])).alias("hub"))
-    near = F.least("n_shingles", "hub.size") * 100 >= F.greatest("n_shingles", "hub.size") * percent
-    apart = (F.col("doc_id") != F.col("hub.id")) & (F.col("component") != F.col("hub.component"))
-    return each.where(apart & near).select(F.col("hub.id").alias("hub"), F.col("doc_id").alias("member")).distinct()
+    sizes = buckets.where(F.col("doc_id") == F.col(hub)).select(F.col("doc_id").alias("hub"), F.col("n_shingles").alias("hub_size"), F.col("component").alias("hub_component"))
+    pairs = buckets.where(F.col("doc_id") != F.col(hub)).select(F.col(hub).alias("hub"), F.col("doc_id").alias("member"), "n_shingles", "component").distinct()
+    near = F.least("n_shingles", "hub_size") * 100 >= F.greatest("n_shingles", "hub_size") * percent
+    return pairs.join(materialize(sizes.distinct(), "hub-sizes"), "hub").where(near & (F.col("component") != F.col("hub_component"))).select("hub", "member")
 
 
 def _open(buckets: DataFrame) -> DataFrame:
@@ -243,36 +243,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(real.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("head")), "classes")
     own = classes.withColumnRenamed("head", "doc_id")
-    heads = real.join(own, ["key_a", "key_b", "doc_id"], "left_semi").select("doc_id", "n_shingles", "band_keys").dropDuplicates(["doc_id", "band_keys"])
+    heads = real.join(own, ["key_a", "key_b", "doc_id"], "left_semi").dropDuplicates(["key_a", "key_b", "doc_id"]).select("doc_id", "n_shingles", "band_keys")
     # Copies hang on their class's head; only a doc_id of several texts ties heads together.
     headed = signed.join(classes, ["key_a", "key_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("head", "doc_id")).alias("head"))
     same = headed.groupBy("doc_id").agg(F.max("head").alias("a"), F.min("head").alias("b")).where("a <> b")
     same = same.select("a", "b").unionByName(same.select(F.col("doc_id").alias("a"), "b"))
 
     keyed = heads.select("doc_id", "n_shingles", F.explode("band_keys").alias("band"))
-    # A bucket's hubs: its smallest and largest id, and one by hash. All come from partial aggregation.
-    mixed = F.xxhash64("doc_id", F.lit(3))
-    hubs = [c for name, pick in (("one", "doc_id"), ("two", -F.col("doc_id")), ("three", mixed)) for c in (F.min_by("doc_id", pick).alias(name), F.min_by("n_shingles", pick).alias(f"{name}_size"))]
-    shared = materialize(keyed.groupBy("band").agg(*hubs).where("one <> two"), "hubs")
+    # A bucket's hubs are its smallest and its largest id, from partial aggregation.
+    shared = materialize(keyed.groupBy("band").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("two")).where("one <> two"), "hubs")
     buckets = materialize(keyed.join(shared, "band"), "buckets")
     wanted = buckets.select("doc_id").distinct()
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts = materialize(source.join(wanted, "doc_id", "left_semi"), "candidate-texts")
 
-    alone = buckets.withColumns({"component": F.col("doc_id"), "one_component": F.col("one")})
-    links = materialize(verify_pairs(_candidates(alone, ["one"], percent), texts, n, percent), "links")
+    links = materialize(verify_pairs(_candidates(buckets.withColumn("component", F.col("doc_id")), "one", percent), texts, n, percent), "links")
     ties = links.select(F.col("hub").alias("a"), F.col("member").alias("b")).unionByName(same)
     labels = connected_components(ties)
-    for part in ("hubs", "rest"):
-        label = lambda c, to: labels.select(F.col("node").alias(c), F.col("component").alias(to))
-        now = materialize(buckets.join(label("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "buckets-now")
-        still = _open(now)
-        if part == "hubs":
-            for h in ("two", "three"):
-                still = still.join(label(h, f"{h}_component"), h, "left").withColumn(f"{h}_component", F.coalesce(f"{h}_component", h))
-            fresh = verify_pairs(_candidates(still, ["two", "three"], percent), texts, n, percent)
+    for part in ("two", "rest"):
+        label = labels.withColumnRenamed("node", "doc_id")
+        now = materialize(buckets.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "buckets-now")
+        if part == "two":
+            fresh = verify_pairs(_candidates(_open(now), "two", percent), texts, n, percent)
         else:  # hubs have met everyone
-            left = materialize(_open(now.where("doc_id <> one AND doc_id <> two AND doc_id <> three")), "open-buckets")
+            left = materialize(_open(now.where("doc_id <> one AND doc_id <> two")), "open-buckets")
             if left.isEmpty():
                 break
             fresh = _block_links(left, texts, n, percent)

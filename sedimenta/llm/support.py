@@ -40,17 +40,11 @@ def free_name(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def with_totals(df: DataFrame, key: str, over: str, **totals: tuple[str, Column]) -> DataFrame:
-    """Add to each row the totals of its key, name=(min, max or sum, column), without bringing a key's rows to one task.
-
-    Rows are dealt by key and a salt from the column ``over``; a salt's totals are combined per key, as many values as there are
-    salts at most, and joined back by key and salt.
-    """
-    salt = free_name(df, "salt", *totals)[0]
-    dealt = df.withColumn(salt, F.pmod(F.xxhash64(over, F.lit(7)), F.lit(shuffle_partitions(df.sparkSession))).cast("int"))
-    parts = dealt.groupBy(key, salt).agg(*(getattr(F, how)(c).alias(name) for name, (how, c) in totals.items()))
-    whole = parts.select(key, salt, *(getattr(F, how)(name).over(W.partitionBy(key)).alias(name) for name, (how, _) in totals.items()))
-    return dealt.join(whole, [key, salt]).drop(salt)
+def with_totals(df: DataFrame, key: str, **totals: Column) -> DataFrame:
+    """Add to each row the totals (aggregates by name) of its key. They come from partial aggregation and are written before they are
+    joined back, so that the join stands alone: Spark broadcasts totals that turn out small, and else splits frequent keys."""
+    whole = df.groupBy(key).agg(*(c.alias(name) for name, c in totals.items()))
+    return df.join(materialize(whole, "totals"), key)
 
 
 def running_total(df: DataFrame, key: str, order: list[str], size: Column, out: str) -> DataFrame:

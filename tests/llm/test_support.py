@@ -13,9 +13,9 @@ def skewed(spark):
 def test_totals(spark):
     df, w = skewed(spark), W.partitionBy("k")
     want = df.withColumns({"low": F.min("v").over(w), "n": F.sum(F.lit(1)).over(w)})
-    got = with_totals(df, "k", "id", low=("min", F.col("v")), n=("sum", F.lit(1)))
+    got = with_totals(df, "k", low=F.min("v"), n=F.sum(F.lit(1)))
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
-    assert with_totals(df.limit(0), "k", "id", n=("sum", F.lit(1))).count() == 0
+    assert with_totals(df.limit(0), "k", n=F.sum(F.lit(1))).count() == 0
 
 
 def test_running_total(spark):
