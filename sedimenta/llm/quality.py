@@ -1,12 +1,12 @@
 """Quality classifier by co-training two views.
 
-The content view sees which words a document holds (lowered, without full stops and commas). The page view sees what
-surrounds them: language, source, size, line and word lengths, and the shares of upper-case letters, digits, other signs
-and immediate repetitions. The content view is a logistic regression on the words whose frequency in good and bad
-documents differs by many standard errors, the page view a naive Bayes classifier.
+The content view sees the text alone: which words a document holds (lowered, without full stops and commas), and in which bin its
+size, line and word lengths and the shares of upper-case letters, digits, other signs and immediate repetitions fall. The page
+view sees the metadata alone: language, source and the recorded number of characters. The content view is a logistic regression on the
+words and bins whose frequency in good and bad documents differs by many standard errors, the page view a naive Bayes classifier.
 
 Rounds: each view scores all documents, and documents that it is sure of become pseudo-labels for the other view, which
-is fitted anew. In the end both views are calibrated on labels that no fit has seen, and their log-odds are
+is fitted anew; good and bad ones are taken in the labels' proportion. In the end both views are calibrated on labels that no fit has seen, and their log-odds are
 added. Fits run on bounded samples (``max_fit`` labels, ``pseudo`` pseudo-labels of each kind and round, both drawn by
 hash); scores, and the search for pseudo-labels, cover all documents. Nothing is shuffled but the pseudo-labels.
 """
@@ -14,12 +14,13 @@ hash); scores, and the search for pseudo-labels, cover all documents. Nothing is
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +32,8 @@ _UPPER, _DIGIT, _LINE = member_table(bytes(range(0x41, 0x5B))), member_table(b"0
 _SIGN = member_table(bytes(x for x in range(0x21, 0x7F) if not chr(x).isalnum() and chr(x) not in ".,"))
 NUMBERS = ("size", "line_words", "word_bytes", "upper", "digits", "signs", "repeats")
 CATEGORIES = ("lang", "source")
+#: The page view's number; -1 stands for null.
+LENGTH = "n_chars"
 #: Quantiles between a number's bins: finer at both ends, where odd documents are.
 _CUTS = np.array([0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.93, 0.96, 0.98, 0.99, 0.995])
 
@@ -41,7 +44,7 @@ class Views:
 
     words: np.ndarray  # 32-bit hashes of all words
     first: np.ndarray  # per document the number of its first word, and one more
-    numbers: np.ndarray  # documents by NUMBERS
+    numbers: np.ndarray  # documents by NUMBERS and LENGTH
     categories: np.ndarray  # documents by CATEGORIES, hashed; 0 for null
 
 
@@ -62,8 +65,9 @@ def look(texts: list[bytes], columns: dict[str, list]) -> Views:
     if len(hashes) > 1:
         same[2:] = np.cumsum(hashes[1:] == hashes[:-1])
     again = same[first[1:]] - same[np.minimum(first[:-1] + 1, first[1:])]
+    length = np.array([-1.0 if x is None else x for x in columns[LENGTH]]) if LENGTH in columns else np.full(len(texts), -1.0)
     lines = np.add.reduceat(_LINE[joined].astype(np.int64), begin)
-    numbers = np.stack([np.log1p(size), count / lines, (letters[first[1:]] - letters[first[:-1]]) / np.maximum(count, 1), share(_UPPER), share(_DIGIT), share(_SIGN), again / np.maximum(count, 1)], axis=1)
+    numbers = np.stack([np.log1p(size), count / lines, (letters[first[1:]] - letters[first[:-1]]) / np.maximum(count, 1), share(_UPPER), share(_DIGIT), share(_SIGN), again / np.maximum(count, 1), length], axis=1)
     categories = np.stack([_category(columns[c]) if c in columns else np.zeros(len(texts), dtype=np.int64) for c in CATEGORIES], axis=1)
     return Views((hashes >> np.uint64(32)).astype(np.uint32), first, numbers, categories)
 
@@ -71,15 +75,29 @@ def look(texts: list[bytes], columns: dict[str, list]) -> Views:
 # --------------------------------------------------------------------------- the two classifiers (good against bad)
 
 
+def _edges(numbers: np.ndarray) -> list[np.ndarray]:
+    """Bounds of each number's bins."""
+    return [np.unique(np.quantile(c, _CUTS)) for c in numbers.T]
+
+
+def _bins(edges: list[np.ndarray], numbers: np.ndarray) -> np.ndarray:
+    """Documents by NUMBERS: the bins, as 32-bit names beside those of words."""
+    at = np.stack([np.searchsorted(e, c, side="right") + 1000 * i for i, (e, c) in enumerate(zip(edges, numbers.T, strict=True), 1)], axis=1)
+    return (mix64(at.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
 @dataclass
 class ContentView:
+    edges: list[np.ndarray]
     words: np.ndarray
     weights: np.ndarray
     base: float
 
     @classmethod
-    def fit(cls, sets: list[np.ndarray], good: np.ndarray, least_z: float = 4.0, least_docs: int = 5, most: int = 3000, turns: int = 300, ridge: float = 1e-4) -> ContentView:
-        """Logistic regression on the presence of the words that tell most, by Adam steps on all rows."""
+    def fit(cls, sets: list[np.ndarray], numbers: np.ndarray, good: np.ndarray, least_z: float = 4.0, least_docs: int = 5, turns: int = 300, ridge: float = 1e-4) -> ContentView:
+        """Logistic regression on the presence of the words and bins that tell good from bad, by Adam steps on all rows."""
+        edges = _edges(numbers)
+        sets = [np.concatenate([s, b]) for s, b in zip(sets, _bins(edges, numbers), strict=True)]
         n1, n0 = int(good.sum()), int((~good).sum())
         words, n = np.unique(np.concatenate(sets), return_counts=True)
         of_good, k = np.unique(np.concatenate([s for s, g in zip(sets, good, strict=True) if g] or [words[:0]]), return_counts=True)
@@ -87,9 +105,7 @@ class ContentView:
         in_good[np.searchsorted(words, of_good)] = k
         p1, p0, p = (in_good + 0.5) / (n1 + 1), (n - in_good + 0.5) / (n0 + 1), (n + 0.5) / (n1 + n0 + 1)
         z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(n0, 1)))
-        keep = np.flatnonzero((z >= least_z) & (n >= least_docs))
-        keep = np.sort(keep[np.argsort(-z[keep], kind="stable")[:most]])
-        words = words[keep]
+        words = words[(z >= least_z) & (n >= least_docs)]
         own = [np.searchsorted(words, np.intersect1d(s, words, assume_unique=True)) for s in sets]
         lens = np.array([len(x) for x in own])
         at, cut = np.concatenate(own).astype(np.int64) if own else np.empty(0, np.int64), np.concatenate([[0], np.cumsum(lens)])
@@ -102,16 +118,19 @@ class ContentView:
             step = np.append(np.bincount(at, weights=np.repeat(error, lens), minlength=len(words)) + ridge * w[:-1], error.sum())
             mean, square = 0.9 * mean + 0.1 * step, 0.99 * square + 0.01 * step * step
             w -= 0.1 * (1 - t / (turns + 1)) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-9)
-        return cls(words, w[:-1], float(w[-1]))
+        return cls(edges, words, w[:-1], float(w[-1]))
 
     def score(self, v: Views) -> np.ndarray:
         out = np.full(len(v.first) - 1, self.base)
-        if not len(self.words) or not len(v.words):
+        if not len(self.words):
             return out
-        at = np.searchsorted(self.words, v.words)
+        bins = _bins(self.edges, v.numbers[:, : len(NUMBERS)])
+        words = np.concatenate([v.words, bins.ravel()])
+        doc = np.concatenate([np.repeat(np.arange(len(out)), np.diff(v.first)), np.repeat(np.arange(len(out)), bins.shape[1])])
+        at = np.searchsorted(self.words, words)
         at[at == len(self.words)] = 0
-        hit = np.flatnonzero(self.words[at] == v.words)
-        doc = np.searchsorted(v.first, hit, side="right") - 1
+        hit = np.flatnonzero(self.words[at] == words)
+        doc = doc[hit]
         pair = np.unique(doc * len(self.words) + at[hit])
         np.add.at(out, pair // len(self.words), self.weights[pair % len(self.words)])
         return out
@@ -130,14 +149,14 @@ class PageView:
         def weight(own: np.ndarray) -> float:
             return float(np.log(((own & good).sum() + 1) / n1) - np.log(((own & ~good).sum() + 1) / n0))
 
-        edges = [np.unique(np.quantile(c, _CUTS)) for c in numbers.T]
+        edges = _edges(numbers)
         bins = [np.array([weight(np.searchsorted(e, c, side="right") == b) for b in range(len(e) + 1)]) for e, c in zip(edges, numbers.T, strict=True)]
-        known = [{int(x): weight(c == x) for x in np.unique(c)[:1000]} for c in categories.T]
+        known = [{int(x): weight(c == x) for x in np.unique(c)} for c in categories.T]
         return cls(edges, bins, known)
 
     def score(self, v: Views) -> np.ndarray:
         out = np.zeros(len(v.numbers))
-        for e, w, c in zip(self.edges, self.bins, v.numbers.T, strict=True):
+        for e, w, c in zip(self.edges, self.bins, v.numbers[:, len(NUMBERS) :].T, strict=True):
             out += w[np.searchsorted(e, c, side="right")]
         for known, c in zip(self.categories, v.categories.T, strict=True):
             values, back = np.unique(c, return_inverse=True)
@@ -149,8 +168,8 @@ def platt(score: np.ndarray, good: np.ndarray, turns: int = 50) -> tuple[float,
     """Slope and offset of the logistic curve through scores of labelled rows, by Newton's method on softened labels."""
     n1, n0 = good.sum(), (~good).sum()
     want = np.where(good, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    scale = max(float(np.std(score)), 1e-6)
-    x, a, b = score / scale, 1.0, float(np.log((n1 + 1) / (n0 + 1)))
+    mean, scale = float(np.mean(score)), max(float(np.std(score)), 1e-6)
+    x, a, b = (score - mean) / scale, 1.0, float(np.log((n1 + 1) / (n0 + 1)))
     for _ in range(turns):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
         w, d = np.maximum(p * (1 - p), 1e-9), want - p
@@ -159,7 +178,8 @@ def platt(score: np.ndarray, good: np.ndarray, turns: int = 50) -> tuple[float,
         a, b = a + float(np.clip(step[0], -2, 2)), b + float(np.clip(step[1], -2, 2))
         if np.abs(step).max() < 1e-7:
             break
-    return max(a, 0.0) / scale, b
+    slope = max(a, 0.0) / scale
+    return slope, b - slope * mean
 
 
 @dataclass
@@ -188,8 +208,13 @@ _ROW = "kind int, pick long, doc_id long, words binary, numbers array<double>, c
 
 
 def _slim(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    more = [c for c in CATEGORIES if c in docs.columns and c not in (doc_id, text)]
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).cast("string").alias(c) for c in more))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *_page(docs, doc_id, text))
+
+
+def _page(docs: DataFrame, *own: str) -> list[Column]:
+    """What the page view sees of ``docs``: whichever of its columns there are."""
+    kinds = dict.fromkeys(CATEGORIES, "string") | {LENGTH: "double"}
+    return [F.col(c).try_cast(kind).alias(c) for c, kind in kinds.items() if c in docs.columns and c not in own]
 
 
 #: Largest pick.
@@ -217,12 +242,12 @@ def _looked(batches, names: list[str]):
     for batch in batches:
         for first, texts in text_chunks(batch.column(1)):
             part = batch.slice(first, len(texts))
-            yield np.array([-1 if x is None else x for x in part.column(0).to_pylist()], dtype=np.int64), look(texts, {c: part.column(i).to_pylist() for i, c in enumerate(names) if c in CATEGORIES})
+            yield np.array([-1 if x is None else x for x in part.column(0).to_pylist()], dtype=np.int64), look(texts, {c: part.column(i).to_pylist() for i, c in enumerate(names) if c in (*CATEGORIES, LENGTH)})
 
 
 def _sample(rows) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     rows = list(rows)
-    return [np.frombuffer(r["words"], dtype="<u4") for r in rows], np.array([r["numbers"] for r in rows]).reshape(-1, len(NUMBERS)), np.array([r["categories"] for r in rows], dtype=np.int64).reshape(-1, len(CATEGORIES)), np.array([r["doc_id"] for r in rows], dtype=np.int64)
+    return [np.frombuffer(r["words"], dtype="<u4") for r in rows], np.array([r["numbers"] for r in rows]).reshape(-1, len(NUMBERS) + 1), np.array([r["categories"] for r in rows], dtype=np.int64).reshape(-1, len(CATEGORIES)), np.array([r["doc_id"] for r in rows], dtype=np.int64)
 
 
 def label_sample(labels: DataFrame, max_fit: int, seed: int) -> dict[int, bool]:
@@ -235,6 +260,26 @@ def label_sample(labels: DataFrame, max_fit: int, seed: int) -> dict[int, bool]:
     return {r["doc_id"]: r["good"] == 1 for r in each.where(share).groupBy("doc_id").agg(F.min("good").alias("good")).collect()}
 
 
+def held_out(ids: np.ndarray, good: np.ndarray, seed: int) -> np.ndarray:
+    """Labelled documents that no fit sees: three tenths of each class by hash, rounded up. At least one of a class is fitted, so
+    that the only one of a class isn't held out, and its calibration rests on the prior."""
+    held = np.zeros(len(ids), dtype=bool)
+    for kind in (good, ~good):
+        own = np.flatnonzero(kind)
+        own = own[np.lexsort((ids[own], _pick(ids[own], seed)))]
+        held[own[: min(-(-3 * len(own) // 10), len(own) - 1)]] = True
+    return held
+
+
+def _proportionate(counts: list[int], prior: float) -> list[int]:
+    """How many pseudo-labels of each kind are taken: a view's good and bad ones in the labels' proportion, so that a view that is
+    sure of one class only doesn't teach the other view that documents unlike the labelled ones are of that class."""
+    odds, out = math.exp(prior), []
+    for good, bad in (counts[:2], counts[2:]):
+        out += [min(good, round(bad * odds)), min(bad, round(good / odds))]
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 2, max_fit: int = 20_000, pseudo: int = 1000, sure: float = 0.99, seed: int = 6) -> Model | None:
     """Co-train on ``docs`` and ``labels`` (doc_id, quality, toxic); None if the labels don't show both classes."""
     known = label_sample(labels, max_fit, seed)
@@ -253,23 +298,22 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     sets, numbers, categories, own = _sample(slim.mapInArrow(labelled, _ROW).collect())
     good = np.array([known[int(i)] for i in own], dtype=bool)
-    held = _pick(own, seed) % 10 < 3
-    if min(good[held].sum(), (~good[held]).sum(), good[~held].sum(), (~good[~held]).sum()) == 0:
-        held = np.zeros(len(good), dtype=bool)
     if good.all() or not good.any():
         return None
-    fit, test = np.flatnonzero(~held), np.flatnonzero(held) if held.any() else np.arange(len(good))
+    held = held_out(own, good, seed)
+    fit, test = np.flatnonzero(~held), np.flatnonzero(held)
     lens = np.concatenate([[0], np.cumsum([len(sets[i]) for i in test])])
     seen = Views(np.concatenate([sets[i] for i in test]), lens, numbers[test], categories[test])
     prior = float(np.log((good.sum() + 1) / ((~good).sum() + 1)))
 
     def model(for_content, for_page) -> Model:
-        content = ContentView.fit([sets[i] for i in fit] + for_content[0], np.concatenate([good[fit], for_content[1]]))
-        page = PageView.fit(np.concatenate([numbers[fit], for_page[0]]), np.concatenate([categories[fit], for_page[1]]), np.concatenate([good[fit], for_page[2]]))
+        words, features = [sets[i] for i in fit] + for_content[0], np.concatenate([numbers[fit], for_content[1]])
+        content = ContentView.fit(words, features[:, : len(NUMBERS)], np.concatenate([good[fit], for_content[2]]))
+        page = PageView.fit(np.concatenate([numbers[fit], for_page[0]])[:, len(NUMBERS) :], np.concatenate([categories[fit], for_page[1]]), np.concatenate([good[fit], for_page[2]]))
         return Model(content, page, platt(content.score(seen), good[test]), platt(page.score(seen), good[test]), prior)
 
-    for_content = ([], np.zeros(0, dtype=bool))
-    for_page = (np.zeros((0, len(NUMBERS))), np.zeros((0, len(CATEGORIES)), dtype=np.int64), np.zeros(0, dtype=bool))
+    for_content = ([], np.zeros((0, len(NUMBERS) + 1)), np.zeros(0, dtype=bool))
+    for_page = (np.zeros((0, len(NUMBERS) + 1)), np.zeros((0, len(CATEGORIES)), dtype=np.int64), np.zeros(0, dtype=bool))
     now = model(for_content, for_page)
     total = slim.count()
     limit = float(np.log(sure / (1 - sure)))
@@ -309,35 +353,40 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             short = {k: b for k, b in wanted.items() if counts[k] < pseudo and b < _ALL}
             found += [r for r in rows if r["kind"] not in short]
             wanted = {k: _bound(3 * pseudo / max(counts[k], 1) * (b / _ALL)) for k, b in short.items()}
-        kinds = [_sample(r for r in found if r["kind"] == k) for k in range(4)]
+        held_to = _proportionate([sum(r["kind"] == k for r in found) for k in range(4)], prior)
+        kinds = [_sample(r for r in found if r["kind"] == k and r["n"] <= held_to[k]) for k in range(4)]
         flag = lambda a, b: np.concatenate([np.ones(len(kinds[a][3]), dtype=bool), np.zeros(len(kinds[b][3]), dtype=bool)])
-        for_content = (for_content[0] + kinds[2][0] + kinds[3][0], np.concatenate([for_content[1], flag(2, 3)]))
+        for_content = (for_content[0] + kinds[2][0] + kinds[3][0], np.concatenate([for_content[1], kinds[2][1], kinds[3][1]]), np.concatenate([for_content[2], flag(2, 3)]))
         for_page = (np.concatenate([for_page[0], kinds[0][1], kinds[1][1]]), np.concatenate([for_page[1], kinds[0][2], kinds[1][2]]), np.concatenate([for_page[2], flag(0, 1)]))
         now = model(for_content, for_page)
     return now
 
 
-def score_documents(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.4) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """All rows and columns of ``docs`` with p_content, p_page and p_good (probabilities that the document is good by each view
     and by both) and keep (p_good >= ``threshold``). Null text counts as empty. Without a model the probabilities are null and
-    keep is true. Names that are taken get leading underscores.
+    keep is true. Repeated rows are scored alike, texts of any length are read whole, no rows give no rows. Names that are taken
+    get leading underscores.
     """
     added = free_name(docs, "p_content", "p_page", "p_good", "keep")
     if model is None:
         return docs.withColumns({c: F.lit(None).cast("double") for c in added[:3]} | {added[3]: F.lit(True)})
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in added[:3]), T.StructField(added[3], T.BooleanType())])
-    place, more, names = docs.columns.index(text), {c: docs.columns.index(c) for c in CATEGORIES if c in docs.columns}, schema.names
+    page = _page(docs, doc_id, text)
+    place, width, names = docs.columns.index(text), len(docs.columns), schema.names
+    seen = docs.select(*page).columns
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             for first, texts in text_chunks(batch.column(place)):
                 part = batch.slice(first, len(texts))
-                odds = shared.value.log_odds(look(texts, {c: [None if x is None else str(x) for x in part.column(i).to_pylist()] for c, i in more.items()}))
+                odds = shared.value.log_odds(look(texts, {c: part.column(width + i).to_pylist() for i, c in enumerate(seen)}))
                 one, two, both = (_expit(x) for x in odds)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(one), pa.array(two), pa.array(both), pa.array(both >= threshold)], names=names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(one), pa.array(two), pa.array(both), pa.array(both >= threshold)], names=names)
 
-    return docs.mapInArrow(run, schema)
+    free = free_name(docs, *(f"page_{c}" for c in seen))
+    return docs.select(*docs.columns, *(c.alias(name) for c, name in zip(page, free, strict=True))).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:

@@ -1,6 +1,8 @@
 """Held-out accuracy of the co-trained classifier, and the pipeline's stages on a small corpus."""
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -44,15 +46,125 @@ def test_held_out_accuracy(spark):
 def test_pseudo_labels_are_searched_until_found(spark, monkeypatch):
     """Labels half bad, a corpus with few bad documents: the wanted pseudo-labels of every kind are found all the same."""
     docs, labels = corpus(2400, 7)
+    docs = [(i, t, lang, "forum" if "!!" in t else s, n) for i, t, lang, s, n in docs]  # the page view sees metadata alone
     bad, good = ([i for i, q, t in labels if q == kind and t == 0] for kind in (0, 1))
     known, corpus_ids = {*bad[:100], *good[:100]}, {*bad[:160], *good}
     seen, fit = [], quality.ContentView.fit
-    monkeypatch.setattr(quality.ContentView, "fit", lambda sets, kinds: seen.append((int(kinds.sum()), int((~kinds).sum()))) or fit(sets, kinds))
+    monkeypatch.setattr(quality.ContentView, "fit", lambda sets, numbers, kinds: seen.append((int(kinds.sum()), int((~kinds).sum()))) or fit(sets, numbers, kinds))
     df = spark.createDataFrame([d for d in docs if d[0] in corpus_ids], DOC).repartition(4)
     quality.train(df, spark.createDataFrame([x for x in labels if x[0] in known], "doc_id long, quality int, toxic int"), pseudo=30, sure=0.9)
     assert np.diff(seen, axis=0).tolist() == [[30, 30], [30, 30]]
 
 
+# ------------------------------------------------------------------ the same in plain Python, over all documents at once
+
+CUTS = [0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.93, 0.96, 0.98, 0.99, 0.995]
+
+
+def plain_numbers(text):
+    raw = text.encode()
+    words = re.findall(rb"[^ \t\n\x0b\x0c\r.,]+", raw.lower())
+    share = lambda keep: sum(keep(chr(b)) for b in raw) / max(len(raw), 1)
+    signs = lambda c: "!" <= c <= "~" and not c.isalnum() and c not in ".,"
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    n = max(len(words), 1)
+    return words, [math.log1p(len(raw)), len(words) / (raw.count(b"\n") + 1), sum(map(len, words)) / n, share(lambda c: "A" <= c <= "Z"), share(lambda c: "0" <= c <= "9"), share(signs), again / n]
+
+
+def plain_model(docs, labels, rounds, sure):
+    """Probabilities of every document, with every sure document as a pseudo-label."""
+    seen = [(*plain_numbers(t), lang, source, n) for _, t, lang, source, n in docs]
+    kinds = {}
+    for i, q, t in labels:
+        kinds[i] = kinds.get(i, True) and q == 1 and t == 0
+    own = [k for k, d in enumerate(docs) if d[0] in kinds]
+    good = np.array([kinds[docs[k][0]] for k in own])
+    held = quality.held_out(np.array([docs[k][0] for k in own]), good, 6)
+    rest = [k for k in range(len(docs)) if docs[k][0] not in kinds]
+    odds = math.log((good.sum() + 1) / ((~good).sum() + 1))
+
+    def content(rows, target):
+        edges = [np.unique(np.quantile([seen[k][1][j] for k in rows], CUTS)) for j in range(7)]
+        features = [{*words, *((j, int(np.searchsorted(e, x, side="right"))) for j, (e, x) in enumerate(zip(edges, nums, strict=True)))} for words, nums, *_ in seen]
+        n1, n0 = target.sum(), (~target).sum()
+        keep = []
+        for w in {w for k in rows for w in features[k]}:
+            has = np.array([w in features[k] for k in rows])
+            n, k1 = has.sum(), (has & target).sum()
+            p1, p0, p = (k1 + 0.5) / (n1 + 1), (n - k1 + 0.5) / (n0 + 1), (n + 0.5) / (n1 + n0 + 1)
+            if n >= 5 and abs(p1 - p0) / math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) >= 4:
+                keep.append(w)
+        every = np.array([[w in f for w in keep] + [True] for f in features], dtype=float)
+        x, w, mean, square = every[rows], np.zeros(len(keep) + 1), 0, 0
+        w[-1] = math.log((n1 + 1) / (n0 + 1))
+        for t in range(1, 301):
+            step = x.T @ ((1 / (1 + np.exp(-x @ w)) - target) / len(target)) + 1e-4 * np.append(w[:-1], 0)
+            mean, square = 0.9 * mean + 0.1 * step, 0.99 * square + 0.01 * step * step
+            w = w - 0.1 * (1 - t / 301) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-9)
+        return every @ w
+
+    def page(rows, target):
+        out, n1, n0 = np.zeros(len(docs)), target.sum() + len(CUTS), (~target).sum() + len(CUTS)
+        edges = np.unique(np.quantile([seen[k][4] for k in rows], CUTS))
+        for values in ([int(np.searchsorted(edges, s[4], side="right")) for s in seen], [s[2] for s in seen], [s[3] for s in seen]):
+            for v in set(values):
+                has = np.array([values[k] == v for k in rows])
+                if has.any() or isinstance(v, int):
+                    out[[x == v for x in values]] += math.log(((has & target).sum() + 1) / n1) - math.log(((has & ~target).sum() + 1) / n0)
+        return out
+
+    fit, test = [k for k, h in zip(own, held, strict=True) if not h], [k for k, h in zip(own, held, strict=True) if h]
+    content_rows, content_target, page_rows, page_target = list(fit), good[~held], list(fit), good[~held]
+    for turn in range(rounds + 1):
+        logits = []
+        for score in (content(content_rows, content_target), page(page_rows, page_target)):
+            a, b = quality.platt(score[test], good[held])
+            logits.append(a * score + b)
+        limit = math.log(sure / (1 - sure))
+        if turn < rounds:
+            chosen = []
+            for s in logits:
+                sides = [sorted((k for k in rest if sign * s[k] >= limit), key=lambda k: (quality._pick(np.array([docs[k][0]]), 7 + turn)[0], k)) for sign in (1, -1)]
+                n = [len(x) for x in sides]
+                chosen.append(sides[0][: min(n[0], round(n[1] * math.exp(odds)))] + sides[1][: min(n[1], round(n[0] / math.exp(odds)))])
+            one, two = chosen
+            content_rows, content_target = content_rows + two, np.concatenate([content_target, logits[1][two] > 0])
+            page_rows, page_target = page_rows + one, np.concatenate([page_target, logits[0][one] > 0])
+    return [1 / (1 + np.exp(-x)) for x in (*logits, logits[0] + logits[1] - odds)]
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_equals_plain_python(spark, rounds):
+    docs, labels = corpus(260, 11)
+    docs = [(i, t, lang, "forum" if labels[i][1:] != (1, 0) and i % 20 else s, n) for i, t, lang, s, n in docs]  # the page view learns something
+    known = labels[:160]
+    got = quality.classify(spark.createDataFrame(docs, DOC).repartition(3), spark.createDataFrame(known, "doc_id long, quality int, toxic int"), rounds=rounds, sure=0.9)
+    rows = {r["doc_id"]: r for r in got.collect()}
+    for name, want in zip(("p_content", "p_page", "p_good"), plain_model(docs, known, rounds, 0.9), strict=True):
+        assert np.allclose([rows[d[0]][name] for d in docs], want, atol=1e-6), name
+
+
+def test_exchange_helps(spark):
+    """Few labels, a metadata view that tells: two rounds are no worse than none on held-out labels, and learn words."""
+    docs, labels = corpus(1500, 12)
+    bad = {i for i, q, t in labels if q == 0 or t == 1}
+    docs = [(i, t, lang, "forum" if i in bad else s, n) for i, t, lang, s, n in docs]
+    df, seen = spark.createDataFrame(docs, DOC).repartition(4), spark.createDataFrame(labels[:50], "doc_id long, quality int, toxic int")
+    right = {}
+    for rounds in (0, 2):
+        got = {r["doc_id"]: r["p_content"] >= 0.4 for r in quality.classify(df, seen, rounds=rounds, sure=0.9).collect()}
+        right[rounds] = np.mean([got[i] == (q == 1 and t == 0) for i, q, t in labels[50:]])
+    assert right[2] > right[0]
+
+
+def test_every_source_weighs():
+    """No source is left out, however many there are."""
+    sources = np.repeat(np.arange(1, 3001), 4)
+    good = sources % 2 == 0
+    page = quality.PageView.fit(np.full((len(good), 1), 5.0), np.stack([sources, sources], axis=1), good)
+    assert len(page.categories[0]) == 3000 and all((w > 0) == (x % 2 == 0) for x, w in page.categories[0].items())
+
+
 @pytest.mark.parametrize("labels", [[], [(0, 1, 0), (1, 1, 0)], [(0, None, None), (99, 0, 0)]])
 def test_labels_that_teach_nothing(spark, labels):
     df = spark.createDataFrame([(0, "a b", "en", "s", 3), (1, None, None, None, None), (None, "", "en", "s", 0)], DOC)
