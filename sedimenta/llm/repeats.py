@@ -533,7 +533,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     raw = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64(utf8(text)).alias("print"), utf8(text).alias("raw"))
     size = raw.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    buckets = parts = max(shuffle_partitions(docs.sparkSession), -(-size // _BUCKET))
+    parts = max(shuffle_partitions(docs.sparkSession), -(-size // _BUCKET))
+    buckets = 4 * parts  # so that a task has several, and none has much more than others
     homed = raw.repartition(parts, "doc", "print")
 
     parsed = raw.mapInArrow(lambda it: _parse_rows(it, length, trigger, buckets, hot), _BLOBS).repartition(parts, "bucket")
