@@ -32,7 +32,8 @@ def _escape(c: Column, level: int) -> Column:
     return _swap(_swap(c, OPEN, "\\l" + OPEN[1:]), CLOSE, "\\l" + CLOSE[1:])
 
 
-def _unescape(c: Column) -> Column:
+def unescape(c: Column) -> Column:
+    """Role or body as it was before it was written."""
     return _swap(_swap(_swap(c, "\\l", "<"), "\\n", "\n"), "\\b", "\\")
 
 
@@ -50,8 +51,8 @@ def parse_turns(formatted: Column) -> Column:
         cut = F.locate("\n", inner)
         fine = piece.startswith(OPEN) & ~F.contains(inner, F.lit(OPEN)) & (cut > 0)
         return F.struct(
-            F.when(fine, _unescape(F.substring_index(inner, "\n", 1))).alias("role"),
-            F.when(fine, _unescape(F.substring(inner, cut + 1, F.lit(1 << 30)))).alias("text"),
+            F.when(fine, unescape(F.substring_index(inner, "\n", 1))).alias("role"),
+            F.when(fine, unescape(F.substring(inner, cut + 1, F.lit(1 << 30)))).alias("text"),
         )
 
     return F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), turn)
@@ -81,7 +82,7 @@ def format_chats(conversations: DataFrame, conv: str = "conv_id", turn: str = "t
 
     Turns are ordered by ``turn`` (null first), then role, then text; repeated rows stay as repeated turns. Null role
     and text count as empty. Rows with a null conversation id form one conversation of id null. Other columns take no
-    part, so their names can't clash. An empty table gives no rows. The conversation is the unit of the result, so its
+    part, so their names can't clash. An empty table gives no rows; texts of any length are written whole. The conversation is the unit of the result, so its
     turns do meet in one row.
     """
     src = conversations.select(

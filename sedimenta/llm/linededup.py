@@ -4,7 +4,8 @@ A line is boilerplate of a host if more than ``max_ratio`` of the host's pages,
 Every page counts a line once. Lines are counted by a 64-bit hash of their trimmed text, so that the shuffle carries
 no text, and are pre-aggregated before it, so that a host or a line with a third of all rows is no hot spot. The
 boilerplate of one host is bounded (the mean number of lines of its pages over ``max_ratio``); the hosts' lists are
-broadcast if their measured size is within ``broadcast_mb`` and joined by host otherwise.
+broadcast if their measured size is within ``broadcast_mb``. Otherwise pages and lists meet in a join by host that stands alone
+between written tables, so that Spark splits the pages of a frequent host over tasks.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def drop_lines(pages: DataFrame, host: str, text: str, max_ratio: float = 0.1, m
     n_lines and n_dropped, which count lines that aren't blank.
 
     Blank lines stay. Null text stays null with zero lines; a row with a null or empty host keeps all its lines.
-    Repeated rows count as pages of their own. An empty table gives no rows. Taken names get leading underscores.
+    Repeated rows count as pages of their own; a page of any length is taken whole. An empty table gives no rows. Taken names get leading underscores.
     """
     n_lines, n_dropped, site, drop = free_name(pages, "n_lines", "n_dropped", "site", "drop")
     found = materialize(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")

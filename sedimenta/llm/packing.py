@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedimenta.llm.support import free_name, materialize, text_chunks
+from sedimenta.llm.support import free_name, materialize, shuffle_partitions, text_chunks
 
 # --------------------------------------------------------------------------- tokens
 
@@ -153,7 +153,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_i
 
     A document is its ids and ``end_id``. Only one of more than ``capacity`` ids is cut, into pieces of ``capacity``, of
     which the first may be shorter. Null text is empty: one piece with the end id. piece, start, length and ids replace
-    columns of those names.
+    columns of those names. A text of any length is encoded whole, one at a time.
     """
     own = ("piece", "start", "length", "ids")
     rest = [c for c in docs.columns if c != text and c not in own]
@@ -265,11 +265,16 @@ class _Places:
         return self.bin[at] + nth // self.copies[at], self.offset[at] + nth % self.copies[at] * length
 
 
-def assign_bins(pieces: DataFrame, capacity: int = 1024, lanes: int = 64) -> DataFrame:
+def assign_bins(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     """Add sequence_id and offset to a table that has a length column and can be read again cheaply.
 
-    Lengths are 1 to ``capacity``. Each sequence holds ``capacity`` at most; its pieces lie from offset 0 on without gaps.
+    Lengths are 1 to ``capacity``. Each sequence holds ``capacity`` at most; its pieces lie from offset 0 on without gaps. A full
+    piece is a sequence by itself (of a negative id), without a rank or a shuffle; the pieces of any other length are dealt over
+    as many lanes as there are shuffle partitions (64 at least), and only lanes are sorted.
     """
+    lanes = max(64, shuffle_partitions(pieces.sparkSession))
+    alone = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    pieces = pieces.where(F.col("length") < capacity)
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # a row per length
     places = _Places(plan_bins(counts, capacity))
     by = [c for c, k in pieces.dtypes if not any(x in k for x in ("map<", "variant", "binary"))]
@@ -289,7 +294,7 @@ def assign_bins(pieces: DataFrame, capacity: int = 1024, lanes: int = 64) -> Dat
             cols = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(bins, pa.int64()), pa.array(offset, pa.int64())], names=schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(run, schema).unionByName(alone.select(*schema.names))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, text: str = "text", derive: dict[str, Column] | None = None, keep_ids: bool = True) -> DataFrame:
@@ -297,7 +302,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     sequence_id (a whole number) and offset.
 
     ``derive`` adds columns made from a piece (say, a digest of ids); without ``keep_ids`` the ids themselves don't travel
-    any further. Null and empty texts are pieces of one token. Repeated rows are packed as often as they come; an empty
+    any further. Null and empty texts are pieces of one token; a text of any length is encoded whole. Columns named like the
+    operator's are replaced. Repeated rows are packed as often as they come; an empty
     table gives no rows.
     """
     pieces = tokenize_pieces(docs, tokenizer, capacity, end_id, text).withColumns(derive or {})

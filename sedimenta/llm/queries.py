@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm.ann import nearest
-from sedimenta.llm.chat import format_chats
+from sedimenta.llm.chat import format_chats, unescape
 from sedimenta.llm.decontaminate import find_contamination
 from sedimenta.llm.linededup import drop_lines, html_lines, url_host
 from sedimenta.llm.neardup import near_duplicates
@@ -36,8 +36,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
     done = format_chats(rows)
-    loss = F.filter("turns", lambda t: t["role"] == "assistant")
-    said = F.array_join(F.transform(loss, lambda t: t["text"]), "")
+    masked = F.transform("loss_spans", lambda s: unescape(F.substr("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
+    said = F.array_join(masked, "")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id",

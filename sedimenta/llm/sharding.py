@@ -177,7 +177,7 @@ def assign_shards(docs: DataFrame, shards: int, text: str = "text", overhead: in
     """The rows and columns of ``docs`` without ``text``, with size (UTF-8 bytes of the text, null none, plus
     ``overhead``), text_crc32, shard and slot: each shard's slots are 0, 1, ... without gaps.
 
-    Equal texts share a shard; null and empty texts count as equal. Repeated rows get a slot each. An empty table
+    Equal texts share a shard; null and empty texts count as equal; a text of any length is one row. Repeated rows get a slot each. An empty table
     gives no rows. Names that are taken are replaced: size, text_crc32, shard and slot are the operator's.
     """
     own = ["size", "text_crc32", "shard", "slot"]

@@ -104,26 +104,38 @@ def test_assign_shards(spark):
 # ------------------------------------------------------------------ packing
 
 
+def plain_ids(texts):
+    """Ids of an untouched tokenizer."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    return [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_chunk_encoder_equals_tokenizer():
     enc = packing.ChunkEncoder(queries.tokenizer_path())
     texts = ["", " ", "  ", "a", " a", "a ", "it's  two", "a\n b", "x \t y", "don't 's  ok \n\n z", "é ü   x", "1 234 !? ?!", "<|endoftext|> <|endoftext|>", "a\x1c b", "日本 語 ", "​ x"]
-    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    want = plain_ids(texts)
     for _ in range(2):
         got = [[int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b), 4)] for b in enc(texts)]
         assert got == want
 
 
 def test_added_tokens_keep_their_ids():
-    from tokenizers import Tokenizer
-
-    path = queries.tokenizer_path()
-    plain, enc = Tokenizer.from_file(path), packing.ChunkEncoder(path)
+    enc = packing.ChunkEncoder(queries.tokenizer_path())
     texts = ["a <|endoftext|> b", "x<|endoftext|>y, z", "<|endoftext|>", "<|endoftext| >", "no token here."]
     got = [[int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b), 4)] for b in enc(texts)]
-    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert got == plain_ids(texts)
     assert got[0] == [64, 220, 50256, 275]
 
 
+def test_ids_of_all_documents(spark):
+    """Every document's ids by the operator are those of an untouched tokenizer."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    enc = packing.ChunkEncoder(queries.tokenizer_path())
+    assert [b for i in range(0, len(texts), 50) for b in enc(texts[i : i + 50])] == [packing._little(x) for x in plain_ids(texts)]
+
+
 def test_quick_encoder_equals_tokenizer():
     import random
 
@@ -150,12 +162,11 @@ def test_fullest_is_best():
 
 
 def test_pack_documents(spark):
-    texts = [None, "", "one two", "word " * 3000, "mid " * 700, *(f"n{i} " * (i * 7 % 400) for i in range(120)), *["same text here"] * 50]
+    texts = [None, "", "one two", "word " * 300000, "hello <|endoftext|> world" * 90, "x <|endoftext|>", "mid " * 700, *(f"n{i} " * (i * 7 % 400) for i in range(120)), *["same text here"] * 50]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, lane string").repartition(3)
     packed = packing.pack_documents(df, queries.tokenizer_path(), derive={"crc": F.crc32("ids")})
     out = rows(packed)
-    enc = packing.ChunkEncoder(queries.tokenizer_path())
-    ids = [b + b"\x02\0\0\0" for b in enc.whole([t or "" for t in texts])]
+    ids = [packing._little([*own, 2]) for own in plain_ids([t or "" for t in texts])]
     by_doc, by_seq = {}, {}
     for r in out:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -194,13 +205,13 @@ TRAIN = [
 ]
 
 
-@pytest.mark.parametrize("block", [2, 1000])
-def test_contamination(spark, block):
+@pytest.mark.parametrize(("block", "size"), [(2, 1 << 20), (1000, 60), (1000, 1 << 20)])
+def test_contamination(spark, block, size):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
     docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(TRAIN)], "doc_id long, text string, n_hit int")
     bench = spark.createDataFrame(BENCH, "item_id string, text string")
-    found = {r["doc_id"]: r for r in rows(decontaminate.find_contamination(docs, bench, block_windows=block))}
+    found = {r["doc_id"]: r for r in rows(decontaminate.find_contamination(docs, bench, block_windows=block, block_bytes=size))}
     for i, t in enumerate(TRAIN):
         w, hit, items = low(t), set(), set()
         for item, text in BENCH:
