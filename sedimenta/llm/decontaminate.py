@@ -1,9 +1,9 @@
 """Benchmark decontamination: windows of normalised words looked up in a broadcast set of test n-grams.
 
 Test items give every run of ``n`` consecutive words; an item of fewer words, but not none, gives one window of
-all of them. The set goes to the tasks in blocks of proven size (``block_windows`` at most); a benchmark of more
-windows is scanned in several passes, block by block, each over all documents. A fingerprint that is found is
-verified on the words themselves before it counts.
+all of them. Spark makes the windows; the set goes to the tasks in blocks of bounded number and bytes, and a benchmark of more
+than one block is scanned in as many passes, one after another, each over all documents and written before the next. A
+fingerprint that is found is verified on the words themselves before it counts.
 """
 
 from __future__ import annotations
@@ -17,39 +17,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedimenta.llm.support import ALNUM, combine, free_name, text_chunks, words_of
+from sedimenta.llm.support import ALNUM, combine, free_name, materialize, text_chunks, words_of
 
-#: Windows in one broadcast block: about 25 MB with their words.
+#: Windows in one broadcast block, and bytes of their words.
 BLOCK_WINDOWS = 100_000
+BLOCK_BYTES = 16 << 20
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _windows(items: Iterator[tuple[str, bytes]], n: int) -> Iterator[tuple[int, int, bytes, str]]:
-    """(length in words, fingerprint, the words joined by a space, item) of every window."""
-    for item, text in items:
-        joined, starts, ends, hashes, _ = words_of([text], ALNUM)
-        size = min(n, len(hashes))
-        if size:
-            raw = joined.tobytes()
-            for i, h in enumerate(combine(hashes, size)):
-                yield size, int(h), b" ".join(raw[starts[j] : ends[j]] for j in range(i, i + size)), item
+def benchmark_windows(benchmark: DataFrame, item: str, text: str, n: int) -> DataFrame:
+    """size (in words), print (fingerprint), words (joined by a space) and item of every distinct window of an item."""
 
+    def run(batches):
+        for batch in batches:
+            for first, texts in text_chunks(batch.column(1)):
+                items, rows = batch.column(0).slice(first, len(texts)).to_pylist(), {}
+                for who, raw in zip(items, texts, strict=True):
+                    joined, starts, ends, hashes, _ = words_of([raw], ALNUM)
+                    size, whole = min(n, len(hashes)), joined.tobytes()
+                    for i, h in enumerate(combine(hashes, size).view(np.int64)) if size else []:
+                        rows[size, int(h), b" ".join(whole[starts[j] : ends[j]] for j in range(i, i + size)), who] = None
+                for some in (list(rows)[i : i + 4096] for i in range(0, len(rows), 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*some, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.string()), strict=True)], names=["size", "print", "words", "item"])
 
-def _blocks(benchmark: DataFrame, item: str, text: str, n: int, block: int):
-    """Blocks of windows, read item by item from the cluster, so that the driver holds one block."""
-    rows = ((r[0], (r[1] or "").encode()) for r in benchmark.select(F.col(item).cast("string"), text).toLocalIterator())
+    return benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).mapInArrow(run, "size int, print long, words binary, item string")
+
+
+def _blocks(windows: DataFrame, most: int, most_bytes: int):
+    """Blocks of windows: for every size the sorted fingerprints, and the words and items of each. The driver holds one block."""
     sizes: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-    count = 0
-    for size, h, words, who in _windows(rows, n):
-        sizes[size][h].append((words, who))
-        count += 1
-        if count >= block:
-            yield {k: dict(v) for k, v in sizes.items()}
+    count = used = 0
+
+    def block():
+        return {size: (np.array(sorted(t), dtype=np.uint64), dict(t)) for size, t in sizes.items()}
+
+    for r in windows.toLocalIterator():
+        sizes[r["size"]][r["print"] % (1 << 64)].append((bytes(r["words"]), r["item"]))
+        count, used = count + 1, used + len(r["words"])
+        if count >= most or used >= most_bytes:
+            yield block()
             sizes.clear()
-            count = 0
+            count = used = 0
     if count:
-        yield {k: dict(v) for k, v in sizes.items()}
+        yield block()
 
 
 def _hits(joined, starts, ends, hashes, first, tables):
@@ -82,24 +93,22 @@ def _byte_spans(hit: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
     return [(int(starts[s] - base), int(ends[e - 1] - base)) for s, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", item_text: str = "text", block_windows: int = BLOCK_WINDOWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Add n_words, n_hit, item_ids (sorted strings), hit_spans (byte ranges of runs of hit words, the end
     exclusive) and clean_text (the text without those ranges) to all rows of ``docs``.
 
     Words are maximal runs of digits, letters and non-ASCII characters, with A-Z lowered. Null or empty text has no
     words. An item whose id is null still contaminates, but isn't listed. Repeated rows are treated singly; an
-    empty benchmark hits nothing. Names that ``docs`` has already get leading underscores in the result.
+    empty benchmark hits nothing, and an empty table gives no rows. Texts of any length are scanned whole. Names that ``docs`` has already get leading underscores in the result.
     """
     names = free_name(docs, "n_words", "n_hit", "item_ids", "hit_spans", "clean_text")
     added = [T.StructField(c, k) for c, k in zip(names, (T.LongType(), T.LongType(), T.ArrayType(T.StringType()), _SPAN, T.StringType()), strict=True)]
     schema = T.StructType([*docs.schema.fields, *added])
     place, width = docs.columns.index(text), len(docs.columns)
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(benchmark, item, item_text, n, block_windows)]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def scan(part, texts, block, again):
-        tables = {size: (np.array(sorted(t), dtype=np.uint64), t) for size, t in block.items()}
+    def scan(part, texts, tables, again):
         joined, starts, ends, hashes, first = words_of(texts, ALNUM)
         hit, items = _hits(joined, starts, ends, hashes, first, tables)
         base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
@@ -135,15 +144,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, text:
 
         return run
 
-    out = docs.mapInArrow(over(blocks[0] if blocks else None, False), schema)
-    for block in blocks[1:]:
-        out = out.mapInArrow(over(block, True), schema)
-    return out
+    out, passes = None, 0
+    for block in _blocks(benchmark_windows(benchmark, item, item_text, n), block_windows, block_bytes):
+        before = docs if out is None else materialize(out, "decontaminated")  # so that passes, and their blocks, follow one another
+        out = before.mapInArrow(over(spark.sparkContext.broadcast(block), passes > 0), schema)
+        passes += 1
+    return docs.mapInArrow(over(None, False), schema) if out is None else out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.5, **how) -> DataFrame:
     """The rows and columns of ``docs`` after decontamination: runs of hit words are cut out, and a document of
-    which more than ``max_share`` of the words are hit goes. Untouched rows keep their text, nulls included."""
+    which more than ``max_share`` of the words are hit goes. Untouched rows keep their text, nulls and empty texts included; no other
+    column takes part, whatever its name; an empty table gives no rows, and an empty benchmark takes nothing out."""
     text = how.get("text", "text")
     n_words, n_hit, _, _, clean = free_name(docs, "n_words", "n_hit", "item_ids", "hit_spans", "clean_text")
     found = find_contamination(docs, benchmark, **how)
