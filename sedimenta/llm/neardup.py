@@ -166,7 +166,7 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 #: Shingles of a block, where a document counts as 200 at least.
-_BLOCK = 100_000
+_BLOCK = 50_000
 
 
 def _crossed(table: pa.Table, n: int, percent: int) -> pa.Table:
