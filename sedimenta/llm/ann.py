@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each curve projects the vectors on a few random orthonormal directions, brings every direction to the unit interval by
-the normal distribution that fits all rows, shifts the cube by a random offset and orders the points by their Hilbert
+a logistic curve close to the normal distribution that fits all rows, shifts the cube by a random offset and orders the points by their Hilbert
 keys. Curves are cut into key ranges of about equal numbers of rows (percentiles over all rows). A query's window on a
 curve is its own range and the two beside it; Spark range-partitions rows and queries by curve and range, tasks
 rank the rows of their range for its queries by exact distances, and the curves' lists are merged and reranked.
@@ -14,7 +14,6 @@ queries times rows. For data of low intrinsic dimension use more ranges.
 
 from __future__ import annotations
 
-import math
 from functools import cache
 
 import numpy as np
@@ -28,8 +27,8 @@ from sedimenta.llm.support import materialize, shuffle_partitions
 
 #: Rows of a range that one task compares.
 CHUNK = 4096
-#: Smallest range: tables of up to three times as many rows are searched whole.
-LEAST_RANGE = 512
+#: Smallest range, so that a window of three holds several times the neighbours asked for.
+LEAST_RANGE = 20
 
 
 @cache
@@ -82,10 +81,9 @@ def _keyed(rows: DataFrame, project: np.ndarray, shift: np.ndarray, mean: np.nda
     kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
 
     def run(batches):
-        curve = np.vectorize(math.erf, otypes=[float])
         for batch in batches:
             z = (_matrix(batch.column(place)) @ project - mean) / scale if batch.num_rows else np.zeros((0, len(shift)))
-            u = (0.5 * (1 + curve(z / math.sqrt(2))) + shift) / 1.5 if len(z) else z
+            u = (1 / (1 + np.exp(np.clip(-1.702 * z, -50, 50))) + shift) / 1.5
             grid = np.minimum((u * (1 << bits)).astype(np.int64), (1 << bits) - 1)
             keys = np.stack([hilbert_keys(grid[:, i : i + axes], bits) for i in range(0, grid.shape[1], axes)], axis=1)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
@@ -129,7 +127,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
     Rows whose id is null or whose vector is null, zero, of another length than most, or holds null or non-finite
     components take no part. A row that comes again with the same id and vector counts once; rows of one id with several
     vectors are candidates each, and none of them is a candidate of that id's query, which is asked for each of
-    the vectors. With ``k`` candidates or fewer all are found. An empty table gives no rows. Other columns take no part.
+    the vectors. Tables of fewer than 60 rows are one window; beyond that curves decide at every size. An empty table gives no rows. Other columns take no part.
     """
     spark = vectors.sparkSession
     valid = materialize(usable_vectors(vectors, vec_id, embedding), "vectors")
