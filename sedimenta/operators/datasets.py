@@ -6,42 +6,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.functions.scalars import splitmix64
+from sedimenta.sources.scratch import scratch
 
-def with_position(df: DataFrame, *order: str | Column, out: str = "position", lanes: int | None = None) -> DataFrame:
-    """Add each row's place (from 0) in a total order. Rows are split into lanes by percentiles of the first key's rank value,
-    numbered inside their lane, and moved up by the rows of the lanes before; only the lanes' counts meet in one task."""
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names that ``df`` doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    return [next(name for name in ("_" * i + w for i in range(len(taken) + 1)) if name.lower() not in taken) for w in wanted]
+
+
+def with_position(df: DataFrame, *order: str | Column, out: str = "position", parts: int | None = None) -> DataFrame:
+    """Add each row's place (from 0) in a total order of columns of any type. Rows are range-partitioned by all keys, numbered
+    inside their partition, and moved up by the rows of the partitions before; only the partitions' counts meet in one task.
+
+    The ranged rows are written first, so that counts and places see the same partitions. Rows that tie on all keys follow one
+    another in any order. Columns of ``df`` keep their names, whatever they are; a column named ``out`` is replaced.
+    """
+    spark = df.sparkSession
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = lanes or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    lane = "_lane"
-    spread = df.withColumn("_key", keys[0])
-    cuts = spread.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 10000)).first()[0] or []
-    bounds = sorted(set(cuts))
-    marked = spread.withColumn(lane, F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col("_key"))) if bounds else F.lit(0))
-    counts = marked.groupBy(lane).agg(F.count("*").alias("_n"))
-    before = W.orderBy(lane).rowsBetween(W.unboundedPreceding, -1)
-    offsets = F.broadcast(counts.select(lane, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
-    inside = W.partitionBy(lane).orderBy(*keys)
-    placed = marked.withColumn("_in", F.row_number().over(inside)).join(offsets, lane)
-    return placed.withColumn(out, (F.col("_before") + F.col("_in") - 1).cast("long")).drop("_key", lane, "_n", "_in", "_before")
+    part, at, n, before, *own = free_names(df, "part", "at", "n", "before", *(f"key{i}" for i in range(len(keys))))
+    ranged = df.select("*", *(k.alias(c) for k, c in zip(keys, own, strict=True))).repartitionByRange(parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), *own)
+    path = scratch(spark, "ranges")
+    marked = ranged.withColumn(part, F.spark_partition_id())
+    marked.write.parquet(path)
+    marked = spark.read.schema(marked.schema).parquet(path)
+    ahead = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    offsets = F.broadcast(marked.groupBy(part).agg(F.count("*").alias(n)).select(part, F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(before)))  # a row per partition
+    placed = marked.withColumn(at, F.row_number().over(W.partitionBy(part).orderBy(*own))).join(offsets, part)
+    return placed.select(*(c for c in df.columns if c != out), (F.col(before) + F.col(at) - 1).cast("long").alias(out))
 
 
 def assign_batches(df: DataFrame, *order: str | Column, size: int) -> DataFrame:
     """Add batch_id and pos: runs of ``size`` rows (1 at least) in the order; the last may be short."""
-    size = max(1, size)
-    place = F.col("position")
-    return with_position(df, *order).withColumn("batch_id", F.floor(place / size)).withColumn("pos", (place % size).cast("int")).drop("position")
+    size, place = max(1, size), free_names(df, "position")[0]
+    at = F.col(place)
+    return with_position(df, *order, out=place).withColumns({"batch_id": F.floor(at / size), "pos": (at % size).cast("int")}).drop(place)
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int, epoch: int = 0) -> DataFrame:
-    """Add position: a place in an order that depends on seed, epoch and key alone, anew for each epoch."""
-    return with_position(df, F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), F.col(key))
+    """Add position: a place in an order that depends on seed, epoch and key alone, anew for each epoch: the order of the seed's
+    random words at the key's places, where a key that is no whole number is hashed first."""
+    whole = df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    number = F.col(key).cast("long") if whole else F.xxhash64(key)
+    return with_position(df, splitmix64(seed + 1_000_003 * epoch, number), key)
 
 
 def pad_batch(df: DataFrame, by: str, ids: str = "ids", pad_id: int = 0) -> DataFrame:
     """Lengthen each list of ids to its batch's longest with the pad id."""
-    most = F.max(F.size(ids)).over(W.partitionBy(by))
-    wide = df.withColumn("_most", most)
-    return wide.withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(pad_id), F.col("_most") - F.size(ids)))).drop("_most")
+    most = free_names(df, "most")[0]
+    wide = df.withColumn(most, F.max(F.size(ids)).over(W.partitionBy(by)))
+    return wide.withColumn(ids, F.concat(F.col(ids), F.array_repeat(F.lit(pad_id), F.col(most) - F.size(ids)))).drop(most)
 
 
 def cap_batches(df: DataFrame, n: int) -> DataFrame:

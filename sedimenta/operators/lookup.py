@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.operators.datasets import free_names
+
 
 def tag_zones(points: DataFrame, rects: list[tuple[int, int, int, int]], circles: list[tuple[float, float, float, float]], width: int | None = None, height: int | None = None, x: str = "x", y: str = "y") -> DataFrame:
     """Add wall (in a half-open rectangle x, y, w, h), value (of the last circle x, y, r, value that holds the point strictly; 0
@@ -84,7 +86,8 @@ def cumulative_product(df: DataFrame, key: str, order: str | list[str], column:
 
 def noise_schedule(df: DataFrame, key: str, order: str | list[str], beta: str) -> DataFrame:
     """Add alphas_product (of 1 - beta) and sigma, the root of its odds against."""
-    out = cumulative_product(df.withColumn("_alpha", 1 - F.col(beta)), key, order, "_alpha", "alphas_product").drop("_alpha")
+    alpha = free_names(df, "alpha")[0]
+    out = cumulative_product(df.withColumn(alpha, 1 - F.col(beta)), key, order, alpha, "alphas_product").drop(alpha)
     return out.withColumn("sigma", F.sqrt((1 - F.col("alphas_product")) / F.nullif(F.col("alphas_product"), F.lit(0.0))))
 
 

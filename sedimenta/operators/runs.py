@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.operators.datasets import free_names
+
 
 def _micros(ts: str | Column) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
@@ -38,10 +40,10 @@ def generation_metrics(events: DataFrame, runs: DataFrame) -> DataFrame:
     total_tokens (chunks that aren't empty), seconds from the first to the last event, tokens_per_second, truncated."""
     first = W.partitionBy("run_id").orderBy("seq")
     filled = (F.col("kind") == "chunk") & (F.length("chunk") > 0)
-    seen = events.withColumn("_n", F.row_number().over(first)).groupBy("run_id").agg(
+    seen = events.select("run_id", "ts", "kind", "chunk", F.row_number().over(first).alias("place")).groupBy("run_id").agg(
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-        F.sum(F.when((F.col("_n") == 1) | filled, 1).otherwise(0)).alias("rate_tokens"),
+        F.sum(F.when((F.col("place") == 1) | filled, 1).otherwise(0)).alias("rate_tokens"),
         F.sum(F.when(filled, 1).otherwise(0)).alias("total_tokens"),
     )
     seconds = (_micros("last_ts") - _micros("first_ts")) / 1e6
@@ -70,7 +72,8 @@ def model_summary(metrics: DataFrame) -> DataFrame:
 def assemble_output(events: DataFrame) -> DataFrame:
     """run_id, output: a run's chunks in order, up to its first tool call."""
     tool = F.min(F.when(F.col("kind") == "tool", F.col("seq"))).over(W.partitionBy("run_id"))
-    before = events.withColumn("_tool", tool).where((F.col("kind") == "chunk") & (F.col("_tool").isNull() | (F.col("seq") < F.col("_tool"))))
+    first = free_names(events, "tool_seq")[0]
+    before = events.withColumn(first, tool).where((F.col("kind") == "chunk") & (F.col(first).isNull() | (F.col("seq") < F.col(first))))
     parts = before.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("seq", "chunk"))).alias("all"))
     return parts.select("run_id", F.array_join(F.col("all.chunk"), "").alias("output"))
 
@@ -79,7 +82,8 @@ def open_turn(chats: DataFrame, conv: str = "conv_id", turn: str = "turn") -> Da
     """Conversations ready for the next answer: a last message that is the assistant's and empty goes."""
     last = F.row_number().over(W.partitionBy(conv).orderBy(F.desc(turn)))
     empty = (F.col("role") == "assistant") & (F.coalesce(F.col("text"), F.lit("")) == "")
-    return chats.withColumn("_last", last).where(~((F.col("_last") == 1) & empty)).drop("_last")
+    back = free_names(chats, "back")[0]
+    return chats.withColumn(back, last).where(~((F.col(back) == 1) & empty)).drop(back)
 
 
 def assemble_chat(chats: DataFrame, cancelled: DataFrame | None = None, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -121,5 +125,6 @@ def progress_milestones(df: DataFrame, key: str, order: str, processed: str, tot
     """Rows whose tenths of the work exceed the row before's, and each key's last row; adds tenth."""
     w = W.partitionBy(key).orderBy(order)
     tenth = F.floor(F.col(processed) * 10 / F.col(total))
-    marked = df.withColumn("tenth", tenth).withColumn("_was", F.lag("tenth").over(w)).withColumn("_next", F.lead("tenth").over(w))
-    return marked.where((F.col("tenth") > F.coalesce("_was", F.lit(0))) | F.col("_next").isNull()).drop("_was", "_next")
+    was, after = free_names(df, "was", "after")
+    marked = df.withColumn("tenth", tenth).withColumns({was: F.lag("tenth").over(w), after: F.lead("tenth").over(w)})
+    return marked.where((F.col("tenth") > F.coalesce(was, F.lit(0))) | F.col(after).isNull()).drop(was, after)

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 def relative_path(path: str | Column, root: str) -> Column:
     """Path below ``root``; unchanged outside of it."""
     path, root = F.col(path) if isinstance(path, str) else path, root.rstrip("/")
-    inner = F.substr(path, F.lit(len(root) + 1))
-    return F.when(path.startswith(root), F.when(inner.startswith("/"), F.substr(inner, F.lit(2))).otherwise(inner)).otherwise(path)
+    return F.when(path.startswith(f"{root}/"), F.substr(path, F.lit(len(root) + 2))).when(path == root, "").otherwise(path)
 
 
 def extension(path: str | Column) -> Column:
