@@ -14,13 +14,41 @@ from sedimenta.operators.lookup import published
 from sedimenta.operators.search import topk_search
 
 
+def _milliseconds(interval: str) -> int:
+    return int(pd.Timedelta(interval).total_seconds() * 1000)
+
+
+def _keep_until(state, last_micros: int, late: int) -> None:
+    """The state goes when the watermark is ``late`` milliseconds past the key's last event."""
+    state.setTimeoutTimestamp(max(last_micros // 1000 + late, state.getCurrentWatermarkMs() + 1))
+
+
 def stream_generation_metrics(stream: DataFrame, late: str = "10 minutes", max_tokens: int = 1000) -> DataFrame:
-    """Per run, updated with each batch: tokens (chunks that aren't empty), first and last time, tokens_per_second, truncated.
-    Rows later than the watermark are dropped, and runs older than it leave the state."""
-    filled = F.when((F.col("kind") == "chunk") & (F.length("chunk") > 0), 1).otherwise(0)
-    agg = stream.withWatermark("ts", late).groupBy("run_id").agg(F.sum(filled).alias("tokens"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    seconds = (F.unix_micros("last_ts") - F.unix_micros("first_ts")) / 1e6
-    return agg.withColumns({"tokens_per_second": F.when(seconds > 0, F.col("tokens") / seconds), "truncated": F.col("tokens") >= max_tokens})
+    """Per run, in update mode, whenever a batch has events of it: tokens (chunks that aren't empty), first and last time,
+    tokens_per_second, truncated. A run's state is three numbers. Events behind the watermark are dropped, and a run without events
+    for ``late`` leaves the state; should it go on after that, it starts anew."""
+    idle = _milliseconds(late)
+
+    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        tokens, first, last = state.get if state.exists else (0, None, None)
+        for pdf in batches:
+            micros = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            tokens += int(pdf["filled"].sum())
+            first = int(micros.min()) if first is None else min(first, int(micros.min()))
+            last = int(micros.max()) if last is None else max(last, int(micros.max()))
+        state.update((tokens, first, last))
+        _keep_until(state, last, idle)
+        seconds = (last - first) / 1e6
+        times = pd.to_datetime([first, last], unit="us")
+        yield pd.DataFrame({"run_id": [key[0]], "tokens": [tokens], "first_ts": times[:1], "last_ts": times[1:], "tokens_per_second": [tokens / seconds if seconds > 0 else None], "truncated": [tokens >= max_tokens]})
+
+    filled = F.coalesce((F.col("kind") == "chunk") & (F.length("chunk") > 0), F.lit(False)).cast("long").alias("filled")
+    kind = f"run_id {stream.schema['run_id'].dataType.simpleString()}, tokens long, first_ts timestamp, last_ts timestamp, tokens_per_second double, truncated boolean"
+    slim = stream.where("ts IS NOT NULL").withWatermark("ts", late).select("run_id", "ts", filled)
+    return slim.groupBy("run_id").applyInPandasWithState(run, kind, "tokens long, first long, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_tumbling(stream: DataFrame, every: str = "2 seconds", late: str = "10 minutes", value: str = "value") -> DataFrame:
@@ -44,22 +72,31 @@ def search_batches(index: DataFrame, k: int, sink: Callable[[DataFrame, int], No
     return run
 
 
-def stream_throttle(stream: DataFrame, seconds: float = 0.5, keep: int = 30) -> DataFrame:
+def stream_throttle(stream: DataFrame, seconds: float = 0.5, keep: int = 30, late: str = "10 minutes") -> DataFrame:
     """(key, ts, value, mean): rows of (key, ts, value) at least ``seconds`` after their key's last published one, with the mean of the
-    last ``keep`` values. A key's state is its last published time and those values; within a batch rows go by time."""
+    last ``keep`` values. A key's state is its last published time, its last time and those values; it goes when the key has had no row
+    for ``late`` (at least ``seconds``), and rows behind the watermark are dropped. Within a batch rows go by time, for which a key's
+    rows of one batch are sorted at once: the source's limit of files a batch bounds them."""
+    idle = max(_milliseconds(late), int(seconds * 1000) + 1)
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, values = state.get if state.exists else (None, [])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, seen, values = state.get if state.exists else (None, 0, [])
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        times = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
+        micros = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
         means = []
         for v in rows["value"]:
             values = [*values, float(v)][-keep:]
             means.append(float(np.mean(values)))
-        out = published(times, last, seconds)
+        out = published(micros / 1e6, last, seconds)
         if out.any():
-            last = float(times[out][-1])
-        state.update((last, values))
+            last = float(micros[out][-1] / 1e6)
+        seen = max(seen, int(micros[-1]))
+        state.update((last, seen, values))
+        _keep_until(state, seen, idle)
         yield pd.DataFrame({"key": key[0], "ts": rows["ts"], "value": rows["value"], "mean": means})[out]
 
-    return stream.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, value double, mean double", "last double, recent array<double>", "append", GroupStateTimeout.NoTimeout)
+    slim = stream.where("ts IS NOT NULL").withWatermark("ts", late).select("key", "ts", "value")
+    return slim.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, value double, mean double", "last double, seen long, recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
