@@ -13,8 +13,22 @@ from pyspark.sql import functions as F
 from sedimenta.functions.vectors import layer_norm, normalize, sanitize
 
 
+def hashing_embeddings(docs: DataFrame, key: str = "path", text: str = "contents", dimension: int = 64) -> DataFrame:
+    """key, embedding (array of doubles) by a model without weights: each word adds or takes 1 at a place, both read off its MD5. Rows
+    without words are left out; rows that repeat a key stay apart.
+
+    Words are exploded and summed again before the shuffle, which carries one row of sums a document.
+    """
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), words.alias("words"))
+    each = numbered.select("row", "k", F.explode("words").alias("w")).select("row", "k", F.md5("w").alias("d"))
+    coded = each.select("row", "k", (F.conv(F.substring("d", 1, 8), 16, 10).cast("long") % dimension).alias("at"), F.when(F.substring("d", 9, 1) >= "8", 1).otherwise(-1).alias("sign"))
+    sums = coded.groupBy("row", "k").agg(*(F.sum(F.when(F.col("at") == i, F.col("sign")).otherwise(0)).alias(f"s{i}") for i in range(dimension)))
+    return sums.select(F.col("k").alias(key), F.array(*(F.col(f"s{i}").cast("double") for i in range(dimension))).alias("embedding"))
+
+
 class HashingEmbedder:
-    """A model without weights: each word counts at a hashed place with a hashed sign. A text without words has no tokens."""
+    """The same model as a plug."""
 
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
@@ -23,16 +37,15 @@ class HashingEmbedder:
         out = []
         for words in (t.lower().split() for t in texts):
             v = np.zeros(self.dimension)
-            for w in words:
-                h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "little")
-                v[h % self.dimension] += 1 if h >> 63 else -1
+            for d in (hashlib.md5(w.encode()).hexdigest() for w in words):
+                v[int(d[:8], 16) % self.dimension] += 1 if d[8] >= "8" else -1
             out.append(v.tolist() if words else None)
         return out
 
 
-def embed_documents(docs: DataFrame, load: Callable[[], Callable[[list[str]], list]] = HashingEmbedder, key: str = "path", text: str = "contents", batch_size: int = 8, normalized: bool = True) -> DataFrame:
-    """key, embedding of the documents that have tokens. ``load`` makes the model, once per task; within an Arrow batch texts go
-    to it in runs of ``batch_size``, sorted by length."""
+def embed_documents(docs: DataFrame, load: Callable[[], Callable[[list[str]], list]] | None = None, key: str = "path", text: str = "contents", batch_size: int = 8, normalized: bool = True) -> DataFrame:
+    """key, embedding of the documents that have tokens, by ``hashing_embeddings`` or by a plugged model. ``load`` makes the model, once
+    per task; within an Arrow batch texts go to it in runs of ``batch_size``, sorted by length."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
@@ -44,8 +57,11 @@ def embed_documents(docs: DataFrame, load: Callable[[], Callable[[list[str]], li
                 found = model(part["t"].fillna("").tolist())
                 yield pd.DataFrame({key: part["k"].tolist(), "embedding": found}).dropna(subset=["embedding"])
 
-    kind = f"{key} {docs.schema[key].dataType.simpleString()}, embedding array<double>"
-    raw = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, kind)
+    if load is None:
+        raw = hashing_embeddings(docs, key, text)
+    else:
+        kind = f"{key} {docs.schema[key].dataType.simpleString()}, embedding array<double>"
+        raw = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, kind)
     return raw.withColumn("embedding", normalize("embedding") if normalized else sanitize("embedding"))
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sedimenta.functions.vectors import dot, has_non_finite, normalize, sanitize
+from sedimenta.operators.embed import embed_documents
+from sedimenta.sources.corpus import read_corpus
 
 #: Queries of one block: 8 MB of doubles at 1,000 components.
 QUERY_BLOCK = 1024
@@ -25,11 +29,22 @@ def prepare_queries(queries: DataFrame, embedding: str = "embedding", normalized
     return queries.withColumn(embedding, normalize(embedding) if normalized else sanitize(embedding))
 
 
-def score_pairs(index: DataFrame, queries: DataFrame, key: str = "path", query_id: str = "query_id", embedding: str = "embedding") -> DataFrame:
-    """(query_id, key, score) of every entry of each query's dimension, by plain columns; entries with non-finite values
-    score 0. The queries are a stated small set: they are broadcast, so their number has to be known to be small."""
-    q = F.broadcast(queries.select(F.col(query_id), F.col(embedding).alias("q")))
-    pairs = index.select(F.col(key), F.col(embedding).alias("v")).join(q, F.size("v") == F.size("q"))
+def score_pairs(index: DataFrame, queries: DataFrame, key: str = "path", query_id: str = "query_id", embedding: str = "embedding", broadcast_mb: int = 64) -> DataFrame:
+    """(query_id, key, score) of every entry of each query's dimension, by plain columns; entries with non-finite values score 0.
+
+    The pairs are the result; ``topk_search`` makes none. Queries are broadcast if their counted components are within
+    ``broadcast_mb``; otherwise entries are dealt over the shuffle partitions and each query goes to all of them.
+    """
+    q = queries.select(F.col(query_id), F.col(embedding).alias("q"))
+    entries = index.select(F.col(key), F.col(embedding).alias("v"))
+    size = q.agg(F.sum(F.size("q") + 4)).first()[0] or 0
+    if size * 8 <= broadcast_mb << 20:
+        pairs = entries.join(F.broadcast(q), F.size("v") == F.size("q"))
+    else:
+        deals = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        dealt = entries.withColumn("deal", F.pmod(F.xxhash64(key), F.lit(deals)))
+        spread = q.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+        pairs = dealt.join(spread, (F.size("v") == F.size("q")) & (F.col("deal") == F.col("to")))
     return pairs.select(query_id, key, F.when(has_non_finite("v"), F.lit(0.0)).otherwise(dot("v", "q")).alias("score"))
 
 
@@ -84,6 +99,15 @@ def topk_search(index: DataFrame, queries: DataFrame, k: int = 5, key: str = "pa
     return rank_hits(found, k, key, query_id)
 
 
+def search_folder(spark: SparkSession, root: str, questions: DataFrame, extensions: Iterable[str] = ("txt", "md"), documents: int = 8, k: int = 2, load=None, recursive: bool = True) -> DataFrame:
+    """(query_id, path, score, rank): each question's (query_id, text) best ``k`` of the first ``documents`` files of a folder, by path,
+    that can be read: reading, embedding and search in one. Blank questions have no hits."""
+    docs = read_corpus(spark, root, extensions, recursive, documents).where("status = 'ok'")
+    index = embed_documents(docs, load)
+    asked = embed_documents(questions.select(F.col("query_id"), F.col("text").alias("contents")), load, key="query_id")
+    return topk_search(index, asked, k)
+
+
 def rank_hits(scores: DataFrame, k: int, key: str = "path", query_id: str = "query_id") -> DataFrame:
     order = W.partitionBy(query_id).orderBy(F.desc("score"), key)
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, 0))

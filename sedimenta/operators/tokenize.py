@@ -1,7 +1,9 @@
-"""Byte-pair tokenization: each distinct word is merged once."""
+"""Byte-pair tokenization: a worker merges a word once."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,24 +37,36 @@ def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return pieces
 
 
+#: Words that a worker remembers.
+REMEMBERED = 500_000
+
+
 def tokenize(df: DataFrame, vocabulary: dict[str, int], ranks: dict[tuple[str, str], int], key: str, text: str, ends: bool = True) -> DataFrame:
     """key, ids: token ids of each text; pieces outside the vocabulary are dropped, begin and end are added.
 
-    Words are gathered as a distinct table, merged once each in Arrow batches, and joined back. Word frequencies are uneven, and
-    the join is a plain equi-join, so that Spark broadcasts a small word table or splits skewed words.
+    Texts are encoded where they are, in Arrow batches, and a worker remembers the words it has merged (``REMEMBERED`` at most): words
+    are so uneven that this leaves few merges, and nothing is shuffled.
     """
-    spark = df.sparkSession
-    sent = spark.sparkContext.broadcast((vocabulary, ranks))  # model data of fixed size
+    sent = df.sparkSession.sparkContext.broadcast((vocabulary, ranks))  # model data of fixed size
 
     @F.pandas_udf("array<int>")
-    def encode(words: pd.Series) -> pd.Series:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ids, order = sent.value
-        return words.map(lambda w: [ids[p] for p in merge_word(w, order) if p in ids])
+        known: dict[str, list[int]] = {}
+        for batch in batches:
+            out = []
+            for words in batch:
+                own = []
+                for w in () if words is None else words:
+                    if w not in known:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[w] = [ids[p] for p in merge_word(w, order) if p in ids]
+                    own += known[w]
+                out.append(own)
+            yield pd.Series(out, dtype=object)
 
-    words = df.select(F.col(key).alias("key"), F.posexplode_outer(pre_split(text)).alias("pos", "word"))
-    known = words.where("word IS NOT NULL").select("word").distinct().withColumn("ids", encode("word"))
-    found = words.join(known, "word", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("all"))
-    flat = F.flatten(F.filter(F.col("all.ids"), lambda x: x.isNotNull()))
+    flat = encode(pre_split(text))
     if ends:
         flat = F.concat(F.array(F.lit(vocabulary[BOS])), flat, F.array(F.lit(vocabulary[EOS])))
-    return found.select(F.col("key").alias(key), flat.alias("ids"))
+    return df.select(F.col(key), flat.alias("ids"))
