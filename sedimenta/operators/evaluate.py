@@ -26,12 +26,12 @@ def perplexity(df: DataFrame, loss: str = "loss", tokens: str = "tokens") -> Dat
     return df.agg(mean.alias("loss"), F.exp(mean).alias("perplexity"))
 
 
-def training_report(steps: DataFrame, every: int = 10) -> DataFrame:
-    """iter (a report's last step), loss, iterations_per_second, tokens_per_second of each run of ``every`` steps; the last run
-    may be short."""
+def training_report(steps: DataFrame, every: int = 10, by: list[str] | None = None) -> DataFrame:
+    """iter (a report's last step), loss, iterations_per_second, tokens_per_second of each run of ``every`` steps, of each training
+    that the columns ``by`` name; the last run may be short."""
     run = F.floor((F.col("iter") - 1) / every)
     seconds = F.nullif(F.sum("seconds"), F.lit(0.0))
-    return steps.groupBy(run.alias("report")).agg(
+    return steps.groupBy(*(by or []), run.alias("report")).agg(
         F.max("iter").alias("iter"),
         F.avg("loss").alias("loss"),
         (F.count("*") / seconds).alias("iterations_per_second"),
@@ -39,6 +39,17 @@ def training_report(steps: DataFrame, every: int = 10) -> DataFrame:
     )
 
 
-def checkpoints(steps: DataFrame, every: int = 100) -> DataFrame:
-    """Steps after which weights are saved or the validation set is scored (the first step too)."""
-    return steps.where((F.col("iter") % every == 0) | (F.col("iter") == 1)).select("iter", F.when(F.col("iter") % every == 0, "saved").otherwise("first").alias("mark"))
+def checkpoints(steps: DataFrame, save_every: int = 100, validate_every: int = 100, by: list[str] | None = None) -> DataFrame:
+    """A row for each mark of a step: saved (its weights are written) and validated (the validation set is scored, after the
+    first step too). A step may have both."""
+    it = F.col("iter")
+    marks = F.array_compact(F.array(F.when(it % save_every == 0, "saved"), F.when((it % validate_every == 0) | (it == 1), "validated")))
+    return steps.select(*(by or []), "iter", F.explode(marks).alias("mark"))
+
+
+def validation_report(steps: DataFrame, scored: DataFrame, validate_every: int = 100, by: list[str] | None = None) -> DataFrame:
+    """iter, validation_loss (mean over the scored batches) and validation_seconds (their sum) of each validated step; ``scored`` has
+    a row (iter, loss, seconds) for each batch. A validated step without scored batches has nulls."""
+    keys = [*(by or []), "iter"]
+    found = scored.groupBy(*keys).agg(F.avg("loss").alias("validation_loss"), F.sum("seconds").alias("validation_seconds"))
+    return checkpoints(steps, validate_every, validate_every, by).where("mark = 'validated'").select(*keys).join(found, keys, "left")

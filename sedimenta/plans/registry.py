@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedimenta.functions import scalars, vectors
@@ -13,6 +14,9 @@ from sedimenta.sources import corpus, tables
 from sedimenta.sources.scratch import scratch
 from sedimenta.streaming import drain, streams
 
+#: Two to the 64th, for unsigned products in SQL.
+_U = "18446744073709551616::UHUGEINT"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -122,12 +126,12 @@ def f19_guided_combine(spark, sf_dir):
 
 def _search_inputs(spark, sf_dir):
     e = odd_vectors(spark, sf_dir)
-    return e.select(F.col("vec_id").alias("path"), F.col("v").alias("embedding")), e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("v").alias("embedding"))
+    return e.select(F.col("vec_id").alias("path"), F.col("v").alias("embedding")), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("embedding"))
 
 
 SEARCH = ODD + """, hits AS (
   SELECT q.vec_id AS query_id, i.vec_id AS path, CASE WHEN i.vec_id % 7 = 0 THEN 0.0::DOUBLE ELSE list_dot_product(i.s, q.u) END AS score
-  FROM n i JOIN n q ON q.vec_id < 20 AND len(i.s) = len(q.u)
+  FROM n i JOIN n q ON q.vec_id % 100 = 0 AND len(i.s) = len(q.u)
 ) SELECT query_id, path, round(score, 6) + 0.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path)::INT AS rank FROM hits QUALIFY rank <= 5
 """
 
@@ -194,8 +198,7 @@ def p1_filter_extensions(spark, sf_dir):
 
 @query(FILES + "SELECT doc_id, CASE WHEN path LIKE '/corpus/src1/%' THEN substr(path, 14) ELSE path END AS path FROM f")
 def p2_relative_path(spark, sf_dir):
-    files = as_files(spark, sf_dir)
-    return files.select("doc_id", F.when(F.col("path").startswith("/corpus/src1/"), corpus.relative_path("path", "/corpus/src1/")).otherwise(F.col("path")).alias("path"))
+    return as_files(spark, sf_dir).select("doc_id", corpus.relative_path("path", "/corpus/src1").alias("path"))
 
 
 @query(FILES + "SELECT doc_id, CASE WHEN binary_file THEN 'binary' ELSE 'ok' END AS status, CASE WHEN binary_file THEN NULL ELSE length(contents) END AS chars FROM f")
@@ -215,19 +218,31 @@ def j3_skipped_documents(spark, sf_dir):
     return search.skipped_documents(docs, embed.embed_documents(docs)).select("doc_id")
 
 
-@query()
+#: Signed counts of the words' places, as the hashing model makes them.
+HASHED = """, w AS (SELECT path, unnest(list_filter(string_split_regex(lower(contents), '\\s+'), lambda x: x <> '')) AS w FROM {rows}),
+c{n} AS (SELECT path, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos, sum(CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1 ELSE -1 END)::DOUBLE AS c FROM w GROUP BY ALL)"""
+
+
+@query(FILES + HASHED.format(rows="(SELECT path, contents FROM f WHERE NOT binary_file)", n="") + """, t AS (
+  SELECT path, greatest(sqrt(sum(c * c)), 1e-300) AS norm, sum(c) AS total, coalesce(sum(c) FILTER (WHERE pos = 0), 0) AS first, coalesce(sum(c) FILTER (WHERE pos = 63), 0) AS last FROM c GROUP BY path
+) SELECT path, round(total / norm, 6) + 0.0 AS total, round(first / norm, 6) + 0.0 AS first, round(last / norm, 6) + 0.0 AS last FROM t""")
 def x1_embed_documents(spark, sf_dir):
     docs = corpus.decode_documents(as_files(spark, sf_dir)).where("status = 'ok'")
-    return embed.embed_documents(docs)
+    e = embed.embed_documents(docs)
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return e.select("path", six(total).alias("total"), six(F.get("embedding", F.lit(0))).alias("first"), six(F.get("embedding", F.lit(63))).alias("last"))
 
 
-@query()
+@query(FILES + HASHED.format(rows="(SELECT path, contents FROM f WHERE NOT binary_file)", n="") + """,
+qw AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM benchmark),
+qc AS (SELECT item_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos, sum(CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1 ELSE -1 END)::DOUBLE AS c FROM qw GROUP BY ALL),
+hits AS (SELECT item_id AS query_id, path, sum(c.c * qc.c) AS score FROM c JOIN qc USING (pos) GROUP BY ALL)
+SELECT query_id, path, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path)::INT AS rank FROM hits QUALIFY rank <= 2""")
 def x2_index_and_search(spark, sf_dir):
     docs = corpus.decode_documents(as_files(spark, sf_dir)).where("status = 'ok'")
-    index = embed.embed_documents(docs)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("path"), F.col("text").alias("contents"))
-    queries = embed.embed_documents(asked).withColumnRenamed("path", "query_id")
-    return search.topk_search(index, queries, 2)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("contents"))
+    index, queries = embed.embed_documents(docs, normalized=False), embed.embed_documents(asked, key="query_id", normalized=False)
+    return search.topk_search(index, queries, 2, normalized=False)
 
 
 def token_vectors(spark, sf_dir):
@@ -329,11 +344,20 @@ def a8_training_report(spark, sf_dir):
     return r.select("report", "iter", *(six(F.col(c)).alias(c) for c in ("loss", "iterations_per_second", "tokens_per_second")))
 
 
-@query(STEPS + "SELECT iter, CASE WHEN iter % 100 = 0 THEN 'saved' ELSE 'first' END AS mark FROM s WHERE iter % 100 = 0 OR iter = 1")
+@query(STEPS + "SELECT iter, unnest(['saved', 'validated']) AS mark FROM s WHERE iter % 100 = 0 UNION ALL SELECT iter, 'validated' FROM s WHERE iter = 1")
 def a8_checkpoints(spark, sf_dir):
     return evaluate.checkpoints(steps(spark, sf_dir))
 
 
+@query(STEPS + """, v AS (SELECT (event_id // 10 + 1) AS iter, value AS loss, 0.25 AS seconds FROM events)
+SELECT s.iter, round(avg(v.loss), 6) AS validation_loss, round(sum(v.seconds)::DOUBLE, 6) AS validation_seconds
+FROM s LEFT JOIN v ON v.iter = s.iter WHERE s.iter = 1 OR s.iter % 100 = 0 GROUP BY s.iter""")
+def a8_validation_report(spark, sf_dir):
+    scored = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 10 + 1).alias("iter"), F.col("value").alias("loss"), F.lit(0.25).alias("seconds"))
+    r = evaluate.validation_report(steps(spark, sf_dir), scored)
+    return r.select("iter", six(F.col("validation_loss")).alias("validation_loss"), six(F.col("validation_seconds")).alias("validation_seconds"))
+
+
 # --------------------------------------------------------------------------- runs
 # A run is a user's events by time: a chunk is the event's type (empty for "view"), "error" is a tool call.
 
@@ -346,8 +370,6 @@ WITH ev AS (
 
 
 def run_events(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     e = table(spark, sf_dir, "events")
     seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     return e.select(
@@ -399,8 +421,6 @@ def w7_running_rate(spark, sf_dir):
 
 @query(RUNS + ", t AS (SELECT run_id, seq, (seq * 10) // count(*) OVER (PARTITION BY run_id) AS tenth FROM ev), l AS (SELECT *, lag(tenth) OVER w AS was, lead(tenth) OVER w AS nxt FROM t WINDOW w AS (PARTITION BY run_id ORDER BY seq)) SELECT run_id, seq, tenth FROM l WHERE tenth > coalesce(was, 0) OR nxt IS NULL")
 def w8_progress_milestones(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     e = run_events(spark, sf_dir).withColumn("total", F.count("*").over(W.partitionBy("run_id")))
     return runs.progress_milestones(e, "run_id", "seq", "seq", "total").select("run_id", "seq", "tenth")
 
@@ -491,17 +511,17 @@ def j1_join_wikisql(spark, sf_dir):
 SPLIT = "CASE p_partkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'valid' ELSE 'test' END"
 
 
-@query(f"SELECT split, p_partkey FROM (SELECT p_partkey, {SPLIT} AS split, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) AS n FROM part) WHERE n <= CASE split WHEN 'train' THEN 50 ELSE 10 END")
+@query(f"SELECT split, p_partkey FROM (SELECT p_partkey, {SPLIT} AS split, row_number() OVER (PARTITION BY p_partkey % 3 ORDER BY p_partkey) AS n FROM part) WHERE n <= CASE split WHEN 'train' THEN 1000 ELSE 100 END")
 def t2_take_splits(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.expr(SPLIT).alias("split"))
-    return sft.take_splits(p, {"train": 50, "valid": 10, "test": 10}, order="p_partkey").select("split", "p_partkey")
+    return sft.take_splits(p, {"train": 1000, "valid": 100, "test": 100}, order="p_partkey").select("split", "p_partkey")
 
 
-@query(f"SELECT {SPLIT} AS split, count(*) AS n FROM part GROUP BY 1")
+@query(f"SELECT {SPLIT} AS split, p_partkey, p_name FROM part")
 def u2_union_splits(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    parts = {name: p.where(F.col("p_partkey") % 3 == i).select("p_name") for i, name in enumerate(("train", "valid", "test"))}
-    return sft.union_splits(**parts).groupBy("split").agg(F.count("*").alias("n"))
+    parts = {name: p.where(F.col("p_partkey") % 3 == i).select("p_partkey", "p_name") for i, name in enumerate(("train", "valid", "test"))}
+    return sft.union_splits(**parts)
 
 
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) // 64 AS batch_id, ((row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1) % 64)::INT AS pos FROM orders")
@@ -509,7 +529,15 @@ def w1_assign_batches(spark, sf_dir):
     return datasets.assign_batches(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", size=64).select("o_orderkey", "batch_id", "pos")
 
 
-@query()
+@query(FILES + "SELECT path, (row_number() OVER (ORDER BY path) - 1) // 8 AS batch_id, ((row_number() OVER (ORDER BY path) - 1) % 8)::INT AS pos FROM f")
+def w1_batches_by_path(spark, sf_dir):
+    return datasets.assign_batches(as_files(spark, sf_dir).select("path"), "path", size=8).select("path", "batch_id", "pos")
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, ((1000010 + (o_orderkey + 1)::UHUGEINT * 11400714819323198485::UHUGEINT % {_U}) % {_U})::UBIGINT AS z FROM orders),
+b AS (SELECT o_orderkey, (xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT % {_U})::UBIGINT AS z FROM a),
+c AS (SELECT o_orderkey, (xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT % {_U})::UBIGINT AS z FROM b)
+SELECT o_orderkey, row_number() OVER (ORDER BY xor(xor(z, z >> 31), 9223372036854775808::UBIGINT), o_orderkey) - 1 AS position FROM c""")
 def w2_seeded_shuffle(spark, sf_dir):
     return datasets.seeded_shuffle(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 7, 1)
 
@@ -552,6 +580,64 @@ def s7_read_wikisql(spark, sf_dir):
     return back.select(F.concat(number, F.lit("|"), F.replace("text", F.concat(F.lit("Q: "), number, F.lit("|")), F.lit("Q: "))).alias("text"))
 
 
+@query("SELECT source, 'ok' AS status, sum(length(text) + 1)::BIGINT AS chars FROM documents GROUP BY source")
+def s1_read_corpus(spark, sf_dir):
+    at = scratch(spark, "corpus")
+    table(spark, sf_dir, "documents").select("text", "source").repartition("source").write.partitionBy("source").text(at)
+    docs = corpus.read_corpus(spark, at, recursive=True)
+    return docs.groupBy(F.regexp_extract("path", "^source=([^/]+)/", 1).alias("source"), "status").agg(F.sum(F.length("contents")).cast("long").alias("chars"))
+
+
+@query("""WITH f AS (SELECT source, 'source=' || source AS folder, string_split_regex(lower(string_agg(text, ' ')), '\\s+') AS words FROM documents GROUP BY source ORDER BY folder LIMIT 8),
+c AS (SELECT source, pos, sum(sign)::DOUBLE AS c FROM (SELECT source, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos, CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1 ELSE -1 END AS sign FROM (SELECT source, unnest(words) AS w FROM f) WHERE w <> '') GROUP BY ALL),
+qc AS (SELECT item_id, pos, sum(sign)::DOUBLE AS c FROM (SELECT item_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos, CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1 ELSE -1 END AS sign FROM (SELECT item_id, unnest(string_split_regex(lower(text), '\\s+')) AS w FROM benchmark) WHERE w <> '') GROUP BY ALL),
+cn AS (SELECT source, sqrt(sum(c * c)) AS norm FROM c GROUP BY source), qn AS (SELECT item_id, sqrt(sum(c * c)) AS norm FROM qc GROUP BY item_id),
+hits AS (SELECT item_id AS query_id, source, sum(c.c * qc.c) AS dot FROM c JOIN qc USING (pos) GROUP BY ALL)
+SELECT query_id, hits.source, round(dot / cn.norm / qn.norm, 6) + 0.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY dot / cn.norm DESC, hits.source)::INT AS rank
+FROM hits JOIN cn ON cn.source = hits.source JOIN qn ON qn.item_id = query_id QUALIFY rank <= 2""")
+def x2_search_folder(spark, sf_dir):
+    at = scratch(spark, "corpus")
+    table(spark, sf_dir, "documents").select("text", "source").repartition("source").write.partitionBy("source").text(at)
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    hits = search.search_folder(spark, at, asked)
+    return hits.select("query_id", F.regexp_extract("path", "^source=([^/]+)/", 1).alias("source"), six(F.col("score")).alias("score"), "rank")
+
+
+@query("SELECT vec_id, list_sum(list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5)))::BIGINT AS total, label FROM embeddings")
+def s8_decode_idx(spark, sf_dir):
+    import gzip
+
+    @F.pandas_udf("binary")
+    def packed(content):
+        return content.map(gzip.compress)
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label", F.floor(F.col("vec_id") / 500).alias("file"))
+    byte = lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 127.5).cast("int")), 2, "0")
+
+    def files(record, header):  # five hundred records each
+        rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", record.alias("hex")))), lambda r: r["hex"]), "")
+        return e.groupBy("file").agg(F.unhex(F.concat(F.lit("00" * header), rows)).alias("raw")).select("file", packed("raw").alias("content"))
+
+    images = tables.decode_idx(files(F.array_join(F.transform("embedding", byte), ""), 16), "pixels", 64, keys=("file",))
+    labels = tables.decode_idx(files(F.lpad(F.hex("label"), 2, "0"), 8), "label", keys=("file",))
+    total = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + F.round(x.cast("double") * 255))
+    order = e.select("vec_id", "file", (F.row_number().over(W.partitionBy("file").orderBy("vec_id")) - 1).cast("long").alias("idx"))
+    return order.join(images.join(labels, ["file", "idx"]), ["file", "idx"]).select("vec_id", total.cast("long").alias("total"), "label")
+
+
+@query("WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT w AS piece, row_number() OVER (ORDER BY w) - 1 AS id, row_number() OVER (ORDER BY w) - 1 AS rank FROM w")
+def s9_read_bpe(spark, sf_dir):
+    at = scratch(spark, "bpe")
+    words = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    listed = words.agg(F.array_sort(F.collect_list("w")).alias("all"))  # a vocabulary: model data
+    pairs = F.map_from_entries(F.transform("all", lambda w, i: F.struct(w, i)))
+    listed.select(F.to_json(pairs).alias("value")).write.text(f"{at}/vocabulary")
+    merges = F.concat(F.lit("#version\n"), F.array_join(F.transform("all", lambda w: F.concat(F.substring(w, 1, 1), F.lit(" "), F.substring(w, 2, 1 << 20))), "\n"))
+    listed.select(merges.alias("value")).write.text(f"{at}/merges")
+    ids, ranks = tables.read_bpe(spark, f"{at}/vocabulary", f"{at}/merges")
+    return spark.createDataFrame([(w, ids[w], ranks[w[:1], w[1:]]) for w in ids], "piece string, id long, rank long")
+
+
 # --------------------------------------------------------------------------- scalars
 
 
@@ -584,9 +670,6 @@ def f13_model_label(spark, sf_dir):
     return n.select("n_nationkey", scalars.model_label(F.concat(F.lit("org/"), "n_name"), F.col("n_nationkey") * F.lit(150000000).cast("long")).alias("label"))
 
 
-_U = "18446744073709551616::UHUGEINT"
-
-
 @query(f"""WITH a AS (SELECT o_orderkey, ((7 + (o_orderkey + 1)::UHUGEINT * 11400714819323198485::UHUGEINT % {_U}) % {_U})::UBIGINT AS z FROM orders),
 b AS (SELECT o_orderkey, (xor(z, z >> 30)::UHUGEINT * 13787848793156543929::UHUGEINT % {_U})::UBIGINT AS z FROM a),
 c AS (SELECT o_orderkey, (xor(z, z >> 27)::UHUGEINT * 10723151780598845931::UHUGEINT % {_U})::UBIGINT AS z FROM b)
@@ -694,8 +777,8 @@ def w9_noise_schedule(spark, sf_dir):
 
 # --------------------------------------------------------------------------- tokens
 
-#: A small vocabulary for the queries: single letters, their word-end forms, and a few merges.
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: A small vocabulary for the queries: single letters and digits, their word-end forms, and a few merges.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 _MERGES = [("t", "h"), ("th", "e</w>"), ("o", "n</w>"), ("e", "r"), ("i", "n"), ("in", "g</w>")]
 VOCABULARY = {p: i for i, p in enumerate([tokenize.BOS, tokenize.EOS, *_LETTERS, *(c + "</w>" for c in _LETTERS), *("".join(m) for m in _MERGES)])}
 RANKS = {m: i for i, m in enumerate(_MERGES)}
@@ -708,9 +791,27 @@ def f15_pre_split(spark, sf_dir):
     return d.select("doc_id", F.size("w").cast("long").alias("words"), F.sha2(F.array_join("w", " ").cast("binary"), 256).alias("digest"))
 
 
-@query()
+def _merged(word: str) -> str:
+    """SQL for the pieces of a word between chr(1) and chr(2), merged in the order of the ranks."""
+    out = f"replace(regexp_replace({word}, '(.)', chr(1) || '\\1' || chr(2), 'gs') || chr(3), chr(2) || chr(3), '</w>' || chr(2))"
+    for a, b in _MERGES:
+        out = f"replace({out}, chr(1) || '{a}' || chr(2) || chr(1) || '{b}' || chr(2), chr(1) || '{a}{b}' || chr(2))"
+    return out
+
+
+#: Names of pieces and their ids; a name may hold the mark of a word's end.
+_IDS = ", ".join(f"('{p}', {i})" for p, i in VOCABULARY.items())
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '\s+', ' ', 'g'), '<\|startoftext\|>|<\|endoftext\|>|''s|''t|''re|''ve|''m|''ll|''d|[\p{{L}}]+|[\p{{N}}]|[^\s\p{{L}}\p{{N}}]+') AS w FROM documents),
+v(piece, id) AS (VALUES {_IDS}),
+p AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS piece FROM (SELECT doc_id, string_split(array_to_string(list_transform(w, lambda x: {_merged("x")}), ''), chr(2)) AS s FROM t)),
+k AS (SELECT doc_id, i, id FROM p JOIN v ON v.piece = substr(p.piece, 2)),
+g AS (SELECT doc_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY i) AS ids FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) + 2 AS n, sha256('0,' || coalesce(ids || ',', '') || '1') AS digest FROM documents LEFT JOIN g USING (doc_id)""".replace("\\\\", "\\"))
 def j8_tokenize(spark, sf_dir):
-    return tokenize.tokenize(table(spark, sf_dir, "documents"), VOCABULARY, RANKS, "doc_id", "text")
+    done = tokenize.tokenize(table(spark, sf_dir, "documents"), VOCABULARY, RANKS, "doc_id", "text")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary"), 256).alias("digest"))
 
 
 # --------------------------------------------------------------------------- streams
@@ -730,7 +831,7 @@ def _event_stream(spark, sf_dir):
 SELECT run_id, tokens, CASE WHEN s > 0 THEN round(tokens / s, 9) END AS tokens_per_second, tokens >= 40 AS truncated FROM m""")
 def st1_stream_generation_metrics(spark, sf_dir):
     live = streams.stream_generation_metrics(_event_stream(spark, sf_dir), "1 day", 40)
-    return drain.drain(live, "complete").select("run_id", "tokens", F.round("tokens_per_second", 9).alias("tokens_per_second"), "truncated")
+    return drain.drain(live, "update", "run_id").select("run_id", "tokens", F.round("tokens_per_second", 9).alias("tokens_per_second"), "truncated")
 
 
 @query("SELECT epoch_us(ts) // 3600000000 AS hour, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1")
@@ -743,7 +844,7 @@ def st2_stream_tumbling(spark, sf_dir):
 @query(SEARCH)
 def st3_stream_search(spark, sf_dir):
     index, _ = _search_inputs(spark, sf_dir)
-    asked = drain.read_stream(spark, sf_dir, "embeddings").where("vec_id < 20")
+    asked = drain.read_stream(spark, sf_dir, "embeddings").where("vec_id % 100 = 0")
     v = F.transform("embedding", lambda x, i: F.when((F.col("vec_id") % 7 == 0) & (i == 0), F.lit(float("nan"))).otherwise(x.cast("double")))
     asked = asked.select(F.col("vec_id").alias("query_id"), F.lit("asked").alias("text"), F.when(F.col("vec_id") % 11 == 0, F.slice(v, 1, 60)).otherwise(v).alias("embedding"))
     found = drain.drain_search(asked, index, 5)

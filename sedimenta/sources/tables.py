@@ -55,25 +55,27 @@ def _decode(content: bytes, images: bool, size: int) -> np.ndarray:
     return raw[16:].reshape(-1, size).astype(np.float32) / 255 if images else raw[8:].astype(np.int32)
 
 
-def read_idx(spark: SparkSession, images: str, labels: str, use: str, size: int = 784) -> DataFrame:
-    """use, idx, pixels (0 to 1), label of a pair of gzipped image and label files. A file is one task: gzip can't be split."""
+def decode_idx(files: DataFrame, column: str, size: int = 784, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, idx and ``column`` (pixels or label) of the records of gzipped files, whose bytes are in content. A file is one task: gzip
+    can't be split."""
+    kinds = "".join(f"{k} {files.schema[k].dataType.simpleString()}, " for k in keys)
 
-    def rows(is_image: bool, column: str):
-        def run(batches):
-            for pdf in batches:
-                for content in pdf["content"]:
-                    data = _decode(content, is_image, size)
-                    for i in range(0, len(data), 4096):
-                        part = data[i : i + 4096]
-                        yield pd.DataFrame({"idx": np.arange(i, i + len(part)), column: list(part)})
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                data = _decode(row.content, column == "pixels", size)
+                for i in range(0, len(data), 4096):
+                    part = data[i : i + 4096]
+                    yield pd.DataFrame({**{k: [getattr(row, k)] * len(part) for k in keys}, "idx": np.arange(i, i + len(part)), column: list(part)})
 
-        return run
+    return files.select(*keys, "content").mapInPandas(run, f"{kinds}idx long, {column} {'array<float>' if column == 'pixels' else 'int'}")
 
-    def read(path: str, is_image: bool, column: str, kind: str) -> DataFrame:
-        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows(is_image, column), f"idx long, {column} {kind}")
 
-    pixels = read(images, True, "pixels", "array<float>")
-    return pixels.join(read(labels, False, "label", "int"), "idx").select(F.lit(use).alias("use"), "idx", "pixels", "label")
+def read_idx(spark: SparkSession, images: str, labels: str, use: str, size: int = 784) -> DataFrame:
+    """use, idx, pixels (0 to 1), label of a pair of gzipped image and label files."""
+    files = {c: spark.read.format("binaryFile").load(path) for c, path in (("pixels", images), ("label", labels))}
+    both = decode_idx(files["pixels"], "pixels", size).join(decode_idx(files["label"], "label"), "idx")
+    return both.select(F.lit(use).alias("use"), "idx", "pixels", "label")
 
 
 def read_bpe(spark: SparkSession, vocabulary: str, merges: str) -> tuple[dict[str, int], dict[tuple[str, str], int]]:

@@ -49,6 +49,14 @@ def test_search_leaves_queries_to_spark(spark, monkeypatch):
     assert max(abs(a[2] - b[2]) for a, b in zip(fast, plain, strict=True)) < 1e-12
 
 
+def test_pairs_beyond_a_broadcast(spark):
+    rows = [(i, [float(i % 5), 1.0, float(i)][: 2 + i % 2]) for i in range(40)]
+    big = spark.createDataFrame(rows, "path long, embedding array<double>")
+    asked = big.where("path % 4 = 0").select(F.col("path").alias("query_id"), "embedding")
+    both = [sorted(map(tuple, search.score_pairs(big, asked, broadcast_mb=mb).collect())) for mb in (64, -1)]
+    assert both[0] == both[1] and len(both[0]) == 10 * 20
+
+
 def test_problem_report(spark):
     items = [("x", f"p{i:02}") for i in range(6)] + [("y", "only")]
     got = {r["kind"]: (r["problems"], r["preview"]) for r in search.problem_report(spark.createDataFrame(items, "kind string, path string")).collect()}
@@ -62,6 +70,12 @@ def test_embedding_skips_blank_texts(spark):
     assert [r["path"] for r in search.skipped_documents(docs, embed.embed_documents(docs)).orderBy("path").collect()] == ["b", "c"]
 
 
+def test_native_model_equals_the_plugged_one(spark):
+    docs = spark.createDataFrame([("a", "Hello hello World"), ("b", " \n"), ("c", None), ("d", "één\ttwo  three"), ("d", "other")], "path string, contents string")
+    both = [sorted((r["path"], [round(x, 9) for x in r["embedding"]]) for r in embed.embed_documents(docs, load).collect()) for load in (None, embed.HashingEmbedder)]
+    assert both[0] == both[1] and [p for p, _ in both[0]] == ["a", "d", "d"]
+
+
 def test_pooling_of_masked_tokens(spark):
     df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [True, True, False]), ([[1.0, 1.0]], [False])], "t array<array<double>>, m array<boolean>")
     for strategy, want in (("mean", [2.0, 3.0]), ("max", [3.0, 4.0]), ("last", [3.0, 4.0]), ("first", [1.0, 2.0]), ("cls", [1.0, 2.0]), ("none", [2.0, 3.0])):
@@ -71,11 +85,18 @@ def test_pooling_of_masked_tokens(spark):
 
 def test_positions_and_batches(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("a"), "id").repartition(5)
-    got = sorted((r["position"], r["a"], r["id"]) for r in datasets.with_position(df, "a", "id", lanes=5).collect())
+    got = sorted((r["position"], r["a"], r["id"]) for r in datasets.with_position(df, "a", "id", parts=5).collect())
     assert [g[0] for g in got] == list(range(1000)) and [g[1:] for g in got] == sorted((i % 7, i) for i in range(1000))
     batches = datasets.assign_batches(df, "a", "id", size=64).groupBy("batch_id").count().collect()
     assert sorted(r["count"] for r in batches) == [1000 % 64] + [64] * 15
     assert datasets.assign_batches(df.limit(0), "a", size=3).count() == 0
+    names = spark.createDataFrame([(f"p{i % 90:03}", i, "kept") for i in range(400)] + [(None, 400, "kept")], "path string, _n long, position string").repartition(6)
+    named = datasets.assign_batches(names, "path", "_n", size=7)
+    assert named.columns == ["path", "_n", "position", "batch_id", "pos"] and named.where("position <> 'kept'").count() == 0
+    rows = sorted((r["batch_id"] * 7 + r["pos"], r["path"] or "", r["_n"]) for r in named.collect())
+    assert [r[0] for r in rows] == list(range(401)) and [r[1:] for r in rows] == sorted((f"p{i % 90:03}" if i < 400 else "", i) for i in range(401))
+    tied = datasets.with_position(names, "position").collect()
+    assert sorted(r["position"] for r in tied) == list(range(401))
 
 
 def test_shuffle_is_a_repeatable_permutation(spark):
@@ -92,6 +113,12 @@ def test_metrics(spark):
     steps = spark.createDataFrame([(i, float(i), 0.5, 10) for i in range(1, 26)], "iter long, loss double, seconds double, tokens long")
     report = {r["report"]: r for r in evaluate.training_report(steps).collect()}
     assert report[0]["iterations_per_second"] == 2 and report[2]["iter"] == 25 and report[2]["loss"] == 23
+    two = steps.withColumn("run", F.lit("x")).unionByName(steps.withColumn("run", F.lit("y")))
+    assert evaluate.training_report(two, by=["run"]).count() == 6
+    marks = evaluate.checkpoints(steps, 10, 5).collect()
+    assert sorted((r["iter"], r["mark"]) for r in marks) == [(1, "validated"), (5, "validated"), (10, "saved"), (10, "validated"), (15, "validated"), (20, "saved"), (20, "validated"), (25, "validated")]
+    scored = spark.createDataFrame([(1, 2.0, 0.5), (1, 4.0, 0.5), (10, 1.0, 0.25)], "iter long, loss double, seconds double")
+    assert sorted(tuple(r) for r in evaluate.validation_report(steps, scored, 10).na.fill(-1).collect()) == [(1, 3.0, 1.0), (10, 1.0, 0.25), (20, -1.0, -1.0)]
     assert evaluate.perplexity(steps.limit(0)).first()["perplexity"] is None
 
 
