@@ -1,7 +1,9 @@
 """Corpus pipeline: quality, boilerplate lines, near duplicates, benchmark leaks, packing.
 
 Each stage takes (spark, docs, folder of the tables) and works on all rows of its predecessor; all but the last return the
-columns of documents.
+columns of documents. In every stage a null text counts as empty and stays null where the row stays; texts of any length are
+taken whole; rows that repeat are judged alike, each for itself; columns beside those of documents pass through, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,27 +28,30 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the co-trained classifier doesn't reject."""
+    """Rows that the co-trained classifier doesn't reject. Rows without an id are scored too; without labels of both kinds all rows
+    stay."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without lines that more than a tenth of their source's documents hold."""
+    """All rows, without lines that more than a tenth of their source's documents, and five at least, hold. Rows without a source
+    keep all lines."""
     return _measured(drop_lines(docs, "source", "text", max_ratio=0.1, min_pages=5).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group linked by a similarity of 0.8 of five-word shingles."""
+    """One document (the smallest doc_id) of each group linked by a similarity of 0.8 of five-word shingles. Documents without words,
+    and rows without an id, stay; so do all rows of a kept id."""
     return drop_near_duplicates(docs, n=5, percent=80)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without benchmark passages; a document that is mostly benchmark goes."""
+    """Rows without benchmark passages; a document that is mostly benchmark goes. Untouched rows keep their text as it is."""
     return _measured(decontaminate(docs, table(spark, sf_dir, "benchmark"), n=10))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, placed in sequences of at most 1024 tokens."""
+    """Pieces of all documents, placed in sequences of at most 1024 tokens; an empty text is a piece of one token."""
     return pack_documents(docs.select("doc_id", "text"), tokenizer_path(), derive={"ids_crc32": F.crc32("ids").cast("long")}, keep_ids=False)
 
 

@@ -100,6 +100,28 @@ def test_near_duplicate_edges(spark):
     assert [r["n_shingles"] for r in rows(neardup.near_duplicates(twin))] == [4, 4]
 
 
+def test_query_equals_brute_force_on_documents(spark):
+    from sedimenta.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    want, sets = brute(docs)
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"], r["kept"]) for r in rows(queries.op5_circulant_minhash(spark, data))}
+    assert got == {d: (want[d], len(s), want[d] == d) for d, s in sets}
+
+
+def test_long_pages_and_shards(spark):
+    """A text of some megabytes is taken whole by the operators that move rows."""
+    from sedimenta.llm import sharding
+
+    long = "\n".join(f"line {i} é" for i in range(200_000))
+    pages = spark.createDataFrame([(i, "h", ("menu\n" if i else "") + (long if i == 1 else f"own {i}")) for i in range(20)], "page_id long, host string, text string")
+    got = {r["page_id"]: r for r in rows(linededup.drop_lines(pages, "host", "text"))}
+    assert got[1]["text"] == long and got[1]["n_lines"] == 200_001 and got[1]["n_dropped"] == 1
+    out = {r["page_id"]: r for r in rows(sharding.assign_shards(pages, 3))}
+    assert out[1]["size"] == len(("menu\n" + long).encode()) + 8 and sum(r["shard"] == out[1]["shard"] for r in out.values()) == 1
+
+
 def test_signature_estimates_jaccard():
     import numpy as np
 

@@ -205,3 +205,31 @@ def test_pipeline(spark, tmp_path):
     packed = {r["doc_id"] for r in at.collect()}
     assert packed == texts[3].keys()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+def test_pipeline_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, names that the operators use, and no rows at all."""
+    docs, labels = corpus(120, 13)
+    long = " ".join(f"w{i}" for i in range(150_000))
+    docs += [(500, None, None, None, None), (501, "", "en", "src0", 0), (None, "alone here", "xx", "?", 5), (502, long, "en", "src1", 1), docs[0], docs[0], (503, "same text as one more row", "en", "src0", 1), (503, "same text as one more row", "en", "src0", 1)]
+    extra = ["keep", "gone_id", "n_lines", "drop", "site", "n_hit", "clean_text", "p_good", "lane", "page_lang", "component_id"]
+    kind = DOC + "".join(f", {c} int" for c in extra)
+    rows = [(*d, *range(len(extra))) for d in docs]
+    for name, data, schema in (("labels", labels, "doc_id long, quality int, toxic int"), ("benchmark", [(1, " ".join(f"w{i}" for i in range(20))), (None, None)], "item_id long, text string")):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    for part in (rows, []):
+        at = spark.createDataFrame(part, kind).repartition(3)
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, at, str(tmp_path))
+            if name == "packing":
+                assert (out.count() == 0) == (not part)
+                break
+            assert out.columns == at.columns
+            out.write.parquet(f"{tmp_path}/{bool(part)}-{i}")
+            at = spark.read.parquet(f"{tmp_path}/{bool(part)}-{i}")
+            left = at.collect()
+            assert all([r[c] for c in extra] == list(range(len(extra))) for r in left)
+            if part:
+                assert {r["text"] for r in left if r["doc_id"] in (500, 501)} <= {None, ""} and sum(r["doc_id"] == 503 for r in left) in (0, 2)
+            else:
+                assert not left
