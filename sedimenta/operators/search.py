@@ -54,6 +54,19 @@ def _vectors(column: pa.ChunkedArray, rows: np.ndarray, length: int) -> np.ndarr
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), length)
 
 
+def best_of_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and values of each column's ``k`` largest values, ties to the smaller row. Only values that reach the k-th are
+    sorted."""
+    k = min(k, len(scores))
+    bound = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+    ask, entry = np.nonzero((scores >= bound).T)
+    score = scores[entry, ask]
+    order = np.lexsort((entry, -score, ask))
+    ask, entry, score = ask[order], entry[order], score[order]
+    place = np.arange(len(ask)) - np.searchsorted(ask, ask)
+    return entry[place < k], ask[place < k], score[place < k]
+
+
 def topk_search(index: DataFrame, queries: DataFrame, k: int = 5, key: str = "path", query_id: str = "query_id", embedding: str = "embedding", normalized: bool = True, on_non_finite: str = "sanitize", block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, key, score, rank from 1): each query's ``k`` best entries by dot product, ties to the smaller key.
 
@@ -84,9 +97,8 @@ def topk_search(index: DataFrame, queries: DataFrame, k: int = 5, key: str = "pa
                 v, q = _vectors(held["v"], rows, int(n)), _vectors(own["v"], who, int(n))
                 fine = np.isfinite(v).all(axis=1)
                 scores = np.where(fine[:, None], np.where(np.isfinite(v), v, 0) @ q.T, 0.0)
-                top = np.argsort(-scores, axis=0, kind="stable")[:k]
-                asks = np.repeat(who, len(top))
-                cols = [own["k"].take(pa.array(asks)), held["k"].take(pa.array(rows[top.T.ravel()])), pa.array(np.take_along_axis(scores, top, axis=0).T.ravel())]
+                entry, ask, score = best_of_columns(scores, k)
+                cols = [own["k"].take(pa.array(who[ask])), held["k"].take(pa.array(rows[entry])), pa.array(score)]
                 out.append(pa.table([c.cast(t) for c, t in zip(cols, types, strict=True)], names=names))
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in types], names=names)
 

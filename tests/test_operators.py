@@ -57,6 +57,16 @@ def test_pairs_beyond_a_broadcast(spark):
     assert both[0] == both[1] and len(both[0]) == 10 * 20
 
 
+def test_best_of_columns():
+    rng = np.random.default_rng(5)
+    scores = rng.integers(0, 6, (40, 30)).astype(float)
+    for k in (1, 3, 40, 99):
+        entry, ask, score = search.best_of_columns(scores, k)
+        want = np.argsort(-scores, axis=0, kind="stable")[:k]
+        assert entry.tolist() == want.T.ravel().tolist() and ask.tolist() == np.repeat(np.arange(30), len(want)).tolist()
+        assert score.tolist() == np.take_along_axis(scores, want, axis=0).T.ravel().tolist()
+
+
 def test_problem_report(spark):
     items = [("x", f"p{i:02}") for i in range(6)] + [("y", "only")]
     got = {r["kind"]: (r["problems"], r["preview"]) for r in search.problem_report(spark.createDataFrame(items, "kind string, path string")).collect()}
