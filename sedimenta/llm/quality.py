@@ -166,6 +166,8 @@ class PageView:
 
 def platt(score: np.ndarray, good: np.ndarray, turns: int = 50) -> tuple[float, float]:
     """Slope and offset of the logistic curve through scores of labelled rows, by Newton's method on softened labels."""
+    if not len(score):  # nothing is known about the score
+        return 0.0, 0.0
     n1, n0 = good.sum(), (~good).sum()
     want = np.where(good, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     mean, scale = float(np.mean(score)), max(float(np.std(score)), 1e-6)
@@ -296,14 +298,16 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             if len(chosen):
                 yield _rows(0, v, own, own, chosen)
 
-    sets, numbers, categories, own = _sample(slim.mapInArrow(labelled, _ROW).collect())
+    once = W.partitionBy("doc_id").orderBy("words", F.col("numbers").cast("string"))  # a doc_id that comes again counts once
+    chosen = slim.mapInArrow(labelled, _ROW).withColumn("n", F.row_number().over(once)).where("n = 1")
+    sets, numbers, categories, own = _sample(sorted(chosen.collect(), key=lambda r: r["doc_id"]))
     good = np.array([known[int(i)] for i in own], dtype=bool)
     if good.all() or not good.any():
         return None
     held = held_out(own, good, seed)
     fit, test = np.flatnonzero(~held), np.flatnonzero(held)
     lens = np.concatenate([[0], np.cumsum([len(sets[i]) for i in test])])
-    seen = Views(np.concatenate([sets[i] for i in test]), lens, numbers[test], categories[test])
+    seen = Views(np.concatenate([np.empty(0, dtype="<u4"), *(sets[i] for i in test)]), lens, numbers[test], categories[test])
     prior = float(np.log((good.sum() + 1) / ((~good).sum() + 1)))
 
     def model(for_content, for_page) -> Model:
@@ -325,7 +329,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         # Picks are uniform, so that a bound on them leaves about three times the pseudo-labels that are wanted, from all documents;
         # how many documents a view is sure of is read off the held-out labels. A kind that falls short is searched again under a
         # higher bound, so that the smallest picks of all documents are found whatever the labels promise.
-        shares = [max(float(x.mean()), 1 / len(test)) for x in kinds_of(*now.log_odds(seen)[:2])]
+        shares = [max(int(x.sum()), 1) / max(len(test), 1) for x in kinds_of(*now.log_odds(seen)[:2])]
         bounds = [_bound(3 * pseudo / max(total * x, 1)) for x in shares]
         shared = docs.sparkSession.sparkContext.broadcast(now)
 

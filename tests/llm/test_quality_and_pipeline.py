@@ -165,7 +165,7 @@ def test_every_source_weighs():
     assert len(page.categories[0]) == 3000 and all((w > 0) == (x % 2 == 0) for x, w in page.categories[0].items())
 
 
-@pytest.mark.parametrize("labels", [[], [(0, 1, 0), (1, 1, 0)], [(0, None, None), (99, 0, 0)]])
+@pytest.mark.parametrize("labels", [[], [(0, 1, 0), (1, 1, 0)], [(0, None, None), (99, 0, 0)], [(0, 1, 0), (1, 0, 0)]])
 def test_labels_that_teach_nothing(spark, labels):
     df = spark.createDataFrame([(0, "a b", "en", "s", 3), (1, None, None, None, None), (None, "", "en", "s", 0)], DOC)
     kept = quality.keep_good(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
