@@ -9,7 +9,6 @@ fingerprint that is found is verified on the words themselves before it counts.
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
