@@ -157,8 +157,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
             cuts[r["curve"]] = sorted(set(r["cuts"]))  # a key with many rows is a cut once, so that no range is empty between two
     table = F.array(*[F.array(*[F.lit(c).cast("long") for c in own]).cast("array<long>") for own in cuts])
 
+    # A vector of floats travels as such; tasks compute in double precision.
+    sent_as = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
+
     def ranged(rows: DataFrame) -> DataFrame:
-        out = rows.select("key_a", "key_b", "vec_id", "vector", F.posexplode("keys").alias("curve", "key"))
+        out = rows.select("key_a", "key_b", "vec_id", F.col("vector").cast(sent_as).alias("vector"), F.posexplode("keys").alias("curve", "key"))
         return out.withColumn("part", F.size(F.filter(F.get(table, F.col("curve")), lambda c: c <= F.col("key"))))
 
     rows = ranged(data)
