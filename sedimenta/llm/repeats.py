@@ -533,16 +533,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     raw = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64(utf8(text)).alias("print"), utf8(text).alias("raw"))
     size = raw.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    parts = max(shuffle_partitions(docs.sparkSession), -(-size // _BUCKET))
-    buckets = 4 * parts  # so that a task has several, and none has much more than others
+    buckets = parts = max(shuffle_partitions(docs.sparkSession), -(-size // _BUCKET))
     homed = raw.repartition(parts, "doc", "print")
 
-    parsed = raw.mapInArrow(lambda it: _parse_rows(it, length, trigger, buckets, hot), _BLOBS).repartition(parts, "bucket")
+    parsed = raw.mapInArrow(lambda it: _parse_rows(it, length, trigger, buckets, hot), _BLOBS).repartitionById(parts, "bucket")  # a task for each bucket
     settled = materialize(parsed.groupBy("bucket").applyInArrow(lambda t: settle_bucket(t, hot), _FOUND), "settled")
 
     opened = settled.where(F.col("kind").isin(OPEN, HOT)).groupBy("doc", "print").agg(F.collect_list(F.struct("kind", "places")).alias("places"))
     contexts = homed.join(opened, ["doc", "print"]).select("doc", "print", "raw", "places").mapInArrow(lambda it: _context_rows(it, length, trigger, buckets), _BLOBS)
-    repeated = contexts.repartition(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: repeats_in_bucket(t, length, trigger), _FOUND)
+    repeated = contexts.repartitionById(parts, "bucket").groupBy("bucket").applyInArrow(lambda t: repeats_in_bucket(t, length, trigger), _FOUND)
 
     found = settled.where(F.col("kind") == SETTLED).unionByName(repeated).groupBy("doc", "print").agg(F.collect_list("places").alias("found"))
 
