@@ -48,7 +48,7 @@ def _little(ids: list[int]) -> bytes:
 _PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """Byte-level alphabets write each byte as a letter: printable Latin-1 as itself, the rest from code point 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in plain]
@@ -69,7 +69,7 @@ def _quick(tokenizer):
         return None
     import tiktoken
 
-    letters, special = _letters(), {t["content"] for t in spec["added_tokens"]}
+    letters, special = byte_letters(), {t["content"] for t in spec["added_tokens"]}
     ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
     return tiktoken.Encoding("plain", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 

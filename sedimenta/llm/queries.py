@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta.llm.align import align_tokenizers
 from sedimenta.llm.ann import nearest
 from sedimenta.llm.chat import format_chats, unescape
 from sedimenta.llm.decontaminate import find_contamination
 from sedimenta.llm.linededup import drop_lines, html_lines, url_host
+from sedimenta.llm.merkle import build_manifest, fold, leaf_digest, prove
 from sedimenta.llm.neardup import near_duplicates
 from sedimenta.llm.packing import pack_documents
 from sedimenta.llm.quality import classify
 from sedimenta.llm.repeats import remove_repeats
 from sedimenta.llm.secrets import BASE_RULES, scan_secrets
 from sedimenta.llm.sharding import assign_shards
+from sedimenta.llm.warc import read_archives, write_archives
+from sedimenta.sources.scratch import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -171,5 +175,79 @@ SELECT page_id, host, count(*) FILTER (WHERE word <> '') AS n_lines, count(*) FI
 FROM marked GROUP BY page_id, host
 """
 
-QUERIES = {f.__name__: f for f in (op1_hilbert_ann, op2_chat_format, op3_minimax_shards, op4_slack_packing, op5_circulant_minhash, op6_cotrained_quality, op7_prefix_free_dedup, op8_decontaminate, op9_line_dedup, op10_secret_scan)}
-ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL}
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    return align_tokenizers(docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), folder, key="page_id", url="url", payload="html", least=1000)
+    return read_archives(spark, folder).select(
+        F.col("key").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+OP13_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+g AS (SELECT *, strlen(body) AS size, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, size AS payload_bytes, sha1(body) AS payload_digest,
+  CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN size >= 1000 AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM g
+"""
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    plain = ["doc_id", "source", "lang", "n_chars"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaves = docs.select("doc_id", "source", leaf_digest([*plain, "text"]).alias("digest"), F.when(tampered, leaf_digest([*plain, lowered])).alias("altered"))
+    proofs = prove(build_manifest(leaves, "source", ["doc_id"], "digest", keep=["doc_id", "altered"]), ["doc_id", "altered"])
+    siblings = F.array_join(F.transform("steps", lambda s: F.concat(s["before"], s["after"])), "")
+    folded = proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), fold(F.coalesce("altered", "leaf"), "steps").alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Trees of up to 16 ** levels nodes, level by level: a tree of one node is carried on as it is."""
+
+    def digest(text: str) -> str:
+        fields = (f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || {c} END" for c in ("doc_id", "source", "lang", "n_chars", text))
+        return f"sha256({' || '.join(fields)})"
+
+    crc = "xor(list_reduce([4294967295::UBIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT), lambda c, b: list_reduce([xor(c, b)] || [i::UBIGINT for i in range(8)], lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"
+    parts = [
+        f"a AS (SELECT doc_id, coalesce('1' || source, '0') AS tree, {digest('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {digest('low')} END AS altered FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents))",
+        "s AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM a)",
+        "s0 AS (SELECT tree, i, leaf AS d FROM s)",
+    ]
+
+    def climb(name: str) -> None:
+        for k in range(levels):
+            run = "OVER (PARTITION BY tree, i // 16 ORDER BY i ROWS BETWEEN"
+            parts.append(f"{name}{k}x AS (SELECT tree, i, d, count(*) OVER (PARTITION BY tree) AS n, coalesce(string_agg(d, '') {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b, coalesce(string_agg(d, '') {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS f FROM {name}{k})")
+            parts.append(f"{name}{k + 1} AS (SELECT tree, i // 16 AS i, CASE WHEN max(n) > 1 THEN sha256(string_agg(d, '' ORDER BY i)) ELSE max(d) END AS d FROM {name}{k}x GROUP BY tree, i // 16)")
+
+    climb("s")
+    parts.append(f"r AS (SELECT tree AS t, d AS subroot, row_number() OVER (ORDER BY tree) - 1 AS j FROM s{levels})")
+    parts.append("r0 AS (SELECT 'all' AS tree, j AS i, subroot AS d FROM r)")
+    climb("r")
+    parts.append("p0 AS (SELECT doc_id, leaf, tree AS t, i, j, subroot, coalesce(altered, leaf) AS h, '' AS proof FROM s JOIN r ON r.t = s.tree)")
+    last = "p0"
+    for name, at in (("s", "i"), ("r", "j")):
+        for k in range(levels):
+            on = f"x.tree = {'p.t' if name == 's' else chr(39) + 'all' + chr(39)} AND x.i = p.{at} // {16**k}"
+            parts.append(f"{name}p{k} AS (SELECT p.* REPLACE (CASE WHEN n > 1 THEN sha256(b || h || f) ELSE h END AS h, proof || b || f AS proof) FROM {last} p JOIN {name}{k}x x ON {on})")
+            last = f"{name}p{k}"
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = d AS verified FROM {last} p, r{levels}"
+
+
+QUERIES = {f.__name__: f for f in (op1_hilbert_ann, op2_chat_format, op3_minimax_shards, op4_slack_packing, op5_circulant_minhash, op6_cotrained_quality, op7_prefix_free_dedup, op8_decontaminate, op9_line_dedup, op10_secret_scan, op11_merkle_manifest, op12_tokenizer_alignment, op13_warc_archives)}
+ORACLE_SQL = {"op2_chat_format": OP2_SQL, "op8_decontaminate": OP8_SQL, "op9_line_dedup": OP9_SQL, "op11_merkle_manifest": _merkle_sql(), "op13_warc_archives": OP13_SQL}
