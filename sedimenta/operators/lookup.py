@@ -1,15 +1,13 @@
-"""Zones, lookup tables, moving averages, throttles and cumulative products."""
+"""Zones, lookup tables, moving averages and cumulative products; throttles are in ``scan``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.operators import scan
 from sedimenta.operators.datasets import free_names
 
 
@@ -38,10 +36,14 @@ def interpolate(values: list[float], at: str | Column) -> Column:
     return F.when((at >= 0) & (at <= n - 1), a + (at - low) * (b - a))
 
 
-def moving_rate(df: DataFrame, key: str, order: str | list[str], value: str, n: int = 30) -> DataFrame:
-    """Add mean (of the last ``n`` values) and rate (its reciprocal; null if it isn't positive)."""
-    w = W.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order)).rowsBetween(1 - n, 0)
-    return df.withColumn("mean", F.avg(value).over(w)).withColumn("rate", F.when(F.col("mean") > 0, 1 / F.col("mean")))
+def moving_rate(df: DataFrame, key: str, order: str | list[str], value: str, n: int = 30, spread: bool = False) -> DataFrame:
+    """Add mean (of the last ``n`` values) and rate (its reciprocal; null if it isn't positive). ``spread`` cuts long keys into ranges; without it
+    a key is one task."""
+    if spread:
+        meant = scan.moving_mean(df, key, order, value, n)
+    else:
+        meant = df.withColumn("mean", F.avg(value).over(W.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order)).rowsBetween(1 - n, 0)))
+    return meant.withColumn("rate", F.when(F.col("mean") > 0, 1 / F.col("mean")))
 
 
 def published(times: np.ndarray, last: float | None, seconds: float) -> np.ndarray:
@@ -53,41 +55,18 @@ def published(times: np.ndarray, last: float | None, seconds: float) -> np.ndarr
     return out
 
 
-def throttle(df: DataFrame, key: str, ts: str, tie: str, seconds: float = 0.5) -> DataFrame:
-    """Rows that a throttle lets through: each depends on the last one let through, which no window can tell. Keys are sorted
-    within partitions and streamed, so that no key is held whole."""
-    names, kinds = df.columns, df.schema
-    at, who = names.index(ts), names.index(key)
-    ready = df.repartition(F.col(key)).sortWithinPartitions(key, ts, tie)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = object(), None
-        for pdf in batches:
-            times = pdf.iloc[:, at].to_numpy().astype("datetime64[us]").astype(np.int64) / 1e6
-            keys = pdf.iloc[:, who].to_numpy()
-            keep = np.zeros(len(pdf), dtype=bool)
-            edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else []
-            for a, b in zip(edge, [*edge[1:], len(pdf)], strict=True):
-                if keys[a] != now:
-                    now, last = keys[a], None
-                keep[a:b] = published(times[a:b], last, seconds)
-                if keep[a:b].any():
-                    last = times[a:b][keep[a:b]][-1]
-            yield pdf[keep]
-
-    return ready.mapInPandas(run, kinds)
-
-
-def cumulative_product(df: DataFrame, key: str, order: str | list[str], column: str, out: str = "product") -> DataFrame:
-    """Add the running product; zeros and negative factors are fine."""
+def cumulative_product(df: DataFrame, key: str, order: str | list[str], column: str, out: str = "product", spread: bool = False) -> DataFrame:
+    """Add the running product; zeros and negative factors are fine. ``spread`` as in ``moving_rate``."""
+    if spread:
+        return scan.running(df, key, order, **{out: ("product", F.col(column).cast("double"))}).withColumn(out, F.col(out) + 0.0)
     w = W.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order)).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn(out, F.product(F.col(column)).over(w) + 0.0)
 
 
-def noise_schedule(df: DataFrame, key: str, order: str | list[str], beta: str) -> DataFrame:
-    """Add alphas_product (of 1 - beta) and sigma, the root of its odds against."""
+def noise_schedule(df: DataFrame, key: str, order: str | list[str], beta: str, spread: bool = False) -> DataFrame:
+    """Add alphas_product (of 1 - beta) and sigma, the root of its odds against. ``spread`` as in ``moving_rate``."""
     alpha = free_names(df, "alpha")[0]
-    out = cumulative_product(df.withColumn(alpha, 1 - F.col(beta)), key, order, alpha, "alphas_product").drop(alpha)
+    out = cumulative_product(df.withColumn(alpha, 1 - F.col(beta)), key, order, alpha, "alphas_product", spread).drop(alpha)
     return out.withColumn("sigma", F.sqrt((1 - F.col("alphas_product")) / F.nullif(F.col("alphas_product"), F.lit(0.0))))
 
 

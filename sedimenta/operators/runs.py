@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sedimenta.operators import scan
 from sedimenta.operators.datasets import free_names
 
 
@@ -108,15 +109,23 @@ def route_tool_calls(calls: DataFrame, name: str | Column = "name", arguments: s
     return calls.withColumn("result", F.when(n == "add", total).otherwise(F.concat(F.lit("Unknown tool: "), F.coalesce(n, F.lit("")))))
 
 
-def delta_from_start(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Add delta: a snapshot's growth since its key's first."""
-    w = W.partitionBy(key).orderBy(order)
+def delta_from_start(df: DataFrame, key: str, order: str | list[str], value: str, spread: bool = False) -> DataFrame:
+    """Add delta: a snapshot's growth since its key's first. ``spread`` cuts long keys into ranges; without it a key is one task."""
+    if spread:
+        first = free_names(df, "first")[0]
+        return scan.running(df, key, order, **{first: ("first", value)}).withColumn("delta", F.col(value) - F.col(first)).drop(first)
+    w = W.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order))
     return df.withColumn("delta", F.col(value) - F.first(value).over(w))
 
 
-def running_rate(df: DataFrame, key: str = "run_id", order: str = "seq", ts: str = "ts") -> DataFrame:
-    """Add rate: rows so far over the seconds since the first; null at no elapsed time."""
-    w = W.partitionBy(key).orderBy(order)
+def running_rate(df: DataFrame, key: str = "run_id", order: str | list[str] = "seq", ts: str = "ts", spread: bool = False) -> DataFrame:
+    """Add rate: rows so far over the seconds since the first; null at no elapsed time. ``spread`` as in ``delta_from_start``."""
+    if spread:
+        first, rows = free_names(df, "first", "rows")
+        scanned = scan.running(df, key, order, **{first: ("first", _micros(ts)), rows: ("count", F.lit(1))})
+        since = (_micros(ts) - F.col(first)) / 1e6
+        return scanned.withColumn("rate", F.when(since > 0, F.col(rows) / since)).drop(first, rows)
+    w = W.partitionBy(key).orderBy(*([order] if isinstance(order, str) else order))
     elapsed = (_micros(ts) - _micros(F.first(ts).over(w))) / 1e6
     return df.withColumn("rate", F.when(elapsed > 0, F.count("*").over(w) / elapsed))
 

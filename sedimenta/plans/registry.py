@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedimenta.functions import scalars, vectors
-from sedimenta.operators import datasets, embed, evaluate, fit, lookup, runs, search, sft, tokenize
+from sedimenta.operators import datasets, embed, evaluate, fit, lookup, runs, scan, search, sft, tokenize
 from sedimenta.sources import corpus, tables
 from sedimenta.sources.scratch import scratch
 from sedimenta.streaming import drain, streams
@@ -756,7 +756,39 @@ r AS (SELECT user_id, n, event_id, t AS last, true AS shown FROM e WHERE n = 1
 SELECT user_id, event_id FROM r WHERE shown""")
 def w5_throttle(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
-    return lookup.throttle(e, "user_id", "ts", "event_id", 3600.0).select("user_id", "event_id")
+    return scan.throttle(e, "user_id", "ts", "event_id", 3600.0).select("user_id", "event_id")
+
+
+# The same over few keys with very many rows each, which are cut into ranges.
+
+
+@query("SELECT event_id, round(avg(value) OVER w, 6) AS mean, CASE WHEN avg(value) OVER w > 0 THEN round(1 / avg(value) OVER w, 6) END AS rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)")
+def w4_moving_rate_spread(spark, sf_dir):
+    return lookup.moving_rate(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value", spread=True).select("event_id", six(F.col("mean")).alias("mean"), six(F.col("rate")).alias("rate"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT event_type, n, event_id, t AS last, true AS shown FROM e WHERE n = 1
+  UNION ALL SELECT e.event_type, e.n, e.event_id, CASE WHEN e.t - r.last >= 600000000 THEN e.t ELSE r.last END, e.t - r.last >= 600000000 FROM r JOIN e ON e.event_type = r.event_type AND e.n = r.n + 1)
+SELECT event_type, event_id FROM r WHERE shown""")
+def w5_throttle_spread(spark, sf_dir):
+    return scan.throttle(table(spark, sf_dir, "events").select("event_type", "event_id", "ts"), "event_type", "ts", "event_id", 600.0).select("event_type", "event_id")
+
+
+@query("SELECT event_id, round(value - first_value(value) OVER (PARTITION BY event_type ORDER BY ts, event_id), 6) + 0.0 AS delta FROM events")
+def w6_delta_spread(spark, sf_dir):
+    return runs.delta_from_start(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], "value", spread=True).select("event_id", six(F.col("delta")).alias("delta"))
+
+
+@query("WITH r AS (SELECT event_id, row_number() OVER w AS n, (epoch_us(ts) - epoch_us(first_value(ts) OVER w)) / 1e6 AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_id, CASE WHEN s > 0 THEN round(n / s, 9) END AS rate FROM r")
+def w7_running_rate_spread(spark, sf_dir):
+    return runs.running_rate(table(spark, sf_dir, "events"), "event_type", ["ts", "event_id"], spread=True).select("event_id", F.round("rate", 9).alias("rate"))
+
+
+@query("SELECT event_id, round(product(1 - value / 1e6) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS product FROM events")
+def w9_cumulative_product_spread(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumn("f", 1 - F.col("value") / 1e6)
+    return lookup.cumulative_product(e, "event_type", ["ts", "event_id"], "f", spread=True).select("event_id", six(F.col("product")).alias("product"))
 
 
 LINES = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount"]

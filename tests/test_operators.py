@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.operators import datasets, embed, evaluate, fit, lookup, runs, search
+from sedimenta.operators import datasets, embed, evaluate, fit, lookup, runs, scan, search
 
 INDEX = "path string, embedding array<double>"
 NAN = float("nan")
@@ -187,7 +187,7 @@ def test_zones_and_tables(spark):
 def test_throttle(spark):
     rows = [("a", t, i) for i, t in enumerate([0, 400, 500, 900, 1000, 1499, 1500])] + [("b", 100, 0)]
     df = spark.createDataFrame(rows, "key string, ms long, n int").select("key", F.timestamp_millis("ms").alias("ts"), "n")
-    got = sorted((r["key"], r["n"]) for r in lookup.throttle(df, "key", "ts", "n", 0.5).collect())
+    got = sorted((r["key"], r["n"]) for r in scan.throttle(df, "key", "ts", "n", 0.5).collect())
     assert got == [("a", 0), ("a", 2), ("a", 4), ("a", 6), ("b", 0)]
 
 

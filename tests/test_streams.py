@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from sedimenta.operators import lookup, search
+from sedimenta.operators import scan, search
 from sedimenta.streaming import drain, streams
 
 
@@ -66,7 +66,7 @@ def test_throttle(spark, tmp_path):
     rows = spark.read.parquet(f"{at}/rows.parquet").select(F.col("run_id").cast("string").alias("key"), "ts", "value")
     live = drain.drain(streams.stream_throttle(stream(spark, at).select(F.col("run_id").cast("string").alias("key"), "ts", "value"), 0.9))
     key = lambda df: sorted((r["key"], r["ts"], r["value"]) for r in df.collect())
-    assert key(live) == key(lookup.throttle(rows, "key", "ts", "value", 0.9))
+    assert key(live) == key(scan.throttle(rows, "key", "ts", "value", 0.9))
 
 
 def test_search(spark, tmp_path):
