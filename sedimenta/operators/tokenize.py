@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,21 +21,37 @@ def pre_split(text: str | Column) -> Column:
 
 
 def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Pieces of a word: the pair of lowest rank is merged everywhere, left to right, until no pair has a rank."""
+    """Pieces of a word: the pair of lowest rank is merged everywhere, left to right, until no pair has a rank. Ranks are places in a list, no
+    two pairs share one.
+
+    Pieces are a linked list, and pairs lie in a heap by rank and place; a pair whose pieces have changed since is passed over. All pairs of one
+    rank are merged before those that they give rise to, so a word of n letters takes n log n steps.
+    """
     if word in (BOS, EOS):
         return [word]
-    pieces = [*word[:-1], word[-1] + "</w>"]
-    while len(pieces) > 1:
-        best = min(zip(pieces, pieces[1:], strict=False), key=lambda p: ranks.get(p, 1 << 62))
-        if best not in ranks:
-            break
-        out, i = [], 0
-        while i < len(pieces):
-            taken = 2 if tuple(pieces[i : i + 2]) == best else 1
-            out.append("".join(pieces[i : i + taken]))
-            i += taken
-        pieces = out
-    return pieces
+    pieces: list[str | None] = [*word[:-1], word[-1] + "</w>"]
+    n = len(pieces)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(ranks[p], i) for i, p in enumerate(zip(pieces, pieces[1:], strict=False)) if p in ranks]
+    heapq.heapify(heap)
+    while heap:
+        rank, fresh = heap[0][0], []
+        while heap and heap[0][0] == rank:
+            i = heapq.heappop(heap)[1]
+            j = after[i]
+            if pieces[i] is None or j >= n or ranks.get((pieces[i], pieces[j])) != rank:
+                continue
+            pieces[i], pieces[j], after[i] = pieces[i] + pieces[j], None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            fresh.append(i)
+        for i in fresh:
+            if pieces[i] is None:
+                continue
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < n and (pieces[a], pieces[b]) in ranks:
+                    heapq.heappush(heap, (ranks[pieces[a], pieces[b]], a))
+    return [p for p in pieces if p is not None]
 
 
 #: Words that a worker remembers.

@@ -846,6 +846,21 @@ def j8_tokenize(spark, sf_dir):
     return done.select("doc_id", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary"), 256).alias("digest"))
 
 
+def word_bpe(spark: SparkSession, path: str | None = None) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
+    """A vocabulary of 49,408 word pieces; the path is that of the public file where none is given."""
+    if path is None:
+        import public_tokenizers
+
+        path = str(public_tokenizers.path("word_bpe_49k.json"))
+    return tables.read_bpe_json(spark, f"file://{path}" if path.startswith("/") else path)
+
+
+@query()
+def f15_tokenize_49k(spark, sf_dir):
+    done = tokenize.tokenize(table(spark, sf_dir, "documents"), *word_bpe(spark), "doc_id", "text")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n"), F.crc32(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary")).alias("ids_crc32"))
+
+
 # --------------------------------------------------------------------------- streams
 # The events table is read as a stream until it is used up.
 

@@ -85,3 +85,11 @@ def read_bpe(spark: SparkSession, vocabulary: str, merges: str) -> tuple[dict[st
     lines = "\n".join(r[0] for r in spark.read.option("wholetext", "true").text(merges).collect()).split("\n")[1:]
     pairs = [tuple(x.split(" ")) for x in (y.strip() for y in lines) if x]
     return ids, {p: i for i, p in enumerate(pairs)}
+
+
+def read_bpe_json(spark: SparkSession, path: str) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
+    """The same from a tokenizer's JSON file, whose merges are strings or pairs."""
+    spec = json.loads("\n".join(r[0] for r in spark.read.option("wholetext", "true").text(path).collect()))
+    model = spec["model"]
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    return model["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens", [])}, {p: i for i, p in enumerate(pairs)}
