@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sedimenta.functions.vectors import dot, has_non_finite, normalize, sanitize
 from sedimenta.operators.embed import embed_documents
 from sedimenta.sources.corpus import read_corpus
+from sedimenta.sources.scratch import scratch
 
 #: Queries of one block: 8 MB of doubles at 1,000 components.
 QUERY_BLOCK = 1024
@@ -67,12 +68,57 @@ def best_of_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray,
     return entry[place < k], ask[place < k], score[place < k]
 
 
-def topk_search(index: DataFrame, queries: DataFrame, k: int = 5, key: str = "path", query_id: str = "query_id", embedding: str = "embedding", normalized: bool = True, on_non_finite: str = "sanitize", block: int = QUERY_BLOCK) -> DataFrame:
+class _Scorer:
+    """Best entries of slices of an index for a block of queries (arrow columns k and v)."""
+
+    def __init__(self, own: pa.Table, k: int, names: list[str], types: list[pa.DataType]):
+        self.own, self.k, self.names, self.types = own, k, names, types
+        wanted = pc.list_value_length(own["v"]).to_numpy()
+        self.blocks = []
+        for n in np.unique(wanted):
+            who = np.flatnonzero(wanted == n)
+            self.blocks += [(int(n), part, _vectors(own["v"], part, int(n)).T) for part in np.array_split(who, -(-len(who) // QUERY_BLOCK))]
+
+    def empty(self) -> pa.Table:
+        return pa.table([pa.array([], t) for t in self.types], names=self.names)
+
+    def best(self, held: pa.Table) -> pa.Table:
+        """Each query's ``k`` best of the entries, ties to the smaller key."""
+        out: list[pa.Table] = []
+        if self.own.num_rows and held.num_rows:
+            held = held.take(pc.sort_indices(held["k"], null_placement="at_start"))
+            lengths = pc.list_value_length(held["v"]).to_numpy()
+            at = None
+            for n, who, q in self.blocks:
+                if at != n:
+                    at, rows = n, np.flatnonzero(lengths == n)
+                    v = _vectors(held["v"], rows, n) if len(rows) else None
+                    fine = None if v is None else np.isfinite(v).all(axis=1)
+                if not len(rows):
+                    continue
+                scores = np.where(fine[:, None], np.where(fine[:, None], v, 0) @ q, 0.0)
+                entry, ask, score = best_of_columns(scores, self.k)
+                cols = [self.own["k"].take(pa.array(who[ask])), held["k"].take(pa.array(rows[entry])), pa.array(score)]
+                out.append(pa.table([c.cast(t) for c, t in zip(cols, self.types, strict=True)], names=self.names))
+        return pa.concat_tables(out) if out else self.empty()
+
+    def prune(self, found: list[pa.Table]) -> pa.Table:
+        """Of several slices' best the best."""
+        query, key, score = self.names
+        rows = pa.concat_tables(found).combine_chunks()
+        codes = rows[query].combine_chunks().dictionary_encode().indices
+        order = pc.sort_indices(pa.table({"q": codes, "s": rows[score], "k": rows[key]}), [("q", "ascending"), ("s", "descending"), ("k", "ascending")], null_placement="at_start")
+        q = codes.take(order).to_numpy()
+        return rows.take(order.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < self.k)))
+
+
+def topk_search(index: DataFrame, queries: DataFrame, k: int = 5, key: str = "path", query_id: str = "query_id", embedding: str = "embedding", normalized: bool = True, on_non_finite: str = "sanitize", block: int = QUERY_BLOCK, broadcast_mb: int = 64) -> DataFrame:
     """(query_id, key, score, rank from 1): each query's ``k`` best entries by dot product, ties to the smaller key.
 
-    Spark deals queries to blocks of about ``block`` and entries to slices of about ``SLICE``, and brings every block together with
-    every slice, so that neither the driver nor a task holds more than one of each. A task scores its slice by one matrix product
-    and passes on its best ``k`` per query; a small window ranks those. ``k`` of 0 or less gives no rows. Entries of another
+    Queries whose counted bytes are within ``broadcast_mb`` are sent to all tasks, which score the index where it lies, slice by slice with one
+    matrix product each, and pass on their best ``k`` per query: no row of the index is shuffled. More queries are dealt to blocks of about
+    ``block`` and entries to slices of about ``SLICE``, and Spark brings every block together with every slice, so that neither the driver nor
+    a task holds more than one of each. A small window ranks what is passed on. ``k`` of 0 or less gives no rows. Entries of another
     dimension than the query's don't count; entries with non-finite values score exactly 0.
     """
     kind = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
@@ -81,26 +127,30 @@ def topk_search(index: DataFrame, queries: DataFrame, k: int = 5, key: str = "pa
         return spark.createDataFrame([], kind + ", rank int")
     asked = prepare_queries(queries, embedding, normalized, on_non_finite).select(F.col(query_id).alias("k"), F.coalesce(embedding, F.array().cast("array<double>")).alias("v"))
     entries = index.select(F.col(key).alias("k"), F.col(embedding).alias("v")).where(F.col("v").isNotNull())
-    blocks, slices = (max(1, -(-rows.count() // size)) for rows, size in ((asked, block), (entries, SLICE)))
     names = [query_id, key, "score"]
     types = [to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(index.schema[key].dataType), pa.float64()]
+    number, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("v") * 8 + F.octet_length(F.col("k").cast("string")) + 16), F.lit(0))).first()
+    if size <= broadcast_mb << 20:
+        sent = spark.sparkContext.broadcast(asked.toArrow())
+
+        def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scorer = _Scorer(sent.value, k, names, types)
+            found, rows = [scorer.empty()], 0
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    found.append(scorer.best(pa.table(batch.slice(at, SLICE))))
+                    rows += found[-1].num_rows
+                    if rows > 4 * k * sent.value.num_rows + SLICE:
+                        found = [scorer.prune(found)]
+                        rows = found[0].num_rows
+            yield from scorer.prune(found).to_batches(max_chunksize=1 << 16)
+
+        return rank_hits(entries.mapInArrow(in_place, kind), k, key, query_id)
+
+    blocks, slices = max(1, -(-number // block)), max(1, -(-entries.count() // SLICE))
 
     def best(own: pa.Table, held: pa.Table) -> pa.Table:
-        out: list[pa.Table] = []
-        if own.num_rows and held.num_rows:
-            held = held.take(pc.sort_indices(held["k"], null_placement="at_start"))
-            lengths, wanted = (pc.list_value_length(t["v"]).to_numpy() for t in (held, own))
-            for n in np.unique(wanted):
-                rows, who = np.flatnonzero(lengths == n), np.flatnonzero(wanted == n)
-                if not len(rows):
-                    continue
-                v, q = _vectors(held["v"], rows, int(n)), _vectors(own["v"], who, int(n))
-                fine = np.isfinite(v).all(axis=1)
-                scores = np.where(fine[:, None], np.where(np.isfinite(v), v, 0) @ q.T, 0.0)
-                entry, ask, score = best_of_columns(scores, k)
-                cols = [own["k"].take(pa.array(who[ask])), held["k"].take(pa.array(rows[entry])), pa.array(score)]
-                out.append(pa.table([c.cast(t) for c, t in zip(cols, types, strict=True)], names=names))
-        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in types], names=names)
+        return _Scorer(own, k, names, types).best(held)
 
     def dealt(rows: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
         part = F.pmod(F.xxhash64("k", "v"), F.lit(parts)).cast("int").alias(own)
@@ -111,6 +161,15 @@ def topk_search(index: DataFrame, queries: DataFrame, k: int = 5, key: str = "pa
     return rank_hits(found, k, key, query_id)
 
 
+def fix_index(index: DataFrame, key: str = "path", embedding: str = "embedding") -> DataFrame:
+    """The index written once, with what a search needs of it, so that searches that follow (the batches of a stream) read it in place
+    and recompute nothing."""
+    slim = index.select(F.col(key), F.col(embedding)).where(F.col(embedding).isNotNull())
+    path = scratch(index.sparkSession, "index")
+    slim.write.parquet(path)
+    return index.sparkSession.read.schema(slim.schema).parquet(path)
+
+
 def search_folder(spark: SparkSession, root: str, questions: DataFrame, extensions: Iterable[str] = ("txt", "md"), documents: int = 8, k: int = 2, load=None, recursive: bool = True) -> DataFrame:
     """(query_id, path, score, rank): each question's (query_id, text) best ``k`` of the first ``documents`` files of a folder, by path,
     that can be read: reading, embedding and search in one. Blank questions have no hits."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from sedimenta.operators.lookup import published
-from sedimenta.operators.search import topk_search
+from sedimenta.operators.search import fix_index, topk_search
 
 
 def _milliseconds(interval: str) -> int:
@@ -63,11 +63,12 @@ def stream_tumbling(stream: DataFrame, every: str = "2 seconds", late: str = "10
 
 def search_batches(index: DataFrame, k: int, sink: Callable[[DataFrame, int], None], key: str = "path") -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: each batch of queries (query_id, text, embedding) is searched in a fixed index; queries with a blank text
-    are ignored."""
+    are ignored. The index is written once, when this is called; a batch moves its queries and their best hits only."""
+    fixed = fix_index(index, key)
 
     def run(batch: DataFrame, epoch: int) -> None:
         asked = batch.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-        sink(topk_search(index, asked, k, key), epoch)
+        sink(topk_search(fixed, asked, k, key), epoch)
 
     return run
 

@@ -31,7 +31,7 @@ def test_search_equals_full_sort(spark, k):
     assert {r["query_id"] for r in skipped.collect()} == {1, 3, 4}
 
 
-def test_search_leaves_queries_to_spark(spark, monkeypatch):
+def test_search_beyond_a_broadcast(spark, monkeypatch):
     """Several blocks and slices, and no query vector on the driver."""
     rng = np.random.default_rng(7)
     rows = [(i, rng.integers(-3, 4, 4).astype(float).tolist()) for i in range(200)]
@@ -44,9 +44,25 @@ def test_search_leaves_queries_to_spark(spark, monkeypatch):
 
     monkeypatch.setattr(type(queries), "toLocalIterator", refuse)
     monkeypatch.setattr(search, "SLICE", 60, raising=False)
-    fast = hits(search.topk_search(big, queries, 3, block=30))
+    fast = hits(search.topk_search(big, queries, 3, block=30, broadcast_mb=-1))
     assert len(fast) == 600 and [(r[0], r[3]) for r in fast] == [(r[0], r[3]) for r in plain]
     assert max(abs(a[2] - b[2]) for a, b in zip(fast, plain, strict=True)) < 1e-12
+    assert hits(search.topk_search(big, queries, 3)) == fast
+
+
+@pytest.mark.parametrize("key", ["long", "string"])
+def test_search_in_place_shuffles_hits_only(spark, monkeypatch, tmp_path, key):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.integers(-2, 3, 2 + i % 2).astype(float).tolist()) for i in range(3000)]
+    spark.createDataFrame(rows, "path long, embedding array<double>").withColumn("path", F.col("path").cast(key)).repartition(2).write.parquet(f"{tmp_path}/index")
+    big = spark.read.parquet(f"{tmp_path}/index")
+    queries = big.where(F.col("path").cast("long") % 20 == 0).select(F.col("path").alias("query_id"), "embedding")
+    monkeypatch.setattr(search, "SLICE", 70)  # ties and prunes across many slices
+    monkeypatch.setattr(search, "QUERY_BLOCK", 16)
+    fast = search.topk_search(search.fix_index(big), queries, 4)
+    plan = fast._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "MapInArrow" in plan.split("Exchange")[1]
+    assert hits(fast) == hits(search.rank_hits(search.score_pairs(big, search.prepare_queries(queries)), 4))
 
 
 def test_pairs_beyond_a_broadcast(spark):
