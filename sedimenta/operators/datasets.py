@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from sedimenta.functions.scalars import splitmix64
 from sedimenta.sources.scratch import scratch
@@ -21,10 +22,11 @@ def with_position(df: DataFrame, *order: str | Column, out: str = "position", pa
     inside their partition, and moved up by the rows of the partitions before; only the partitions' counts meet in one task.
 
     The ranged rows are written first, so that counts and places see the same partitions. Rows that tie on all keys follow one
-    another in any order. Columns of ``df`` keep their names, whatever they are; a column named ``out`` is replaced.
+    another in any order; a hash of the row ranges them too, so that ties, however many, are spread over the partitions. Columns of ``df`` keep their names, whatever they are; a column named ``out`` is replaced.
     """
     spark = df.sparkSession
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys.append(F.xxhash64(*(f"`{f.name}`" for f in df.schema if not isinstance(f.dataType, MapType | VariantType))))
     part, at, n, before, *own = free_names(df, "part", "at", "n", "before", *(f"key{i}" for i in range(len(keys))))
     ranged = df.select("*", *(k.alias(c) for k, c in zip(keys, own, strict=True))).repartitionByRange(parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), *own)
     path = scratch(spark, "ranges")

@@ -3,28 +3,59 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.vectors import layer_norm, normalize, sanitize
 
 
+#: White space between words, and words that a task remembers.
+_SPACE, REMEMBERED = re.compile("[ \\t\\n\\x0b\\f\\r]+"), 500_000
+
+
+def _code(word: str, dimension: int) -> int:
+    """A word's place, plus the dimension if it adds 1 there instead of taking it."""
+    digest = hashlib.md5(word.encode()).hexdigest()
+    return int(digest[:8], 16) % dimension + (dimension if digest[8] >= "8" else 0)
+
+
 def hashing_embeddings(docs: DataFrame, key: str = "path", text: str = "contents", dimension: int = 64) -> DataFrame:
     """key, embedding (array of doubles) by a model without weights: each word adds or takes 1 at a place, both read off its MD5. Rows
     without words are left out; rows that repeat a key stay apart.
 
-    Words are exploded and summed again before the shuffle, which carries one row of sums a document.
+    A row's words are counted where they are, in Arrow batches, by a dictionary of the words that the task has seen; nothing is shuffled.
     """
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("k"), words.alias("words"))
-    each = numbered.select("row", "k", F.explode("words").alias("w")).select("row", "k", F.md5("w").alias("d"))
-    coded = each.select("row", "k", (F.conv(F.substring("d", 1, 8), 16, 10).cast("long") % dimension).alias("at"), F.when(F.substring("d", 9, 1) >= "8", 1).otherwise(-1).alias("sign"))
-    sums = coded.groupBy("row", "k").agg(*(F.sum(F.when(F.col("at") == i, F.col("sign")).otherwise(0)).alias(f"s{i}") for i in range(dimension)))
-    return sums.select(F.col("k").alias(key), F.array(*(F.col(f"s{i}").cast("double") for i in range(dimension))).alias("embedding"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            vectors, rows = [], []
+            for i, t in enumerate(batch["t"].to_pylist()):
+                words = [w for w in _SPACE.split(t or "") if w]
+                if not words:
+                    continue
+                codes = list(map(known.get, words))
+                if None in codes:
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    for j, c in enumerate(codes):
+                        if c is None:
+                            codes[j] = known[words[j]] = _code(words[j], dimension)
+                counts = np.bincount(codes, minlength=2 * dimension)
+                vectors.append(counts[dimension:] - counts[:dimension])
+                rows.append(i)
+            flat = np.concatenate(vectors).astype(np.float64) if vectors else np.zeros(0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dimension), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch["k"].take(pa.array(rows, pa.int64())), lists], names=["k", "embedding"])
+
+    kind = f"k {docs.schema[key].dataType.simpleString()}, embedding array<double>"
+    return docs.select(F.col(key).alias("k"), F.lower(text).alias("t")).mapInArrow(run, kind).withColumnRenamed("k", key)
 
 
 class HashingEmbedder:

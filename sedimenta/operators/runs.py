@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,12 +106,33 @@ def assemble_chat(chats: DataFrame, cancelled: DataFrame | None = None, conv: st
     return marked.select(conv, ended.alias("messages"))
 
 
-def route_tool_calls(calls: DataFrame, name: str | Column = "name", arguments: str | Column = "arguments") -> DataFrame:
-    """Add result: what a known tool gives for its JSON arguments, an error for malformed ones, else a note on the name."""
+@dataclass(frozen=True)
+class Tool:
+    """A tool that runs on columns: its name, the fields of its JSON arguments (as DDL), those that a call must give, and its output, a
+    struct made of the parsed arguments."""
+
+    name: str
+    arguments: str
+    required: tuple[str, ...]
+    run: Callable[[Column], Column]
+
+
+#: Fixed name and fields.
+ADD = Tool("add_two_numbers", "first long, second long", ("first", "second"), lambda a: F.struct(F.try_add(a["first"], a["second"]).alias("result")))
+
+
+def route_tool_calls(calls: DataFrame, name: str | Column = "name", arguments: str | Column = "arguments", tools: Iterable[Tool] = (ADD,)) -> DataFrame:
+    """Add result: the JSON text of a known tool's output for its JSON arguments, or ``Malformed arguments`` if they can't be parsed, a required
+    one is missing or of another type, or the output has a null; for other names a note on the name."""
     n, a = (F.col(c) if isinstance(c, str) else c for c in (name, arguments))
-    two = F.from_json(a, "first double, second double")
-    total = F.coalesce((two["first"] + two["second"]).cast("string"), F.lit("Malformed arguments"))
-    return calls.withColumn("result", F.when(n == "add", total).otherwise(F.concat(F.lit("Unknown tool: "), F.coalesce(n, F.lit("")))))
+    result = F.concat(F.lit("Unknown tool: "), F.coalesce(n, F.lit("")))
+    for tool in tools:
+        given = F.from_json(a, tool.arguments)
+        whole = reduce(and_, (given[c].isNotNull() for c in tool.required), given.isNotNull())
+        made = F.to_json(tool.run(given), {"ignoreNullFields": "false"})
+        told = F.when(whole & ~made.contains(":null"), made)
+        result = F.when(n == tool.name, F.coalesce(told, F.lit("Malformed arguments"))).otherwise(result)
+    return calls.withColumn("result", result)
 
 
 def delta_from_start(df: DataFrame, key: str, order: str | list[str], value: str, spread: bool = False) -> DataFrame:

@@ -425,12 +425,13 @@ def w8_progress_milestones(spark, sf_dir):
     return runs.progress_milestones(e, "run_id", "seq", "seq", "total").select("run_id", "seq", "tenth")
 
 
-@query("""WITH t AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 'add' ELSE event_type END AS name, CASE WHEN event_id % 10 = 0 THEN 'oops' ELSE '{"first": ' || event_id || ', "second": 0.5}' END AS a, event_id FROM events)
-SELECT event_id, CASE WHEN name <> 'add' THEN 'Unknown tool: ' || name WHEN a = 'oops' THEN 'Malformed arguments' ELSE CAST(event_id + 0.5::DOUBLE AS VARCHAR) END AS result FROM t""")
+@query("""WITH t AS (SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'add_two_numbers' ELSE event_type END AS name, event_id % 10 IN (0, 3, 6) AS bad FROM events)
+SELECT event_id, CASE WHEN name <> 'add_two_numbers' THEN 'Unknown tool: ' || name WHEN bad THEN 'Malformed arguments' ELSE '{"result":' || (event_id - 7) || '}' END AS result FROM t""")
 def p7_route_tool_calls(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    args = F.when(F.col("event_id") % 10 == 0, "oops").otherwise(F.concat(F.lit('{"first": '), F.col("event_id").cast("string"), F.lit(', "second": 0.5}')))
-    calls = e.select("event_id", F.when(F.col("event_type") == "click", "add").otherwise(F.col("event_type")).alias("name"), args.alias("arguments"))
+    e, i = table(spark, sf_dir, "events"), F.col("event_id").cast("string")
+    tail = F.when(F.col("event_id") % 10 == 3, "}").when(F.col("event_id") % 10 == 6, ', "second": 0.5}').otherwise(', "second": -7}')
+    args = F.when(F.col("event_id") % 10 == 0, "oops").otherwise(F.concat(F.lit('{"first": '), i, tail))
+    calls = e.select("event_id", F.when(F.col("event_type").isin("click", "view"), "add_two_numbers").otherwise(F.col("event_type")).alias("name"), args.alias("arguments"))
     return runs.route_tool_calls(calls).select("event_id", "result")
 
 

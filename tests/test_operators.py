@@ -215,3 +215,22 @@ def test_schedules(spark):
     assert np.allclose([got[("k", i)]["alphas_product"] for i in range(4)], product)
     assert np.allclose([got[("k", i)]["sigma"] for i in range(4)], np.sqrt((1 - product) / product))
     assert got[("z", 1)]["alphas_product"] == 0 and got[("z", 1)]["sigma"] is None
+
+
+def test_tool_calls(spark):
+    calls = [
+        ("add_two_numbers", '{"first": 1, "second": 2}', '{"result":3}'), ("add_two_numbers", '{"second": -5, "first": 5, "more": [1]}', '{"result":0}'), ("add_two_numbers", '{"first": 1}', "Malformed arguments"),
+        ("add_two_numbers", '{"first": 1, "second": null}', "Malformed arguments"), ("add_two_numbers", '{"first": 1.5, "second": 2}', "Malformed arguments"), ("add_two_numbers", "", "Malformed arguments"), ("add_two_numbers", None, "Malformed arguments"),
+        ("add_two_numbers", '{"first": 9223372036854775807, "second": 1}', "Malformed arguments"), ("add", "{}", "Unknown tool: add"), (None, "{}", "Unknown tool: "), ("shout", '{"text": "a"}', '{"loud":"A"}'), ("shout", '{"times": 2}', "Malformed arguments"),
+    ]
+    shout = runs.Tool("shout", "text string, times int", ("text",), lambda a: F.struct(F.upper(a["text"]).alias("loud")))
+    df = spark.createDataFrame(calls, "name string, arguments string, want string")
+    assert all(r["result"] == r["want"] for r in runs.route_tool_calls(df, tools=[runs.ADD, shout]).collect())
+
+
+def test_ties_are_spread_over_partitions(spark):
+    df = spark.range(20000).select(F.lit(1).alias("k"), F.col("id").alias("v"), F.create_map(F.lit("a"), "id").alias("m"))
+    done = datasets.with_position(df, "k", parts=8)
+    assert sorted(r["position"] for r in done.select("position").collect()) == list(range(20000))
+    files = spark.read.parquet(next(f for f in done.inputFiles()).rsplit("/", 1)[0]).groupBy(F.input_file_name()).count().collect()
+    assert len(files) == 8 and max(r["count"] for r in files) < 2 * 20000 / 8
