@@ -26,6 +26,87 @@ def tag_zones(points: DataFrame, rects: list[tuple[int, int, int, int]], circles
     return points.withColumns({"wall": wall, "value": value, "border": border}).withColumn("static", F.col("wall") | F.col("border") | (F.col("value") > 0))
 
 
+def _tiles(size: Column, x: Column, y: Column) -> list[Column]:
+    return [F.floor(c / size).cast("long") for c in (x, y)]
+
+
+def _zones(rects: DataFrame | None, circles: DataFrame | None, tile: float) -> DataFrame | None:
+    """Both kinds of zones as one table: bounds x0, y0, x1, y1, seq and value (null for rectangles), cx, cy, rr, and the level at which
+    tiles are as large as the zone. Zones that hold nothing, or with null or non-finite numbers, are left out."""
+    number = lambda c: F.col(c).cast("double")
+    none = F.lit(None).cast("double")
+    parts = []
+    if rects is not None:
+        x, y = number("x"), number("y")
+        parts.append(rects.select(x.alias("x0"), y.alias("y0"), (x + number("w")).alias("x1"), (y + number("h")).alias("y1"), none.alias("seq"), none.alias("value"), none.alias("cx"), none.alias("cy"), none.alias("rr")))
+    if circles is not None:
+        x, y, r = number("x"), number("y"), F.abs(number("r"))
+        parts.append(circles.select((x - r).alias("x0"), (y - r).alias("y0"), (x + r).alias("x1"), (y + r).alias("y1"), number("seq").alias("seq"), number("value").alias("value"), x.alias("cx"), y.alias("cy"), (r * r).alias("rr")))
+    if not parts:
+        return None
+    whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    fine = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")) & (extent < float("inf"))
+    for c in ("x0", "y0", "x1", "y1"):
+        fine = fine & (F.abs(F.col(c)) < float("inf"))
+    return whole.where(fine).withColumn("level", F.greatest(F.ceil(F.log2(extent / tile)), F.lit(0)).cast("int"))
+
+
+def tag_zones_by_tile(points: DataFrame, rects: DataFrame | None = None, circles: DataFrame | None = None, width: int | None = None, height: int | None = None, x: str = "x", y: str = "y", tile: float = 1.0, crowd: int = 512) -> DataFrame:
+    """What ``tag_zones`` adds, for zones that are tables: rects (x, y, w, h) and circles (seq, x, y, r, value), of which the one with the
+    largest seq wins (of equal ones the larger value).
+
+    A zone lies in tiles as large as itself (``tile`` times a power of two), so in four at most; each place is looked up once per size
+    that occurs, among the zones of its tile alone. Places that repeat are looked up once. A tile with more than ``crowd`` zones is split into
+    chunks, each of which meets the tile's places for itself. Rows with a null coordinate are in no zone; zones with null or
+    non-finite numbers hold nothing. Columns beside the coordinates pass through.
+    """
+    out = ["wall", "value", "border", "static"]
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    zones = _zones(rects, circles, tile)
+    rows = points.drop(*out)
+    ax, ay, wall, value = free_names(rows, "ax", "ay", "is_wall", "held")
+    if zones is not None:
+        size = F.lit(tile) * F.pow(F.lit(2.0), F.col("level"))
+        (tx0, ty0), (tx1, ty1) = _tiles(size, F.col("x0"), F.col("y0")), _tiles(size, F.col("x1"), F.col("y1"))
+        tiled = zones.withColumn("tx", F.explode(F.sequence(tx0, tx1))).withColumn("ty", F.explode(F.sequence(ty0, ty1)))
+        place = ["level", "tx", "ty"]
+        crowded = tiled.groupBy(*place).agg(F.ceil(F.count("*") / crowd).cast("int").alias("chunks"))
+        dealt = tiled.join(crowded, place).withColumn("chunk", F.pmod(F.xxhash64("x0", "y0", "x1", "y1", "seq", "value"), F.col("chunks")).cast("int")).drop("chunks")
+        levels = sorted(r[0] for r in zones.select("level").distinct().collect())  # sizes that occur, powers of two
+        asked = rows.select(px.alias("px"), py.alias("py")).where("px IS NOT NULL AND py IS NOT NULL").distinct().withColumn("level", F.explode(F.array(*(F.lit(v) for v in levels)) if levels else F.array().cast("array<int>")))
+        tx, ty = _tiles(size, F.col("px"), F.col("py"))
+        asked = asked.withColumn("tx", tx).withColumn("ty", ty).join(crowded, place).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        dx, dy = F.col("px") - F.col("cx"), F.col("py") - F.col("cy")
+        round_ = F.col("cx").isNotNull()
+        inside = F.when(round_, dx * dx + dy * dy < F.col("rr")).otherwise((F.col("px") >= F.col("x0")) & (F.col("px") < F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") < F.col("y1")))
+        found = asked.join(dealt, [*place, "chunk"]).where(inside).groupBy("px", "py").agg(F.bool_or(~round_).alias(wall), F.max_by("value", F.when(round_, F.struct("seq", "value"))).alias(value))
+        found = found.withColumnsRenamed({"px": ax, "py": ay})
+        rows = rows.join(found, (px == F.col(ax)) & (py == F.col(ay)), "left")
+    else:
+        rows = rows.withColumns({ax: F.lit(0), ay: F.lit(0), wall: F.lit(False), value: F.lit(0.0)})
+    border = F.lit(False) if width is None else (F.col(x) == 0) | (F.col(y) == 0) | (F.col(x) == width - 1) | (F.col(y) == height - 1)
+    rows = rows.withColumns({"wall": F.coalesce(wall, F.lit(False)), "value": F.coalesce(value, F.lit(0.0)), "border": F.coalesce(border, F.lit(False))})
+    return rows.withColumn("static", F.col("wall") | F.col("border") | (F.col("value") > 0)).drop(ax, ay, wall, value)
+
+
+def interpolate_by_table(df: DataFrame, at: str, table: DataFrame, out: str = "y", pos: str = "pos", value: str = "value") -> DataFrame:
+    """Add ``out``: linear interpolation at a place in a table (pos from 0, value) of any length; null outside of it, at a null place or
+    beside a missing position. Of rows that repeat a position the largest value counts.
+
+    Each position is given its own and its successor's value by one grouping, which leaves the table partitioned for the join by the place's lower
+    position; so table and places are shuffled once each.
+    """
+    own, low, first, after = free_names(df, "own_pos", "low", "first", "after")
+    rows = table.where(F.col(pos).isNotNull()).select(F.col(pos).cast("long").alias(own), F.col(value).cast("double").alias(first))
+    both = rows.select(own, first, F.lit(None).cast("double").alias(after)).unionByName(rows.select((F.col(own) - 1).alias(own), F.lit(None).cast("double").alias(first), F.col(first).alias(after)))
+    pairs = both.groupBy(own).agg(F.max(first).alias(first), F.max(after).alias(after)).where(F.col(first).isNotNull())
+    joined = df.withColumn(low, F.when((F.col(at) >= 0) & (F.col(at) < float(1 << 62)), F.floor(at))).join(pairs, F.col(low) == F.col(own), "left")
+    part = F.col(at) - F.col(low)
+    found = F.when(part == 0, F.col(first)).otherwise(F.col(first) + part * (F.col(after) - F.col(first)))
+    return joined.withColumn(out, found).drop(own, low, first, after)
+
+
 def interpolate(values: list[float], at: str | Column) -> Column:
     """Linear interpolation in a table of fixed values at a place between 0 and its last index; null outside."""
     at = F.col(at) if isinstance(at, str) else at

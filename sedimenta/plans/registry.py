@@ -741,6 +741,34 @@ def j6_tag_zones(spark, sf_dir):
     return lookup.tag_zones(p, [(10, 5, 10, 35)], [(30, 30, 10, 0.75), (25, 25, 6, 0.0)], 64, 64).drop("x", "y")
 
 
+ZONES = """
+WITH p AS (SELECT event_id, event_id * 7919 % 1024 AS x, (value * 37)::BIGINT % 1024 AS y FROM events),
+r AS (SELECT p_partkey * 31 % 1024 AS x, p_partkey * 57 % 1024 AS y, p_size % 9 AS w, p_size % 7 AS h FROM part),
+c AS (SELECT o_orderkey AS seq, o_custkey * 13 % 1024 AS x, o_orderkey * 29 % 1024 AS y, CASE WHEN o_orderkey % 500 = 0 THEN 90 ELSE o_orderkey % 6 END AS r, round(o_totalprice / 1e4, 2) - 10 AS value FROM orders)
+"""
+
+
+@query(ZONES + """, w AS (SELECT DISTINCT event_id FROM p JOIN r ON p.x >= r.x AND p.x < r.x + r.w AND p.y >= r.y AND p.y < r.y + r.h),
+v AS (SELECT event_id, arg_max(value, seq) AS value FROM p JOIN c ON (p.x - c.x) ** 2 + (p.y - c.y) ** 2 < c.r ** 2 GROUP BY event_id)
+SELECT event_id, w.event_id IS NOT NULL AS wall, coalesce(value, 0)::DOUBLE AS value, (x = 0 OR y = 0 OR x = 1023 OR y = 1023) AS border, (w.event_id IS NOT NULL OR x = 0 OR y = 0 OR x = 1023 OR y = 1023 OR coalesce(value, 0) > 0) AS "static"
+FROM p LEFT JOIN w USING (event_id) LEFT JOIN v USING (event_id)""")
+def j6_zones_as_tables(spark, sf_dir):
+    p = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 7919 % 1024).alias("x"), (F.rint(F.col("value") * 37).cast("long") % 1024).alias("y"))
+    r = table(spark, sf_dir, "part").select((F.col("p_partkey") * 31 % 1024).alias("x"), (F.col("p_partkey") * 57 % 1024).alias("y"), (F.col("p_size") % 9).alias("w"), (F.col("p_size") % 7).alias("h"))
+    k = F.col("o_orderkey")
+    c = table(spark, sf_dir, "orders").select(k.alias("seq"), (F.col("o_custkey") * 13 % 1024).alias("x"), (k * 29 % 1024).alias("y"), F.when(k % 500 == 0, 90).otherwise(k % 6).alias("r"), (F.round(F.col("o_totalprice") / 1e4, 2) - 10).alias("value"))
+    return lookup.tag_zones_by_tile(p, r, c, 1024, 1024).drop("x", "y")
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey + l_quantity / 64 - 2 AS spot FROM lineitem), t AS (SELECT p_partkey - 1 AS pos, p_retailprice AS v FROM part)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN spot < 0 THEN NULL WHEN spot = floor(spot) THEN l.v ELSE round(l.v + (spot - floor(spot)) * (h.v - l.v), 6) END AS y
+FROM a LEFT JOIN t l ON l.pos = floor(spot) LEFT JOIN t h ON h.pos = floor(spot) + 1""")
+def j7_interpolate_by_table(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") + F.col("l_quantity") / 64 - 2).alias("at"))
+    prices = table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).alias("pos"), F.col("p_retailprice").alias("value"))
+    return lookup.interpolate_by_table(li, "at", prices).withColumn("y", F.round("y", 6)).drop("at")
+
+
 @query("WITH p AS (SELECT p_partkey, p_size / 12.5 AS pos FROM part), v AS (SELECT [1.0, 4.0, 2.0, 8.0, 5.0]::DOUBLE[] AS t) SELECT p_partkey, round(t[floor(pos)::INT + 1] + (pos - floor(pos)) * (t[least(floor(pos)::INT + 1, 4) + 1] - t[floor(pos)::INT + 1]), 6)::DOUBLE AS y FROM p, v")
 def j7_interpolate(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", six(lookup.interpolate([1.0, 4.0, 2.0, 8.0, 5.0], F.col("p_size") / 12.5)).alias("y"))
