@@ -12,7 +12,7 @@ from sedimenta.functions import scalars, vectors
 from sedimenta.operators import datasets, embed, evaluate, fit, lookup, runs, scan, search, sft, tokenize
 from sedimenta.sources import corpus, tables
 from sedimenta.sources.scratch import scratch
-from sedimenta.streaming import drain, streams
+from sedimenta.streaming import drain, ordered, streams
 
 #: Two to the 64th, for unsigned products in SQL.
 _U = "18446744073709551616::UHUGEINT"
@@ -934,3 +934,26 @@ SELECT CAST(user_id AS VARCHAR) AS key, t AS micros FROM r WHERE shown""")
 def st4_stream_throttle(spark, sf_dir):
     e = _event_stream(spark, sf_dir).select(F.col("run_id").cast("string").alias("key"), "ts", "value")
     return drain.drain(streams.stream_throttle(e, 3600.0)).select("key", F.unix_micros("ts").alias("micros"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT event_type, epoch_us(ts) AS t, row_number() OVER w AS n, avg(value) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS mean FROM events
+  WHERE epoch_us(ts) < (SELECT max(epoch_ms(ts)) - 86400000 FROM events) * 1000 WINDOW w AS (PARTITION BY event_type ORDER BY ts, value)),
+r AS (SELECT event_type, n, t, mean, t AS last, true AS shown FROM e WHERE n = 1
+  UNION ALL SELECT e.event_type, e.n, e.t, e.mean, CASE WHEN e.t - r.last >= 600000000 THEN e.t ELSE r.last END, e.t - r.last >= 600000000 FROM r JOIN e ON e.event_type = r.event_type AND e.n = r.n + 1)
+SELECT event_type AS key, t AS micros, round(mean, 6) AS mean FROM r WHERE shown""")
+def st4_throttle_in_order(spark, sf_dir):
+    e = drain.read_stream(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    with ordered.rocksdb(spark):
+        done = drain.drain(ordered.throttle_in_order(e, 600.0, late="1 day"))
+    return done.select("key", F.unix_micros("ts").alias("micros"), six(F.col("mean")).alias("mean"))
+
+
+@query("""WITH e AS (SELECT user_id AS run_id, event_id, epoch_us(ts) AS t, CASE WHEN event_type = 'error' THEN 'tool' ELSE 'chunk' END AS kind, CASE WHEN event_type = 'view' THEN '' ELSE event_type END AS chunk FROM events),
+f AS (SELECT *, min(CASE WHEN kind = 'tool' THEN event_id END) OVER (PARTITION BY run_id) AS tool FROM e)
+SELECT run_id, count(*) FILTER (WHERE kind = 'chunk' AND chunk <> '') AS tokens, max(t) AS last_micros, coalesce(string_agg(chunk, '' ORDER BY event_id) FILTER (WHERE kind = 'chunk' AND (tool IS NULL OR event_id < tool)), '') AS output
+FROM f GROUP BY run_id HAVING max(t) // 1000 + 21600000 < (SELECT max(epoch_ms(ts)) FROM events)""")
+def st1_run_results(spark, sf_dir):
+    e = _event_stream(spark, sf_dir).withColumnRenamed("event_id", "seq")
+    with ordered.rocksdb(spark):
+        done = drain.drain(ordered.run_results(e, "6 hours"))
+    return done.select("run_id", "tokens", F.unix_micros("last_ts").alias("last_micros"), "output")

@@ -14,7 +14,7 @@ from sedimenta.operators.lookup import published
 from sedimenta.operators.search import fix_index, topk_search
 
 
-def _milliseconds(interval: str) -> int:
+def milliseconds(interval: str) -> int:
     return int(pd.Timedelta(interval).total_seconds() * 1000)
 
 
@@ -27,7 +27,7 @@ def stream_generation_metrics(stream: DataFrame, late: str = "10 minutes", max_t
     """Per run, in update mode, whenever a batch has events of it: tokens (chunks that aren't empty), first and last time,
     tokens_per_second, truncated. A run's state is three numbers. Events behind the watermark are dropped, and a run without events
     for ``late`` leaves the state; should it go on after that, it starts anew."""
-    idle = _milliseconds(late)
+    idle = milliseconds(late)
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -78,7 +78,7 @@ def stream_throttle(stream: DataFrame, seconds: float = 0.5, keep: int = 30, lat
     last ``keep`` values. A key's state is its last published time, its last time and those values; it goes when the key has had no row
     for ``late`` (at least ``seconds``), and rows behind the watermark are dropped. Within a batch rows go by time, for which a key's
     rows of one batch are sorted at once: the source's limit of files a batch bounds them."""
-    idle = max(_milliseconds(late), int(seconds * 1000) + 1)
+    idle = max(milliseconds(late), int(seconds * 1000) + 1)
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
