@@ -244,7 +244,9 @@ class ArchiveReader(DataSourceReader):
         fs, folder = _files(self.path)
         return [Archive(f.base_name) for f in fs.get_file_info(pafs.FileSelector(folder)) if f.is_file and not f.base_name.startswith((".", "_"))]
 
-    def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Archive | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # what Spark asks for where there are no archives
+            return
         fs, folder = _files(self.path)
         names = [c.split(" ")[0] for c in SCHEMA.split(", ")] + ["payload"] * self.payloads
         kinds = [pa.string()] * 4 + [pa.int64(), pa.string()] + [pa.binary()] * self.payloads
