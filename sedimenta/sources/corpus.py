@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimenta.sources.folder import read_folder
+
 
 def relative_path(path: str | Column, root: str) -> Column:
     """Path below ``root``; unchanged outside of it."""
@@ -18,9 +20,14 @@ def extension(path: str | Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
+def normalized_extensions(extensions: Iterable[str]) -> list[str]:
+    """Extensions trimmed, in lower case and without one leading dot; empty ones go."""
+    return [e for e in (x.strip().removeprefix(".").lower() for x in extensions) if e]
+
+
 def filter_extensions(df: DataFrame, extensions: Iterable[str], path: str = "path") -> DataFrame:
     """Rows whose file has one of the extensions (trimmed, one leading dot and letter case aside); no extensions keep all."""
-    wanted = [e for e in (x.strip().removeprefix(".").lower() for x in extensions) if e]
+    wanted = normalized_extensions(extensions)
     return df.where(extension(path).isin(wanted)) if wanted else df
 
 
@@ -33,17 +40,21 @@ def decode_documents(df: DataFrame, content: str = "content") -> DataFrame:
     return df.select(*[c for c in df.columns if c != content], status.alias("status"), error.alias("error"), F.when(status == "ok", text).alias("contents"))
 
 
-def read_corpus(spark: SparkSession, root: str, extensions: Iterable[str] = ("txt", "md"), recursive: bool = False, limit: int | None = None) -> DataFrame:
-    """path (relative), status, error, contents of the files below ``root``, those of hidden files and folders left out.
+def read_corpus(spark: SparkSession, root: str, extensions: Iterable[str] = ("txt", "md"), recursive: bool = False, limit: int | None = None, file_bytes: int = 1 << 30) -> DataFrame:
+    """path (relative), status, error, contents of the files below ``root``, those of hidden files and folders left out. Empty files and
+    names that begin with an underscore are read; a file that can't be read, or is larger than ``file_bytes``, is ``unreadable``.
 
-    ``limit`` keeps the first so many documents, by path, that could be read; unreadable ones stay and don't count. Spark's
-    listing leaves out empty files and names that begin with an underscore.
+    ``limit`` keeps the first so many documents, by path, that could be read; unreadable ones stay and don't count.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    plain = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "/+$", "")
-    base = root.removeprefix("file://").rstrip("/")
-    files = files.select(relative_path(plain, base).alias("path"), "content").where(~F.col("path").rlike(r"(^|/)\."))
-    docs = decode_documents(filter_extensions(files, extensions))
+    files = read_folder(spark, root, normalized_extensions(extensions), recursive, file_bytes=file_bytes)
+    known = decode_documents(files.select("path", F.coalesce("content", F.lit(b"")).alias("content"), F.col("error").alias("fault")))
+    broken = F.col("fault").isNotNull()
+    docs = known.select(
+        "path",
+        F.when(broken, "unreadable").otherwise(F.col("status")).alias("status"),
+        F.coalesce("fault", "error").alias("error"),
+        F.when(~broken, F.col("contents")).alias("contents"),
+    )
     if limit is None:
         return docs
     good = docs.where("status = 'ok'").orderBy("path").limit(max(limit, 0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -20,11 +21,15 @@ def write_index(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def load_index(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """The index; an error if it is empty. Spark reports a missing path itself."""
+    """The index; an error if it is empty, and a warning if its entries differ in dimension. Spark reports a missing path itself."""
     reader = spark.read.schema(INDEX)
     index = reader.option("multiLine", "true").json(path) if fmt == "json-array" else reader.format(fmt).load(path)
-    if index.isEmpty():
+    count, first, sizes = index.agg(F.count("*"), F.min_by(F.size("embedding"), "path"), F.count_distinct(F.size("embedding"))).first()
+    if not count:
         raise ValueError(f"the index at {path} is empty")
+    if sizes > 1:
+        other = index.where(F.size("embedding") != first).agg(F.min_by(F.size("embedding"), "path"), F.min("path")).first()
+        warnings.warn(f"the index at {path} has entries of other dimensions than {first}, the first being {other[1]} with {other[0]}", stacklevel=2)
     return index
 
 
@@ -71,13 +76,6 @@ def decode_idx(files: DataFrame, column: str, size: int = 784, keys: tuple[str,
     return files.select(*keys, "content").mapInPandas(run, f"{kinds}idx long, {column} {'array<float>' if column == 'pixels' else 'int'}")
 
 
-def read_idx(spark: SparkSession, images: str, labels: str, use: str, size: int = 784) -> DataFrame:
-    """use, idx, pixels (0 to 1), label of a pair of gzipped image and label files."""
-    files = {c: spark.read.format("binaryFile").load(path) for c, path in (("pixels", images), ("label", labels))}
-    both = decode_idx(files["pixels"], "pixels", size).join(decode_idx(files["label"], "label"), "idx")
-    return both.select(F.lit(use).alias("use"), "idx", "pixels", "label")
-
-
 def read_bpe(spark: SparkSession, vocabulary: str, merges: str) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
     """Piece to id, and pair to rank: the first line of the merges is a comment, blank lines don't count. A vocabulary is model
     data of fixed size, and each task gets all of it."""

@@ -5,28 +5,42 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sedimenta.operators import sft, tokenize
-from sedimenta.sources import corpus, tables
+from sedimenta.sources import corpus, folder, idx, tables
 
 
 def test_corpus(spark, tmp_path):
-    files = {"a.md": b"one", "b.TXT": "zwei é".encode(), "c.html": b"no", "plain": b"no", ".hidden.md": b"no", "sub/d.md": b"deep", ".git/e.md": b"no", "nul.txt": b"a\0b", "late.txt": b"x" * 5000 + b"\0", "bad.txt": b"\xff\xfe", "empty.md": b""}
+    files = {"a.md": b"one", "b.TXT": "zwei é".encode(), "c.html": b"no", "plain": b"no", ".hidden.md": b"no", "sub/d.md": b"deep", ".git/e.md": b"no", "nul.txt": b"a\0b", "late.txt": b"x" * 5000 + b"\0", "bad.txt": b"\xff\xfe", "empty.md": b"", "_name.md": b"kept", "sub/.deep/f.md": b"no", "v1.2/g.md": b"dots", "huge.md": b"y" * 9000}
     for name, content in files.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(content)
-    got = {r["path"]: (r["status"], r["contents"]) for r in corpus.read_corpus(spark, str(tmp_path), recursive=True).collect()}
+    (tmp_path / "gone.md").symlink_to(tmp_path / "nowhere")
+    got = {r["path"]: (r["status"], r["contents"]) for r in corpus.read_corpus(spark, f"file://{tmp_path}/", [" .MD", "txt"], recursive=True, file_bytes=8000).collect()}
     assert got.pop("late.txt")[0] == "ok"
-    assert got == {"a.md": ("ok", "one"), "b.TXT": ("ok", "zwei é"), "sub/d.md": ("ok", "deep"), "nul.txt": ("binary", None), "bad.txt": ("decoding", None)}  # Spark leaves empty files out
+    kept = {"empty.md": ("ok", ""), "_name.md": ("ok", "kept"), "v1.2/g.md": ("ok", "dots"), "huge.md": ("unreadable", None)}
+    assert got == kept | {"a.md": ("ok", "one"), "b.TXT": ("ok", "zwei é"), "sub/d.md": ("ok", "deep"), "nul.txt": ("binary", None), "bad.txt": ("decoding", None)}
     some = corpus.read_corpus(spark, str(tmp_path), recursive=False, limit=2).collect()
-    assert sorted(r["path"] for r in some if r["status"] == "ok") == ["a.md", "b.TXT"] and sum(r["status"] != "ok" for r in some) == 2
+    assert sorted(r["path"] for r in some if r["status"] == "ok") == ["_name.md", "a.md"] and sum(r["status"] != "ok" for r in some) == 2
     assert corpus.read_corpus(spark, str(tmp_path), extensions=[], limit=0).where("status = 'ok'").count() == 0
 
 
+def test_files_that_cannot_be_read_and_packing(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"a")
+    reader = folder.FolderReader({"path": str(tmp_path)})
+    found = [r for b in reader.read(folder.Files([("a.md", 1), ("missing.md", 4)])) for r in b.to_pylist()]
+    assert found[0]["content"] == b"a" and found[1]["content"] is None and "missing.md" in found[1]["error"]
+    assert folder.packed([("a", 10), ("b", 10), ("c", 95), ("d", 1), ("e", 300), ("f", 1)], 100, 0) == [[("a", 10), ("b", 10)], [("c", 95), ("d", 1)], [("e", 300)], [("f", 1)]]
+    assert folder.packed([], 100) == [] and corpus.read_corpus(spark, str(tmp_path), ["none"]).count() == 0
+
+
 def test_index(spark, tmp_path):
     df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0])], "path string, embedding array<float>")
     for fmt in ("parquet", "json"):
         tables.write_index(df, f"{tmp_path}/{fmt}", fmt)
+        with pytest.warns(UserWarning, match="other dimensions than 2, the first being b with 1"):
+            tables.load_index(spark, f"{tmp_path}/{fmt}", fmt)
         assert sorted(r["path"] for r in tables.load_index(spark, f"{tmp_path}/{fmt}", fmt).collect()) == ["a", "b"]
     tables.write_index(df.limit(0), f"{tmp_path}/none")
     with pytest.raises(ValueError, match="empty"):
@@ -67,7 +81,7 @@ def test_images(spark, tmp_path):
     pixels = np.arange(3 * 784, dtype=np.uint32).astype(np.uint8)
     (tmp_path / "i.gz").write_bytes(gzip.compress(b"\0" * 16 + pixels.tobytes()))
     (tmp_path / "l.gz").write_bytes(gzip.compress(b"\0" * 8 + bytes([7, 0, 9])))
-    rows = tables.read_idx(spark, f"{tmp_path}/i.gz", f"{tmp_path}/l.gz", "test").orderBy("idx").collect()
+    rows = idx.read_idx(spark, f"{tmp_path}/i.gz", f"{tmp_path}/l.gz", "test").orderBy("idx").collect()
     assert [r["label"] for r in rows] == [7, 0, 9] and rows[0]["use"] == "test"
     assert np.allclose(rows[1]["pixels"], pixels[784:1568] / 255)
 
@@ -82,3 +96,29 @@ def test_byte_pairs(spark, tmp_path):
     df = spark.createDataFrame([(1, "AAB  ab z"), (2, ""), (3, None)], "k long, t string")
     got = {r["k"]: r["ids"] for r in tokenize.tokenize(df, vocabulary, ranks, "k", "t").collect()}
     assert got[1] == [0, 4, 7, 8, 1] and got[2] == [0, 1] == got[3]
+
+
+def test_image_files_in_bounded_memory(spark, tmp_path):
+    import tracemalloc
+
+    df = spark.range(10_000, numPartitions=3).select(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: ((F.col("id") + i) % 256) / 255.0).alias("pixels"), (F.col("id") % 10).alias("label"), "id")
+    idx.write_idx(df, f"{tmp_path}/set", 9)
+    assert len(list((tmp_path / "set").glob("images-*.gz"))) == 3 and not list((tmp_path / "set").glob(".*"))
+    back = idx.read_idx_folder(spark, f"{tmp_path}/set", 9)
+    seen = sorted((r["label"], [round(p * 255) for p in r["pixels"]]) for r in back.collect())
+    assert seen == sorted((i % 10, [(i + k) % 256 for k in range(9)]) for i in range(10_000))
+    assert back.groupBy("file").agg(F.max("idx"), F.count("*")).where("max(idx) + 1 <> `count(1)`").count() == 0
+    for name, head, size, n in (("images", 16, 9, 2_000_000), ("labels", 8, 1, 2_000_000)):
+        with gzip.open(tmp_path / f"{name}-big.gz", "wb", compresslevel=1) as f:
+            f.write(b"\0" * head)
+            for _ in range(n // 100_000):
+                f.write(bytes(100_000 * size))
+    tracemalloc.start()
+    reader = idx.PairReader({"images": str(tmp_path / "images-big.gz"), "labels": str(tmp_path / "labels-big.gz"), "size": "9"})
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 2_000_000
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+    with gzip.open(tmp_path / "labels-big.gz", "ab") as f:
+        f.write(b"\1")
+    with pytest.raises(ValueError, match="same number"):
+        list(reader.read(reader.partitions()[0]))
