@@ -118,6 +118,30 @@ def pool(strategy: str | None, tokens: str | Column, mask: str | Column | None =
     return normalize(v) if normalized else v
 
 
+def pool_rows(tokens: DataFrame, dimension: int, strategy: str | None = "mean", key: str = "path", pos: str = "pos", vector: str = "vector", mask: str | None = None, normed: bool = False, normalized: bool = True) -> DataFrame:
+    """key, embedding: ``pool`` for token vectors that are rows. Whole vectors are aggregated in their tasks before the shuffle, which carries
+    one vector a document and task, so a document of any number of tokens is never one row.
+
+    Of tokens of one position, first and last take the one with the smallest and largest vector. Masked tokens, null vectors and vectors of
+    another dimension don't count; a document without any other has an empty embedding. The mean of no strategy is the mean.
+    """
+    v = F.col(vector).cast("array<double>")
+    own = F.when((F.size(v) == dimension) & (F.coalesce(F.col(mask), F.lit(False)) if mask else F.lit(True)), layer_norm(v) if normed else v)
+    rows = tokens.select(F.col(key).alias("k"), F.col(pos).alias("p"), own.alias("v"))
+    name = {None: "mean", "none": "mean", "cls": "first"}.get(strategy, strategy)
+    there, place = F.col("v").isNotNull(), F.struct("p", "v")
+    at = [F.get("v", F.lit(i)) for i in range(dimension)]
+    how = {
+        "mean": lambda: F.array(*(F.avg(a) for a in at)),
+        "max": lambda: F.array(*(F.max(a) for a in at)),
+        "first": lambda: F.min_by("v", F.when(there, place)),
+        "last": lambda: F.max_by("v", F.when(there, place)),
+    }
+    pooled = rows.groupBy("k").agg(F.count("v").alias("n"), how[name]().alias("e"))
+    e = F.when(F.col("n") > 0, F.col("e")).otherwise(F.array().cast("array<double>"))
+    return pooled.select(F.col("k").alias(key), (normalize(e) if normalized else e).alias("embedding"))
+
+
 def pooling_fallback(strategy: str | None) -> str | None:
     """Message for a strategy that the pooling replaces."""
     return "no pooling strategy given; token vectors are averaged" if strategy in (None, "none") else None

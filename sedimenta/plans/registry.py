@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions import scalars, vectors
 from sedimenta.operators import datasets, embed, evaluate, fit, lookup, runs, scan, search, sft, tokenize
-from sedimenta.sources import corpus, tables
+from sedimenta.sources import corpus, idx, tables
 from sedimenta.sources.scratch import scratch
 from sedimenta.streaming import drain, ordered, streams
 
@@ -273,6 +273,21 @@ for _name, _strategy, _pick in (("mean", "mean", "list_avg(c)"), ("max", "max",
     _pool(f"a1_pool_{_name}", _strategy, _pick)
 
 
+#: The same over a row per token; documents of the vectors' labels, so that a few have very many tokens.
+LONG = {"mean": "avg(e[j])", "max": "max(e[j])", "first": "arg_min(e[j], p)", "last": "arg_max(e[j], p)"}
+
+
+@query("WITH t AS (SELECT label, vec_id * 8 + i AS p, CAST(embedding AS DOUBLE[])[i * 8 + 1:i * 8 + 8] AS e FROM embeddings, unnest(range(8)) AS r(i) WHERE vec_id % 5 <> 0 OR i < 5), " + ", ".join(
+    f"{n} AS (SELECT label, '{n}' AS strategy, list(x ORDER BY j) AS v FROM (SELECT label, j, {pick} AS x FROM t, unnest(range(1, 9)) AS s(j) GROUP BY label, j) GROUP BY label)" for n, pick in LONG.items()
+) + " SELECT label, strategy, round(v[1] / norm, 6) + 0.0 AS a, round(v[8] / norm, 6) + 0.0 AS b FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM (" + " UNION ALL ".join(f"FROM {n}" for n in LONG) + "))")
+def a1_pool_rows(spark, sf_dir):
+    t = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))).alias("i", "vector")
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", t)
+    rows = rows.select("label", (F.col("vec_id") * 8 + F.col("i")).alias("pos"), "vector", ((F.col("vec_id") % 5 != 0) | (F.col("i") < 5)).alias("mask"))
+    done = [embed.pool_rows(rows, 8, n, key="label", mask="mask").select("label", F.lit(n).alias("strategy"), six(F.get("embedding", F.lit(0))).alias("a"), six(F.get("embedding", F.lit(7))).alias("b")) for n in LONG]
+    return done[0].unionByName(done[1]).unionByName(done[2]).unionByName(done[3])
+
+
 @query("SELECT DISTINCT 'no pooling strategy given; token vectors are averaged' AS fallback FROM embeddings")
 def a3_fallback_messages(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.when(F.col("vec_id") % 2 == 0, F.lit(embed.pooling_fallback(None))).alias("fallback"))
@@ -626,6 +641,15 @@ def s8_decode_idx(spark, sf_dir):
     return order.join(images.join(labels, ["file", "idx"]), ["file", "idx"]).select("vec_id", total.cast("long").alias("total"), "label")
 
 
+@query("SELECT list_sum(list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 127.5)))::BIGINT AS total, label, count(*) AS n FROM embeddings GROUP BY ALL")
+def s8_read_idx(spark, sf_dir):
+    at = scratch(spark, "idx")
+    byte = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 127.5) / 255)
+    idx.write_idx(table(spark, sf_dir, "embeddings").select(byte.alias("pixels"), "label"), at, 64)
+    total = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + F.round(x.cast("double") * 255))
+    return idx.read_idx_folder(spark, at, 64).select(total.cast("long").alias("total"), "label").groupBy("total", "label").agg(F.count("*").alias("n"))
+
+
 @query("WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT w AS piece, row_number() OVER (ORDER BY w) - 1 AS id, row_number() OVER (ORDER BY w) - 1 AS rank FROM w")
 def s9_read_bpe(spark, sf_dir):
     at = scratch(spark, "bpe")
