@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -74,12 +75,25 @@ class HashingEmbedder:
         return out
 
 
+#: The model that a worker holds, by the name of the call that it is for.
+_MODEL: dict[str, Callable[[list[str]], list]] = {}
+
+
+def loaded(name: str, load: Callable[[], Callable[[list[str]], list]]) -> Callable[[list[str]], list]:
+    """A worker's model: made at its first task, kept for those that follow, and let go when another one is asked for."""
+    if name not in _MODEL:
+        _MODEL.clear()
+        _MODEL[name] = load()
+    return _MODEL[name]
+
+
 def embed_documents(docs: DataFrame, load: Callable[[], Callable[[list[str]], list]] | None = None, key: str = "path", text: str = "contents", batch_size: int = 8, normalized: bool = True) -> DataFrame:
     """key, embedding of the documents that have tokens, by ``hashing_embeddings`` or by a plugged model. ``load`` makes the model, once
-    per task; within an Arrow batch texts go to it in runs of ``batch_size``, sorted by length."""
+    per worker; within an Arrow batch texts go to it in runs of ``batch_size``, sorted by length."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        model = loaded(name, load)
         for pdf in batches:
             pdf = pdf.iloc[np.argsort(pdf["t"].str.len().fillna(0).to_numpy(), kind="stable")]
             size = max(1, min(batch_size, len(pdf)))

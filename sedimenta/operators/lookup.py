@@ -127,15 +127,6 @@ def moving_rate(df: DataFrame, key: str, order: str | list[str], value: str, n:
     return meant.withColumn("rate", F.when(F.col("mean") > 0, 1 / F.col("mean")))
 
 
-def published(times: np.ndarray, last: float | None, seconds: float) -> np.ndarray:
-    """Which of ascending times are at least ``seconds`` after the last one that was published; the first always is."""
-    out = np.zeros(len(times), dtype=bool)
-    for i, t in enumerate(times):
-        if last is None or t - last >= seconds:
-            out[i], last = True, t
-    return out
-
-
 def cumulative_product(df: DataFrame, key: str, order: str | list[str], column: str, out: str = "product", spread: bool = False) -> DataFrame:
     """Add the running product; zeros and negative factors are fine. ``spread`` as in ``moving_rate``."""
     if spread:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from sedimenta.operators.scan import let_through
-from sedimenta.streaming.streams import milliseconds
+from sedimenta.streaming.streams import milliseconds, recent_means
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
@@ -80,11 +80,7 @@ class OrderedThrottle(_Timed):
             times = np.array([r[0] for r in ready], dtype=np.int64)
             out = let_through(times, np.array([0]), last, self.gap) if self.gap > 0 else np.ones(len(times), dtype=bool)
             values = np.array([*(np.nan if v is None else v for v in recent), *(np.nan if r[1] is None else r[1] for r in ready)], dtype=float)
-            there, filled = np.cumsum(np.append(0, ~np.isnan(values))), np.cumsum(np.append(0.0, np.nan_to_num(values)))
-            ends = np.arange(len(values) - len(times), len(values)) + 1
-            starts = np.maximum(ends - self.keep, 0)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                means = (filled[ends] - filled[starts]) / (there[ends] - there[starts])
+            means = recent_means(values, len(times), self.keep)
             last = int(times[out][-1]) if out.any() else last
             seen, recent = int(times[-1]), [None if np.isnan(v) else float(v) for v in values[-self.keep :]]
             self.gate.update((last, seen, recent))

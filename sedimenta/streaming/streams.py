@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from sedimenta.operators.lookup import published
+from sedimenta.operators.scan import let_through
 from sedimenta.operators.search import fix_index, topk_search
 
 
@@ -73,12 +73,22 @@ def search_batches(index: DataFrame, k: int, sink: Callable[[DataFrame, int], No
     return run
 
 
+def recent_means(x: np.ndarray, n: int, keep: int) -> np.ndarray:
+    """For each of the last ``n`` values, the mean of it and those before it, ``keep`` in all, NaN aside."""
+    there, filled = np.cumsum(np.append(0, ~np.isnan(x))), np.cumsum(np.append(0.0, np.nan_to_num(x)))
+    ends = np.arange(len(x) - n, len(x)) + 1
+    starts = np.maximum(ends - keep, 0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return (filled[ends] - filled[starts]) / (there[ends] - there[starts])
+
+
 def stream_throttle(stream: DataFrame, seconds: float = 0.5, keep: int = 30, late: str = "10 minutes") -> DataFrame:
     """(key, ts, value, mean): rows of (key, ts, value) at least ``seconds`` after their key's last published one, with the mean of the
     last ``keep`` values. A key's state is its last published time, its last time and those values; it goes when the key has had no row
     for ``late`` (at least ``seconds``), and rows behind the watermark are dropped. Within a batch rows go by time, for which a key's
     rows of one batch are sorted at once: the source's limit of files a batch bounds them."""
-    idle = max(milliseconds(late), int(seconds * 1000) + 1)
+    gap = int(np.ceil(round(seconds * 1e6, 3)))
+    idle = max(milliseconds(late), gap // 1000 + 1)
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -87,17 +97,15 @@ def stream_throttle(stream: DataFrame, seconds: float = 0.5, keep: int = 30, lat
         last, seen, values = state.get if state.exists else (None, 0, [])
         rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
         micros = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        means = []
-        for v in rows["value"]:
-            values = [*values, float(v)][-keep:]
-            means.append(float(np.mean(values)))
-        out = published(micros / 1e6, last, seconds)
+        x = np.concatenate([np.asarray(values, dtype=float), rows["value"].to_numpy(dtype=float)])
+        means = recent_means(x, len(micros), keep)
+        out = let_through(micros, np.array([0]), last, gap) if gap > 0 else np.ones(len(micros), dtype=bool)
         if out.any():
-            last = float(micros[out][-1] / 1e6)
+            last = int(micros[out][-1])
         seen = max(seen, int(micros[-1]))
-        state.update((last, seen, values))
+        state.update((last, seen, x[-keep:].tolist()))
         _keep_until(state, seen, idle)
         yield pd.DataFrame({"key": key[0], "ts": rows["ts"], "value": rows["value"], "mean": means})[out]
 
     slim = stream.where("ts IS NOT NULL").withWatermark("ts", late).select("key", "ts", "value")
-    return slim.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, value double, mean double", "last double, seen long, recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    return slim.groupBy("key").applyInPandasWithState(run, "key string, ts timestamp, value double, mean double", "last long, seen long, recent array<double>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -234,3 +234,19 @@ def test_ties_are_spread_over_partitions(spark):
     assert sorted(r["position"] for r in done.select("position").collect()) == list(range(20000))
     files = spark.read.parquet(next(f for f in done.inputFiles()).rsplit("/", 1)[0]).groupBy(F.input_file_name()).count().collect()
     assert len(files) == 8 and max(r["count"] for r in files) < 2 * 20000 / 8
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    at = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        open(f"{at}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return embed.HashingEmbedder(8)
+
+    docs = spark.range(64, numPartitions=32).select(F.col("id").alias("path"), F.lit("a b").alias("contents"))
+    assert embed.embed_documents(docs, load).count() == 64
+    made = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    assert len(made) == len(set(made)) < 32
