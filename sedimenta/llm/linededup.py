@@ -42,7 +42,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float, min_pa
     return counts.join(totals, "host").where(F.col("n") > F.lit(max_ratio) * F.col("pages")).groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
-def drop_lines(pages: DataFrame, host: str, text: str, max_ratio: float = 0.1, min_pages: int = 5, out: str | None = None, broadcast_mb: int = 16) -> DataFrame:
+def drop_lines(pages: DataFrame, host: str, text: str, max_ratio: float = 0.1, min_pages: int = 2, out: str | None = None, broadcast_mb: int = 16) -> DataFrame:
     """All rows of ``pages`` with the boilerplate lines taken out of ``text`` (or of a copy named ``out``), and
     n_lines and n_dropped, which count lines that aren't blank.
 

@@ -244,7 +244,7 @@ def _looked(batches, names: list[str]):
     for batch in batches:
         for first, texts in text_chunks(batch.column(1)):
             part = batch.slice(first, len(texts))
-            yield np.array([-1 if x is None else x for x in part.column(0).to_pylist()], dtype=np.int64), look(texts, {c: part.column(i).to_pylist() for i, c in enumerate(names) if c in (*CATEGORIES, LENGTH)})
+            yield part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), look(texts, {c: part.column(i).to_pylist() for i, c in enumerate(names) if c in (*CATEGORIES, LENGTH)})
 
 
 def _sample(rows) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -283,11 +283,12 @@ def _proportionate(counts: list[int], prior: float) -> list[int]:
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 2, max_fit: int = 20_000, pseudo: int = 1000, sure: float = 0.99, seed: int = 6) -> Model | None:
-    """Co-train on ``docs`` and ``labels`` (doc_id, quality, toxic); None if the labels don't show both classes."""
+    """Co-train on ``docs`` and ``labels`` (doc_id, quality, toxic); None if the labels don't show both classes. Rows without an id can't be
+    labelled or told apart, so they are scored but not learned from."""
     known = label_sample(labels, max_fit, seed)
     if len(set(known.values())) < 2:
         return None
-    slim = _slim(docs, doc_id, text)
+    slim = _slim(docs, doc_id, text).where("doc_id IS NOT NULL")
     names = slim.columns
     ids = np.array(sorted(known), dtype=np.int64)
     sent = docs.sparkSession.sparkContext.broadcast(ids)  # max_fit ids

@@ -154,7 +154,7 @@ def op7_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     lined = pages.select("page_id", url_host("url").alias("host"), html_lines("html").alias("text"))
-    done = drop_lines(lined, "host", "text", max_ratio=0.1, min_pages=5)
+    done = drop_lines(lined, "host", "text", max_ratio=0.1, min_pages=2)
     return done.select("page_id", "host", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -168,7 +168,7 @@ WITH p AS (
 ), totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 often AS (
   SELECT host, word FROM l JOIN totals USING (host) WHERE word <> '' AND host <> ''
-  GROUP BY host, word, pages HAVING count(DISTINCT page_id) >= 5 AND count(DISTINCT page_id) > 0.1 * pages
+  GROUP BY host, word, pages HAVING count(DISTINCT page_id) >= 2 AND count(DISTINCT page_id) > 0.1 * pages
 ), marked AS (SELECT l.*, often.word IS NOT NULL AS gone FROM l LEFT JOIN often ON often.host = l.host AND often.word = l.word)
 SELECT page_id, host, count(*) FILTER (WHERE word <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256

@@ -150,3 +150,10 @@ def test_hosts_and_html(spark):
     out = df.select(linededup.url_host(F.col("url")).alias("h"), linededup.html_lines(F.col("html")).alias("t")).collect()
     assert [r["h"] for r in out] == ["www.example.com", ""]
     assert out[0]["t"].split("\n") == ["", "One", "", "Two", "bold", "", ""] and out[1]["t"] is None
+
+
+def test_hosts_of_few_pages_lose_their_boilerplate(spark):
+    pages = [(1, "two", "menu\na"), (2, "two", "menu\nb"), (3, "one", "menu\nc"), (4, "three", "menu\nd\nd"), (5, "three", "e"), (6, "three", "menu\nf")]
+    df = spark.createDataFrame(pages, "page_id long, host string, text string")
+    got = {r["page_id"]: (r["text"], r["n_dropped"]) for r in linededup.drop_lines(df, "host", "text", max_ratio=0.1).collect()}
+    assert got == {1: ("a", 1), 2: ("b", 1), 3: ("menu\nc", 0), 4: ("d\nd", 1), 5: ("e", 0), 6: ("f", 1)}

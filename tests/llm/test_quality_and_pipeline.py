@@ -56,6 +56,19 @@ def test_pseudo_labels_are_searched_until_found(spark, monkeypatch):
     assert np.diff(seen, axis=0).tolist() == [[30, 30], [30, 30]]
 
 
+def test_rows_without_an_id_are_scored_but_not_learned_from(spark):
+    docs, labels = corpus(400, 9)
+    seen = spark.createDataFrame([*(x for x in labels if x[0] % 2), (-1, 0, 1)], "doc_id long, quality int, toxic int")
+    plain = spark.createDataFrame(docs, DOC).repartition(3)
+    odd = spark.createDataFrame([(None, t, lang, s, n) for _, t, lang, s, n in docs[:50]], DOC)
+    model, same = quality.train(plain, seen, pseudo=20, sure=0.9), quality.train(plain.unionByName(odd), seen, pseudo=20, sure=0.9)
+    scored = lambda m: sorted((r["doc_id"], r["p_good"]) for r in quality.score_documents(plain, m).collect())
+    assert scored(model) == scored(same)
+    found = quality.score_documents(plain.unionByName(odd), same).collect()
+    by_text = {r["text"]: r["p_good"] for r in found if r["doc_id"] is not None}
+    assert sum(r["doc_id"] is None for r in found) == 50 and all(r["p_good"] == by_text[r["text"]] for r in found)
+
+
 # ------------------------------------------------------------------ the same in plain Python, over all documents at once
 
 CUTS = [0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.93, 0.96, 0.98, 0.99, 0.995]
