@@ -34,9 +34,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without lines that more than a tenth of their source's documents, and five at least, hold. Rows without a source
+    """All rows, without lines that more than a tenth of their source's documents, and two at least, hold. Rows without a source
     keep all lines."""
-    return _measured(drop_lines(docs, "source", "text", max_ratio=0.1, min_pages=5).select(*docs.columns))
+    return _measured(drop_lines(docs, "source", "text", max_ratio=0.1, min_pages=2).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
