@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +22,25 @@ def scratch_root(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Names given out in this process and not yet cleared.
+_GIVEN: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new name below the shared folder."""
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _GIVEN.append(f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written to the shared folder inside are deleted at the end: results that read them must have been used by then.
+    Names given out before stay."""
+    first = len(_GIVEN)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while len(_GIVEN) > first:
+            path = jvm.org.apache.hadoop.fs.Path(_GIVEN.pop())
+            path.getFileSystem(conf).delete(path, True)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.operators import sft, tokenize
-from sedimenta.sources import corpus, folder, idx, tables
+from sedimenta.sources import corpus, folder, idx, scratch, tables
 
 
 def test_corpus(spark, tmp_path):
@@ -122,3 +122,16 @@ def test_image_files_in_bounded_memory(spark, tmp_path):
         f.write(b"\1")
     with pytest.raises(ValueError, match="same number"):
         list(reader.read(reader.partitions()[0]))
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    before = scratch.scratch(spark, "before")
+    spark.range(3).write.parquet(before)
+    with scratch.scratch_tables(spark):
+        inside = scratch.scratch(spark, "inside")
+        spark.range(3).write.parquet(inside)
+        scratch.scratch(spark, "never-written")
+        assert spark.read.parquet(inside).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(inside)
+    assert spark.read.parquet(before).count() == 3
