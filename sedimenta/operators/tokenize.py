@@ -5,7 +5,9 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,36 +56,43 @@ def merge_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return [p for p in pieces if p is not None]
 
 
-#: Words that a worker remembers.
+#: Words that a task remembers.
 REMEMBERED = 500_000
 
 
 def tokenize(df: DataFrame, vocabulary: dict[str, int], ranks: dict[tuple[str, str], int], key: str, text: str, ends: bool = True) -> DataFrame:
     """key, ids: token ids of each text; pieces outside the vocabulary are dropped, begin and end are added.
 
-    Texts are encoded where they are, in Arrow batches, and a worker remembers the words it has merged (``REMEMBERED`` at most): words
-    are so uneven that this leaves few merges, and nothing is shuffled.
+    Texts are encoded where they are, in Arrow batches: a batch's words are numbered, each different word is merged once (or known to the task, which
+    remembers ``REMEMBERED`` words at most), and its ids are gathered for all its places. Words are so uneven that this leaves few
+    merges, and nothing is shuffled.
     """
     sent = df.sparkSession.sparkContext.broadcast((vocabulary, ranks))  # model data of fixed size
+    kind = f"k {df.schema[key].dataType.simpleString()}, ids array<int>"
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, order = sent.value
-        known: dict[str, list[int]] = {}
+        known: dict[str, np.ndarray] = {}
         for batch in batches:
-            out = []
-            for words in batch:
-                own = []
-                for w in () if words is None else words:
-                    if w not in known:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[w] = [ids[p] for p in merge_word(w, order) if p in ids]
-                    own += known[w]
-                out.append(own)
-            yield pd.Series(out, dtype=object)
-
-    flat = encode(pre_split(text))
-    if ends:
-        flat = F.concat(F.array(F.lit(vocabulary[BOS])), flat, F.array(F.lit(vocabulary[EOS])))
-    return df.select(F.col(key), flat.alias("ids"))
+            words = batch["w"]
+            coded = words.flatten().dictionary_encode()
+            if len(known) > REMEMBERED:
+                known.clear()
+            own = []
+            for w in coded.dictionary.to_pylist():
+                if w not in known:
+                    known[w] = np.array([ids[p] for p in merge_word(w, order) if p in ids], dtype=np.int32)
+                own.append(known[w])
+            sizes = np.array([len(x) for x in own], dtype=np.int64)
+            flat, starts = np.concatenate([np.zeros(0, dtype=np.int32), *own]), np.cumsum(sizes) - sizes
+            codes = coded.indices.to_numpy()
+            lens = sizes[codes] if len(codes) else np.zeros(0, dtype=np.int64)
+            before = np.cumsum(lens) - lens
+            places = np.repeat((starts[codes] if len(codes) else lens) - before, lens) + np.arange(int(lens.sum()))
+            per_row = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+            edges = np.append(0, np.cumsum(lens))[np.append(0, np.cumsum(per_row))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch["k"], pa.ListArray.from_arrays(pa.array(edges), pa.array(flat[places]))], names=["k", "ids"])
+
+    done = df.select(F.col(key).alias("k"), pre_split(text).alias("w")).mapInArrow(encode, kind)
+    flat = F.concat(F.array(F.lit(vocabulary[BOS])), "ids", F.array(F.lit(vocabulary[EOS]))) if ends else F.col("ids")
+    return done.select(F.col("k").alias(key), flat.alias("ids"))

@@ -4,6 +4,8 @@ import random
 import re
 import time
 
+from pyspark.sql import functions as F
+
 from sedimenta.operators import tokenize
 from sedimenta.plans import registry
 
@@ -67,3 +69,13 @@ def test_a_public_vocabulary_over_documents(spark):
             assert {p for w in words for p in plain(w, ranks)} or not words
     assert seen > 20 and len(got) == docs.count()
     assert registry.QUERIES["f15_tokenize_49k"](spark, TINY).count() == len(got)
+
+
+def test_nulls_empties_and_a_forgetful_task(spark, monkeypatch):
+    monkeypatch.setattr(tokenize, "REMEMBERED", 1)
+    vocabulary = {t: i for i, t in enumerate([tokenize.BOS, tokenize.EOS, "a", "a</w>", "b", "ab</w>"])}
+    df = spark.createDataFrame([(1, None), (2, ""), (3, " \n "), (4, "ab AB a éb"), (5, "zz"), (4, "ab")], "k long, t string").withColumn("ids", F.lit("clash")).coalesce(1)
+    got = sorted((r["k"], r["ids"]) for r in tokenize.tokenize(df, vocabulary, {("a", "b</w>"): 0}, "k", "t").collect())
+    assert got == [(1, [0, 1]), (2, [0, 1]), (3, [0, 1]), (4, [0, 5, 1]), (4, [0, 5, 5, 3, 1]), (5, [0, 1])]
+    assert [r["ids"] for r in tokenize.tokenize(df.where("k = 5"), vocabulary, {}, "k", "t", ends=False).collect()] == [[]]
+    assert tokenize.tokenize(df.limit(0), vocabulary, {}, "k", "t").count() == 0
