@@ -120,9 +120,19 @@ def _ends(rows: DataFrame, fold: Callable[[object, pa.RecordBatch], object], tol
 
 
 def _per_stretch(carried: DataFrame):
-    """First keys of stretches that were begun before, by place: a row per stretch at most, sent to all tasks."""
-    found = carried.where("head AND ahead > 0").toArrow().to_pylist()
-    return carried.sparkSession.sparkContext.broadcast({(r["part"], r["block"]): r for r in found})
+    """What the first key of each stretch starts from, by place (null if it begins there): a row per stretch, sent to all tasks."""
+    found = carried.where("head").toArrow().to_pylist()
+    return carried.sparkSession.sparkContext.broadcast({(r["part"], r["block"]): r if r["ahead"] else None for r in found})
+
+
+def _opened(known: dict[tuple[int, int], dict | None], piece: Piece) -> dict | None:
+    """What the key of a piece that doesn't go on starts from. Files may be split otherwise than in the first pass if the cluster has changed since:
+    a place that it hasn't seen is an error rather than a wrong result."""
+    if not piece.opens:
+        return None
+    if piece.place not in known:
+        raise RuntimeError("the ranges' files were split otherwise than in the first pass; run the query again")
+    return known[piece.place]
 
 
 def _columns(table: Ranged) -> tuple[list[str], str]:
@@ -196,7 +206,7 @@ def running(df: DataFrame, key: str | None, order: str | Column | list[str | Col
         known, state = starts.value, None
         for piece in pieces(batches):
             if not piece.goes_on:
-                state = known.get(piece.place) if piece.opens else None
+                state = _opened(known, piece)
             start, now, made = piece.start_of_rows(), {}, []
             mine = start == 0  # rows of the key that the state is of
             for v, (op, _, whole) in ops.items():
@@ -240,13 +250,13 @@ def moving_mean(df: DataFrame, key: str | None, order: str | Column | list[str |
     ends = _ends(rows.select("k", "part", "block", "v"), fold, lambda state: {"v": state}, "v array<double>")
     by = W.partitionBy("k").orderBy("part", "block")
     near = F.flatten(F.collect_list("v").over(by.rowsBetween(-max(halo, 1), -1)))  # a stretch has a row of the key at least
-    starts = _per_stretch(ends.select("part", "block", "head", F.count("*").over(by.rowsBetween(W.unboundedPreceding, -1)).alias("ahead"), F.slice(near, -F.least(F.lit(halo), F.size(near)), F.lit(halo)).alias("v") if halo else near.alias("v")))
+    starts = _per_stretch(ends.select("part", "block", "head", F.count("*").over(by.rowsBetween(W.unboundedPreceding, -1)).alias("ahead"), F.when(F.size(near) > 0, F.slice(near, -F.least(F.lit(max(halo, 1)), F.size(near)), F.lit(halo))).otherwise(near).alias("v")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, state = starts.value, []
         for piece in pieces(batches):
             if not piece.goes_on:
-                state = known[piece.place]["v"] if piece.opens and piece.place in known else []
+                state = (_opened(known, piece) or {"v": []})["v"]
             column = pa.concat_arrays([pa.array(state, pa.float64()), piece.rows["v"]])
             there = pc.is_valid(column).to_numpy(zero_copy_only=False)
             x = np.where(there, pc.fill_null(column, 0.0).to_numpy(zero_copy_only=False), 0.0)
@@ -376,13 +386,13 @@ def throttle(df: DataFrame, key: str | None, ts: str, tie: str | list[str], seco
             upper = handed.select(F.col("k").alias("uk"), F.col("node").alias("un"), F.col("last").alias("was"))
             asked = grouped.join(upper, F.col("k").eqNullSafe(F.col("uk")) & (F.col("up") == F.col("un"))).drop("uk", "un")
         handed = _written(asked.groupBy("k", "up").applyInArrow(_hander(gap), f"k {kind}, node int, block long, head boolean, last long"), "handed")
-    starts = _per_stretch(handed.select(F.col("node").alias("part"), "block", "head", "last", F.col("last").isNotNull().cast("int").alias("ahead")))
+    starts = _per_stretch(handed.select(F.col("node").alias("part"), "block", "head", "last", F.col("last").isNotNull().alias("ahead")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = starts.value, None
         for piece in pieces(batches):
             if not piece.goes_on:
-                last = known[piece.place]["last"] if piece.opens and piece.place in known else None
+                last = (_opened(known, piece) or {"last": None})["last"]
             times, tail = piece.rows["us"].to_numpy(), int(piece.starts[-1])
             out = let_through(times, piece.starts, last, gap)
             seen = np.flatnonzero(out[tail:])

@@ -129,3 +129,24 @@ def test_operators_over_cut_keys(many_parts):
         (lambda s: runs.running_rate(df, "key", order, spread=s), "rate"),
     ):
         assert np.allclose(frame(how(True), c), frame(how(False), c), rtol=1e-6, equal_nan=True)
+
+
+def test_long_files_are_split_into_stretches(many_parts):
+    """Files of several row groups, read by several tasks each; and another split in the second pass is seen."""
+    spark = many_parts
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", "20000")
+    try:
+        df = spark.range(60_000, numPartitions=3).select("id", F.when(F.col("id") % 10 < 8, "hot").otherwise("k").alias("key"), F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("text"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+        table = scan.ranged(df, "key", ["id"], parts=4)
+        assert table.stretches().select("part", "block").distinct().count() > 20
+        got = scan.running(df, "key", "id", n=("count", "id"), first=("first", "id"))
+        want = df.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("id")))
+        assert got.select("id", "n").exceptAll(want.select("id", F.col("n").cast("long"))).count() == 0 == got.where("first > 8").count()
+        assert scan.throttle(df.withColumn("ts", F.timestamp_micros("id")), "key", "ts", "id", 3e-6).where("key = 'hot'").count() > 10_000
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "30k")
+        with pytest.raises(Exception, match="split otherwise"):
+            got.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
