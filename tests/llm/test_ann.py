@@ -66,7 +66,7 @@ def recall(spark, data):
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
 def test_recall_of_the_query(spark, size):
-    """500 and 5,000 rows; the curves decide at both."""
+    """500 and 2,000 rows, close to isotropic; the curves decide at both."""
     assert recall(spark, f"/root/testdata/{size}") >= 0.9
 
 
