@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide(df: DataFrame) -> DataFrame:
+    """A table of fewer files than the cluster has cores is dealt over them, before work on its texts that costs far more than moving them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def six(c: Column) -> Column:
     return F.round(c, 6) + 0.0
 
@@ -227,7 +233,7 @@ c{n} AS (SELECT path, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS pos, sum(CA
   SELECT path, greatest(sqrt(sum(c * c)), 1e-300) AS norm, sum(c) AS total, coalesce(sum(c) FILTER (WHERE pos = 0), 0) AS first, coalesce(sum(c) FILTER (WHERE pos = 63), 0) AS last FROM c GROUP BY path
 ) SELECT path, round(total / norm, 6) + 0.0 AS total, round(first / norm, 6) + 0.0 AS first, round(last / norm, 6) + 0.0 AS last FROM t""")
 def x1_embed_documents(spark, sf_dir):
-    docs = corpus.decode_documents(as_files(spark, sf_dir)).where("status = 'ok'")
+    docs = corpus.decode_documents(wide(as_files(spark, sf_dir))).where("status = 'ok'")
     e = embed.embed_documents(docs)
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
     return e.select("path", six(total).alias("total"), six(F.get("embedding", F.lit(0))).alias("first"), six(F.get("embedding", F.lit(63))).alias("last"))
@@ -872,7 +878,7 @@ RANKS = {m: i for i, m in enumerate(_MERGES)}
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '\s+', ' ', 'g'), '<\|startoftext\|>|<\|endoftext\|>|''s|''t|''re|''ve|''m|''ll|''d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+') AS w FROM documents)
 SELECT doc_id, len(w) AS words, sha256(array_to_string(w, ' ')) AS digest FROM t""")
 def f15_pre_split(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", tokenize.pre_split("text").alias("w"))
+    d = wide(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tokenize.pre_split("text").alias("w"))
     return d.select("doc_id", F.size("w").cast("long").alias("words"), F.sha2(F.array_join("w", " ").cast("binary"), 256).alias("digest"))
 
 
@@ -895,7 +901,7 @@ k AS (SELECT doc_id, i, id FROM p JOIN v ON v.piece = substr(p.piece, 2)),
 g AS (SELECT doc_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY i) AS ids FROM k GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0) + 2 AS n, sha256('0,' || coalesce(ids || ',', '') || '1') AS digest FROM documents LEFT JOIN g USING (doc_id)""".replace("\\\\", "\\"))
 def j8_tokenize(spark, sf_dir):
-    done = tokenize.tokenize(table(spark, sf_dir, "documents"), VOCABULARY, RANKS, "doc_id", "text")
+    done = tokenize.tokenize(wide(table(spark, sf_dir, "documents").select("doc_id", "text")), VOCABULARY, RANKS, "doc_id", "text")
     return done.select("doc_id", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary"), 256).alias("digest"))
 
 
@@ -910,7 +916,7 @@ def word_bpe(spark: SparkSession, path: str | None = None) -> tuple[dict[str, in
 
 @query()
 def f15_tokenize_49k(spark, sf_dir):
-    done = tokenize.tokenize(table(spark, sf_dir, "documents"), *word_bpe(spark), "doc_id", "text")
+    done = tokenize.tokenize(wide(table(spark, sf_dir, "documents").select("doc_id", "text")), *word_bpe(spark), "doc_id", "text")
     return done.select("doc_id", F.size("ids").cast("long").alias("n"), F.crc32(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").cast("binary")).alias("ids_crc32"))
 
 
