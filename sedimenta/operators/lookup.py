@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sedimenta.operators import scan
 from sedimenta.operators.datasets import free_names
+from sedimenta.sources.scratch import materialize
 
 
 def tag_zones(points: DataFrame, rects: list[tuple[int, int, int, int]], circles: list[tuple[float, float, float, float]], width: int | None = None, height: int | None = None, x: str = "x", y: str = "y") -> DataFrame:
@@ -31,17 +34,21 @@ def _tiles(size: Column, x: Column, y: Column) -> list[Column]:
 
 
 def _zones(rects: DataFrame | None, circles: DataFrame | None, tile: float) -> DataFrame | None:
-    """Both kinds of zones as one table: bounds x0, y0, x1, y1, seq and value (null for rectangles), cx, cy, rr, and the level at which
-    tiles are as large as the zone. Zones that hold nothing, or with null or non-finite numbers, are left out."""
+    """Both kinds of zones as one table: bounds x0, y0, x1, y1, ord (which of two circles wins; null for rectangles) and value, cx, cy, rr, and
+    the level at which tiles are as large as the zone. Zones that hold nothing, or with null or non-finite numbers, are left out, and of zones
+    of one place and size the winner stays."""
     number = lambda c: F.col(c).cast("double")
     none = F.lit(None).cast("double")
-    parts = []
+    x, y, parts = F.col("x"), F.col("y"), []
     if rects is not None:
-        x, y = number("x"), number("y")
-        parts.append(rects.select(x.alias("x0"), y.alias("y0"), (x + number("w")).alias("x1"), (y + number("h")).alias("y1"), none.alias("seq"), none.alias("value"), none.alias("cx"), none.alias("cy"), none.alias("rr")))
+        one = rects.select(*(number(c).alias(c) for c in ("x", "y", "w", "h"))).distinct()
+        parts.append(one.select(x.alias("x0"), y.alias("y0"), (x + F.col("w")).alias("x1"), (y + F.col("h")).alias("y1"), F.lit(None).cast("long").alias("ord"), none.alias("value"), none.alias("cx"), none.alias("cy"), none.alias("rr")))
     if circles is not None:
-        x, y, r = number("x"), number("y"), F.abs(number("r"))
-        parts.append(circles.select((x - r).alias("x0"), (y - r).alias("y0"), (x + r).alias("x1"), (y + r).alias("y1"), number("seq").alias("seq"), number("value").alias("value"), x.alias("cx"), y.alias("cy"), (r * r).alias("rr")))
+        r = F.col("r")
+        named = circles.select(*(number(c).alias(c) for c in ("x", "y", "seq", "value")), F.abs(number("r")).alias("r"))
+        ranked = named.where("r > 0 AND seq IS NOT NULL AND value IS NOT NULL").orderBy("seq", "value", "x", "y", "r").withColumn("ord", F.monotonically_increasing_id())
+        one = ranked.groupBy("x", "y", "r").agg(F.max("ord").alias("ord"), F.max_by("value", "ord").alias("value"))
+        parts.append(one.select((x - r).alias("x0"), (y - r).alias("y0"), (x + r).alias("x1"), (y + r).alias("y1"), "ord", "value", x.alias("cx"), y.alias("cy"), (r * r).alias("rr")))
     if not parts:
         return None
     whole = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -52,14 +59,70 @@ def _zones(rects: DataFrame | None, circles: DataFrame | None, tile: float) -> D
     return whole.where(fine).withColumn("level", F.greatest(F.ceil(F.log2(extent / tile)), F.lit(0)).cast("int"))
 
 
+#: Zones that are pruned together, cells of a tile's side that they are compared in, and rounds of it.
+PRUNED, CELLS, ROUNDS = 4096, 8, 6
+
+
+def needed_zones(zones: dict[str, np.ndarray], x: float, y: float, size: float) -> np.ndarray:
+    """Which zones of a tile (its lower corner and size) some place may need: those that reach a cell of the tile in which no winner
+    over them covers all. Of rectangles any may win. Cells are taken a little larger than they are, so that rounding loses none."""
+    edge = np.arange(CELLS + 1) / CELLS * size
+    slack = 1e-9 * (size + abs(x) + abs(y))
+    left, low = (v.ravel() for v in np.meshgrid(x + edge[:-1] - slack, y + edge[:-1] - slack, indexing="ij"))
+    right, high = (v.ravel() for v in np.meshgrid(x + edge[1:] + slack, y + edge[1:] + slack, indexing="ij"))
+    x0, y0, x1, y1, cx, cy, rr = (zones[c][:, None] for c in ("x0", "y0", "x1", "y1", "cx", "cy", "rr"))
+    circle = ~np.isnan(zones["rr"])
+    # The rounded bounds of a circle may fall short of it by as much.
+    reached = (x0 - slack <= right) & (x1 + slack >= left) & (y0 - slack <= high) & (y1 + slack >= low)
+    far = np.maximum(np.abs(left - cx), np.abs(right - cx)) ** 2 + np.maximum(np.abs(low - cy), np.abs(high - cy)) ** 2
+    whole = np.where(circle[:, None], far < rr * (1 - 1e-9), (x0 <= left) & (x1 > right) & (y0 <= low) & (y1 > high))
+    rank = np.where(circle, zones["ord"], np.arange(len(circle)))[:, None]
+    out = np.zeros(len(circle), dtype=bool)
+    for kind in (circle, ~circle):
+        if kind.any():
+            out[kind] = (reached[kind] & (rank[kind] >= np.where(whole[kind], rank[kind], -1).max(axis=0))).any(axis=1)
+    return out
+
+
+def _pruned(tiled: DataFrame, tile: float, crowd: int) -> DataFrame:
+    """Zones by tile, less those in tiles of more than ``crowd`` that can't count for any place there: chunks of a tile's zones are pruned
+    apart, and what is left is pruned together in the next round, for as long as it shrinks."""
+    place, names = ["level", "tx", "ty"], tiled.columns
+
+    def crowded(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+
+    def prune(group: pa.Table) -> pa.Table:
+        size = tile * 2.0 ** group["level"][0].as_py()
+        columns = {c: group[c].to_numpy() for c in ("x0", "y0", "x1", "y1", "cx", "cy", "rr")}
+        columns["ord"] = pc.fill_null(group["ord"], -1).to_numpy()
+        return group.filter(pa.array(needed_zones(columns, group["tx"][0].as_py() * size, group["ty"][0].as_py() * size, size))).select(names)
+
+    full = materialize(crowded(tiled), "crowded")
+    rest, held = tiled.join(full, place, "left_anti"), tiled
+    before = full.agg(F.sum("n")).first()[0] or 0
+    if not before:
+        return tiled
+    for _ in range(ROUNDS):
+        dealt = held.join(full, place).withColumn("chunk", F.pmod(F.xxhash64("x0", "y0", "x1", "y1", "ord"), F.ceil(F.col("n") / PRUNED)).cast("int")).drop("n")
+        held = materialize(dealt.groupBy(*place, "chunk").applyInArrow(prune, tiled.schema), "zones")
+        full = held.groupBy(*place).agg(F.count("*").alias("n"))  # all of it, so that nothing gets lost
+        left, most = full.agg(F.sum("n"), F.max("n")).first()
+        if most <= crowd or left > before * 0.7:
+            break
+        before = left
+    return rest.unionByName(held)
+
+
 def tag_zones_by_tile(points: DataFrame, rects: DataFrame | None = None, circles: DataFrame | None = None, width: int | None = None, height: int | None = None, x: str = "x", y: str = "y", tile: float = 1.0, crowd: int = 512) -> DataFrame:
     """What ``tag_zones`` adds, for zones that are tables: rects (x, y, w, h) and circles (seq, x, y, r, value), of which the one with the
     largest seq wins (of equal ones the larger value).
 
     A zone lies in tiles as large as itself (``tile`` times a power of two), so in four at most; each place is looked up once per size
-    that occurs, among the zones of its tile alone. Places that repeat are looked up once. A tile with more than ``crowd`` zones is split into
-    chunks, each of which meets the tile's places for itself. Rows with a null coordinate are in no zone; zones with null or
-    non-finite numbers hold nothing. Columns beside the coordinates pass through.
+    that occurs, among the zones of its tile alone. Zones of one place and size, and places that repeat, are taken once. In a tile with more than
+    ``crowd`` zones, those that others cover are left out; where more are left, the tile is split into chunks, each of which meets the tile's
+    places for itself. Rows with a null coordinate are in no zone; zones with null or non-finite numbers hold nothing. Columns beside the
+    coordinates pass through. Zones by tile are written to the shared folder.
     """
     out = ["wall", "value", "border", "static"]
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
@@ -67,12 +130,13 @@ def tag_zones_by_tile(points: DataFrame, rects: DataFrame | None = None, circles
     rows = points.drop(*out)
     ax, ay, wall, value = free_names(rows, "ax", "ay", "is_wall", "held")
     if zones is not None:
+        zones = materialize(zones, "zones")
         size = F.lit(tile) * F.pow(F.lit(2.0), F.col("level"))
         (tx0, ty0), (tx1, ty1) = _tiles(size, F.col("x0"), F.col("y0")), _tiles(size, F.col("x1"), F.col("y1"))
-        tiled = zones.withColumn("tx", F.explode(F.sequence(tx0, tx1))).withColumn("ty", F.explode(F.sequence(ty0, ty1)))
         place = ["level", "tx", "ty"]
+        tiled = _pruned(zones.withColumn("tx", F.explode(F.sequence(tx0, tx1))).withColumn("ty", F.explode(F.sequence(ty0, ty1))), tile, crowd)
         crowded = tiled.groupBy(*place).agg(F.ceil(F.count("*") / crowd).cast("int").alias("chunks"))
-        dealt = tiled.join(crowded, place).withColumn("chunk", F.pmod(F.xxhash64("x0", "y0", "x1", "y1", "seq", "value"), F.col("chunks")).cast("int")).drop("chunks")
+        dealt = tiled.join(crowded, place).withColumn("chunk", F.pmod(F.xxhash64("x0", "y0", "x1", "y1", "ord"), F.col("chunks")).cast("int")).drop("chunks")
         levels = sorted(r[0] for r in zones.select("level").distinct().collect())  # sizes that occur, powers of two
         asked = rows.select(px.alias("px"), py.alias("py")).where("px IS NOT NULL AND py IS NOT NULL").distinct().withColumn("level", F.explode(F.array(*(F.lit(v) for v in levels)) if levels else F.array().cast("array<int>")))
         tx, ty = _tiles(size, F.col("px"), F.col("py"))
@@ -80,7 +144,9 @@ def tag_zones_by_tile(points: DataFrame, rects: DataFrame | None = None, circles
         dx, dy = F.col("px") - F.col("cx"), F.col("py") - F.col("cy")
         round_ = F.col("cx").isNotNull()
         inside = F.when(round_, dx * dx + dy * dy < F.col("rr")).otherwise((F.col("px") >= F.col("x0")) & (F.col("px") < F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") < F.col("y1")))
-        found = asked.join(dealt, [*place, "chunk"]).where(inside).groupBy("px", "py").agg(F.bool_or(~round_).alias(wall), F.max_by("value", F.when(round_, F.struct("seq", "value"))).alias(value))
+        # Numbers alone are compared, so that hits are aggregated as they come, without a sort. Tiles are small and their pairs many: either side
+        # is dealt over all tasks, and none is sent to the few that hold the other.
+        found = asked.join(dealt.hint("merge"), [*place, "chunk"]).where(inside).groupBy("px", "py").agg(F.bool_or(~round_).alias(wall), F.max_by("value", "ord").alias(value))
         found = found.withColumnsRenamed({"px": ax, "py": ay})
         rows = rows.join(found, (px == F.col(ax)) & (py == F.col(ay)), "left")
     else:

@@ -87,3 +87,24 @@ def test_gaps_repeats_and_an_empty_table(spark):
     df = spark.createDataFrame([(x,) for x in (0.5, 1.0, 1.5, 2.0, 3.0, 3.5)], "at double")
     assert [r["y"] for r in lookup.interpolate_by_table(df, "at", values).orderBy("at").collect()] == [2.0, 3.0, None, None, 9.0, None]
     assert [r["y"] for r in lookup.interpolate_by_table(df, "at", values.limit(0)).collect()] == [None] * 6
+
+
+def test_tiles_of_many_zones_are_pruned(spark):
+    rng = np.random.default_rng(6)
+    n = 6000
+    rects = np.concatenate([rng.uniform(-1, 1, (n, 2)), rng.uniform(0.5, 1, (n, 2))], axis=1)
+    circles = np.concatenate([rng.integers(0, 500, (n, 1)), rng.uniform(-1, 2, (n, 2)), rng.uniform(0.3, 0.5, (n, 1)), rng.integers(-3, 4, (n, 1))], axis=1)
+    circles = circles[np.lexsort((circles[:, 4], circles[:, 0]))]  # brute force takes the first of equal seqs, and so the larger value last
+    points = rng.uniform(-1.5, 2.5, (400, 2))
+    check(spark, points, rects, circles[::-1], crowd=100)
+    as_table = lambda rows, kind: spark.createDataFrame([tuple(r) for r in rows.tolist()], kind)
+    zones = lookup._zones(as_table(rects, RECT), as_table(circles, CIRCLE.replace("seq long", "seq double")), 1.0)
+    tiled = zones.withColumns({"tx": F.floor("x0").cast("long"), "ty": F.floor("y0").cast("long")}).where("level = 0")
+    assert lookup._pruned(tiled, 1.0, 100).count() * 2 < tiled.count()
+
+
+def test_zones_of_one_place_and_odd_values(spark):
+    circles = spark.createDataFrame([(float(i), 5.0, 5.0, 2.0, float(-i)) for i in range(2000)] + [(None, 5.0, 5.0, 3.0, 7.0), (9e9, 5.0, 5.0, 3.0, None), (1999.0, 5.0, 5.0, 2.0, 4.0)], "seq double, x double, y double, r double, value double")
+    assert lookup._zones(None, circles, 1.0).count() == 1
+    df = spark.createDataFrame([(5.0, 5.0), (5.0, 7.5)], "x double, y double")
+    assert [r["value"] for r in lookup.tag_zones_by_tile(df, circles=circles).orderBy("y").collect()] == [4.0, 0.0]
