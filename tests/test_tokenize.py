@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sedimenta.operators import tokenize
@@ -79,3 +80,14 @@ def test_nulls_empties_and_a_forgetful_task(spark, monkeypatch):
     assert got == [(1, [0, 1]), (2, [0, 1]), (3, [0, 1]), (4, [0, 5, 1]), (4, [0, 5, 5, 3, 1]), (5, [0, 1])]
     assert [r["ids"] for r in tokenize.tokenize(df.where("k = 5"), vocabulary, {}, "k", "t", ends=False).collect()] == [[]]
     assert tokenize.tokenize(df.limit(0), vocabulary, {}, "k", "t").count() == 0
+
+
+def test_a_batch_is_encoded_in_runs(spark, monkeypatch):
+    assert list(tokenize.runs_of(np.array([3, 0, 9, 1, 1, 0, 30, 0]), 10)) == [(0, 2), (2, 4), (4, 6), (6, 7), (7, 8)] and list(tokenize.runs_of(np.array([]), 5)) == []
+    ids, ranks = registry.VOCABULARY, registry.RANKS
+    texts = [(i, " ".join(random.Random(i).choices(["the", "on", "winter", "ring", "a", "é"], k=i % 40)) if i % 7 else None) for i in range(300)]
+    df = spark.createDataFrame(texts, "k long, t string").coalesce(1)
+    want = {r["k"]: r["ids"] for r in tokenize.tokenize(df, ids, ranks, "k", "t").collect()}
+    monkeypatch.setattr(tokenize, "AT_ONCE", 25)
+    monkeypatch.setattr(tokenize, "LONGEST", 3)
+    assert {r["k"]: r["ids"] for r in tokenize.tokenize(df, ids, ranks, "k", "t").collect()} == want and len(want) == 300
