@@ -57,5 +57,7 @@ def read_corpus(spark: SparkSession, root: str, extensions: Iterable[str] = ("tx
     )
     if limit is None:
         return docs
-    good = docs.where("status = 'ok'").orderBy("path").limit(max(limit, 0))
-    return good.unionByName(docs.where("status <> 'ok'"))
+    # Paths alone are ordered, in one task at the end; contents stay where they are read.
+    first = docs.where("status = 'ok'").select("path").orderBy("path").limit(max(limit, 0))
+    wanted = docs.join(F.broadcast(first.withColumn("wanted", F.lit(True))), "path", "left")
+    return wanted.where("status <> 'ok' OR wanted").drop("wanted")

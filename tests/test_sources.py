@@ -135,3 +135,13 @@ def test_scratch_tables_go_with_their_block(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(inside)
     assert spark.read.parquet(before).count() == 3
+
+
+def test_the_first_files_are_chosen_by_their_paths_alone(spark, tmp_path):
+    for i in range(6):
+        (tmp_path / f"{i}.txt").write_bytes(b"\xff" if i == 1 else b"text %d" % i)
+    docs = corpus.read_corpus(spark, str(tmp_path), limit=3)
+    assert sorted((r["path"], r["contents"]) for r in docs.collect()) == [("0.txt", "text 0"), ("1.txt", None), ("2.txt", "text 2"), ("3.txt", "text 3")]
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    ordered = plan[plan.index("Sort [path") :].splitlines()[1]  # what goes to one task
+    assert "Project [path" in ordered and "contents" not in ordered and "content#" not in ordered.split("]")[0]
