@@ -3,6 +3,9 @@
 import datetime as dt
 import time
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sedimenta.operators import runs, scan
@@ -67,3 +70,71 @@ def test_run_results_equal_the_batch_operators(spark, tmp_path):
     for run, w in want.items():
         assert (got[run]["tokens"], got[run]["truncated"], got[run]["output"]) == (w["total_tokens"], w["truncated"], texts.get(run, ""))
         assert (got[run]["last_ts"] - got[run]["first_ts"]).total_seconds() == w["seconds"]
+
+
+class Counted:
+    """A handle that keeps what it is given and counts the calls."""
+
+    def __init__(self):
+        self.calls, self.rows, self.timers = 0, [], []
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return Counted()
+
+    def exists(self):
+        self.calls += 1
+        return bool(self.rows)
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def appendList(self, rows):
+        self.calls += 1
+        self.rows += rows
+
+    def clear(self):
+        self.calls += 1
+        self.rows = []
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class At:
+    def __init__(self, mark):
+        self.mark = mark
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+def test_a_run_asks_its_state_little():
+    handle, run = Counted(), ordered.RunResults(1000)
+    run.init(handle)
+    row = lambda seq, seconds, tool, chunk: Row(seq=seq, micros=int(seconds * 1e6), tool=tool, chunk=chunk)
+    list(run.handleInputRows((1,), iter([row(2, 5, False, "b"), row(1, 3, False, "a"), row(4, 4, True, "")]), None))
+    list(run.handleInputRows((1,), iter([row(3, 5.5, False, ""), row(5, 2, False, "z")]), None))
+    assert handle.calls == 4 and len(handle.rows) == 2 and handle.timers == [6000, 6500]
+    assert list(run.handleExpiredTimer((1,), At(6400), None)) == [] and handle.rows  # the first timer is behind the last row
+    assert list(run.handleExpiredTimer((1,), At(6501), None)) == [Row(run_id=1, tokens=3, first=2_000_000, last=5_500_000, output="ab")]
+    assert list(run.handleExpiredTimer((1,), At(9000), None)) == []
+
+
+def test_waiting_rows_are_packed():
+    handle, throttle = Counted(), ordered.OrderedThrottle(10, 3, 1000)
+    throttle.init(handle)
+    n = 200_000
+    throttle.handleInputRows(("k",), iter([pd.DataFrame({"ts": pd.to_datetime(np.arange(n) * 7, unit="us"), "value": np.arange(n, dtype=float)})]), None)
+    assert len(handle.rows) == 4 and sum(len(a) for a, _ in handle.rows) == 8 * n and handle.calls == 3
