@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sedimenta.functions.vectors import dot, has_non_finite, normalize, sanitize
+from sedimenta.functions.vectors import has_non_finite, normalize, sanitize
 from sedimenta.operators.embed import embed_documents
 from sedimenta.sources.corpus import read_corpus
 from sedimenta.sources.scratch import scratch
@@ -30,25 +30,6 @@ def prepare_queries(queries: DataFrame, embedding: str = "embedding", normalized
     return queries.withColumn(embedding, normalize(embedding) if normalized else sanitize(embedding))
 
 
-def score_pairs(index: DataFrame, queries: DataFrame, key: str = "path", query_id: str = "query_id", embedding: str = "embedding", broadcast_mb: int = 64) -> DataFrame:
-    """(query_id, key, score) of every entry of each query's dimension, by plain columns; entries with non-finite values score 0.
-
-    The pairs are the result; ``topk_search`` makes none. Queries are broadcast if their counted components are within
-    ``broadcast_mb``; otherwise entries are dealt over the shuffle partitions and each query goes to all of them.
-    """
-    q = queries.select(F.col(query_id), F.col(embedding).alias("q"))
-    entries = index.select(F.col(key), F.col(embedding).alias("v"))
-    size = q.agg(F.sum(F.size("q") + 4)).first()[0] or 0
-    if size * 8 <= broadcast_mb << 20:
-        pairs = entries.join(F.broadcast(q), F.size("v") == F.size("q"))
-    else:
-        deals = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        dealt = entries.withColumn("deal", F.pmod(F.xxhash64(key), F.lit(deals)))
-        spread = q.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-        pairs = dealt.join(spread, (F.size("v") == F.size("q")) & (F.col("deal") == F.col("to")))
-    return pairs.select(query_id, key, F.when(has_non_finite("v"), F.lit(0.0)).otherwise(dot("v", "q")).alias("score"))
-
-
 def _vectors(column: pa.ChunkedArray, rows: np.ndarray, length: int) -> np.ndarray:
     """Vectors of ``rows``, all of one length, as a matrix; null components are NaN."""
     flat = column.take(pa.array(rows)).combine_chunks().flatten()
@@ -84,6 +65,10 @@ class _Scorer:
 
     def best(self, held: pa.Table) -> pa.Table:
         """Each query's ``k`` best of the entries, ties to the smaller key."""
+        return pa.concat_tables([self.empty(), *self.tables(held)])
+
+    def tables(self, held: pa.Table) -> list[pa.Table]:
+        """The same, a table per block of queries."""
         out: list[pa.Table] = []
         if self.own.num_rows and held.num_rows:
             held = held.take(pc.sort_indices(held["k"], null_placement="at_start"))
@@ -100,7 +85,7 @@ class _Scorer:
                 entry, ask, score = best_of_columns(scores, self.k)
                 cols = [self.own["k"].take(pa.array(who[ask])), held["k"].take(pa.array(rows[entry])), pa.array(score)]
                 out.append(pa.table([c.cast(t) for c, t in zip(cols, self.types, strict=True)], names=self.names))
-        return pa.concat_tables(out) if out else self.empty()
+        return out
 
     def prune(self, found: list[pa.Table]) -> pa.Table:
         """Of several slices' best the best."""
@@ -112,53 +97,75 @@ class _Scorer:
         return rows.take(order.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < self.k)))
 
 
-def topk_search(index: DataFrame, queries: DataFrame, k: int = 5, key: str = "path", query_id: str = "query_id", embedding: str = "embedding", normalized: bool = True, on_non_finite: str = "sanitize", block: int = QUERY_BLOCK, broadcast_mb: int = 64) -> DataFrame:
-    """(query_id, key, score, rank from 1): each query's ``k`` best entries by dot product, ties to the smaller key.
+def score_pairs(index: DataFrame, queries: DataFrame, key: str = "path", query_id: str = "query_id", embedding: str = "embedding", broadcast_mb: int = 64, k: int | None = None) -> DataFrame:
+    """(query_id, key, score) of every entry of each query's dimension, the vectors taken as they are; entries with non-finite values score 0.
 
-    Queries whose counted bytes are within ``broadcast_mb`` are sent to all tasks, which score the index where it lies, slice by slice with one
-    matrix product each, and pass on their best ``k`` per query: no row of the index is shuffled. More queries are dealt to blocks of about
-    ``block`` and entries to slices of about ``SLICE``, and Spark brings every block together with every slice, so that neither the driver nor
-    a task holds more than one of each. A small window ranks what is passed on. ``k`` of 0 or less gives no rows. Entries of another
-    dimension than the query's don't count; entries with non-finite values score exactly 0.
+    The pairs are the result: as many as entries times queries. With ``k``, those are left out that are behind ``k`` better ones of their query (ties to the
+    smaller key) in their task or slice, so that a ranking of the first ``k`` is given about ``k`` pairs a query and task instead.
     """
-    kind = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
-    spark = index.sparkSession
-    if k <= 0:
-        return spark.createDataFrame([], kind + ", rank int")
-    asked = prepare_queries(queries, embedding, normalized, on_non_finite).select(F.col(query_id).alias("k"), F.coalesce(embedding, F.array().cast("array<double>")).alias("v"))
     entries = index.select(F.col(key).alias("k"), F.col(embedding).alias("v")).where(F.col("v").isNotNull())
-    names = [query_id, key, "score"]
-    types = [to_arrow_type(queries.schema[query_id].dataType), to_arrow_type(index.schema[key].dataType), pa.float64()]
+    asked = queries.select(F.col(query_id).alias("k"), F.col(embedding).alias("v")).where(F.col("v").isNotNull())
+    return _scored(entries, asked, k, [query_id, key, "score"], QUERY_BLOCK, broadcast_mb)
+
+
+def _scored(entries: DataFrame, asked: DataFrame, k: int | None, names: list[str], block: int, broadcast_mb: int) -> DataFrame:
+    """Pairs (by ``names``) of entries and queries, both columns k and v: of each query the best ``k`` in a task or slice, or all."""
+    spark, kinds = entries.sparkSession, [asked.schema["k"].dataType, entries.schema["k"].dataType]
+    kind = f"{names[0]} {kinds[0].simpleString()}, {names[1]} {kinds[1].simpleString()}, score double"
+    types = [*map(to_arrow_type, kinds), pa.float64()]
+    most = SLICE if k is None else k
     number, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("v") * 8 + F.octet_length(F.col("k").cast("string")) + 16), F.lit(0))).first()
     if size <= broadcast_mb << 20:
         sent = spark.sparkContext.broadcast(asked.toArrow())
 
         def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = _Scorer(sent.value, k, names, types)
+            scorer = _Scorer(sent.value, most, names, types)
             found, rows = [scorer.empty()], 0
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE):
-                    found.append(scorer.best(pa.table(batch.slice(at, SLICE))))
-                    rows += found[-1].num_rows
+                    best = scorer.tables(pa.table(batch.slice(at, SLICE)))
+                    if k is None:
+                        yield from (b for one in best for b in one.to_batches(max_chunksize=1 << 16))
+                        continue
+                    found += best
+                    rows += sum(one.num_rows for one in best)
                     if rows > 4 * k * sent.value.num_rows + SLICE:
                         found = [scorer.prune(found)]
                         rows = found[0].num_rows
-            yield from scorer.prune(found).to_batches(max_chunksize=1 << 16)
+            if k is not None:
+                yield from scorer.prune(found).to_batches(max_chunksize=1 << 16)
 
-        return rank_hits(entries.mapInArrow(in_place, kind), k, key, query_id)
+        return entries.mapInArrow(in_place, kind)
 
     blocks, slices = max(1, -(-number // block)), max(1, -(-entries.count() // SLICE))
 
     def best(own: pa.Table, held: pa.Table) -> pa.Table:
-        return _Scorer(own, k, names, types).best(held)
+        return _Scorer(own, k if k is not None else max(1, held.num_rows), names, types).best(held)
 
     def dealt(rows: DataFrame, own: str, parts: int, other: str, copies: int) -> DataFrame:
         part = F.pmod(F.xxhash64("k", "v"), F.lit(parts)).cast("int").alias(own)
         return rows.select("k", "v", part, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias(other)).select("block", "slice", "k", "v")
 
     left, right = dealt(asked, "block", blocks, "slice", slices), dealt(entries, "slice", slices, "block", blocks)
-    found = left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(best, kind)
-    return rank_hits(found, k, key, query_id)
+    return left.groupBy("block", "slice").cogroup(right.groupBy("block", "slice")).applyInArrow(best, kind)
+
+
+def topk_search(index: DataFrame, queries: DataFrame, k: int = 5, key: str = "path", query_id: str = "query_id", embedding: str = "embedding", normalized: bool = True, on_non_finite: str = "sanitize", block: int = QUERY_BLOCK, broadcast_mb: int = 64) -> DataFrame:
+    """(query_id, key, score, rank from 1): each query's ``k`` best entries by dot product, ties to the smaller key.
+
+    Queries whose counted bytes are within ``broadcast_mb`` are sent to all tasks, which score the index where it lies, slice by slice with one
+    matrix product each, and pass on their best ``k`` per query: no row of the index is shuffled. More queries are dealt to blocks of about
+    ``block`` and entries to slices of about ``SLICE``, and Spark brings every block together with every slice, so that neither the driver nor
+    a task holds more than one of each. A small window ranks what is passed on. ``k`` of 0 or less gives no rows. Entries of another
+    dimension than the query's don't count; entries with non-finite values score exactly 0.
+    """
+    spark = index.sparkSession
+    if k <= 0:
+        kind = f"{query_id} {queries.schema[query_id].dataType.simpleString()}, {key} {index.schema[key].dataType.simpleString()}, score double"
+        return spark.createDataFrame([], kind + ", rank int")
+    asked = prepare_queries(queries, embedding, normalized, on_non_finite).select(F.col(query_id).alias("k"), F.coalesce(embedding, F.array().cast("array<double>")).alias("v"))
+    entries = index.select(F.col(key).alias("k"), F.col(embedding).alias("v")).where(F.col("v").isNotNull())
+    return rank_hits(_scored(entries, asked, k, [query_id, key, "score"], block, broadcast_mb), k, key, query_id)
 
 
 def fix_index(index: DataFrame, key: str = "path", embedding: str = "embedding") -> DataFrame:

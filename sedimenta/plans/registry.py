@@ -151,7 +151,7 @@ def t1_topk_search(spark, sf_dir):
 @query(SEARCH)
 def j2_scored_pairs(spark, sf_dir):
     index, queries = _search_inputs(spark, sf_dir)
-    pairs = search.score_pairs(index, search.prepare_queries(queries))
+    pairs = search.score_pairs(index, search.prepare_queries(queries), k=5)
     return search.rank_hits(pairs, 5).withColumn("score", six(F.col("score")))
 
 

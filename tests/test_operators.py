@@ -250,3 +250,16 @@ def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
     assert embed.embed_documents(docs, load).count() == 64
     made = [p.name.split("-")[0] for p in tmp_path.iterdir()]
     assert len(made) == len(set(made)) < 32
+
+
+def test_pairs_that_can_rank(spark, monkeypatch):
+    """Pairs of the first k only are passed on, by one matrix product a slice."""
+    monkeypatch.setattr(search, "SLICE", 50)
+    rng = np.random.default_rng(11)
+    big = spark.createDataFrame([(i, rng.integers(-2, 3, 3 + i % 2).astype(float).tolist()) for i in range(600)], "path long, embedding array<double>").repartition(2)
+    asked = big.where("path % 50 = 0").select(F.col("path").alias("query_id"), "embedding")
+    every = search.score_pairs(big, asked)
+    assert "MapInArrow" in every._jdf.queryExecution().executedPlan().toString() and every.count() == 12 * 300
+    for mb in (64, -1):
+        few = search.score_pairs(big, asked, broadcast_mb=mb, k=3)
+        assert few.count() <= 12 * 3 * (2 if mb > 0 else 12) and hits(search.rank_hits(few, 3)) == hits(search.rank_hits(every, 3))
