@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,6 +87,29 @@ def _bins(edges: list[np.ndarray], numbers: np.ndarray) -> np.ndarray:
     return (mix64(at.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
+#: Words and bins that a fit or a score takes at a time, so that the driver's memory doesn't follow the sample.
+_BLOCK = 1 << 18
+
+
+def _blocks(first: np.ndarray, most: int = _BLOCK) -> list[tuple[int, int]]:
+    """Runs of documents of at most ``most`` words (a longer document is a run of its own); ``first`` has each one's first word, and one more."""
+    out, at = [], 0
+    while at < len(first) - 1:
+        stop = max(at + 1, int(np.searchsorted(first, first[at] + most, side="right")) - 1)
+        out.append((at, stop))
+        at = stop
+    return out
+
+
+def _counted(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different words of several sets, and how many sets hold each."""
+    flat = np.concatenate(sets or [np.empty(0, dtype=np.uint32)])
+    flat.sort()
+    begin = np.flatnonzero(flat[1:] != flat[:-1]) + 1
+    begin = np.concatenate([[0], begin]) if len(flat) else begin
+    return flat[begin], np.diff(np.append(begin, len(flat)))
+
+
 @dataclass
 class ContentView:
     edges: list[np.ndarray]
@@ -97,25 +121,33 @@ class ContentView:
     def fit(cls, sets: list[np.ndarray], numbers: np.ndarray, good: np.ndarray, least_z: float = 4.0, least_docs: int = 5, turns: int = 300, ridge: float = 1e-4) -> ContentView:
         """Logistic regression on the presence of the words and bins that tell good from bad, by Adam steps on all rows."""
         edges = _edges(numbers)
-        sets = [np.concatenate([s, b]) for s, b in zip(sets, _bins(edges, numbers), strict=True)]
+        bins = _bins(edges, numbers)
         n1, n0 = int(good.sum()), int((~good).sum())
-        words, n = np.unique(np.concatenate(sets), return_counts=True)
-        of_good, k = np.unique(np.concatenate([s for s, g in zip(sets, good, strict=True) if g] or [words[:0]]), return_counts=True)
+        words, n = _counted([*sets, bins.ravel()])
+        of_good, k = _counted([*(s for s, g in zip(sets, good, strict=True) if g), bins[good].ravel()])
         in_good = np.zeros(len(words), dtype=np.int64)
         in_good[np.searchsorted(words, of_good)] = k
         p1, p0, p = (in_good + 0.5) / (n1 + 1), (n - in_good + 0.5) / (n0 + 1), (n + 0.5) / (n1 + n0 + 1)
         z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / max(n1, 1) + 1 / max(n0, 1)))
         words = words[(z >= least_z) & (n >= least_docs)]
-        own = [np.searchsorted(words, np.intersect1d(s, words, assume_unique=True)) for s in sets]
-        lens = np.array([len(x) for x in own])
-        at, cut = np.concatenate(own).astype(np.int64) if own else np.empty(0, np.int64), np.concatenate([[0], np.cumsum(lens)])
+        parts = []  # per block its documents, the numbers of their telling words, and each one's first
+        first = np.concatenate([[0], np.cumsum([len(s) + bins.shape[1] for s in sets], dtype=np.int64)])
+        for a, b in _blocks(first) if len(words) else []:
+            flat = np.concatenate([x for pair in zip(sets[a:b], bins[a:b], strict=True) for x in pair])
+            at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+            hit = words[at] == flat
+            parts.append((slice(a, b), at[hit].astype(np.uint32), np.concatenate([[0], np.cumsum(hit)])[first[a : b + 1] - first[a]]))
         w = np.zeros(len(words) + 1)
         w[-1] = np.log((n1 + 1) / (n0 + 1))
         mean, square = np.zeros_like(w), np.zeros_like(w)
         for t in range(1, turns + 1):
-            total = np.concatenate([[0], np.cumsum(w[at])])
-            error = (_expit(total[cut[1:]] - total[cut[:-1]] + w[-1]) - good) / len(good)
-            step = np.append(np.bincount(at, weights=np.repeat(error, lens), minlength=len(words)) + ridge * w[:-1], error.sum())
+            error, step = np.full(len(good), w[-1]), ridge * w
+            for own, at, cut in parts:
+                total = np.concatenate([[0], np.cumsum(w[at])])
+                error[own] += total[cut[1:]] - total[cut[:-1]]
+                error[own] = (_expit(error[own]) - good[own]) / len(good)
+                step[:-1] += np.bincount(at, weights=np.repeat(error[own], np.diff(cut)), minlength=len(words))
+            step[-1] = error.sum() if parts else ((_expit(error) - good) / len(good)).sum()
             mean, square = 0.9 * mean + 0.1 * step, 0.99 * square + 0.01 * step * step
             w -= 0.1 * (1 - t / (turns + 1)) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-9)
         return cls(edges, words, w[:-1], float(w[-1]))
@@ -125,14 +157,15 @@ class ContentView:
         if not len(self.words):
             return out
         bins = _bins(self.edges, v.numbers[:, : len(NUMBERS)])
-        words = np.concatenate([v.words, bins.ravel()])
-        doc = np.concatenate([np.repeat(np.arange(len(out)), np.diff(v.first)), np.repeat(np.arange(len(out)), bins.shape[1])])
-        at = np.searchsorted(self.words, words)
-        at[at == len(self.words)] = 0
-        hit = np.flatnonzero(self.words[at] == words)
-        doc = doc[hit]
-        pair = np.unique(doc * len(self.words) + at[hit])
-        np.add.at(out, pair // len(self.words), self.weights[pair % len(self.words)])
+        for a, b in _blocks(v.first):
+            words = np.concatenate([v.words[v.first[a] : v.first[b]], bins[a:b].ravel()])
+            doc = np.concatenate([np.repeat(np.arange(a, b), np.diff(v.first[a : b + 1])), np.repeat(np.arange(a, b), bins.shape[1])])
+            at = np.searchsorted(self.words, words)
+            at[at == len(self.words)] = 0
+            hit = np.flatnonzero(self.words[at] == words)
+            doc = doc[hit]
+            pair = np.unique(doc * len(self.words) + at[hit])
+            np.add.at(out, pair // len(self.words), self.weights[pair % len(self.words)])
         return out
 
 
@@ -247,9 +280,12 @@ def _looked(batches, names: list[str]):
             yield part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), look(texts, {c: part.column(i).to_pylist() for i, c in enumerate(names) if c in (*CATEGORIES, LENGTH)})
 
 
-def _sample(rows) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    rows = list(rows)
-    return [np.frombuffer(r["words"], dtype="<u4") for r in rows], np.array([r["numbers"] for r in rows]).reshape(-1, len(NUMBERS) + 1), np.array([r["categories"] for r in rows], dtype=np.int64).reshape(-1, len(CATEGORIES)), np.array([r["doc_id"] for r in rows], dtype=np.int64)
+def _sample(table: pa.Table, order: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Word sets, numbers, categories and ids of collected rows, in order; the sets are views of the table's own memory."""
+    rank = np.argsort(table[order].to_numpy(), kind="stable")
+    words = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in table["words"]]
+    flat = lambda c, n, kind: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, n)[rank]
+    return [words[i] for i in rank], flat("numbers", len(NUMBERS) + 1, np.float64), flat("categories", len(CATEGORIES), np.int64), table["doc_id"].to_numpy()[rank]
 
 
 def label_sample(labels: DataFrame, max_fit: int, seed: int) -> dict[int, bool]:
@@ -301,7 +337,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     once = W.partitionBy("doc_id").orderBy("words", F.col("numbers").cast("string"))  # a doc_id that comes again counts once
     chosen = slim.mapInArrow(labelled, _ROW).withColumn("n", F.row_number().over(once)).where("n = 1")
-    sets, numbers, categories, own = _sample(sorted(chosen.collect(), key=lambda r: r["doc_id"]))
+    sets, numbers, categories, own = _sample(chosen.toArrow(), "doc_id")
     good = np.array([known[int(i)] for i in own], dtype=bool)
     if good.all() or not good.any():
         return None
@@ -353,13 +389,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         order = W.partitionBy("kind").orderBy("pick", "doc_id")
         found, wanted = [], dict(enumerate(bounds))
         while wanted:
-            rows = slim.mapInArrow(lambda it, wanted=wanted, run=confident: run(it, wanted), _ROW).withColumn("n", F.row_number().over(order)).where(F.col("n") <= pseudo).collect()
-            counts = Counter(r["kind"] for r in rows)
+            rows = slim.mapInArrow(lambda it, wanted=wanted, run=confident: run(it, wanted), _ROW).withColumn("n", F.row_number().over(order)).where(F.col("n") <= pseudo).toArrow()
+            counts = Counter(rows["kind"].to_pylist())
             short = {k: b for k, b in wanted.items() if counts[k] < pseudo and b < _ALL}
-            found += [r for r in rows if r["kind"] not in short]
+            found.append(rows.filter(pc.invert(pc.is_in(rows["kind"], pa.array(list(short), pa.int32())))))
             wanted = {k: _bound(3 * pseudo / max(counts[k], 1) * (b / _ALL)) for k, b in short.items()}
-        held_to = _proportionate([sum(r["kind"] == k for r in found) for k in range(4)], prior)
-        kinds = [_sample(r for r in found if r["kind"] == k and r["n"] <= held_to[k]) for k in range(4)]
+        found = pa.concat_tables(found)
+        held_to = _proportionate([pc.sum(pc.equal(found["kind"], k)).as_py() or 0 for k in range(4)], prior)
+        kinds = [_sample(found.filter(pc.and_(pc.equal(found["kind"], k), pc.less_equal(found["n"], held_to[k]))), "n") for k in range(4)]
         flag = lambda a, b: np.concatenate([np.ones(len(kinds[a][3]), dtype=bool), np.zeros(len(kinds[b][3]), dtype=bool)])
         for_content = (for_content[0] + kinds[2][0] + kinds[3][0], np.concatenate([for_content[1], kinds[2][1], kinds[3][1]]), np.concatenate([for_content[2], flag(2, 3)]))
         for_page = (np.concatenate([for_page[0], kinds[0][1], kinds[1][1]]), np.concatenate([for_page[1], kinds[0][2], kinds[1][2]]), np.concatenate([for_page[2], flag(0, 1)]))

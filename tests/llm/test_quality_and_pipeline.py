@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -43,6 +44,27 @@ def test_held_out_accuracy(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.05
 
 
+def test_memory_of_the_fit_stays_near_that_of_its_sample():
+    """The driver fits and scores by blocks: what it takes beside the sample doesn't follow the number of telling words."""
+    rng = np.random.default_rng(3)
+    good = rng.random(6000) < 0.6
+    words = np.sort(rng.integers(0, 1 << 32, 1500, dtype=np.uint32))
+    sets = [np.sort(np.concatenate([rng.choice(words[:750], 500 if g else 100, replace=False), rng.choice(words[750:], 100 if g else 500, replace=False)])) for g in good]
+    first, numbers = np.concatenate([[0], np.cumsum([len(s) for s in sets])]), rng.random((6000, len(quality.NUMBERS) + 1))
+    views = quality.Views(np.concatenate(sets), first, numbers, np.zeros((6000, 2), dtype=np.int64))
+    tracemalloc.start()
+    try:
+        view = quality.ContentView.fit(sets, numbers[:, :-1], good, turns=20)
+        fitted = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        score = view.score(views)
+        scored = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(view.words) > 1000 and ((score > 0) == good).mean() > 0.99
+    assert fitted < 4 * views.words.nbytes and scored < 3 * views.words.nbytes
+
+
 def test_pseudo_labels_are_searched_until_found(spark, monkeypatch):
     """Labels half bad, a corpus with few bad documents: the wanted pseudo-labels of every kind are found all the same."""
     docs, labels = corpus(2400, 7)
