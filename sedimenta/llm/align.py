@@ -1,11 +1,11 @@
 """Alignment of two tokenizers over the same text, and how often their ids end together in a corpus.
 
-Both tokenizers give spans: ``tokenizers`` character offsets, sentencepiece the byte spans of its proto. Where a span of each ends at the same place,
+Both tokenizers give spans: ``tokenizers`` character offsets, sentencepiece byte offsets. Where a span of each ends at the same place,
 a coarse cut falls. A cell between two such cuts that is ASCII is a group as it stands. Other cells are refined by the tokens'
 decoded bytes, since spans lie inside characters: a character's tokens share its offsets, and byte-fallback tokens have empty spans but for the last.
 
 A text is cut before each single space and line feed, where both tokenizers start anew (byte-level pre-tokenization, and pieces that hold no space behind
-another letter), so that a worker aligns a word once and remembers it. Texts with two white-space characters in a row, or one at an end, are
+another letter), so that a worker aligns a word once and remembers it. New words are encoded and aligned many at a time. Texts with two white-space characters in a row, or one at an end, are
 aligned whole. An id pair that ends together has bytes of which one is a suffix of the other, so the vocabularies bound the number
 of different pairs (half a million for the usual ones): the table of counts is broadcast, whatever the corpus.
 """
@@ -16,13 +16,13 @@ import hashlib
 import json
 import os
 import re
-from array import array
 from collections import ChainMap
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +42,32 @@ Aligned = tuple[int, int, bytes, bytes]
 NONE: Aligned = (0, 0, b"", b"")
 
 
+#: Letters of the texts that are aligned side by side; a longer one is by itself.
+_SIDE = 1 << 13
+
+
+def _portions(wholes: list[str], fresh: list[bool]) -> list[tuple[int, int]]:
+    out, first, size = [], 0, 0
+    for i, w in enumerate(wholes):
+        if size and (size + len(w) > _SIDE or fresh[i] != fresh[first]):
+            out.append((first, i))
+            first, size = i, 0
+        size += len(w)
+    return [*out, (first, len(wholes))] if wholes else out
+
+
+def _last(ends: np.ndarray) -> np.ndarray:
+    """Numbers of the tokens that are the last ones of their end; ends don't descend."""
+    return np.flatnonzero(np.append(ends[1:] != ends[:-1], True)[: len(ends)])
+
+
+def _decoded_ends(lengths: np.ndarray, n: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Ends of tokens by their decoded bytes: ``n`` tokens of each text, which begins at ``begin``."""
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    first = np.cumsum(n) - n
+    return total[1:] + np.repeat(begin - total[first], n)
+
+
 class Aligner:
     """Tokenizes texts with a byte-level BPE file (on a space and the text) and a sentencepiece model (on the text), and aligns the tokens."""
 
@@ -59,14 +85,15 @@ class Aligner:
             self.first_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         n = self.second.piece_size()
         pieces = [self.second.id_to_piece(i) for i in range(n)]
-        self.fallback = [self.second.is_byte(i) for i in range(n)]
+        self.fallback = np.array([self.second.is_byte(i) for i in range(n)])
         self.second_bytes = [bytes([int(p[3:5], 16)]) if f else p.replace("\u2581", " ").encode() for p, f in zip(pieces, self.fallback, strict=True)]
+        self.length_a, self.length_b = (np.array([len(x) for x in own], dtype=np.int64) for own in (self.first_bytes, self.second_bytes))
         if n > 1 << _LOW or len(self.first_bytes) > 1 << (31 - _LOW):
             raise ValueError("vocabularies are too large for link codes of 31 bits")
         # No piece crosses a space, holds a line feed, or has a full stop or comma behind a letter.
         self.apart = not any("\n" in p or "\u2581" in p.lstrip("\u2581") for p in pieces)
         self.stopped = not any(a.isalpha() and b in _STOPS for p in pieces for a, b in zip(p, p[1:], strict=False))
-        self.names = [str(i) for i in range(max(n, len(self.first_bytes)))]
+        self.names = pa.array([str(i) for i in range(max(n, len(self.first_bytes)))])
         self.young: dict[str, Aligned] = {}
         self.old: dict[str, Aligned] = {}
         self.stops = {c: self._continued(c) for c in _STOPS}
@@ -86,43 +113,83 @@ class Aligner:
         return self._align([f" {text}"], [text], [True])[0]
 
     def _align(self, wholes: list[str], texts: list[str], fresh: list[bool]) -> list[Aligned]:
-        first, second = self.first.encode_batch(wholes, add_special_tokens=False), self.second.encode(texts, return_type="proto", num_threads=1)
-        return [self._one(whole, a.ids, a.offsets, list(b.pieces), f) for whole, a, b, f in zip(wholes, first, second, fresh, strict=True)]
-
-    def _one(self, whole: str, ids_a: list[int], offsets: list[tuple[int, int]], pieces: list, fresh: bool) -> Aligned:
-        if not fresh:
-            pieces = pieces[1:]  # the space that the model puts in front
-        raw, names, fallback = whole.encode(), self.names, self.fallback
-        spans = [(p.id, p.begin, p.end) for p in pieces]
-        ids_b = [p[0] for p in spans]
-        if b"".join([self.first_bytes[i] for i in ids_a]) != raw or b"".join([self.second_bytes[i] for i in ids_b]) != raw:
-            return NONE
-        # Ends of spans, in bytes of the whole.
-        ends_a = [e for _, e in offsets]
-        plain = len(raw) == len(whole)
-        if not plain:
-            place = [0, *accumulate(len(c.encode()) for c in whole)]
-            ends_a = [place[e] for e in ends_a]
+        out: list[Aligned] = []
+        for a, z in _portions(wholes, fresh):
+            out += (self._joined(wholes[a:z]) if fresh[a] and z > a + 1 else None) or self._apart(wholes[a:z], fresh[a:z])
+        return out
+
+    def _joined(self, wholes: list[str]) -> list[Aligned] | None:
+        """Align words, each with a space in front, that are encoded as one text; None if its bytes differ or a word's end isn't a token's."""
+        whole = "".join(wholes)
+        buf, begin = whole.encode(), np.cumsum([0, *(len(w.encode()) for w in wholes)], dtype=np.int64)
+        a, b = self.first.encode(whole, add_special_tokens=False), self.second.encode(buf[1:], return_type="offset_mapping")
+        ids, spans = a.ids, b["offsets"]
+        if not b"".join([self.first_bytes[x] for x in ids]) == buf == b"".join([self.second_bytes[x] for x in b["ids"]]):
+            return None
+        flat_a, flat_b = np.array(ids, dtype=np.int64), np.array(b["ids"], dtype=np.int64)
+        counts = []
+        for ends in (np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b])):
+            last = np.searchsorted(ends, begin[1:])
+            if (ends[last] != begin[1:]).any():
+                return None
+            counts.append(np.diff(last, prepend=-1))
+        buf = np.frombuffer(buf, dtype=np.uint8)
+        letters = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
+        ends_a = letters[np.fromiter((e for _, e in a.offsets), dtype=np.int64, count=len(flat_a))]
+        spans = np.fromiter(chain.from_iterable(spans), dtype=np.int64, count=2 * len(flat_b)).reshape(-1, 2)
+        return self._cells(buf, begin, flat_a, counts[0], ends_a, flat_b, counts[1], spans, spans[:, 1] + 1)
+
+    def _apart(self, wholes: list[str], fresh: list[bool]) -> list[Aligned]:
+        """Align texts that are encoded one by one; those whose bytes differ have no tokens."""
+        raws = [w.encode() for w in wholes]
+        first = self.first.encode_batch(wholes, add_special_tokens=False)
+        second = self.second.encode([r[f:] for r, f in zip(raws, fresh, strict=True)], return_type="offset_mapping", num_threads=1)  # bytes in, bytes out
+        ids_a = [x.ids for x in first]
+        ids_b = [x["ids"] if f else x["ids"][1:] for x, f in zip(second, fresh, strict=True)]  # less the space that the model puts in front
+        good = [i for i, raw in enumerate(raws) if b"".join([self.first_bytes[x] for x in ids_a[i]]) == raw == b"".join([self.second_bytes[x] for x in ids_b[i]])]
+        out = [NONE] * len(wholes)
+        if not good:
+            return out
+        buf = np.frombuffer(b"\n".join([raws[i] for i in good]), dtype=np.uint8)  # the gaps keep ends and beginnings apart
+        begin = np.cumsum([0, *(len(raws[i]) + 1 for i in good)], dtype=np.int64)
+        n_a, n_b = (np.array([len(ids[i]) for i in good], dtype=np.int64) for ids in (ids_a, ids_b))
+        flat_a, flat_b = (np.fromiter(chain.from_iterable([ids[i] for i in good]), dtype=np.int64, count=int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        ends_a = np.fromiter((e for i in good for _, e in first[i].offsets), dtype=np.int64, count=len(flat_a))
+        letters = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
+        ends_a = letters[np.searchsorted(letters, np.repeat(begin[:-1], n_a)) + ends_a]
+        spans = chain.from_iterable([second[i]["offsets"] if fresh[i] else second[i]["offsets"][1:] for i in good])
+        spans = np.fromiter(chain.from_iterable(spans), dtype=np.int64, count=2 * len(flat_b)).reshape(-1, 2)
+        ends_b = np.repeat(begin[:-1] + np.array([int(fresh[i]) for i in good]), n_b) + spans[:, 1]
+        for i, found in zip(good, self._cells(buf, begin, flat_a, n_a, ends_a, flat_b, n_b, spans, ends_b), strict=True):
+            out[i] = found
+        return out
+
+    def _cells(self, buf: np.ndarray, begin: np.ndarray, flat_a: np.ndarray, n_a: np.ndarray, ends_a: np.ndarray, flat_b: np.ndarray, n_b: np.ndarray, spans: np.ndarray, ends_b: np.ndarray) -> list[Aligned]:
+        """Align texts that lie side by side in ``buf``, the texts' starts (and one more) being ``begin``, by the ends of all their tokens' spans."""
         # Tokens of a character share its end, and the last of them counts. A byte-fallback token with an empty span is part of the character behind.
-        last_a = dict(zip(ends_a, range(1, len(ends_a) + 1), strict=True))
-        last_b = {e + fresh: k for k, (i, b, e) in enumerate(spans, 1) if b < e or not fallback[i]}
-        groups, links, i, j, start = [], [], 0, 0, 0
-        for end, to_a in last_a.items():  # ends ascend
-            to_b = last_b.get(end)
-            if to_b is None:
-                continue
-            cells = ((to_a, to_b),) if plain or raw[start:end].isascii() else self._refine(ids_a[i:to_a], ids_b[j:to_b], i, j)
-            for p, q in cells:
-                groups.append(f"{','.join([names[x] for x in ids_a[i:p]])}|{','.join([names[x] for x in ids_b[j:q]])}")
-                links.append(ids_a[p - 1] << _LOW | ids_b[q - 1])
-                i, j = p, q
-            start = end
-        return len(ids_a), len(ids_b), array("i", links).tobytes(), ";".join(groups).encode()
-
-    def _refine(self, ids_a: list[int], ids_b: list[int], i: int, j: int) -> list[tuple[int, int]]:
-        """Numbers of tokens of both, from the text's start, up to each common end of their decoded bytes in a cell."""
-        at = dict(zip(accumulate(len(self.first_bytes[x]) for x in ids_a), range(i + 1, i + 1 + len(ids_a)), strict=True))
-        return [(at[e], q) for q, e in enumerate(accumulate(len(self.second_bytes[x]) for x in ids_b), j + 1) if e in at]
+        counts_b = np.flatnonzero((spans[:, 0] < spans[:, 1]) | ~self.fallback[flat_b])
+        last_a, last_b = _last(ends_a), counts_b[_last(ends_b[counts_b])]
+        coarse, at_a, at_b = np.intersect1d(ends_a[last_a], ends_b[last_b], assume_unique=True, return_indices=True)
+        # Cells that aren't ASCII are refined by the decoded bytes; a coarse cut is the end of its cell.
+        odd = np.concatenate([[0], np.cumsum(buf >= 0x80)])
+        text = np.searchsorted(begin, coarse, side="left") - 1
+        refined = odd[coarse] > odd[np.maximum(begin[text], np.concatenate([[0], coarse[:-1]]))]
+        cut_a, cut_b = last_a[at_a[~refined]], last_b[at_b[~refined]]
+        if refined.any():
+            deep_a, deep_b = _decoded_ends(self.length_a[flat_a], n_a, begin[:-1]), _decoded_ends(self.length_b[flat_b], n_b, begin[:-1])
+            deep, in_a, in_b = np.intersect1d(deep_a, deep_b, assume_unique=True, return_indices=True)
+            own = np.searchsorted(coarse, deep, side="left")
+            inside = (own < len(coarse)) & refined[np.minimum(own, len(coarse) - 1)]
+            cut_a, cut_b = np.concatenate([cut_a, in_a[inside]]), np.concatenate([cut_b, in_b[inside]])
+            order = np.argsort(cut_a)
+            cut_a, cut_b = cut_a[order], cut_b[order]
+
+        links = (flat_a[cut_a] << _LOW | flat_b[cut_b]).astype("<i4").tobytes()
+        sides = [pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, cut + 1).astype(np.int32)), self.names.take(pa.array(flat))), ",") for cut, flat in ((cut_a, flat_a), (cut_b, flat_b))]
+        cells = np.searchsorted(cut_a, np.append(0, np.cumsum(n_a)))
+        groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(cells.astype(np.int32)), pc.binary_join_element_wise(*sides, "|")), ";").cast(pa.binary()).to_pylist()
+        where = (4 * cells).tolist()
+        return [(own_a, own_b, links[a:z], g) for own_a, own_b, a, z, g in zip(n_a.tolist(), n_b.tolist(), where, where[1:], groups, strict=False)]
 
     def _learn(self, new: set[str]) -> None:
         """Bring words into the young generation."""
@@ -134,7 +201,7 @@ class Aligner:
         bare = {w[:-1] for w in ended}
         for w in bare & old.keys():
             young[w] = old[w]
-        fresh = list((new - ended) | (bare - young.keys()))
+        fresh = sorted((new - ended) | (bare - young.keys()), key=lambda w: w[:1] == "\n")
         young.update(zip(fresh, self.align(fresh), strict=True))
         for w in ended:
             a, b = young[w[:-1]], self.stops[w[-1]]

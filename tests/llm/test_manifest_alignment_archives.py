@@ -177,6 +177,29 @@ def test_alignment_of_documents(spark, aligner):
     check_alignment(spark, aligner, [r["text"] for r in queries.table(spark, TINY, "documents").orderBy("doc_id").collect()])
 
 
+def test_alignment_encodes_words_together(aligner):
+    """New words are encoded many at a time; one without tokens (its bytes change) leaves its neighbours as they are."""
+    words = [f"{a}{b}{c}" for a in ("wo", "Tä", "漢") for b in ("ro", "пр", "x-") for c in range(300)]
+    want = [aligner.whole(w) for w in words]
+
+    class Counted:
+        texts = 0
+
+        def encode(self, text, **how):
+            self.texts += 1
+            return aligner.first.encode(text, **how)
+
+        def encode_batch(self, texts, **how):
+            self.texts += len(texts)
+            return aligner.first.encode_batch(texts, **how)
+
+    small = align.Aligner(queries.tokenizer_path(), queries.tokenizer_path("piece_bpe_32k.model"))
+    small.first = Counted()
+    assert small.align(words) == want and small.first.texts < 20
+    odd = [*words[:50], "a\u2581b", *words[50:]]
+    assert small.align(odd) == [*want[:50], align.NONE, *want[50:]]
+
+
 def test_alignment_remembers_within_bounds(aligner, monkeypatch):
     texts = [f"word{i}, and again word{i}.\nNext" for i in range(300)]
     want = aligner(texts)
