@@ -84,6 +84,7 @@ def first_minimum(values: np.ndarray, window: int) -> np.ndarray:
 # A row carries one bucket's part of a task's entries as arrays in a binary column. Documents are named by doc (their
 # id as a long, null as the largest) and print (a fingerprint of the text, which tells rows of one id apart). A place stands for the
 # starts of strings at, at + 1, ..., n of them, whose trigger is off behind the first; count such places lie end to end.
+# Where all ids differ, print is 0: the names of documents are as many as entries when buckets are many.
 
 _SPOT = [("at", "<u4"), ("count", "<u2"), ("n", "u1"), ("off", "u1")]
 _FOUND_SPOT = np.dtype(_SPOT)
@@ -152,16 +153,34 @@ def row_of(head: np.ndarray) -> np.ndarray:
     return np.cumsum(head) - 1
 
 
+#: Blobs are compressed before Spark sees them: it takes a field's bytes for a mixture.
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(len(a).to_bytes(8, "little") + a.tobytes() for a in arrays)
+    """Arrays by fields, and each field by its bytes (all first ones, all second ones, ...), compressed."""
+    out = []
+    for a in arrays:
+        out.append(len(a).to_bytes(8, "little"))
+        for field in [a[c] for c in a.dtype.names] if a.dtype.names else [a]:
+            out.append(np.ascontiguousarray(field).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"")
+    raw = b"".join(out)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
 
 
 def _unpack(raw: bytes, *kinds) -> list[np.ndarray]:
     out, at = [], 0
+    raw = _CODEC.decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True)
     for k in map(np.dtype, kinds):
-        n = int.from_bytes(raw[at : at + 8], "little")
-        out.append(np.frombuffer(raw, dtype=k, count=n, offset=at + 8))
-        at += 8 + n * k.itemsize
+        n, a = int.from_bytes(raw[at : at + 8], "little"), at + 8
+        whole = np.empty(n, dtype=k)
+        for c in k.names or [None]:
+            field, width = (whole[c], k[c].itemsize) if c else (whole, k.itemsize)
+            planes = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=a).reshape(width, n)
+            field[...] = np.ascontiguousarray(planes.T).view(field.dtype).ravel()
+            a += n * width
+        out.append(whole)
+        at = a
     return out
 
 
@@ -196,13 +215,15 @@ def _places(rows: np.ndarray, kind: np.dtype = _PLACE) -> np.ndarray:
 
 
 def _dealt(names: np.ndarray, rows: np.ndarray, bucket: np.ndarray, kind: int, dtype: np.dtype = _PLACE, more=None) -> list[tuple[int, int, bytes]]:
-    """A blob for each bucket: the documents' names, the rows with their numbers among these, and what ``more`` adds for the rows."""
+    """A blob for each bucket: the documents' names, the rows by document and place with the steps of their numbers among
+    these, and what ``more`` adds for the rows."""
     out = []
     for b, own in _deal(bucket):
+        own = own[np.argsort(rows["row"][own].astype(np.uint64) << np.uint64(32) | rows["at"][own], kind="stable")]
         used, back = np.unique(rows["row"][own], return_inverse=True)
         part = _places(rows[own], dtype)
-        part["row"] = back
-        out.append((b, kind, _pack(names[used].ravel(), part, *([more(own)] if more else []))))
+        part["row"] = np.diff(back, prepend=0)
+        out.append((b, kind, _pack(names[used].T.ravel(), part, *([more(own)] if more else []))))
     return out
 
 
@@ -267,10 +288,9 @@ def _join_blobs(blobs, kind: np.dtype, *more) -> tuple[np.ndarray, ...]:
     names, rows, rest, seen = [], [], [], 0
     for raw in blobs:
         n, r, *x = _unpack(raw, "<i8", kind, *more)
-        r = r.copy()
-        r["row"] += seen
+        r["row"] = np.cumsum(r["row"], dtype=np.int64) + seen
         seen += len(n) // 2
-        names.append(n.reshape(-1, 2))
+        names.append(n.reshape(2, -1).T)
         rows.append(r)
         rest.append(x)
     return (np.concatenate(names), np.concatenate(rows), *(np.concatenate(x) for x in zip(*rest, strict=True)))
@@ -531,7 +551,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other; a null doc_id counts as larger than any other. Texts of any length are parsed whole, one at a time. Other columns take
     no part. An empty table gives no rows.
     """
-    raw = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("doc"), F.xxhash64(utf8(text)).alias("print"), utf8(text).alias("raw"))
+    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE))
+    differ = docs.groupBy(doc.alias("doc")).count().where("count > 1").isEmpty()
+    mark = F.pmod(doc, F.lit(1).cast("long")) if differ else F.xxhash64(utf8(text))  # 0, but no literal, which would drop out of the joins' keys
+    raw = docs.select(doc.alias("doc"), mark.alias("print"), utf8(text).alias("raw"))
     size = raw.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     buckets = parts = max(shuffle_partitions(docs.sparkSession), -(-size // _BUCKET))
     homed = raw.repartition(parts, "doc", "print")

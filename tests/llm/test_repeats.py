@@ -133,3 +133,17 @@ def test_query(spark):
     want = {d: (n, sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept).hexdigest()) for d, n, runs, kept in brute([(r["doc_id"], r["text"].encode()) for r in spark.read.parquet(f"{data}/documents.parquet").collect()])}
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries.op7_prefix_free_dedup(spark, data).collect()}
     assert got == want
+
+
+def test_entries_take_less_room_than_their_text():
+    """What a task deals out of texts without repeats, over many buckets; documents come back in any order, with their places."""
+    rng = random.Random(8)
+    texts = [bytes(rng.choices(range(97, 123), k=rng.randint(0, 4000))) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000, 1200), pa.int64()), pa.array([0] * 200, pa.int64()), pa.array(texts, pa.binary())], names=["doc", "print", "raw"])
+    dealt = pa.Table.from_batches(repeats._parse_rows([batch], 50, 20, 16))
+    assert sum(len(x) for x in dealt["blob"].to_pylist()) < sum(map(len, texts))
+    got = set()
+    for blob in dealt["blob"].to_pylist():
+        names, rows = repeats._join_blobs([blob], repeats._ENTRY)
+        got |= {(int(names[r["row"], 0]), at) for r in rows for at in range(int(r["at"]), int(r["at"]) + int(r["n"]) * int(r["count"]))}
+    assert got == {(1000 + i, at) for i, t in enumerate(texts) for at in range(len(t) - 49)}
