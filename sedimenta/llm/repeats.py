@@ -553,7 +553,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE))
     differ = docs.groupBy(doc.alias("doc")).count().where("count > 1").isEmpty()
-    mark = F.pmod(doc, F.lit(1).cast("long")) if differ else F.xxhash64(utf8(text))  # 0, but no literal, which would drop out of the joins' keys
+    # 0, but no literal, which would drop out of the joins' keys, and never null, so that both joins share one exchange of the texts.
+    mark = F.coalesce(F.pmod(doc, F.lit(1).cast("long")), F.lit(0).cast("long")) if differ else F.xxhash64(utf8(text))
     raw = docs.select(doc.alias("doc"), mark.alias("print"), utf8(text).alias("raw"))
     size = raw.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     buckets = parts = max(shuffle_partitions(docs.sparkSession), -(-size // _BUCKET))
