@@ -5,8 +5,9 @@ a coarse cut falls. A cell between two such cuts that is ASCII is a group as it
 decoded bytes, since spans lie inside characters: a character's tokens share its offsets, and byte-fallback tokens have empty spans but for the last.
 
 A text is cut before each single space and line feed, where both tokenizers start anew (byte-level pre-tokenization, and pieces that hold no space behind
-another letter), so that a worker aligns a word once and remembers it. New words are encoded and aligned many at a time. Texts with two white-space characters in a row, or one at an end, are
-aligned whole. An id pair that ends together has bytes of which one is a suffix of the other, so the vocabularies bound the number
+another letter), and before a full stop or comma that ends a word, so that a worker aligns a word once and remembers it. Arrow cuts the texts of a batch and
+tells their different words, new ones are encoded and aligned many at a time, and the texts' links and groups are gathered from the words' own. Texts with two
+white-space characters in a row, or one at an end, are aligned whole. An id pair that ends together has bytes of which one is a suffix of the other, so the vocabularies bound the number
 of different pairs (half a million for the usual ones): the table of counts is broadcast, whatever the corpus.
 """
 
@@ -16,7 +17,6 @@ import hashlib
 import json
 import os
 import re
-from collections import ChainMap
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,29 +27,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sedimenta.llm.packing import byte_letters
+from sedimenta.llm.packing import byte_letters, quick_encoder
 from sedimenta.llm.support import materialize, text_chunks
 
 #: Words in one generation of a worker's memory, and letters of the longest of them.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 100_000, 64
 #: Bits of a link's code that hold the second tokenizer's id.
 _LOW = 15
-_ODD = re.compile(r"\s\s|^\s|\s$")
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+#: Patterns of Arrow's: texts that are aligned whole, and a full stop or comma behind a Latin letter at a word's end.
+_ODD = f"[{_SPACES}][{_SPACES}]|^[{_SPACES}]|[{_SPACES}]$"
+_ENDED = f"([{''.join(c for c in map(chr, range(0x250)) if c.isalpha())}])([.,])( |$)"
 _STOPS = (".", ",")
+#: In front of a stop that was cut off: no word has two line feeds.
+_CUT = "\n\n"
+#: Letters whose class is the same in every version of Unicode.
+_SETTLED = re.compile("[\x00-\u024f\u2010-\u2027]*")
 
 #: Numbers of tokens of both, link codes as little-endian 32-bit words, groups as text. Without tokens: ``NONE``.
 Aligned = tuple[int, int, bytes, bytes]
 NONE: Aligned = (0, 0, b"", b"")
+_SCHEMA = pa.schema({"n_a": pa.int64(), "n_b": pa.int64(), "links": pa.list_(pa.int32()), "groups": pa.large_binary()})
 
 
 #: Letters of the texts that are aligned side by side; a longer one is by itself.
-_SIDE = 1 << 13
+_SIDE = 1 << 14
 
 
 def _portions(wholes: list[str], fresh: list[bool]) -> list[tuple[int, int]]:
+    """Cut before texts with a space in front, if those before aren't very long."""
     out, first, size = [], 0, 0
     for i, w in enumerate(wholes):
-        if size and (size + len(w) > _SIDE or fresh[i] != fresh[first]):
+        if size and size + len(w) > _SIDE and (fresh[i] or size + len(w) > 2 * _SIDE):
             out.append((first, i))
             first, size = i, 0
         size += len(w)
@@ -61,6 +70,23 @@ def _last(ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(ends[1:] != ends[:-1], True)[: len(ends)])
 
 
+def _batch(rows: list[Aligned]) -> pa.RecordBatch:
+    n_a, n_b, links, groups = zip(*rows, strict=True) if rows else ((),) * 4
+    edges = np.cumsum([0, *map(len, links)]) // 4
+    lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.frombuffer(b"".join(links), dtype="<i4"), pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), lists, pa.array(groups, pa.large_binary())], schema=_SCHEMA)
+
+
+def _totals(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sums between edges."""
+    return np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[edges])
+
+
+def _same(buf: bytes, ids: np.ndarray, entries: pa.Array) -> bool:
+    """Whether the entries of the ids make up the bytes."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), entries.take(pa.array(ids))), b"")[0].as_py() == buf
+
+
 def _decoded_ends(lengths: np.ndarray, n: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Ends of tokens by their decoded bytes: ``n`` tokens of each text, which begins at ``begin``."""
     total = np.concatenate([[0], np.cumsum(lengths)])
@@ -79,6 +105,7 @@ class Aligner:
         self.first = Tokenizer.from_file(byte_bpe)
         self.first.encode_special_tokens = True  # their strings in a text are ordinary text
         self.second = sentencepiece.SentencePieceProcessor(model_file=piece_model)
+        self.quick = quick_encoder(self.first) if all(t["special"] for t in json.loads(self.first.to_str())["added_tokens"]) else None
         letters, vocabulary = byte_letters(), json.loads(self.first.to_str())["model"]["vocab"]
         self.first_bytes: list[bytes] = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
@@ -87,6 +114,7 @@ class Aligner:
         pieces = [self.second.id_to_piece(i) for i in range(n)]
         self.fallback = np.array([self.second.is_byte(i) for i in range(n)])
         self.second_bytes = [bytes([int(p[3:5], 16)]) if f else p.replace("\u2581", " ").encode() for p, f in zip(pieces, self.fallback, strict=True)]
+        self.entries_a, self.entries_b = pa.array(self.first_bytes, pa.binary()), pa.array(self.second_bytes, pa.binary())
         self.length_a, self.length_b = (np.array([len(x) for x in own], dtype=np.int64) for own in (self.first_bytes, self.second_bytes))
         if n > 1 << _LOW or len(self.first_bytes) > 1 << (31 - _LOW):
             raise ValueError("vocabularies are too large for link codes of 31 bits")
@@ -96,7 +124,7 @@ class Aligner:
         self.names = pa.array([str(i) for i in range(max(n, len(self.first_bytes)))])
         self.young: dict[str, Aligned] = {}
         self.old: dict[str, Aligned] = {}
-        self.stops = {c: self._continued(c) for c in _STOPS}
+        self.stops = {_CUT + c: self._continued(c) for c in _STOPS}
 
     def _continued(self, stop: str) -> Aligned:
         """A stop behind a letter, less the letter."""
@@ -121,21 +149,23 @@ class Aligner:
     def _joined(self, wholes: list[str]) -> list[Aligned] | None:
         """Align words, each with a space in front, that are encoded as one text; None if its bytes differ or a word's end isn't a token's."""
         whole = "".join(wholes)
-        buf, begin = whole.encode(), np.cumsum([0, *(len(w.encode()) for w in wholes)], dtype=np.int64)
-        a, b = self.first.encode(whole, add_special_tokens=False), self.second.encode(buf[1:], return_type="offset_mapping")
-        ids, spans = a.ids, b["offsets"]
-        if not b"".join([self.first_bytes[x] for x in ids]) == buf == b"".join([self.second_bytes[x] for x in b["ids"]]):
+        raw = whole.encode()
+        lengths = [len(w) for w in wholes] if len(raw) == len(whole) else [len(w.encode()) for w in wholes]
+        begin, buf = np.cumsum([0, *lengths], dtype=np.int64), np.frombuffer(raw, dtype=np.uint8)
+        letters = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
+        a = None if self.quick and _SETTLED.fullmatch(whole) else self.first.encode(whole, add_special_tokens=False)
+        b = self.second.encode(raw[1:], return_type="offset_mapping")
+        flat_a, flat_b, spans = np.array(a.ids if a else self.quick(whole), dtype=np.int64), np.array(b["ids"], dtype=np.int64), b["offsets"]
+        if not (_same(raw, flat_a, self.entries_a) and _same(raw, flat_b, self.entries_b)):
             return None
-        flat_a, flat_b = np.array(ids, dtype=np.int64), np.array(b["ids"], dtype=np.int64)
-        counts = []
-        for ends in (np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b])):
+        decoded, counts = [np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b])], []
+        for ends in decoded:
             last = np.searchsorted(ends, begin[1:])
             if (ends[last] != begin[1:]).any():
                 return None
             counts.append(np.diff(last, prepend=-1))
-        buf = np.frombuffer(buf, dtype=np.uint8)
-        letters = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
-        ends_a = letters[np.fromiter((e for _, e in a.offsets), dtype=np.int64, count=len(flat_a))]
+        # Character offsets end with the character that holds a token's last byte.
+        ends_a = letters[np.fromiter((e for _, e in a.offsets), dtype=np.int64, count=len(flat_a)) if a else np.searchsorted(letters, decoded[0])]
         spans = np.fromiter(chain.from_iterable(spans), dtype=np.int64, count=2 * len(flat_b)).reshape(-1, 2)
         return self._cells(buf, begin, flat_a, counts[0], ends_a, flat_b, counts[1], spans, spans[:, 1] + 1)
 
@@ -191,41 +221,62 @@ class Aligner:
         where = (4 * cells).tolist()
         return [(own_a, own_b, links[a:z], g) for own_a, own_b, a, z, g in zip(n_a.tolist(), n_b.tolist(), where, where[1:], groups, strict=False)]
 
-    def _learn(self, new: set[str]) -> None:
-        """Bring words into the young generation."""
+    def _known(self, words: list[str]) -> list[Aligned]:
+        """Different words' alignments, from memory where they are there."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        for w in new & old.keys():
-            young[w] = old[w]
-        new -= young.keys()
-        ended = {w for w in new if w[-1:] in _STOPS and w[-2:-1] < "\u0250" and w[-2:-1].isalpha()} if self.stopped else set()
-        bare = {w[:-1] for w in ended}
-        for w in bare & old.keys():
-            young[w] = old[w]
-        fresh = sorted((new - ended) | (bare - young.keys()), key=lambda w: w[:1] == "\n")
-        young.update(zip(fresh, self.align(fresh), strict=True))
-        for w in ended:
-            a, b = young[w[:-1]], self.stops[w[-1]]
-            young[w] = (a[0] + b[0], a[1] + b[1], a[2] + b[2], a[3] + b";" + b[3]) if a[0] else NONE
+        out, new = list(map(young.get, words)), []
+        for i in [i for i, found in enumerate(out) if found is None]:
+            w = words[i]
+            if w in old:
+                out[i] = young[w] = old[w]
+            elif w in self.stops:
+                out[i] = self.stops[w]
+            else:
+                new.append(i)
+        for i, found in zip(new, self.align([words[i] for i in new]), strict=True):
+            out[i] = found
+            if len(words[i]) <= LONGEST:
+                young[words[i]] = found
+        return out
+
+    def columns(self, texts: pa.Array) -> pa.RecordBatch:
+        """n_a, n_b, links and groups of whole texts, in their order; null and empty ones have no tokens."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        some = pc.not_equal(texts, "").to_numpy(zero_copy_only=False)
+        cut = some & ~pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.apart else np.zeros(len(texts), dtype=bool)
+        at = np.flatnonzero(cut)
+        spaced = pc.replace_substring(texts.take(pa.array(at)), "\n", " \n")
+        if self.stopped:
+            spaced = pc.replace_substring_regex(spaced, _ENDED, rf"\1 {_CUT}\2\3")
+        parts = pc.split_pattern(spaced, " ")
+        coded = parts.flatten().dictionary_encode()
+        n_a, n_b, links, groups = _batch(self._known(coded.dictionary.to_pylist())).columns
+        own = pa.ListArray.from_arrays(pc.subtract(parts.offsets, parts.offsets[0]), coded.indices)
+        bad = np.flatnonzero(n_a.to_numpy() == 0)
+        if len(bad):  # a text that holds a word without tokens has none
+            full = _totals(np.isin(coded.indices.to_numpy(), bad), own.offsets.to_numpy()) == 0
+            at, own = at[full], own.filter(pa.array(full))
+        words, edges = own.flatten(), own.offsets.to_numpy()
+        row, sizes = words.to_numpy(), np.diff(links.offsets.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(_totals(sizes[row], edges))])
+        found = pa.RecordBatch.from_arrays(
+            [
+                *(pa.array(_totals(n.to_numpy()[row], edges)) for n in (n_a, n_b)),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), links.take(words).flatten()),
+                pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), groups.take(words)), pa.scalar(b";", pa.large_binary())),
+            ],
+            schema=_SCHEMA,
+        )
+        rest = np.setdiff1d(np.arange(len(texts)), at)
+        others = _batch([self.whole(texts[i].as_py()) if some[i] and not cut[i] else NONE for i in rest.tolist()])
+        return pa.concat_batches([found, others]).take(pa.array(np.argsort(np.concatenate([at, rest]))))
 
     def __call__(self, texts: list[str | None]) -> list[Aligned]:
         """Align whole texts; null and empty ones have no tokens."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        out, words, new = [NONE] * len(texts), {}, set()
-        for i, t in enumerate(texts):
-            if t and self.apart and not _ODD.search(t):
-                words[i] = t.replace("\n", " \n").split(" ")
-                new.update(words[i])
-            elif t:
-                out[i] = self.whole(t)
-        long = {w: found for w in new if len(w) > LONGEST for found in self.align([w])}
-        self._learn(new.difference(self.young, long))
-        known = ChainMap(long, self.young).__getitem__ if long else self.young.__getitem__
-        for i, own in words.items():
-            n_a, n_b, links, groups = zip(*map(known, own), strict=True)
-            if 0 not in n_a:
-                out[i] = sum(n_a), sum(n_b), b"".join(links), b";".join(groups)
-        return out
+        n_a, n_b, links, groups = (c.to_pylist() for c in self.columns(pa.array(texts, pa.string())).columns)
+        return [(a, b, np.array(x, dtype="<i4").tobytes(), g) for a, b, x, g in zip(n_a, n_b, links, groups, strict=True)]
 
 
 #: A worker's aligners live as long as the worker.
@@ -251,11 +302,9 @@ def align_documents(docs: DataFrame, key: str, text: str, byte_bpe: str, piece_m
         align = aligner(byte_bpe, piece_model)
         for batch in batches:
             for first, texts in text_chunks(batch["t"], 1 << 20):
-                n_a, n_b, links, groups = zip(*align([t.decode() for t in texts]), strict=True)
-                edges = np.concatenate([[0], np.cumsum([len(x) // 4 for x in links])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.frombuffer(b"".join(links), dtype=np.int32)))
-                digests = pa.array([hashlib.sha256(g).hexdigest() if n else "" for g, n in zip(groups, n_a, strict=True)])
-                yield pa.RecordBatch.from_arrays([batch["k"].slice(first, len(texts)), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), lists, digests], names=[key, "n_a", "n_b", "links", "groups_sha256"])
+                n_a, n_b, links, groups = align.columns(batch["t"].slice(first, len(texts))).columns
+                digests = pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in groups.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([batch["k"].slice(first, len(texts)), n_a, n_b, links, digests], names=[key, "n_a", "n_b", "links", "groups_sha256"])
 
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, out)
 

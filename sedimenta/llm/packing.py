@@ -55,7 +55,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _quick(tokenizer):
+def quick_encoder(tokenizer):
     """A faster encoder of the same ids for short texts, or None if the tokenizer isn't plain byte-level BPE whose merges come
     in the order of the ids they make."""
     spec = json.loads(tokenizer.to_str())
@@ -91,7 +91,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         added = sorted((t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.quick = _quick(self.tokenizer)
+        self.quick = quick_encoder(self.tokenizer)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.stops = dict(zip(_STOPS, self.whole(list(_STOPS)), strict=True))

@@ -200,6 +200,49 @@ def test_alignment_encodes_words_together(aligner):
     assert small.align(odd) == [*want[:50], align.NONE, *want[50:]]
 
 
+def test_alignment_asks_for_a_word_once_a_batch(aligner):
+    """However often a word is in a batch, its alignment is looked up once; words of settled letters leave `tokenizers` alone."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self.asked += 1
+            return super().__getitem__(k)
+
+    class Unasked:
+        def encode(self, *a, **how):
+            raise AssertionError("encoded by tokenizers")
+
+        encode_batch = encode
+
+    text = "one wörd, an\u2019other one.\nOne wörd. " * 500 + "end."
+    want = aligner.whole(text)
+    small = align.Aligner(queries.tokenizer_path(), queries.tokenizer_path("piece_bpe_32k.model"))
+    small.first, small.young = Unasked(), Counted()
+    assert small([text, None, text]) == [want, align.NONE, want] and small.young.asked < 30
+
+
+def test_alignment_with_the_quick_encoder_is_that_of_tokenizers(aligner):
+    """Every entry of the vocabulary, and texts of all settled letters: ids, and ends of characters."""
+    assert aligner.quick
+    rng = random.Random(8)
+    settled = [*map(chr, range(0x250)), *map(chr, range(0x2010, 0x2028))]
+    texts = [b.decode() for b in aligner.first_bytes if b.decode("utf-8", "ignore").encode() == b]
+    texts += ["".join(rng.choices(settled, k=rng.randint(1, 12))) for _ in range(20_000)] + ["".join(rng.choices("theonadeürig'.,s", k=rng.randint(5, 25))) for _ in range(20_000)]
+    for t, e in zip(texts, aligner.first.encode_batch([f" {t}" for t in texts], add_special_tokens=False), strict=True):
+        assert not align._SETTLED.fullmatch(t) or aligner.quick(f" {t}") == e.ids, t
+    slow = align.Aligner(queries.tokenizer_path(), queries.tokenizer_path("piece_bpe_32k.model"))
+    slow.quick = None
+    words = ["".join(rng.choices("aeñü–’x9.ð\x01ſ", k=rng.randint(1, 9))) for _ in range(3000)]
+    words = [("\n" if rng.random() < 0.1 else "") + w for w in words if not w.isspace()]
+    assert aligner.align(words) == slow.align(words)
+
+
 def test_alignment_remembers_within_bounds(aligner, monkeypatch):
     texts = [f"word{i}, and again word{i}.\nNext" for i in range(300)]
     want = aligner(texts)
