@@ -37,7 +37,7 @@ def hashing_embeddings(docs: DataFrame, key: str = "path", text: str = "contents
         known: dict[str, int] = {}
         for batch in batches:
             vectors, rows = [], []
-            for i, t in enumerate(batch["t"].to_pylist()):
+            for i, t in enumerate(x.as_py() for x in batch["t"]):
                 words = [w for w in _SPACE.split(t or "") if w]
                 if not words:
                     continue
@@ -59,6 +59,15 @@ def hashing_embeddings(docs: DataFrame, key: str = "path", text: str = "contents
     return docs.select(F.col(key).alias("k"), F.lower(text).alias("t")).mapInArrow(run, kind).withColumnRenamed("k", key)
 
 
+def embed_pieces(pieces: DataFrame, key: str = "path", text: str = "contents", dimension: int = 64, normalized: bool = True) -> DataFrame:
+    """key, embedding by ``hashing_embeddings`` of documents in any number of pieces, which don't cut words. The counts of a document's pieces
+    are added up in their tasks; one vector a document and task is shuffled."""
+    found = hashing_embeddings(pieces, key, text, dimension)
+    total = found.groupBy(key).agg(*(F.sum(F.get("embedding", F.lit(i))).alias(f"at{i}") for i in range(dimension)))
+    e = F.array(*(f"at{i}" for i in range(dimension)))
+    return total.select(key, (normalize(e) if normalized else sanitize(e)).alias("embedding"))
+
+
 class HashingEmbedder:
     """The same model as a plug."""
 

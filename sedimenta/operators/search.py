@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from sedimenta.functions.vectors import has_non_finite, normalize, sanitize
-from sedimenta.operators.embed import embed_documents
-from sedimenta.sources.corpus import read_corpus
+from sedimenta.operators.embed import embed_documents, embed_pieces
+from sedimenta.sources.corpus import PIECE, read_corpus
 from sedimenta.sources.scratch import scratch
 
 #: Queries of one block: 8 MB of doubles at 1,000 components.
@@ -179,9 +179,10 @@ def fix_index(index: DataFrame, key: str = "path", embedding: str = "embedding")
 
 def search_folder(spark: SparkSession, root: str, questions: DataFrame, extensions: Iterable[str] = ("txt", "md"), documents: int = 8, k: int = 2, load=None, recursive: bool = True) -> DataFrame:
     """(query_id, path, score, rank): each question's (query_id, text) best ``k`` of the first ``documents`` files of a folder, by path,
-    that can be read: reading, embedding and search in one. Blank questions have no hits."""
-    docs = read_corpus(spark, root, extensions, recursive, documents).where("status = 'ok'")
-    index = embed_documents(docs, load)
+    that can be read: reading, embedding and search in one. Blank questions have no hits. Files are read and embedded in pieces; a plugged
+    model is given whole texts, and files of more than a gigabyte are unreadable to it."""
+    docs = read_corpus(spark, root, extensions, recursive, documents, piece_bytes=PIECE if load is None else None).where("status = 'ok'")
+    index = embed_pieces(docs) if load is None else embed_documents(docs, load)
     asked = embed_documents(questions.select(F.col("query_id"), F.col("text").alias("contents")), load, key="query_id")
     return topk_search(index, asked, k)
 

@@ -606,7 +606,7 @@ def s7_read_wikisql(spark, sf_dir):
 def s1_read_corpus(spark, sf_dir):
     at = scratch(spark, "corpus")
     table(spark, sf_dir, "documents").select("text", "source").repartition("source").write.partitionBy("source").text(at)
-    docs = corpus.read_corpus(spark, at, recursive=True)
+    docs = corpus.read_corpus(spark, at, recursive=True, piece_bytes=corpus.PIECE)
     return docs.groupBy(F.regexp_extract("path", "^source=([^/]+)/", 1).alias("source"), "status").agg(F.sum(F.length("contents")).cast("long").alias("chars"))
 
 

@@ -4,10 +4,11 @@ import gzip
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sedimenta.operators import sft, tokenize
+from sedimenta.operators import embed, search, sft, tokenize
 from sedimenta.sources import corpus, folder, idx, scratch, tables
 
 
@@ -145,3 +146,74 @@ def test_the_first_files_are_chosen_by_their_paths_alone(spark, tmp_path):
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     ordered = plan[plan.index("Sort [path") :].splitlines()[1]  # what goes to one task
     assert "Project [path" in ordered and "contents" not in ordered and "content#" not in ordered.split("]")[0]
+
+
+def test_pieces_hold_each_byte_once_and_cut_no_word():
+    rng = np.random.default_rng(3)
+    made = [bytes(rng.choice(list(b"ab\xc3\xa9 \n"), n).tolist()) for n in (0, 1, 2, 7, 40, 300) for _ in range(40)]
+    made += [b"x" * 200, b" " * 200, b"x" * 50 + b" " + b"y" * 200, b"\n" + b"z" * 90, ("wörd " * 50).encode()]
+    for data in made:
+        for limit in (1, 3, 16, 1000):
+            for each in (1, 5, 64):
+                read = [p for _, _, _, a, b in folder.ranges("f", len(data), limit) for p in folder.pieces(pa.BufferReader(data), a, b, each, 1000)]
+                assert b"".join(c for _, c, _ in read) == data and all(whole == (c == data) for _, c, whole in read)
+                assert [at for at, _, _ in read] == np.cumsum([0, *(len(c) for _, c, _ in read)])[:-1].tolist()
+                assert all(c[:1] in (b" ", b"\n") for at, c, _ in read if at)
+    with pytest.raises(ValueError, match="word larger than 10 bytes"):
+        list(folder.pieces(pa.BufferReader(b"a " + b"x" * 4000), 0, None, 5, 10))
+
+
+def test_large_files_are_read_in_bounded_memory(tmp_path):
+    import tracemalloc
+
+    with open(tmp_path / "large.txt", "wb") as f:
+        for _ in range(64):
+            f.write(b"some words " * 95_000)  # 1 MB
+    reader = folder.FolderReader({"path": str(tmp_path), "partitionbytes": str(40 << 20), "piecebytes": str(1 << 20)})
+    parts = reader.partitions()
+    assert len(parts) == 2
+    tracemalloc.start()
+    read = sum(sum(len(c) for c in b["content"].to_pylist()) for p in parts for b in reader.read(p))
+    assert read == 64 * 11 * 95_000 and tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+
+
+def test_corpus_in_pieces_equals_whole_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "PIECES", 20_000)  # files are read by several tasks
+    text = "Ein Wörterbuch\n\twith many ΟΔΥΣΣΕΥΣ words " * 2500
+    files = {"a.txt": text.encode(), "b.txt": b"", "c.txt": b"one", "d.txt": text.encode() + b"\xff", "e.txt": b"x\0" + text.encode(), "f.txt": text.encode() + b"\0 late", "g.txt": b"y" * 100_000, "h.txt": b"\xff"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    (tmp_path / "gone.txt").mkdir()
+    (tmp_path / "gone.txt" / "deep.txt").write_bytes(b"deep")
+    for limit in (None, 0, 3, 100):
+        whole = corpus.read_corpus(spark, str(tmp_path), recursive=True, limit=limit)
+        pieces = corpus.read_corpus(spark, str(tmp_path), recursive=True, limit=limit, piece_bytes=1).collect()
+        got = {}
+        for r in sorted(pieces, key=lambda r: (r["path"], r["start"])):
+            status, error, contents = got.get(r["path"], (r["status"], r["error"], None))
+            assert (status, error) == (r["status"], r["error"]) and (r["status"] == "ok" or r["path"] not in got)
+            got[r["path"]] = (status, error, r["contents"] if contents is None else contents + r["contents"])
+        assert got == {r["path"]: (r["status"], r["error"], r["contents"]) for r in whole.collect()}
+        assert limit is None or sum(s == "ok" for s, _, _ in got.values()) == min(limit, 6)
+    rows = [r for r in pieces if r["path"] == "a.txt"]
+    assert len(rows) > 20 and max(len(r["contents"].encode()) for r in rows) < 5000
+    short = corpus.read_corpus(spark, str(tmp_path), file_bytes=50_000, piece_bytes=4096)  # the limit of a word
+    assert {r["path"]: r["status"] for r in short.where("status = 'unreadable' OR path = 'a.txt'").collect()} == {"a.txt": "ok", "g.txt": "unreadable"}
+
+
+def test_folders_are_searched_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "PIECE", 4096)
+    monkeypatch.setattr(corpus, "PIECES", 20_000)
+    for i in range(5):
+        (tmp_path / f"{i}.txt").write_text(" ".join(f"Wörd{j % (7 + 5 * i)}" for j in range(20_000 if i else 0)) if i != 3 else "wörd1\n")
+    asked = spark.createDataFrame([(1, "wörd1 wörd2 other"), (2, "  "), (3, "WÖRD9")], "query_id int, text string")
+    hits = search.search_folder(spark, str(tmp_path), asked, documents=4, k=3)
+    docs = corpus.read_corpus(spark, str(tmp_path), limit=4).where("status = 'ok'")
+    queries = embed.embed_documents(asked.withColumnRenamed("text", "contents"), key="query_id")
+    want = search.topk_search(embed.embed_documents(docs), queries, 3)
+    assert sorted(hits.collect()) == sorted(want.collect()) and {r["path"] for r in hits.collect()} == {"1.txt", "2.txt", "3.txt"}
+    texts = corpus.read_corpus(spark, str(tmp_path), limit=4, piece_bytes=search.PIECE).where("status = 'ok'")
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RelationV2") == 2  # one scan for the paths, one for the texts
+    assert texts.count() > 60 and embed.embed_pieces(texts).count() == 3
